@@ -26,14 +26,14 @@ DATE_FORMATS = [
 
 
 def parse_with(c: str, fmt: str) -> Column:
-    return F.expr(f"try_to_timestamp(`{c}`, '{fmt}')")
+    return F.try_to_timestamp(F.col(f"`{c}`"), F.lit(fmt))
 
 
 def parse_per_value(c: str, dtype: T.DataType) -> Column:
     """``per_value`` mode: every value takes the first format that parses it."""
     if not isinstance(dtype, T.StringType):
         return to_timestamp_any(c, dtype)
-    return F.coalesce(*[parse_with(c, f) for f in DATE_FORMATS], F.expr(f"try_to_timestamp(`{c}`)"))
+    return F.coalesce(*[parse_with(c, f) for f in DATE_FORMATS], F.try_to_timestamp(F.col(f"`{c}`")))
 
 
 def format_vote_exprs(c: str) -> list[Column]:
@@ -54,7 +54,7 @@ def parse_first_format(c: str, dtype: T.DataType, fmt: str | None) -> Column:
     if not isinstance(dtype, T.StringType):
         return to_timestamp_any(c, dtype)
     if fmt is None:
-        return F.expr(f"try_to_timestamp(`{c}`)")
+        return F.try_to_timestamp(F.col(f"`{c}`"))
     return parse_with(c, fmt)
 
 

@@ -109,3 +109,30 @@ def column_decisions(df: DataFrame, fractional_cols: list[str], vote_cols: list[
         keys = sorted((k for k in row if k.startswith(f"_v{i}_")), key=lambda k: int(k.rsplit("_", 1)[1]))
         votes[c] = first_format_from_votes([row[k] for k in keys]) if keys else None
     return fr, votes
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact interpolated median of ``value`` per group of ``keys``.
+
+    Spark's ``median`` aggregate would keep a whole group in one buffer. Here
+    the rows are ranked by one global range sort on (keys, value) - a hot
+    group is split across range partitions by value - and each group's two
+    middle ranks are picked from its start rank and size (partial
+    aggregates), so no task holds a whole group.
+    """
+    from .keys import positions
+    if not keys:
+        raise ValueError("group_median needs grouping keys; use median_value for a global median")
+    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranked = positions(vals, [*keys, "_v"], name="_pos")
+    stats = ranked.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(
+        F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    cond = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        cond = c if cond is None else cond & c
+    joined = ranked.join(stats, cond)
+    local = F.col("_pos") - F.col("_start")
+    mids = joined.where((local == F.floor((F.col("_n") - 1) / 2)) | (local == F.floor(F.col("_n") / 2)))
+    return mids.groupBy(*keys).agg(F.avg("_v").alias(name))

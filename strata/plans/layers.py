@@ -337,5 +337,7 @@ def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str
     if keep:
         df = df.select(*keep)
     if order is None:
-        order = group if grouped else (ordinal_columns(df) or [c for c in df.columns if c.startswith("pk_")] or None)
+        # pandas order: sorted group keys with the null group last; else file order
+        order = ([F.asc_nulls_last(f"`{c}`") for c in group] if grouped else
+                 (ordinal_columns(df) or [c for c in df.columns if c.startswith("pk_")] or None))
     return add_surrogate_key(df, "pk_gold_id", order)
