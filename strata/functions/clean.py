@@ -85,7 +85,8 @@ def to_timestamp_any(c: str, dtype: T.DataType) -> Column:
         return F.col(c)
     if isinstance(dtype, T.DateType):
         return F.col(c).cast("timestamp")
-    return F.expr(f"try_to_timestamp(`{c}`)")
+    from .dates import parse_generic
+    return parse_generic(F.col(f"`{c}`").cast("string"))
 
 
 def lower(c: str) -> Column:

@@ -25,15 +25,48 @@ DATE_FORMATS = [
 ]
 
 
+# The text shape each format can match (same order as
+# DATE_FORMATS). A parse is only attempted on text of the right shape: a
+# failed ``try_to_timestamp`` costs an exception inside the JVM, a regex
+# test does not.
+DATE_SHAPES = [
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    r"^[0-9]{8}$",
+    r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
+    r"^[0-9]{1,2}-[A-Za-z]+-[0-9]{4}$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
+    r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
+    r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$",
+]
+_SHAPE = dict(zip(DATE_FORMATS, DATE_SHAPES))
+
+
+def parse_text_with(text: Column, fmt: str) -> Column:
+    """``try_to_timestamp(text, fmt)`` guarded by the format's text shape."""
+    return F.when(text.rlike(_SHAPE[fmt]), F.try_to_timestamp(text, F.lit(fmt)))
+
+
 def parse_with(c: str, fmt: str) -> Column:
-    return F.try_to_timestamp(F.col(f"`{c}`"), F.lit(fmt))
+    return parse_text_with(F.col(f"`{c}`"), fmt)
+
+
+# the generic cast only reads text that starts with a year
+ISO_SHAPE = r"^\s*[+-]?[0-9]{4}"
+
+
+def parse_generic(text: Column) -> Column:
+    """FN-04 generic parse (ISO-like text), guarded like the formats."""
+    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(text))
 
 
 def parse_per_value(c: str, dtype: T.DataType) -> Column:
     """``per_value`` mode: every value takes the first format that parses it."""
     if not isinstance(dtype, T.StringType):
         return to_timestamp_any(c, dtype)
-    return F.coalesce(*[parse_with(c, f) for f in DATE_FORMATS], F.try_to_timestamp(F.col(f"`{c}`")))
+    return F.coalesce(*[parse_with(c, f) for f in DATE_FORMATS], parse_generic(F.col(f"`{c}`")))
 
 
 def format_vote_exprs(c: str) -> list[Column]:
@@ -54,7 +87,7 @@ def parse_first_format(c: str, dtype: T.DataType, fmt: str | None) -> Column:
     if not isinstance(dtype, T.StringType):
         return to_timestamp_any(c, dtype)
     if fmt is None:
-        return F.try_to_timestamp(F.col(f"`{c}`"))
+        return parse_generic(F.col(f"`{c}`"))
     return parse_with(c, fmt)
 
 

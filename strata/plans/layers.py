@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean
-from ..functions.dates import parse_first_format, parse_per_value
+from ..functions.dates import DATE_FORMATS, parse_generic, parse_text_with
 from ..operators.aggregate import group_aggregate
 from ..operators.joins import combine_sources
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, add_surrogate_key, dedup_keep_first, ordinal_columns
@@ -88,12 +88,11 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
         if isinstance(dtype, T.DateType):
             return e.cast("timestamp")
         s = e.cast("string")
-        from ..functions.dates import DATE_FORMATS
         if kind == "date_first" and arg is not None:
-            return F.try_to_timestamp(s, F.lit(arg))
+            return parse_text_with(s, arg)
         if kind == "date_per_value":
-            return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS], F.try_to_timestamp(s))
-        return F.try_to_timestamp(s)
+            return F.coalesce(*[parse_text_with(s, f) for f in DATE_FORMATS], parse_generic(s))
+        return parse_generic(s)
     if kind == "lower":
         return F.lower(e.cast("string"))
     if kind == "upper":
