@@ -69,10 +69,12 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
     """The cleaning functions applied to a column expression of type ``dtype``
     (None = no change)."""
     e = expr
-    if kind == "integer":
+    if kind in ("integer", "integer_per_value"):
         if clean.is_integral(dtype):
             return e.cast("long")
         d = e.cast("double") if (clean.is_numeric(dtype) or isinstance(dtype, T.BooleanType)) else e.try_cast("double")
+        if kind == "integer_per_value":
+            return F.when(d == F.floor(d), d.try_cast("long"))
         return d.try_cast("long")
     if kind == "double":
         if clean.is_numeric(dtype):
@@ -157,8 +159,14 @@ class Frame(_Frame):
 # ---------------------------------------------------------------------------
 
 def run_bronze(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
-               file_names: dict[str, str] | None = None, match: str = "word") -> LayerResult:
-    """Rename, cast and add lineage per table; output ``{stem}_bronze``."""
+               file_names: dict[str, str] | None = None, match: str = "word",
+               integer_policy: str = "all_or_nothing") -> LayerResult:
+    """Rename, cast and add lineage per table; output ``{stem}_bronze``.
+
+    ``integer_policy="all_or_nothing"`` (D2) decides an integer cast for the
+    whole column (one aggregate job); ``"per_value"`` casts each value alone
+    (non-whole values become null), which keeps the layer row-local for
+    incremental / streaming ingestion."""
     res = LayerResult()
     file_names = file_names or {}
     for stem, df in sources.items():
@@ -183,7 +191,10 @@ def run_bronze(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
             if not work or work not in fr.cols:
                 continue
             if st.cast == "integer":
-                fr.defer(work, "integer")
+                if integer_policy == "per_value":
+                    fr.apply(work, "integer_per_value")
+                else:
+                    fr.defer(work, "integer")
             elif st.cast == "text":
                 fr.apply(work, "text")
             elif st.cast == "double":
