@@ -8,6 +8,7 @@ ordering: a business key, or the row ordinal recorded at the scan
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,6 @@ SOURCE_FILE = "_source_file"
 SOURCE_ROW = "_source_row"
 ORDINAL_COLUMNS = (SOURCE_FILE, SOURCE_ROW)
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
-_LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-
-
 def _cols(order_by: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
@@ -33,37 +30,58 @@ def ordinal_columns(df: DataFrame) -> list[str]:
     return [c for c in ORDINAL_COLUMNS if c in df.columns]
 
 
-def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos",
-              start: int = 0) -> DataFrame:
-    """Attach a contiguous position ``start..start+n-1`` in ``order_by`` order.
+def sorted_table(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+    """Write ``df`` sorted by ``order_by`` ONCE to a table in the session's
+    checkpoint folder and read it back with each row's rank parts:
+    ``_part`` (the writing task = range partition, from the file name) and
+    ``_local`` (the row's index in its file, from the Parquet row index).
 
-    Plan: one distributed range sort, written once with ``checkpoint()`` (range
-    bounds are sampled, so the layout must be fixed before it is counted), a
-    per-partition row count (one row per partition), offsets computed from
-    those counts and broadcast (size bounded by the partition count, not the
-    data), and ``offset + row-in-partition`` per row. No step gathers the data
-    into one partition.
+    The lineage is cut at the written table (a lost executor re-reads it,
+    it does not re-sort), and the order survives any later split of the
+    files into read partitions.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ordered = df.orderBy(*_cols(order_by)).checkpoint(eager=True)
-    mid = F.monotonically_increasing_id()
-    tagged = ordered.withColumn("_mid", mid)
-    counts = (tagged.groupBy(F.shiftright("_mid", _LOCAL_BITS).alias("_pid"))
-              .agg(F.count(F.lit(1)).alias("_n")).collect())
-    counts.sort(key=lambda r: r["_pid"])
-    offsets, running = [], start
-    for r in counts:
-        offsets.append((int(r["_pid"]), running))
-        running += int(r["_n"])
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/sorted-{uuid.uuid4().hex}"
+    df.orderBy(*_cols(order_by)).write.option("maxRecordsPerFile", 0).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select("*",
+                       F.regexp_extract(F.col("_metadata.file_name"), r"part-([0-9]+)", 1).cast("long").alias("_part"),
+                       F.col("_metadata.row_index").alias("_local"))
+
+
+def part_offsets(tagged: DataFrame, start: int = 0, weight: str | None = None) -> tuple[DataFrame, list]:
+    """Offsets of each written part (one row per part, so the frame is bounded
+    by the partition count) as a broadcastable frame, plus (part, lo, hi)."""
+    spark = tagged.sparkSession
+    w = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = sorted((int(r["_part"]), int(r["_n"] or 0))
+                    for r in tagged.groupBy("_part").agg(w.alias("_n")).collect())
+    rows, bounds, running = [], [], start
+    for part, n in counts:
+        rows.append((part, running))
+        bounds.append((part, running, running + n))
+        running += n
     schema = T.StructType([T.StructField("_pid", T.LongType(), False),
                            T.StructField("_off", T.LongType(), False)])
-    off_df = spark.createDataFrame(offsets, schema)
-    out = (tagged.join(F.broadcast(off_df),
-                       F.shiftright(tagged["_mid"], _LOCAL_BITS) == off_df["_pid"])
-           .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK)))
-           .drop("_mid", "_pid", "_off"))
-    return out
+    return spark.createDataFrame(rows, schema), bounds
+
+
+def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos",
+              start: int = 0) -> DataFrame:
+    """Attach a contiguous position ``start..start+n-1`` in ``order_by`` order.
+
+    Plan: one distributed range sort written once (``sorted_table``), a
+    per-part row count (one row per part), offsets computed from those
+    counts and broadcast (size bounded by the partition count, not the
+    data), and ``offset + row index`` per row. No step gathers the data into
+    one partition and the sort runs once.
+    """
+    tagged = sorted_table(df, order_by)
+    off_df, _ = part_offsets(tagged, start)
+    return (tagged.join(F.broadcast(off_df), tagged["_part"] == off_df["_pid"])
+            .withColumn(name, F.col("_off") + F.col("_local"))
+            .drop("_part", "_local", "_pid", "_off"))
 
 
 def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column] | None = None,

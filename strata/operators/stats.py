@@ -17,9 +17,6 @@ from ..functions.clean import as_double, fractional_flag
 from ..functions.dates import first_format_from_votes, format_vote_exprs
 from ..session import ensure_checkpoint_dir
 
-_LOCAL_BITS = 33
-
-
 def mean_value(df: DataFrame, c: str) -> float | None:
     """AG-05: mean of the numeric reading of ``c`` (partial + final agg)."""
     dtype = df.schema[c].dataType
@@ -28,32 +25,25 @@ def mean_value(df: DataFrame, c: str) -> float | None:
     return None if v is None else float(v)
 
 
-def _kth_weighted(sorted_weighted: DataFrame, value: str, weight: str, ks: list[int]) -> dict[int, object]:
-    """Values at 0-based ranks ``ks`` of a multiset given as sorted distinct
+def _kth_weighted(weighted: DataFrame, value: str, weight: str, ks: list[int]) -> dict[int, object]:
+    """Values at 0-based ranks ``ks`` of a multiset given as distinct
     ``value`` rows with multiplicity ``weight``.
 
-    The sorted frame is checkpointed once; per-partition weight totals (one
-    row per partition) locate the partition holding each rank, and only
-    that partition is scanned with a running sum.
+    The distinct values are sorted and written once (``sorted_table``);
+    per-part weight totals (one row per part) locate the part holding each
+    rank, and only that part is scanned with a running sum.
     """
-    ck = sorted_weighted.checkpoint(eager=True)
-    tagged = ck.withColumn("_mid", F.monotonically_increasing_id())
-    totals = (tagged.groupBy(F.shiftright("_mid", _LOCAL_BITS).alias("_pid"))
-              .agg(F.sum(weight).alias("_w")).collect())
-    totals.sort(key=lambda r: r["_pid"])
-    out: dict[int, object] = {}
-    start = 0
-    bounds = []
-    for r in totals:
-        bounds.append((int(r["_pid"]), start, start + int(r["_w"])))
-        start += int(r["_w"])
     from pyspark.sql import Window
+    from .keys import part_offsets, sorted_table
+    tagged = sorted_table(weighted, [value])
+    _, bounds = part_offsets(tagged, 0, weight)
+    out: dict[int, object] = {}
     for k in ks:
-        for pid, lo, hi in bounds:
+        for part, lo, hi in bounds:
             if lo <= k < hi:
-                part = tagged.where(F.shiftright("_mid", _LOCAL_BITS) == pid)
-                w = Window.orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-                cum = part.withColumn("_cum", F.sum(weight).over(w) + F.lit(lo))
+                one = tagged.where(F.col("_part") == part)
+                w = Window.orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
+                cum = one.withColumn("_cum", F.sum(weight).over(w) + F.lit(lo))
                 row = cum.where((F.col("_cum") - F.col(weight) <= k) & (F.col("_cum") > k)).first()
                 out[k] = row[value]
                 break
@@ -78,7 +68,7 @@ def median_value(df: DataFrame, c: str) -> float | None:
     if n == 0:
         return None
     k1, k2 = (n - 1) // 2, n // 2
-    got = _kth_weighted(weighted.orderBy("v"), "v", "w", sorted({k1, k2}))
+    got = _kth_weighted(weighted, "v", "w", sorted({k1, k2}))
     return (float(got[k1]) + float(got[k2])) / 2.0
 
 

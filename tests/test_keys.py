@@ -37,3 +37,20 @@ def test_dedup_keep_first_hot_key_and_nulls(spark):
 def test_dedup_whole_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 6.0)], "id long, v double")
     assert dedup_keep_first(df, None).count() == 2
+
+
+def test_surrogate_key_many_parts_and_split_reads(spark):
+    """Order must survive many sort partitions and files split across reads."""
+    conf = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 20000).select((F.col("id") * 7919 % 20011).alias("k"), F.lit("x" * 20).alias("pad"))
+        out = add_surrogate_key(df, "pk", ["k"])
+        exp = df.select(F.row_number().over(Window.orderBy("k")).alias("pk"), "k", "pad")
+        assert out.exceptAll(exp).count() == 0 and out.count() == 20000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
