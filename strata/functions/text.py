@@ -120,3 +120,13 @@ ANSWER_SCHEMA = T.StructType([
     T.StructField("charts", T.StringType()),
     T.StructField("detailed_analysis", T.StringType()),
 ])
+
+
+def answer_sentence(table: str, value: Column, group: Column | None = None) -> Column:
+    """FN-20: the answer sentence with thousands separators and 2 decimals
+    (``format_number``), for a top group or a single value."""
+    head = F.lit(f"Deterministic intent analysis completed using {table}.")
+    num = F.format_number(value.cast("double"), 2)
+    if group is not None:
+        return F.concat(head, F.lit(" Top segment: "), group.cast("string"), F.lit(" with value "), num, F.lit("."))
+    return F.concat(head, F.lit(" Computed value: "), num, F.lit("."))

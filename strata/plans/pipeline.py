@@ -15,16 +15,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..operators.profile import profile
 from ..operators.quality import validate_layer
 from ..sources.tables import is_complete, layer_path, read_source, read_parquet, stem_of, write_table
-from .answer import Answer, answer
+from .answer import Answer, answer, answer_text
 from .generate import bronze_rules, column_catalog, gold_rules, silver_rules
 from .layers import run_bronze, run_gold, run_silver
 from .logs import AuditLog
-from .rules import collect_rules, normalise_source_name
+from ..sources import artifacts as ART
+from .rules import collect_rules, gold_plans, normalise_source_name, selection_guard
 
 
 @dataclass
@@ -69,11 +68,16 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     file_names = {stem_of(p): os.path.basename(p.rstrip("/")) for p in inputs}
 
     # RX-04 profile + RG-01
-    prof, _lov = profile(raw)
+    prof, lov = profile(raw)
+    ART.write_json(prof, os.path.join(root, "profiles", run_id))
+    if lov is not None:
+        ART.write_json(lov, os.path.join(root, "lovs", run_id))
     order = {n: i for i, n in enumerate(raw)}
     prof_n = prof.join(spark.createDataFrame(list(order.items()), "dataset string, dataset_no int"), "dataset")
     b_rules = hook("bronze", bronze_rules(prof_n))
     res.rules["bronze"] = b_rules
+    selection_guard(b_rules)
+    ART.write_rules(b_rules, os.path.join(root, "rules", run_id, "bronze"))
     audit.log("profiler", "completed", tables=list(raw))
 
     # bronze
@@ -88,10 +92,13 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     bronze = _read_layer(spark, b_paths)
     res.outputs["bronze"] = b_paths
     res.quality["bronze"] = validate_layer(spark, "bronze", bronze, run_id)
+    ART.write_json(res.quality["bronze"][0], ART.quality_paths(root, run_id)["bronze"])
 
     # silver
     s_rules = hook("silver", silver_rules(column_catalog(spark, bronze)))
     res.rules["silver"] = s_rules
+    selection_guard(s_rules)
+    ART.write_rules(s_rules, os.path.join(root, "rules", run_id, "silver"))
     s_names = [n[: -len("_bronze")] + "_silver" for n in bronze]
     s_paths = _done(spark, root, "silver", run_id, s_names)
     if s_paths is None:
@@ -103,14 +110,20 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     silver = _read_layer(spark, s_paths)
     res.outputs["silver"] = s_paths
     res.quality["silver"] = validate_layer(spark, "silver", silver, run_id)
+    ART.write_json(res.quality["silver"][0], ART.quality_paths(root, run_id)["silver"])
 
     # gold
     g_rules = hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False)))
     res.rules["gold"] = g_rules
+    selection_guard(g_rules)
+    ART.write_rules(g_rules, os.path.join(root, "rules", run_id, "gold"))
     g_src = OrderedDict((normalise_source_name(n), df) for n, df in silver.items())
-    g = run_gold(g_src, collect_rules(g_rules))
-    g_paths = _done(spark, root, "gold", run_id, list(g.tables))
+    g_list = collect_rules(g_rules)
+    cols_of = lambda srcs: [c for s_ in srcs for c in g_src[s_].columns]
+    g_names = [p.target_table for p in gold_plans(g_list, list(g_src), cols_of)]
+    g_paths = _done(spark, root, "gold", run_id, g_names)
     if g_paths is None:
+        g = run_gold(g_src, g_list)
         g_paths = _write_layer(spark, g.tables, root, "gold", run_id)
         audit.log("gold_agent", "completed", outputs=g_paths, warnings=g.warnings)
     else:
@@ -118,10 +131,16 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     gold = _read_layer(spark, g_paths)
     res.outputs["gold"] = g_paths
     res.quality["gold"] = validate_layer(spark, "gold", gold, run_id)
+    ART.write_json(res.quality["gold"][0], ART.quality_paths(root, run_id)["gold"])
 
     # answer
     if gold and question:
         res.answer = answer(gold, question)
+        res.answer.text = answer_text(res.answer, res.answer.df.first())
+        ART.write_json(ART.answer_frame(spark, run_id, question, res.answer.text,
+                                        "Deterministic intent parsing and aggregation.",
+                                        f"op={res.answer.op} metric={res.answer.metric} group={res.answer.group_col}",
+                                        res.answer.charts, res.answer.sql), os.path.join(root, "answers", run_id))
         audit.log("reporter", "completed", sql=res.answer.sql)
     audit.flush()
     return res
