@@ -2,13 +2,15 @@
 notes and join-key candidates (AG-02..AG-04, FN-12, FN-13, JN-04, PR-15).
 
 Cost per table: pass 1 is ONE wide aggregate (counts, min/max/mean, first
-non-null sample, HyperLogLog distinct estimate per column) - a partial
-aggregate with a one-row shuffle. Pass 2 counts exact distinct values:
-the columns are unpivoted to (column, value) and grouped, map-side combined
-before the shuffle; string columns under the list-of-values bound reuse the
-same grouped counts for their value lists. Columns whose estimate exceeds
-``approx_above`` keep the estimate (flagged), so a billion-key column does
-not force a full shuffle of itself.
+non-null sample) - a partial aggregate with a one-row shuffle. Pass 2
+counts exact distinct values with one aggregate per column, all unioned
+into one job: each branch reads only its column (columnar pruning) and
+aggregates map-side on the native type. Only text columns with fewer than
+``lov_max`` distinct values are grouped by (column, value) for their value
+lists - a tiny shuffle. Tables larger than ``approx_above`` rows first get
+a HyperLogLog pass; columns whose estimate exceeds the limit keep the
+estimate (flagged ``unique_exact=false``), so a billion-key column does not
+force a full shuffle of itself.
 """
 
 from __future__ import annotations
@@ -67,7 +69,6 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
         col = F.col(f"`{c}`")
         nn = ~_is_null(c, dt)
         exprs.append(F.count(F.when(nn, 1)).alias(f"nn{i}"))
-        exprs.append(F.approx_count_distinct(F.when(nn, col)).alias(f"hll{i}"))
         if is_numeric(dt):
             v = F.when(nn, col.cast("double"))
             exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"av{i}")]
@@ -79,26 +80,24 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
                 exprs.append(F.first(sv, ignorenulls=True).alias(f"s{i}"))
     row = df.agg(*exprs).first().asDict()
     rows_total = int(row["_rows"])
-    exact_cols = [c for i, c in enumerate(cols)
-                  if approx_above is None or (row[f"hll{i}"] or 0) <= approx_above]
-    counts = None
+    # a column cannot have more distinct values than the table has rows: the
+    # HyperLogLog pass is only needed when the table exceeds the exact limit
+    estimate: dict[str, int] = {}
+    if approx_above is not None and rows_total > approx_above and cols:
+        hll = df.agg(*[F.approx_count_distinct(F.when(~_is_null(c, df.schema[c].dataType), F.col(f"`{c}`")))
+                       .alias(f"h{i}") for i, c in enumerate(cols)]).first()
+        estimate = {c: int(hll[f"h{i}"] or 0) for i, c in enumerate(cols)}
+    exact_cols = [c for c in cols if c not in estimate or estimate[c] <= approx_above]
     uniq: dict[str, int] = {}
     if exact_cols and rows_total:
-        pairs = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"),
-                     F.when(~_is_null(c, df.schema[c].dataType),
-                            F.col(f"`{c}`").cast("string")).alias("value"))
-            for c in exact_cols])).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
-        counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq"))
-        for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect():
-            uniq[r["column"]] = int(r["u"])
+        uniq = _exact_distinct(df, exact_cols)
     out = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
         nn = int(row[f"nn{i}"])
         nulls = rows_total - nn
         exact = c in exact_cols
-        u = uniq.get(c, 0) if exact else int(row[f"hll{i}"] or 0)
+        u = uniq.get(c, 0) if exact else estimate[c]
         mn = mx = av = None
         sample = None
         if is_numeric(dt):
@@ -110,15 +109,32 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
                     mn, mx, av, sample))
     prof = spark.createDataFrame(out, PROFILE_SCHEMA)
     lov = None
-    if with_lov and counts is not None:
-        lov_cols = [c for c in exact_cols if is_string(df.schema[c].dataType) and uniq.get(c, 0) < lov_max]
-        if lov_cols:
-            lov = (counts.where(F.col("column").isin(lov_cols))
-                   .select(F.lit(name).alias("dataset"), "column",
-                           F.col("value"), F.col("freq")))
+    lov_cols = [c for c in exact_cols if is_string(df.schema[c].dataType) and 0 < uniq.get(c, 0) < lov_max]
+    if with_lov and lov_cols:
+        # value lists only for text columns proven small: a tiny shuffle
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in lov_cols]))
+            .alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
+        lov = (pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq"))
+               .select(F.lit(name).alias("dataset"), "column", "value", "freq"))
     return prof, lov
 
 
+def _exact_distinct(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct non-null counts: one aggregate per column, unioned into
+    ONE job. Each branch reads only its column and aggregates map-side on the
+    native type; the branches run side by side."""
+    parts = []
+    for c in cols:
+        dt = df.schema[c].dataType
+        v = F.when(~_is_null(c, dt), F.col(f"`{c}`"))
+        parts.append(df.agg(F.count_distinct(v).alias("u")).select(F.lit(c).alias("c"), "u"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return {r["c"]: int(r["u"]) for r in u.collect()}
+
+
 def profile(tables: Mapping[str, DataFrame], compact: bool = False, **kw) -> tuple[DataFrame, DataFrame | None]:
     """AG-02 / AG-03: profile of every table as one long frame (one row per
     (dataset, column)); AG-04: the lists of values. ``compact`` keeps the
