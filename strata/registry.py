@@ -576,21 +576,55 @@ def _catalog_all(spark, sf):
     return PF.catalog_frame(spark, OrderedDict((t, T(spark, sf, t)) for t in TABLE_NAMES))
 
 
-_TABLE_ORDER = "(VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(TABLE_NAMES)) + ") AS tord(t, i)"
+# The column names and (DuckDB) types of the given tables, in
+# file order, as published with the test data.
+TABLE_SCHEMAS = {
+    "region": [("r_regionkey", "integer"), ("r_name", "varchar")],
+    "nation": [("n_nationkey", "integer"), ("n_name", "varchar"), ("n_regionkey", "integer")],
+    "customer": [("c_custkey", "bigint"), ("c_name", "varchar"), ("c_nationkey", "integer"),
+                 ("c_acctbal", "double"), ("c_mktsegment", "varchar")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "varchar"), ("s_nationkey", "integer"),
+                 ("s_acctbal", "double")],
+    "part": [("p_partkey", "bigint"), ("p_name", "varchar"), ("p_brand", "varchar"), ("p_type", "varchar"),
+             ("p_size", "integer"), ("p_retailprice", "double")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "varchar"),
+               ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "varchar")],
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                 ("l_linenumber", "integer"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                 ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "varchar"),
+                 ("l_linestatus", "varchar"), ("l_shipdate", "timestamp")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp"), ("user_id", "bigint"), ("event_type", "varchar"),
+               ("value", "double"), ("props", "varchar")],
+    "documents": [("doc_id", "bigint"), ("text", "varchar"), ("lang", "varchar"), ("source", "varchar"),
+                  ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "float[]"), ("label", "integer")],
+    "pages": [("page_id", "bigint"), ("url", "varchar"), ("html", "varchar")],
+    "benchmark": [("item_id", "bigint"), ("text", "varchar")],
+    "labels": [("doc_id", "bigint"), ("quality", "integer"), ("toxic", "integer")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "varchar"), ("text", "varchar")],
+}
+
+
+def _columns_sql(tables: list[str], first_no: int = 0) -> str:
+    """(t, table_no, column_no, c, dt) rows of the given tables as VALUES."""
+    vals = ", ".join(f"('{t}', {ti + first_no}, {ci}, '{c}', '{dt}')"
+                     for ti, t in enumerate(tables) for ci, (c, dt) in enumerate(TABLE_SCHEMAS[t]))
+    return f"SELECT * FROM (VALUES {vals}) AS ic(t, table_no, column_no, c, dt)"
+
+
 
 
 @register("semantic_classes", f"""
-SELECT table_name AS dataset, column_name AS "column",
-  CASE WHEN lower(column_name) = 'id' OR lower(column_name) LIKE '%\\_id' ESCAPE '\\' THEN 'Identifier column'
-       WHEN lower(column_name) LIKE '%date%' OR lower(column_name) LIKE '%time%' THEN 'Date/time column'
-       WHEN lower(column_name) LIKE '%price%' OR lower(column_name) LIKE '%amount%' OR lower(column_name) LIKE '%cost%'
-         OR lower(column_name) LIKE '%revenue%' OR lower(column_name) LIKE '%total%' THEN 'Monetary/numeric measure'
-       WHEN lower(column_name) LIKE '%qty%' OR lower(column_name) LIKE '%quantity%' THEN 'Quantity measure'
-       WHEN lower(data_type) LIKE '%int%' OR lower(data_type) LIKE '%float%' OR lower(data_type) LIKE '%double%'
-         OR lower(data_type) LIKE '%decimal%' THEN 'Numeric attribute'
+SELECT t AS dataset, c AS "column",
+  CASE WHEN lower(c) = 'id' OR lower(c) LIKE '%\\_id' ESCAPE '\\' THEN 'Identifier column'
+       WHEN lower(c) LIKE '%date%' OR lower(c) LIKE '%time%' THEN 'Date/time column'
+       WHEN lower(c) LIKE '%price%' OR lower(c) LIKE '%amount%' OR lower(c) LIKE '%cost%'
+         OR lower(c) LIKE '%revenue%' OR lower(c) LIKE '%total%' THEN 'Monetary/numeric measure'
+       WHEN lower(c) LIKE '%qty%' OR lower(c) LIKE '%quantity%' THEN 'Quantity measure'
+       WHEN dt LIKE '%int%' OR dt LIKE '%float%' OR dt LIKE '%double%' OR dt LIKE '%decimal%'
+         THEN 'Numeric attribute'
        ELSE 'Categorical/text attribute' END AS meaning
-FROM information_schema.columns
-WHERE table_name IN ({", ".join(repr(t) for t in TABLE_NAMES)})
+FROM ({_columns_sql(TABLE_NAMES)}) ic
 """)
 def semantic_classes(spark, sf):
     return PF.semantic_classes(_catalog_all(spark, sf).withColumnRenamed("dtype", "dtype"))
@@ -630,9 +664,8 @@ def quality_notes(spark, sf):
 
 
 @register("join_keys", f"""
-WITH c AS (SELECT table_name AS dataset, tord.i AS dataset_no, column_name AS col
-           FROM information_schema.columns JOIN {_TABLE_ORDER} ON tord.t = table_name
-           WHERE lower(column_name) = 'id' OR lower(column_name) LIKE '%\\_id' ESCAPE '\\')
+WITH c AS (SELECT t AS dataset, table_no AS dataset_no, c AS col FROM ({_columns_sql(TABLE_NAMES)}) ic
+           WHERE lower(c) = 'id' OR lower(c) LIKE '%\\_id' ESCAPE '\\')
 SELECT l.dataset AS left_dataset, l.col AS left_column, r.dataset AS right_dataset, r.col AS right_column,
        'medium' AS confidence
 FROM c l JOIN c r ON l.col = r.col AND l.dataset_no < r.dataset_no
@@ -654,10 +687,7 @@ def profile_preview(spark, sf):
 # ===========================================================================
 
 def _info_cols(tables: list[str], first_no: int = 0) -> str:
-    vals = ", ".join(f"('{t}', {i + first_no})" for i, t in enumerate(tables))
-    return (f"SELECT table_name AS t, tno.i AS table_no, ordinal_position - 1 AS column_no, column_name AS c, "
-            f"lower(data_type) AS dt FROM information_schema.columns JOIN (VALUES {vals}) AS tno(tn, i) "
-            f"ON tno.tn = table_name")
+    return _columns_sql(tables, first_no)
 
 
 RULE_COLS_SQL = ("source_schema, source_table, source_column, target_schema, target_table, target_column, "
