@@ -29,7 +29,7 @@ def is_id_like(name: str, allow_prefix: bool = True) -> bool:
 
 
 def shared_id_keys(left_cols: Sequence[str], right_cols: Sequence[str]) -> list[str]:
-    """Shared columns named ``id`` or ``*_id`` that are not lineage columns."""
+    """SO-04: shared columns named ``id`` or ``*_id`` that are not lineage columns."""
     rset = set(right_cols)
     return [c for c in left_cols if c in rset and is_id_like(c, allow_prefix=False)
             and c not in METADATA_COLUMNS]

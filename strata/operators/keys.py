@@ -99,7 +99,7 @@ def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column]
 
 def dedup_keep_first(df: DataFrame, subset: Sequence[str] | None,
                      order_by: Sequence[str] | None = None) -> DataFrame:
-    """WN-02 / WN-03: keep the first row (in ``order_by`` order, default the
+    """WN-02 / WN-03 / SO-02: keep the first row (in ``order_by`` order, default the
     row ordinal) of each ``subset`` key; nulls equal each other (D6).
 
     Built as a hash aggregate of ``min(struct(order..., payload...))``: the

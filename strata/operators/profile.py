@@ -73,7 +73,7 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
             v = F.when(nn, col.cast("double"))
             exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"av{i}")]
         else:
-            sv = F.when(nn, col.cast("string"))
+            sv = F.when(nn, col.cast("string"))     # SL-05: first non-null in file order
             if order_key is not None:
                 exprs.append(F.min_by(sv, F.when(nn, order_key)).alias(f"s{i}"))
             else:

@@ -81,7 +81,8 @@ def compare_columns(actual: Sequence[str], expected: Sequence[str] | None) -> tu
 
 
 def file_summary(name: str, df: DataFrame, expected: Sequence[str] | None = None) -> dict:
-    """QL-01/QL-02 for one table; a failure becomes a warning, never an error."""
+    """QL-01/QL-02 for one table (AG-10 summary: rows, columns, dtypes, empty
+    flag); a failure becomes a warning, never an error."""
     out = {"file_path": name, "warnings": []}
     try:
         rows, pct = null_pct_by_column(df)

@@ -51,6 +51,8 @@ class _Frame:
         self.cols = OrderedDict((c, F.col(f"`{c}`")) for c in self.df.columns)
 
     def rename(self, src: str, dst: str) -> bool:
+        """PR-01: rename in rule order (later rules see the new name); a
+        rename onto an existing column is refused."""
         if src not in self.cols or src == dst or dst in self.cols:
             return False
         self.resolve_col(src)
@@ -245,7 +247,7 @@ def run_silver(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
                     res.warnings.append((stem, work or st.source, "rule column not found"))
                 continue
             # stage 1: nulls
-            if st.null_op == "drop":
+            if st.null_op == "drop":            # PR-09
                 fr.materialize()
                 fr.df = fr.df.na.drop(subset=[work])
                 fr.cols = OrderedDict((c, F.col(f"`{c}`")) for c in fr.df.columns)
@@ -282,6 +284,7 @@ def run_silver(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
         pk = f"pk_{stem}_silver_id"
         order = key_order.get(stem) or ordinal_columns(out) or None
         out = add_surrogate_key(out, pk, order)
+        # PR-04: approved targets + lineage (_*) + keys (pk_*), key first
         approved = {r.target_column for r in trs}
         keep = [c for c in out.columns if c in approved or c.startswith("_") or c.startswith("pk_")]
         keep = [pk] + [c for c in keep if c != pk]
@@ -320,6 +323,7 @@ def run_gold(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule], matc
 
 
 def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str] | None) -> DataFrame:
+    # PR-02: one bulk rename; grouping keys and aggregates follow the new names
     renames = {s: t for s, t in plan.renames.items() if s in df.columns and t not in df.columns}
     if renames:
         df = df.withColumnsRenamed(renames)
@@ -342,6 +346,7 @@ def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str
         grouped = True
     elif aggs and not group:
         res.warnings.append((plan.target_table, "", "aggregate rules ignored: no grouping column"))
+    # PR-05: keep target columns (+ _*, pk_*); if nothing matches keep all
     targets = set(plan.targets)
     keep = [c for c in df.columns if c in targets or c.startswith("_") or c.startswith("pk_")]
     if keep:

@@ -130,6 +130,7 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
         res.skipped.append("gold")
     gold = _read_layer(spark, g_paths)
     res.outputs["gold"] = g_paths
+    # QL-05: the gold report is always produced before the answer is written
     res.quality["gold"] = validate_layer(spark, "gold", gold, run_id)
     ART.write_json(res.quality["gold"][0], ART.quality_paths(root, run_id)["gold"])
 
