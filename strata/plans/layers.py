@@ -356,3 +356,11 @@ def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str
         order = ([F.asc_nulls_last(f"`{c}`") for c in group] if grouped else
                  (ordinal_columns(df) or [c for c in df.columns if c.startswith("pk_")] or None))
     return add_surrogate_key(df, "pk_gold_id", order)
+
+
+def warnings_frame(spark, layer: str, result: LayerResult):
+    """QL-06 (ignored part): rule warnings of a layer run as a table
+    (table, column, message) - renames refused, aggregates ignored (D19) or
+    rejected (D21), defaults skipped (D18), rule columns not found (D29)."""
+    rows = [(layer, t, c, m) for t, c, m in result.warnings]
+    return spark.createDataFrame(rows, "layer string, table string, column string, message string")

@@ -23,7 +23,9 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("agent", T.StringType()),
     T.StructField("action", T.StringType()),
     T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("seq", T.LongType()),
 ])
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 TRACE_SCHEMA = T.StructType([
     T.StructField("agent", T.StringType()),
@@ -53,23 +55,27 @@ class AuditLog:
     def __init__(self, spark: SparkSession, path: str, run_id: str):
         self.spark, self.path, self.run_id = spark, path, run_id
         self.buffer: list[tuple] = []
+        self.seq = 0
 
     def log(self, agent: str, action: str, **extra) -> None:
         ts = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        self.seq += 1
         self.buffer.append((ts, self.run_id, agent, action,
-                            {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in extra.items()}))
+                            {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in extra.items()},
+                            self.seq))
 
     def flush(self) -> None:
         if not self.buffer:
             return
-        self.spark.createDataFrame(self.buffer, AUDIT_SCHEMA).coalesce(1).write.mode("append").json(self.path)
+        (self.spark.createDataFrame(self.buffer, AUDIT_SCHEMA).coalesce(1).write.mode("append")
+         .option("timestampFormat", TS_FORMAT).json(self.path))
         self.buffer = []
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit events; a missing log is an empty frame with the schema."""
     try:
-        return spark.read.schema(AUDIT_SCHEMA).json(path)
+        return spark.read.schema(AUDIT_SCHEMA).option("timestampFormat", TS_FORMAT).json(path)
     except Exception:  # noqa: BLE001 - path does not exist yet
         return spark.createDataFrame([], AUDIT_SCHEMA)
 
@@ -85,11 +91,12 @@ def audit_trail(audit: DataFrame) -> DataFrame:
     phase = F.coalesce(F.when(ex["phase"] != "", ex["phase"]), F.lit("-"))
     status = F.coalesce(F.when(ex["status"] != "", ex["status"]), F.lit("-"))
     extra_cols = [c for c in audit.columns if c not in ("timestamp", "run_id", "agent", "action", "extra")]
+    tie = [F.desc("seq")] if "seq" in audit.columns else [F.desc("action")]
     return (audit.select("timestamp", "run_id", "agent", "action", *extra_cols,
                          time_text.alias("time_text"), reason.alias("reason"),
                          phase.alias("phase"), status.alias("status"),
                          status_class(ex["status"], F.col("action")).alias("status_class"))
-            .orderBy(F.desc("timestamp"), F.desc("action")))
+            .orderBy(F.desc("timestamp"), *tie))
 
 
 def latest_per_run(audit: DataFrame) -> DataFrame:

@@ -1268,3 +1268,35 @@ def tokens_estimate(spark, sf):
     d = T(spark, sf, "documents")
     return d.select("doc_id", TX.token_estimate(F.col("text")).alias("tokens"),
                     F.size(TX.name_tokens(F.col("text"))).cast("long").alias("n_name_tokens"))
+
+
+@register("log_run_summary", """
+SELECT 'orders' AS "table", count(*) AS rows, 6 AS columns,
+       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS column_preview FROM orders
+UNION ALL
+SELECT 'lineitem', count(*), 11,
+       'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax' FROM lineitem
+""")
+def log_run_summary(spark, sf):
+    """LG-04: rows, columns and the first eight column names of each input."""
+    out = LG.run_summary(spark, OrderedDict(orders=T(spark, sf, "orders"), lineitem=T(spark, sf, "lineitem")))
+    return out.select("table", "rows", "columns", F.concat_ws(",", "column_preview").alias("column_preview"))
+
+
+@register("rule_warnings", """
+SELECT 'gold' AS layer, 'status_mix' AS "table", 'o_orderstatus' AS "column",
+       'aggregate ''count'' ignored: column is a grouping key' AS message
+UNION ALL
+SELECT 'gold', 'status_mix', 'o_orderpriority', 'aggregate ''sum'' rejected: column is not numeric'
+""")
+def rule_warnings(spark, sf):
+    """QL-06 on a gold run over orders: a count on a grouping key is ignored
+    (D19) and a sum over text is rejected (D21); the valid aggregate runs."""
+    from .plans.layers import warnings_frame
+    o = T(spark, sf, "orders")
+    rules = [_grule("orders", "o_orderstatus", "status_mix", logic="count of status"),
+             _grule("orders", "o_orderpriority", "status_mix", "o_orderpriority", "Aggregation", "sum"),
+             _grule("orders", "o_totalprice", "status_mix", "total", "Aggregation", "sum")]
+    res = run_gold(OrderedDict(orders=o), rules)
+    res.tables["status_mix"].write.format("noop").mode("overwrite").save()
+    return warnings_frame(spark, "gold", res)

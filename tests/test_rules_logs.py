@@ -72,3 +72,18 @@ def test_audit_append_read_missing(spark):
     trail = LG.audit_trail(LG.read_audit(spark, path)).collect()
     assert [t.action for t in trail] == ["completed", "started"]
     assert trail[0].status_class == "is-success" and trail[1].reason == "go"
+
+
+def test_traces(spark):
+    from strata.plans.logs import TRACE_SCHEMA, trace_durations, trace_tool_calls, tool_sequence
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("bronze_agent", "r1", "p", "success", t0, 1.0, [("read", {}), ("write", {}), ("read", {})], None),
+            ("bronze_agent", "r2", "p", "success", t0, 3.0, [("read", {})], None),
+            ("gold_agent", "r1", "p", "failed", t0, 10.0, [], "429")]
+    tr = spark.createDataFrame(rows, TRACE_SCHEMA)
+    assert trace_tool_calls(tr).where("tool is not null").count() == 4
+    seq = {r.run_id + r.agent: r.tools for r in tool_sequence(tr).collect()}
+    assert seq["r1bronze_agent"] == ["read", "write"]
+    d = {(r.agent, r.status): (r.calls, r.median_seconds) for r in trace_durations(tr).collect()}
+    assert d[("bronze_agent", "success")] == (2, 2.0) and d[("gold_agent", "failed")] == (1, 10.0)
