@@ -102,3 +102,18 @@ def test_gold_outer_join_of_sources(spark):
     out = run_gold(OrderedDict(a=a, b=b), rules).tables["t"]
     assert sorted((r.store_id, r.name, r.amount) for r in out.collect()) == [
         (1, "x", 5.0), (2, "y", None), (3, None, 7.0)]
+
+
+def test_gold_several_aggregates_per_source_d20(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "g string, v double")
+    rules = [_g("f", "g", "t"), _g("f", "v", "t", "v_sum", "Aggregation", "sum"),
+             _g("f", "v", "t", "v_max", "Aggregation", "max")]
+    r = run_gold(OrderedDict(f=df), rules).tables["t"].first()
+    assert (r.v_sum, r.v_max) == (4.0, 3.0)
+
+
+def test_silver_unmatched_rules_keep_only_keys_d29(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, _meta string")
+    rules = [Rule(source_table="other_bronze", source_column="id", target_column="id")]
+    out = run_silver(OrderedDict(t_bronze=df), rules).tables["t_silver"]
+    assert out.columns == ["pk_t_bronze_silver_id", "_meta"]
