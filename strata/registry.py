@@ -296,9 +296,17 @@ def text_case_trim(spark, sf):
     return out.tables["part_silver"].select("p_partkey", "p_name", "p_brand", "p_type")
 
 
-@register("text_title_case")
+TITLE_DUCK = ("array_to_string(list_transform(regexp_extract_all(s, '[A-Za-z]+|[^A-Za-z]+'), "
+              "lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z]') THEN upper(x[1]) || lower(x[2:]) ELSE x END), '')")
+
+
+@register("text_title_case", f"""
+SELECT row_number() OVER (ORDER BY p_partkey) AS pk_part_bronze_silver_id, p_partkey,
+       {TITLE_DUCK.replace('(s,', "(p_name || ' o''neil x-ray a1b',")} AS p_name
+FROM part
+""")
 def text_title_case(spark, sf):
-    """D12 title case (no DuckDB equivalent: rows-only check; values in pytest)."""
+    """Every run of letters capitalised ("o'neil x-ray a1b" -> "O'Neil X-Ray A1B")."""
     p = T(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" o'neil x-ray a1b")).alias("p_name"))
     return _silver_one(spark, p, "part_bronze", "p_name", "Convert to text; title case", ["p_partkey"])
 
@@ -997,14 +1005,17 @@ GROUP BY order_status ORDER BY value DESC, order_status LIMIT 20
 """)(_intent("highest total price per order status"))
 
 
-@register("intent_sql_text")
+@register("intent_sql_text", """
+SELECT order_priority, round(coalesce(sum(o_totalprice), 0), 2) AS value
+FROM (SELECT o_orderpriority AS order_priority, o_totalprice FROM orders) t
+GROUP BY order_priority ORDER BY value DESC, order_priority LIMIT 20
+""")
 def intent_sql_text(spark, sf):
-    """RX-05 emits the SQL it stands for: run that text on the same tables
-    (rows-only check; its values equal intent_group by construction)."""
+    """RX-05 emits the SQL it stands for: run that text on the same tables."""
     tables = _gold_tables(spark, sf)
     register_views(tables)
     ans = AN.answer(tables, "total price by order priority")
-    return AN.run_sql(spark, ans.sql).df
+    return AN.run_sql(spark, ans.sql).df.select("order_priority", R2("value"))
 
 
 @register("answer_catalog", """
