@@ -28,3 +28,29 @@ def test_union_without_key(spark):
     b = spark.createDataFrame([("x",)], "b string")
     out = combine_sources([a, b])
     assert out.count() == 2 and set(out.columns) == {"a", "b"}
+
+
+def test_join_variants(spark):
+    l = spark.createDataFrame([(1, "a"), (2, "b")], "k_id long, lv string")
+    r = spark.createDataFrame([(2, "x"), (3, "y")], "k_id long, rv string")
+    assert sorted(tuple(x) for x in full_outer(l, r, ["k_id"], how="inner").collect()) == [(2, "b", "x")]
+    assert sorted(tuple(x) for x in full_outer(l, r, ["k_id"], how="left").collect()) == [(1, "a", None),
+                                                                                           (2, "b", "x")]
+    assert sorted(tuple(x) for x in full_outer(l, r, ["k_id"], how="right").collect()) == [(2, "b", "x"),
+                                                                                            (3, None, "y")]
+
+
+def test_hot_key_outer_join(spark):
+    """A key holding a third of the left rows: every row kept, no FULL OUTER
+    sort-merge join in the plan (left + anti halves instead)."""
+    import contextlib
+    import io
+    left = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k_id", "id AS v")
+    right = spark.range(0, 50).selectExpr("id AS k_id", "id * 10 AS w")
+    out = full_outer(left, right, ["k_id"])
+    assert out.count() == 3000 + sum(1 for k in range(50) if k % 3 == 0 and k != 0)
+    assert out.where("k_id = 0").count() == 1000
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    assert "FullOuter" not in buf.getvalue()
