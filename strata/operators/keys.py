@@ -30,7 +30,7 @@ def ordinal_columns(df: DataFrame) -> list[str]:
     return [c for c in ORDINAL_COLUMNS if c in df.columns]
 
 
-def sorted_table(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+def sorted_table(df: DataFrame, order_by: Sequence[str | Column], with_path: bool = False):
     """Write ``df`` sorted by ``order_by`` ONCE to a table in the session's
     checkpoint folder and read it back with each row's rank parts:
     ``_part`` (the writing task = range partition, from the file name) and
@@ -45,9 +45,10 @@ def sorted_table(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     path = f"{base.rstrip('/')}/sorted-{uuid.uuid4().hex}"
     df.orderBy(*_cols(order_by)).write.option("maxRecordsPerFile", 0).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    return back.select("*",
-                       F.regexp_extract(F.col("_metadata.file_name"), r"part-([0-9]+)", 1).cast("long").alias("_part"),
-                       F.col("_metadata.row_index").alias("_local"))
+    tagged = back.select("*",
+                         F.regexp_extract(F.col("_metadata.file_name"), r"part-([0-9]+)", 1).cast("long").alias("_part"),
+                         F.col("_metadata.row_index").alias("_local"))
+    return (tagged, path) if with_path else tagged
 
 
 def part_offsets(tagged: DataFrame, start: int = 0, weight: str | None = None) -> tuple[DataFrame, list]:

@@ -1,11 +1,10 @@
 """Column profile, compact profile, lists of values, semantic classes, quality
 notes and join-key candidates (AG-02..AG-04, FN-12, FN-13, JN-04, PR-15).
 
-Cost per table: pass 1 is ONE wide aggregate (counts, min/max/mean, first
-non-null sample) - a partial aggregate with a one-row shuffle. Pass 2
-counts exact distinct values with one aggregate per column, all unioned
-into one job: each branch reads only its column (columnar pruning) and
-aggregates map-side on the native type. Only text columns with fewer than
+Cost per table: a row count, then ONE job of per-column aggregate branches
+(non-null count, exact distinct count, min/max/mean, first non-null sample
+in file order) unioned together: each branch reads only its column
+(columnar pruning) and aggregates map-side on the native type. Only text columns with fewer than
 ``lov_max`` distinct values are grouped by (column, value) for their value
 lists - a tiny shuffle. Tables larger than ``approx_above`` rows first get
 a HyperLogLog pass; columns whose estimate exceeds the limit keep the
@@ -55,6 +54,35 @@ def _data_columns(df: DataFrame, max_columns: int | None) -> list[str]:
     return cols[:max_columns] if max_columns else cols
 
 
+_STATS_SCHEMA = "c string, nn long, u long, mn double, mx double, av double, s string"
+
+
+def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) -> dict[str, dict]:
+    """Per-column statistics as ONE job: one aggregate branch per column,
+    unioned. Each branch reads only its column (columnar pruning) and is
+    aggregated map-side; exact distinct counts only for ``exact`` columns."""
+    parts = []
+    for c in cols:
+        dt = df.schema[c].dataType
+        col = F.col(f"`{c}`")
+        nn = ~_is_null(c, dt)
+        u = F.count_distinct(F.when(nn, col)) if c in exact else F.lit(None).cast("long")
+        if is_numeric(dt):
+            v = F.when(nn, col.cast("double"))
+            mn, mx, av, smp = F.min(v), F.max(v), F.avg(v), F.lit(None).cast("string")
+        else:
+            none = F.lit(None).cast("double")
+            mn = mx = av = none
+            sv = F.when(nn, col.cast("string"))
+            smp = F.min_by(sv, F.when(nn, order_key)) if order_key is not None else F.first(sv, ignorenulls=True)
+        parts.append(df.agg(F.lit(c).alias("c"), F.count(F.when(nn, 1)).alias("nn"), u.cast("long").alias("u"),
+                            mn.alias("mn"), mx.alias("mx"), av.alias("av"), smp.alias("s")))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return {r["c"]: r.asDict() for r in out.collect()}
+
+
 def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
                   approx_above: int | None = 10_000_000, with_lov: bool = True,
                   lov_max: int = LOV_MAX_DISTINCT) -> tuple[DataFrame, DataFrame | None]:
@@ -63,23 +91,7 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
     cols = _data_columns(df, max_columns)
     ords = ordinal_columns(df)
     order_key = F.struct(*[F.col(o) for o in ords]) if ords else None
-    exprs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        col = F.col(f"`{c}`")
-        nn = ~_is_null(c, dt)
-        exprs.append(F.count(F.when(nn, 1)).alias(f"nn{i}"))
-        if is_numeric(dt):
-            v = F.when(nn, col.cast("double"))
-            exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"av{i}")]
-        else:
-            sv = F.when(nn, col.cast("string"))     # SL-05: first non-null in file order
-            if order_key is not None:
-                exprs.append(F.min_by(sv, F.when(nn, order_key)).alias(f"s{i}"))
-            else:
-                exprs.append(F.first(sv, ignorenulls=True).alias(f"s{i}"))
-    row = df.agg(*exprs).first().asDict()
-    rows_total = int(row["_rows"])
+    rows_total = int(df.count())
     # a column cannot have more distinct values than the table has rows: the
     # HyperLogLog pass is only needed when the table exceeds the exact limit
     estimate: dict[str, int] = {}
@@ -88,28 +100,20 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
                        .alias(f"h{i}") for i, c in enumerate(cols)]).first()
         estimate = {c: int(hll[f"h{i}"] or 0) for i, c in enumerate(cols)}
     exact_cols = [c for c in cols if c not in estimate or estimate[c] <= approx_above]
-    uniq: dict[str, int] = {}
-    if exact_cols and rows_total:
-        uniq = _exact_distinct(df, exact_cols)
+    stats = _column_stats(df, cols, set(exact_cols), order_key) if cols else {}
     out = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        nn = int(row[f"nn{i}"])
-        nulls = rows_total - nn
+        st = stats[c]
+        nulls = rows_total - int(st["nn"])
         exact = c in exact_cols
-        u = uniq.get(c, 0) if exact else estimate[c]
-        mn = mx = av = None
-        sample = None
-        if is_numeric(dt):
-            mn, mx, av = row[f"mn{i}"], row[f"mx{i}"], row[f"av{i}"]
-        else:
-            sample = row[f"s{i}"]
+        u = int(st["u"] or 0) if exact else estimate[c]
         pct = round(nulls * 100.0 / rows_total, 2) if rows_total else 0.0
         out.append((name, i, c, dt.simpleString(), rows_total, nulls, float(pct), u, exact,
-                    mn, mx, av, sample))
+                    st["mn"], st["mx"], st["av"], st["s"]))
     prof = spark.createDataFrame(out, PROFILE_SCHEMA)
     lov = None
-    lov_cols = [c for c in exact_cols if is_string(df.schema[c].dataType) and 0 < uniq.get(c, 0) < lov_max]
+    lov_cols = [c for c in exact_cols if is_string(df.schema[c].dataType) and 0 < int(stats[c]["u"] or 0) < lov_max]
     if with_lov and lov_cols:
         # value lists only for text columns proven small: a tiny shuffle
         pairs = df.select(F.explode(F.array(*[
@@ -120,21 +124,6 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
     return prof, lov
 
 
-def _exact_distinct(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Exact distinct non-null counts: one aggregate per column, unioned into
-    ONE job. Each branch reads only its column and aggregates map-side on the
-    native type; the branches run side by side."""
-    parts = []
-    for c in cols:
-        dt = df.schema[c].dataType
-        v = F.when(~_is_null(c, dt), F.col(f"`{c}`"))
-        parts.append(df.agg(F.count_distinct(v).alias("u")).select(F.lit(c).alias("c"), "u"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return {r["c"]: int(r["u"]) for r in u.collect()}
-
-
 def profile(tables: Mapping[str, DataFrame], compact: bool = False, **kw) -> tuple[DataFrame, DataFrame | None]:
     """AG-02 / AG-03: profile of every table as one long frame (one row per
     (dataset, column)); AG-04: the lists of values. ``compact`` keeps the

@@ -25,28 +25,44 @@ def mean_value(df: DataFrame, c: str) -> float | None:
     return None if v is None else float(v)
 
 
-def _kth_weighted(weighted: DataFrame, value: str, weight: str, ks: list[int]) -> dict[int, object]:
-    """Values at 0-based ranks ``ks`` of a multiset given as distinct
-    ``value`` rows with multiplicity ``weight``.
-
-    The distinct values are sorted and written once (``sorted_table``);
-    per-part weight totals (one row per part) locate the part holding each
-    rank, and only that part is scanned with a running sum.
+def weighted_quantiles(weighted: DataFrame, value: str, weight: str, fractions: list[float]) -> list[list]:
+    """Values at the middle ranks of a multiset given as distinct ``value``
+    rows with multiplicity ``weight``: for each fraction q, the values at
+    0-based ranks floor(q*(n-1)) and ceil(q*(n-1)).
+
+    The distinct values are sorted and written once (``sorted_table``); the
+    per-part weight totals (one row per part) give n and locate the part
+    holding each rank, and only that part's file is read and scanned with a
+    running sum.
     """
     from pyspark.sql import Window
     from .keys import part_offsets, sorted_table
-    tagged = sorted_table(weighted, [value])
+    spark = weighted.sparkSession
+    tagged, path = sorted_table(weighted, [value], with_path=True)
     _, bounds = part_offsets(tagged, 0, weight)
-    out: dict[int, object] = {}
-    for k in ks:
+    n = bounds[-1][2] if bounds else 0
+    if n == 0:
+        return [[None, None] for _ in fractions]
+    cache: dict[int, object] = {}
+
+    def at(k: int):
+        if k in cache:
+            return cache[k]
         for part, lo, hi in bounds:
             if lo <= k < hi:
-                one = tagged.where(F.col("_part") == part)
+                one = (spark.read.schema(weighted.schema).parquet(f"{path}/part-{part:05d}-*")
+                       .select("*", F.col("_metadata.row_index").alias("_local")))
                 w = Window.orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
                 cum = one.withColumn("_cum", F.sum(weight).over(w) + F.lit(lo))
-                row = cum.where((F.col("_cum") - F.col(weight) <= k) & (F.col("_cum") > k)).first()
-                out[k] = row[value]
-                break
+                cache[k] = cum.where((F.col("_cum") - F.col(weight) <= k) & (F.col("_cum") > k)).first()[value]
+                return cache[k]
+        raise IndexError(k)
+
+    out = []
+    for q in fractions:
+        pos = q * (n - 1)
+        lo_k, hi_k = int(pos // 1), int(-(-pos // 1))
+        out.append([at(lo_k), at(hi_k)])
     return out
 
 
@@ -54,8 +70,8 @@ def median_value(df: DataFrame, c: str) -> float | None:
     """AG-06: exact interpolated median (pandas ``median``): the mean of the
     two middle values of the non-null numeric readings.
 
-    Distinct values are counted first (map-side combined), then sorted; the
-    two middle ranks are found from per-partition totals, so no task holds
+    Distinct values are counted first (map-side combined), then sorted once;
+    the two middle ranks are found from per-part totals, so no task holds
     more than one partition of distinct values.
     """
     ensure_checkpoint_dir(df.sparkSession)
@@ -63,13 +79,10 @@ def median_value(df: DataFrame, c: str) -> float | None:
     d = as_double(c, dtype)
     vals = df.select(d.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     weighted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
-    n_row = weighted.agg(F.sum("w").alias("n")).first()
-    n = int(n_row["n"] or 0)
-    if n == 0:
+    a, b = weighted_quantiles(weighted, "v", "w", [0.5])[0]
+    if a is None:
         return None
-    k1, k2 = (n - 1) // 2, n // 2
-    got = _kth_weighted(weighted, "v", "w", sorted({k1, k2}))
-    return (float(got[k1]) + float(got[k2])) / 2.0
+    return (float(a) + float(b)) / 2.0
 
 
 def mode_value(df: DataFrame, c: str):

@@ -101,9 +101,10 @@ def audit_trail(audit: DataFrame) -> DataFrame:
 
 def latest_per_run(audit: DataFrame) -> DataFrame:
     """WN-04: the latest event of each run (``max_by``: partial aggregate)."""
+    order = F.struct("timestamp", "seq") if "seq" in audit.columns else F.col("timestamp")
     return audit.groupBy("run_id").agg(
         F.max("timestamp").alias("latest_at"),
-        F.max_by(F.struct("agent", "action"), F.col("timestamp")).alias("latest"))
+        F.max_by(F.struct("agent", "action"), order).alias("latest"))
 
 
 def fallback_runs(audit: DataFrame, status_col: str = "status") -> DataFrame:
