@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 METADATA_COLUMNS = {"_load_timestamp", "_source_file", "_row_inserted", "_row_updated"}
 
 
@@ -91,12 +93,22 @@ def union_by_name(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True) -> DataFrame:
     """Left fold of the gold sources: outer join on shared id-like columns,
-    union by name when none is shared (JN-01..03)."""
+    union by name when none is shared (JN-01..03).
+
+    A full outer step reads its left input twice (left join and distinct
+    keys). When that input is itself an earlier join, it is written once to
+    the checkpoint folder first; otherwise each further step would double
+    the plan (2^n re-computations of the first join for n sources).
+    """
     df = frames[0]
+    joined = False
     for nxt in frames[1:]:
         keys = shared_id_keys(df.columns, nxt.columns)
         if keys:
+            if joined:
+                df = stage_table(df, "outer-join")
             df = full_outer(df, nxt, keys, null_keys_match=null_keys_match)
+            joined = True
         else:
             df = union_by_name(df, nxt)
     return df

@@ -5,8 +5,9 @@ write to."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,3 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "(HDFS/object store) before running jobs that cut lineage")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="strata-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def stage_table(df: DataFrame, prefix: str = "stage") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the checkpoint folder and read
+    it back: later plans that use the result more than once scan the table
+    instead of recomputing it, and a lost executor re-reads the table
+    rather than re-running the lineage."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -54,3 +54,18 @@ def test_hot_key_outer_join(spark):
     with contextlib.redirect_stdout(buf):
         out.explain()
     assert "FullOuter" not in buf.getvalue()
+
+
+def test_fold_plan_stays_linear(spark):
+    """Five sources on one key: each step re-reads a written table, so the
+    final plan scans O(n) inputs (the unstaged fold would scan 2^n)."""
+    frames = [spark.createDataFrame([(k, f"v{i}{k}") for k in range(i, i + 3)] + [(None, f"n{i}")],
+                                    f"k_id long, v{i} string") for i in range(5)]
+    out = combine_sources(frames)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") + plan.count("LocalTableScan") <= 8
+    rows = {r.k_id: r for r in out.collect()}
+    assert sorted(k for k in rows if k is not None) == list(range(7))
+    # null keys match across every step
+    assert [rows[None][f"v{i}"] for i in range(5)] == [f"n{i}" for i in range(5)]
+    assert rows[2].v0 == "v02" and rows[2].v2 == "v22" and rows[2].v3 is None
