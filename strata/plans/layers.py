@@ -22,6 +22,7 @@ from ..operators.aggregate import group_aggregate
 from ..operators.joins import combine_sources
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, add_surrogate_key, dedup_keep_first, ordinal_columns
 from ..operators.stats import column_decisions, mean_value, median_value, mode_value
+from ..session import stage_table
 from .rules import (GoldPlan, Rule, gold_plans, parse_bronze, parse_silver, rules_for_table)
 
 
@@ -38,6 +39,20 @@ class _Frame:
         self.df = df
         self.cols: "OrderedDict[str, Column]" = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
         self.pending: dict[str, tuple[str, str]] = {}   # col -> (kind, date_mode)
+        self.shuffled = False   # lineage holds a shuffle (dedup) not yet written
+
+    def reset(self, df: DataFrame) -> None:
+        self.df = df
+        self.cols = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
+
+    def settle(self) -> None:
+        """Before an eager job: when the lineage holds a dedup shuffle, write
+        the current frame once to the checkpoint folder, so that statistics,
+        decisions and the final write read it instead of re-running the
+        shuffle each."""
+        if self.shuffled:
+            self.reset(stage_table(self.current(), "silver"))
+            self.shuffled = False
 
     def current(self) -> DataFrame:
         return self.df.select(*[e.alias(n) for n, e in self.cols.items()])
@@ -47,8 +62,7 @@ class _Frame:
 
     def materialize(self) -> None:
         self.resolve()
-        self.df = self.current()
-        self.cols = OrderedDict((c, F.col(f"`{c}`")) for c in self.df.columns)
+        self.reset(self.current())
 
     def rename(self, src: str, dst: str) -> bool:
         """PR-01: rename in rule order (later rules see the new name); a
@@ -131,6 +145,7 @@ class Frame(_Frame):
         """Settle pending whole-column decisions in one aggregate job."""
         if not self.pending:
             return
+        self.settle()
         frame = self.current()
         ints = [c for c, (k, _) in self.pending.items() if k == "integer"]
         dates = [c for c, (k, m) in self.pending.items() if k == "date" and m == "first_format"]
@@ -240,8 +255,8 @@ def run_silver(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
             if st.dedup:
                 fr.materialize()
                 subset = [work] if work in fr.cols else None
-                fr.df = dedup_keep_first(fr.df, subset)
-                fr.cols = OrderedDict((c, F.col(f"`{c}`")) for c in fr.df.columns)
+                fr.reset(dedup_keep_first(fr.df, subset))
+                fr.shuffled = True
             if not work or work not in fr.cols:
                 if not st.dedup:
                     res.warnings.append((stem, work or st.source, "rule column not found"))
@@ -249,10 +264,10 @@ def run_silver(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
             # stage 1: nulls
             if st.null_op == "drop":            # PR-09
                 fr.materialize()
-                fr.df = fr.df.na.drop(subset=[work])
-                fr.cols = OrderedDict((c, F.col(f"`{c}`")) for c in fr.df.columns)
+                fr.reset(fr.df.na.drop(subset=[work]))
             elif st.null_op in ("mean", "median", "mode"):
                 fr.materialize()
+                fr.settle()
                 stat = {"mean": mean_value, "median": median_value, "mode": mode_value}[st.null_op]
                 value = stat(fr.df, work)
                 if value is not None:

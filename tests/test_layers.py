@@ -1,11 +1,13 @@
 """Bronze / silver / gold execution, after the reference's unit tests plus the
 cases they leave out (outer join, every aggregate, D9, D19)."""
+import os
 from collections import OrderedDict
 
 import pytest
 
 from strata.plans.layers import run_bronze, run_gold, run_silver
 from strata.plans.rules import Rule
+from strata.session import ensure_checkpoint_dir
 
 
 def test_bronze_lineage_rename_and_counts(spark):
@@ -117,3 +119,25 @@ def test_silver_unmatched_rules_keep_only_keys_d29(spark):
     rules = [Rule(source_table="other_bronze", source_column="id", target_column="id")]
     out = run_silver(OrderedDict(t_bronze=df), rules).tables["t_silver"]
     assert out.columns == ["pk_t_bronze_silver_id", "_meta"]
+
+
+def test_silver_statistics_after_dedup_read_staged_table(spark):
+    """A dedup shuffle is written once before the fill statistics run; the
+    statistics see the de-duplicated rows, and the final plan reads the
+    staged table instead of re-running the dedup aggregate."""
+    rows = [(1, 10.0, 1.0), (1, 99.0, 5.0), (2, None, 2.0), (3, 30.0, None), (4, 40.0, 4.0), (4, 0.0, 0.0)]
+    src = spark.createDataFrame([(k, v, w, i) for i, (k, v, w) in enumerate(rows)],
+                                "k long, v double, w double, _source_row long")
+    rules = [Rule(source_table="t_bronze", source_column="k", target_column="k", transformation_logic="deduplicate"),
+             Rule(source_table="t_bronze", source_column="v", target_column="v",
+                  transformation_logic="fill null with mean"),
+             Rule(source_table="t_bronze", source_column="w", target_column="w",
+                  transformation_logic="fill null with median")]
+    ckpt = ensure_checkpoint_dir(spark)
+    before = len([p for p in os.listdir(ckpt.replace("file:", "")) if p.startswith("silver-")])
+    out = run_silver(OrderedDict(t_bronze=src), rules).tables["t_silver"]
+    got = {r.k: (r.v, r.w) for r in out.collect()}
+    # kept rows (first per k): (1,10,1) (2,None,2) (3,30,None) (4,40,4): mean v = 80/3, median w = 2
+    assert got == {1: (10.0, 1.0), 2: (80.0 / 3, 2.0), 3: (30.0, 2.0), 4: (40.0, 4.0)}
+    staged = [p for p in os.listdir(ckpt.replace("file:", "")) if p.startswith("silver-")]
+    assert len(staged) == before + 1
