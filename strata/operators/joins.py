@@ -125,3 +125,36 @@ def join_key_candidates(catalog: DataFrame) -> DataFrame:
             .select(F.col("l.dataset").alias("left_dataset"), F.col("l.column").alias("left_column"),
                     F.col("r.dataset").alias("right_dataset"), F.col("r.column").alias("right_column"),
                     F.lit("medium").alias("confidence")))
+
+
+def measure_key_overlap(tables, candidates: DataFrame) -> DataFrame:
+    """JN-04 (measured): for each candidate pair, the number of distinct
+    non-null left keys (``left_keys``) and how many of them occur on the
+    right (``matched_keys``).
+
+    The candidate list is bounded by the schemas (pairs of id-like column
+    names), so it is read on the driver; each pair becomes one aggregate
+    branch, and all branches run as ONE job. Both sides are reduced to
+    distinct keys (map-side combined) before the join, so a key that holds a
+    third of a table is one row at the join.
+    """
+    pairs = candidates.collect()
+    spark = candidates.sparkSession
+    schema = ("left_dataset string, left_column string, right_dataset string, right_column string, "
+              "confidence string, left_keys long, matched_keys long")
+    branches = []
+    for p in pairs:
+        lk = tables[p.left_dataset].select(F.col(f"`{p.left_column}`").alias("_k")).where(F.col("_k").isNotNull())
+        rk = tables[p.right_dataset].select(F.col(f"`{p.right_column}`").alias("_k")).where(F.col("_k").isNotNull())
+        hit = rk.distinct().withColumn("_hit", F.lit(1))
+        branches.append(lk.distinct().join(hit, "_k", "left").agg(
+            F.lit(p.left_dataset).alias("left_dataset"), F.lit(p.left_column).alias("left_column"),
+            F.lit(p.right_dataset).alias("right_dataset"), F.lit(p.right_column).alias("right_column"),
+            F.lit(p.confidence).alias("confidence"),
+            F.count(F.lit(1)).alias("left_keys"), F.count("_hit").alias("matched_keys")))
+    if not branches:
+        return spark.createDataFrame([], schema)
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionByName(b)
+    return out

@@ -15,6 +15,7 @@ force a full shuffle of itself.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,8 +131,21 @@ def profile(tables: Mapping[str, DataFrame], compact: bool = False, **kw) -> tup
     first 15 columns of each table."""
     profs, lovs = [], []
     with_lov = kw.pop("with_lov", not compact)
-    for n, df in tables.items():
-        p, l = profile_table(n, df, max_columns=15 if compact else None, with_lov=with_lov, **kw)
+    parallel = max(1, int(kw.pop("parallel", 4)))
+    items = list(tables.items())
+
+    def one(item):
+        n, df = item
+        return profile_table(n, df, max_columns=15 if compact else None, with_lov=with_lov, **kw)
+
+    # SC-05: the per-table jobs are independent; submitting a few at once
+    # keeps the executors busy while a small table's job is being scheduled
+    if parallel > 1 and len(items) > 1:
+        with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
+            results = list(pool.map(one, items))
+    else:
+        results = [one(it) for it in items]
+    for p, l in results:
         profs.append(p)
         if l is not None:
             lovs.append(l)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,15 +109,18 @@ def file_summary(name: str, df: DataFrame, expected: Sequence[str] | None = None
 
 
 def validate_layer(spark: SparkSession, layer: str, tables: Mapping[str, DataFrame], run_id: str = "",
-                   expected: Mapping[str, Sequence[str]] | None = None) -> tuple[DataFrame, dict]:
-    """QL-01/QL-03: per-table rows (QL-04 flattened) and the layer summary (AG-11)."""
+                   expected: Mapping[str, Sequence[str]] | None = None,
+                   parallel: int = 4) -> tuple[DataFrame, dict]:
+    """QL-01/QL-03: per-table rows (QL-04 flattened) and the layer summary (AG-11).
+    The per-table jobs are independent and submitted ``parallel`` at a time."""
     expected = expected or {}
     files = []
     if not tables:
         files.append({"file_path": "", "warnings": ["No Output File were provided for validation."]})
     else:
-        for name, df in tables.items():
-            files.append(file_summary(name, df, expected.get(name)))
+        items = list(tables.items())
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(items)))) as pool:
+            files.extend(pool.map(lambda it: file_summary(it[0], it[1], expected.get(it[0])), items))
     rows = []
     for f in files:
         rows.append((run_id, layer, f.get("file_path"), f.get("row_count"), f.get("column_count"),

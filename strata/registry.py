@@ -21,7 +21,7 @@ from .operators import charts as CH
 from .operators import keys as K
 from .operators import profile as PF
 from .operators import quality as QL
-from .operators.joins import combine_sources, join_key_candidates
+from .operators.joins import combine_sources, join_key_candidates, measure_key_overlap
 from .operators.stats import group_median
 from .plans import answer as AN
 from .plans import generate as RG
@@ -635,7 +635,9 @@ SELECT t AS dataset, c AS "column",
 FROM ({_columns_sql(TABLE_NAMES)}) ic
 """)
 def semantic_classes(spark, sf):
-    return PF.semantic_classes(_catalog_all(spark, sf).withColumnRenamed("dtype", "dtype"))
+    """FN-12 as run inside RX-04: classes over the profile of every table."""
+    prof, _ = PF.profile(OrderedDict((t, T(spark, sf, t)) for t in TABLE_NAMES), with_lov=False)
+    return PF.semantic_classes(prof)
 
 
 ORD_DIRT = {"o_orderpriority": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END",
@@ -671,15 +673,29 @@ def quality_notes(spark, sf):
     return PF.quality_notes(prof)
 
 
-@register("join_keys", f"""
-WITH c AS (SELECT t AS dataset, table_no AS dataset_no, c AS col FROM ({_columns_sql(TABLE_NAMES)}) ic
-           WHERE lower(c) = 'id' OR lower(c) LIKE '%\\_id' ESCAPE '\\')
-SELECT l.dataset AS left_dataset, l.col AS left_column, r.dataset AS right_dataset, r.col AS right_column,
-       'medium' AS confidence
-FROM c l JOIN c r ON l.col = r.col AND l.dataset_no < r.dataset_no
-""")
+def _id_pairs(tables: list[str]) -> list[tuple[str, str, str]]:
+    """(left table, right table, column) for every pair of tables sharing an
+    id-like column name, in table order."""
+    idlike = {t: [c for c, _ in TABLE_SCHEMAS[t] if c.lower() == "id" or c.lower().endswith("_id")]
+              for t in tables}
+    return [(l, r, c) for i, l in enumerate(tables) for r in tables[i + 1:] for c in idlike[l] if c in idlike[r]]
+
+
+def _key_overlap_sql(tables: list[str]) -> str:
+    parts = [f"""SELECT '{l}' AS left_dataset, '{c}' AS left_column, '{r}' AS right_dataset, '{c}' AS right_column,
+       'medium' AS confidence, count(*) AS left_keys, count(rk.k) AS matched_keys
+FROM (SELECT DISTINCT {c} AS k FROM {l} WHERE {c} IS NOT NULL) lk
+LEFT JOIN (SELECT DISTINCT {c} AS k FROM {r} WHERE {c} IS NOT NULL) rk ON lk.k = rk.k"""
+             for l, r, c in _id_pairs(tables)]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("join_keys", _key_overlap_sql(TABLE_NAMES))
 def join_keys(spark, sf):
-    return join_key_candidates(_catalog_all(spark, sf))
+    """JN-04: candidate pairs from the schemas, each measured on the data
+    (distinct left keys and how many of them the right side holds)."""
+    tables = OrderedDict((t, T(spark, sf, t)) for t in TABLE_NAMES)
+    return measure_key_overlap(tables, join_key_candidates(PF.catalog_frame(spark, tables)))
 
 
 @register("profile_preview", """

@@ -3,7 +3,7 @@ from collections import OrderedDict
 
 from strata.operators import profile as PF
 from strata.operators import quality as QL
-from strata.operators.joins import join_key_candidates
+from strata.operators.joins import join_key_candidates, measure_key_overlap
 
 
 def test_profile_single(spark):
@@ -65,3 +65,17 @@ def test_validate_layer_warnings_and_rollup(spark):
 def test_validate_no_outputs(spark):
     files, summary = QL.validate_layer(spark, "bronze", OrderedDict(), "r")
     assert summary["summary"]["total_warnings"] == 1 and summary["status"] == "warning"
+
+
+def test_join_keys_measured_overlap(spark):
+    # key 1 holds most rows on both sides (hot key); nulls are not keys
+    sales = spark.createDataFrame([(1, 5)] * 40 + [(2, 1), (3, 1), (None, 9)], "product_id long, revenue long")
+    products = spark.createDataFrame([(1, "x")] * 30 + [(3, "y"), (7, "z"), (None, "n")], "product_id long, name string")
+    tables = OrderedDict(sales=sales, products=products)
+    cat = PF.catalog_frame(spark, tables)
+    got = measure_key_overlap(tables, join_key_candidates(cat)).collect()
+    assert [(r.left_dataset, r.right_dataset, r.left_keys, r.matched_keys) for r in got] == [
+        ("sales", "products", 3, 2)]
+    none = measure_key_overlap(OrderedDict(sales=sales), join_key_candidates(
+        PF.catalog_frame(spark, OrderedDict(sales=sales))))
+    assert none.count() == 0 and "matched_keys" in none.columns
