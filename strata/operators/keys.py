@@ -68,6 +68,20 @@ def part_offsets(tagged: DataFrame, start: int = 0, weight: str | None = None) -
     return spark.createDataFrame(rows, schema), bounds
 
 
+def _tiebreak(df: DataFrame, order_by: Sequence[str | Column]) -> list[Column]:
+    """Extra sort keys that make ties unique, so that the range partitioner
+    can split rows sharing one ``order_by`` value (a value holding a third
+    of the table would otherwise be sorted and written by one task): the
+    scan ordinal when present, else a row id. Ties keep file order when
+    the ordinal is known; otherwise their order is arbitrary, as before.
+    The sorted rows are written once, so the row id is never recomputed."""
+    ords = ordinal_columns(df)
+    if ords:
+        named = {c for c in order_by if isinstance(c, str)}
+        return [F.col(c) for c in ords if c not in named]
+    return [F.monotonically_increasing_id()]
+
+
 def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos",
               start: int = 0) -> DataFrame:
     """Attach a contiguous position ``start..start+n-1`` in ``order_by`` order.
@@ -78,7 +92,7 @@ def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos
     data), and ``offset + row index`` per row. No step gathers the data into
     one partition and the sort runs once.
     """
-    tagged = sorted_table(df, order_by)
+    tagged = sorted_table(df, [*_cols(order_by), *_tiebreak(df, order_by)])
     off_df, _ = part_offsets(tagged, start)
     return (tagged.join(F.broadcast(off_df), tagged["_part"] == off_df["_pid"])
             .withColumn(name, F.col("_off") + F.col("_local"))

@@ -129,13 +129,11 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     ranked = positions(vals, [*keys, "_v"], name="_pos")
-    stats = ranked.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(
-        F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    cond = None
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"_g{i}"))
-        cond = c if cond is None else cond & c
-    joined = ranked.join(stats, cond)
-    local = F.col("_pos") - F.col("_start")
-    mids = joined.where((local == F.floor((F.col("_n") - 1) / 2)) | (local == F.floor(F.col("_n") / 2)))
-    return mids.groupBy(*keys).agg(F.avg("_v").alias(name))
+    stats = ranked.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    # the (at most two) middle positions of each group; positions are unique,
+    # so the join below has no hot key even when one group is a third of the rows
+    mids = stats.select(*keys, F.explode(F.array_distinct(F.array(
+        F.col("_start") + F.floor((F.col("_n") - 1) / 2), F.col("_start") + F.floor(F.col("_n") / 2))))
+        .alias("_mid"))
+    picked = ranked.select("_pos", "_v").join(mids, F.col("_pos") == F.col("_mid"))
+    return picked.groupBy(*keys).agg(F.avg("_v").alias(name))

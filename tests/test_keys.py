@@ -54,3 +54,27 @@ def test_surrogate_key_many_parts_and_split_reads(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_hot_sort_value_is_split_across_parts(spark):
+    """One order value holds a third of the rows: the tie-break lets the
+    range partitioner split it, and the keys stay contiguous 1..n."""
+    from strata.operators.keys import sorted_table, _tiebreak
+    from strata.operators.stats import group_median
+    df = spark.range(0, 30000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id END AS k", "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tagged = sorted_table(df, [F.col("k"), *_tiebreak(df, ["k"])])
+        parts = tagged.where("k = 5").select("_part").distinct().count()
+        keyed = add_surrogate_key(df, "pk", ["k"])
+        agg = keyed.agg(F.min("pk"), F.max("pk"), F.countDistinct("pk")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert parts >= 2
+    assert tuple(agg) == (1, 30000, 30000)
+    # group median with a hot group of identical values, and a small group
+    g = spark.range(0, 9000).selectExpr("CASE WHEN id < 3000 THEN 'a' ELSE 'b' END AS g",
+                                        "CASE WHEN id < 3000 THEN 7.0 ELSE CAST(id AS DOUBLE) END AS v")
+    med = {r.g: r.median for r in group_median(g, ["g"], "v").collect()}
+    assert med == {"a": 7.0, "b": (5999 + 6000) / 2}
