@@ -15,13 +15,13 @@ force a full shuffle of itself.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import is_numeric, is_string
+from ..session import map_jobs
 from .keys import ORDINAL_COLUMNS, ordinal_columns
 
 PROFILE_SCHEMA = T.StructType([
@@ -140,11 +140,7 @@ def profile(tables: Mapping[str, DataFrame], compact: bool = False, **kw) -> tup
 
     # SC-05: the per-table jobs are independent; submitting a few at once
     # keeps the executors busy while a small table's job is being scheduled
-    if parallel > 1 and len(items) > 1:
-        with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
-            results = list(pool.map(one, items))
-    else:
-        results = [one(it) for it in items]
+    results = map_jobs(one, items, parallel)
     for p, l in results:
         profs.append(p)
         if l is not None:

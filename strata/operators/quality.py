@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import map_jobs
 from .keys import SOURCE_ROW
 
 FILE_SCHEMA = T.StructType([
@@ -118,9 +118,8 @@ def validate_layer(spark: SparkSession, layer: str, tables: Mapping[str, DataFra
     if not tables:
         files.append({"file_path": "", "warnings": ["No Output File were provided for validation."]})
     else:
-        items = list(tables.items())
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(items)))) as pool:
-            files.extend(pool.map(lambda it: file_summary(it[0], it[1], expected.get(it[0])), items))
+        files.extend(map_jobs(lambda it: file_summary(it[0], it[1], expected.get(it[0])),
+                              tables.items(), parallel))
     rows = []
     for f in files:
         rows.append((run_id, layer, f.get("file_path"), f.get("row_count"), f.get("column_count"),
