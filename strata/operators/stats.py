@@ -66,23 +66,79 @@ def weighted_quantiles(weighted: DataFrame, value: str, weight: str, fractions:
     return out
 
 
+def exact_quantile(vals: DataFrame, v: str, q: float, limit: int = 200_000,
+                   accuracy: int = 10_000, rounds: int = 8) -> tuple | None:
+    """Values at the 0-based ranks floor(q*(n-1)) and ceil(q*(n-1)) of the
+    (non-null, non-NaN) double column ``v``; None when it is empty.
+
+    Exact selection without moving the rows: a ``percentile_approx`` sketch
+    (bounded size, merged from partial aggregates) brackets the target ranks
+    with a margin of twice its rank error; one counting pass checks that the
+    bracket [lo, hi] holds them and how many values lie below it. The next
+    round works inside the bracket only, so a round divides the candidates
+    by about accuracy/4. Once at most ``limit`` values remain they are read
+    and picked on the driver; when the bracket holds few distinct values
+    (one value holding a third of the column) their (value, count) pairs
+    are read instead. If no round makes progress the sort-based
+    ``weighted_quantiles`` answers.
+    """
+    first = vals.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(v).alias("d")).first()
+    n = int(first["n"])
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    ranks = (int(pos // 1), int(-(-pos // 1)))
+    lo = hi = None
+    below, inside, distinct = 0, n, int(first["d"])
+    margin = 2.0 / accuracy
+    sub = vals
+    for _ in range(rounds):
+        if inside <= limit:
+            got = sorted(r[0] for r in sub.select(v).collect())
+            return tuple(got[k - below] for k in ranks)
+        if distinct <= limit // 2:
+            pairs = sorted((r[0], int(r[1])) for r in sub.groupBy(v).agg(F.count(F.lit(1))).collect())
+            out = []
+            for k in ranks:
+                end = below
+                for val, cnt in pairs:
+                    end += cnt
+                    if k < end:
+                        out.append(val)
+                        break
+            return tuple(out)
+        f_lo = max(0.0, (ranks[0] - below) / inside - margin)
+        f_hi = min(1.0, (ranks[1] - below) / inside + margin)
+        b = sub.agg(F.percentile_approx(v, [f_lo, f_hi], accuracy).alias("b")).first()["b"]
+        nlo, nhi = float(b[0]), float(b[1])
+        cnt = vals.agg(F.count_if(F.col(v) < nlo).alias("below"),
+                       F.count_if(F.col(v).between(nlo, nhi)).alias("inside"),
+                       F.approx_count_distinct(F.when(F.col(v).between(nlo, nhi), F.col(v))).alias("d")).first()
+        nb, ni = int(cnt["below"]), int(cnt["inside"])
+        if not (nb <= ranks[0] and ranks[1] < nb + ni):
+            margin *= 4          # the sketch missed: widen and try again
+            continue
+        if ni >= inside:
+            break                # no progress
+        lo, hi, below, inside, distinct = nlo, nhi, nb, ni, int(cnt["d"])
+        sub = vals.where(F.col(v).between(lo, hi))
+    weighted = vals.groupBy(v).agg(F.count(F.lit(1)).alias("_w"))
+    a, b2 = weighted_quantiles(weighted, v, "_w", [q])[0]
+    return a, b2
+
+
 def median_value(df: DataFrame, c: str) -> float | None:
     """AG-06: exact interpolated median (pandas ``median``): the mean of the
-    two middle values of the non-null numeric readings.
-
-    Distinct values are counted first (map-side combined), then sorted once;
-    the two middle ranks are found from per-part totals, so no task holds
-    more than one partition of distinct values.
-    """
+    two middle values of the non-null numeric readings (``exact_quantile``:
+    a few scans of the one column, no shuffle of its values)."""
     ensure_checkpoint_dir(df.sparkSession)
     dtype = df.schema[c].dataType
     d = as_double(c, dtype)
     vals = df.select(d.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    weighted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
-    a, b = weighted_quantiles(weighted, "v", "w", [0.5])[0]
-    if a is None:
+    mid = exact_quantile(vals, "v", 0.5)
+    if mid is None:
         return None
-    return (float(a) + float(b)) / 2.0
+    return (float(mid[0]) + float(mid[1])) / 2.0
 
 
 def mode_value(df: DataFrame, c: str):

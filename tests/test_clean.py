@@ -1,5 +1,6 @@
 """Cleaning functions and the D-rows of the blueprint."""
 from collections import OrderedDict
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -87,3 +88,27 @@ def test_drop_null_and_case(spark):
     _, out = _silver(spark, rows, "id long, v string", {"v": "Drop null; uppercase"})
     assert [r.v for r in out.collect()] == ["ABC", "DEF"]
     assert [r.pk_t_bronze_silver_id for r in out.collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("case", ["rounds", "duplicates", "fallback", "small"])
+def test_exact_quantile_paths(spark, case):
+    """Exact median by bracketing, on every path: several narrowing rounds,
+    a hot value (a third of the column), the sort-based fallback, and a
+    column small enough to read at once."""
+    import numpy as np
+    from strata.operators.stats import exact_quantile
+    rng = np.random.default_rng(7)
+    vals = rng.normal(size=4001).round(3).tolist()
+    if case == "duplicates":
+        vals = vals[:2700] + [0.25] * 1300
+    df = spark.createDataFrame([(float(x),) for x in vals], "v double")
+    kw = {"small": {}, "rounds": dict(limit=40, accuracy=200),
+          "duplicates": dict(limit=40, accuracy=200), "fallback": dict(limit=40, accuracy=200, rounds=0)}[case]
+    for q in (0.5, 0.1):
+        got = exact_quantile(df, "v", q, **kw)
+        srt = sorted(vals)
+        pos = q * (len(vals) - 1)
+        assert got == (srt[int(pos // 1)], srt[int(-(-pos // 1))])
+    even = spark.createDataFrame([(float(x),) for x in vals[:1000]], "v double")
+    a, b = exact_quantile(even, "v", 0.5, **kw)
+    assert (a + b) / 2 == float(np.median(vals[:1000]))
