@@ -5,7 +5,10 @@ so the same rule fold runs on each micro-batch of newly landed files: a file
 source with a fixed schema, ``trigger(availableNow=True)`` to process what
 has landed and stop, and ``foreachBatch`` appending each batch to the
 bronze table. The stream checkpoint records which files are done, so a
-restarted or failed run resumes without re-reading them; the whole-column
+restarted or failed run resumes without re-reading them. Each micro-batch
+is written to its own ``_batch_id=N`` folder in overwrite mode, so a batch
+replayed after a failure replaces its earlier partial output instead of
+appending duplicates (the sink is idempotent per batch id). The whole-column
 integer decision (D2) is replaced by the per-value cast, since a decision
 per micro-batch could change the column type between batches.
 """
@@ -22,13 +25,18 @@ from pyspark.sql import types as T
 from ..operators.keys import SOURCE_FILE, SOURCE_ROW
 from ..plans.layers import run_bronze
 from ..plans.rules import Rule
+from ..session import ensure_checkpoint_dir
 
 
 def bronze_stream(spark: SparkSession, landing_dir: str, schema: T.StructType, table: str,
-                  rules: Sequence[Rule], out_path: str, checkpoint: str, fmt: str = "parquet",
+                  rules: Sequence[Rule], out_path: str, checkpoint: str | None = None, fmt: str = "parquet",
                   max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery`` (call
-    ``awaitTermination()`` or ``processAllAvailable()``)."""
+    ``awaitTermination()`` or ``processAllAvailable()``). ``checkpoint``
+    defaults to ``stream-{table}`` under the session's checkpoint folder,
+    so reruns of the same table resume where the last one stopped."""
+    if checkpoint is None:
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{table}"
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
@@ -43,7 +51,7 @@ def bronze_stream(spark: SparkSession, landing_dir: str, schema: T.StructType, t
         batch = batch.withColumn(SOURCE_ROW, F.monotonically_increasing_id())
         out = run_bronze(OrderedDict([(table, batch)]), rules, {table: table},
                          integer_policy="per_value").tables[f"{table}_bronze"]
-        out.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
+        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/_batch_id={batch_id}")
 
     return (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
