@@ -112,3 +112,14 @@ def test_exact_quantile_paths(spark, case):
     even = spark.createDataFrame([(float(x),) for x in vals[:1000]], "v double")
     a, b = exact_quantile(even, "v", 0.5, **kw)
     assert (a + b) / 2 == float(np.median(vals[:1000]))
+
+
+def test_dedup_rule_runs_rest_of_its_text_d17(spark):
+    """A rule that de-duplicates on a column also applies the rest of
+    its text (here: uppercase), unlike the reference, which stops there."""
+    df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "code string, v long, _source_row long")
+    rules = [Rule(source_table="t_bronze", source_column="code", target_column="code",
+                  transformation_logic="Deduplicate on code; convert to uppercase"),
+             Rule(source_table="t_bronze", source_column="v", target_column="v")]
+    out = run_silver(OrderedDict(t_bronze=df), rules).tables["t_silver"]
+    assert sorted((r.code, r.v) for r in out.collect()) == [("A", 1), ("B", 3)]

@@ -6,6 +6,7 @@ from strata.operators.keys import add_surrogate_key, dedup_keep_first, positions
 
 
 def test_surrogate_key_contiguous_many_partitions(spark):
+    """Keys 1..n in the given order, whatever the input partitioning."""
     base = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"))
     for parts in (1, 3, 17):
         df = base.repartition(parts)

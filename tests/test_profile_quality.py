@@ -79,3 +79,12 @@ def test_join_keys_measured_overlap(spark):
     none = measure_key_overlap(OrderedDict(sales=sales), join_key_candidates(
         PF.catalog_frame(spark, OrderedDict(sales=sales))))
     assert none.count() == 0 and "matched_keys" in none.columns
+
+
+def test_lov_covers_every_text_column_d26(spark):
+    """Lists of values for every string column under 50 distinct values
+    (not only pandas 'object' dtype); numeric columns never get one."""
+    df = spark.createDataFrame([("x", "p", 1), ("y", "p", 2), ("x", None, 3)], "a string, b string, n long")
+    _, lov = PF.profile(OrderedDict(t=df))
+    got = sorted((r.column, r.value, r.freq, r.unique_count) for r in lov.collect())
+    assert got == [("a", "x", 2, 2), ("a", "y", 1, 2), ("b", "p", 2, 1)]
