@@ -140,7 +140,7 @@ def profile(tables: Mapping[str, DataFrame], compact: bool = False, **kw) -> tup
 
     # SC-05: the per-table jobs are independent; submitting a few at once
     # keeps the executors busy while a small table's job is being scheduled
-    results = map_jobs(one, items, parallel)
+    results = map_jobs(items[0][1].sparkSession, one, items, parallel) if items else []
     for p, l in results:
         profs.append(p)
         if l is not None:

@@ -118,7 +118,7 @@ def validate_layer(spark: SparkSession, layer: str, tables: Mapping[str, DataFra
     if not tables:
         files.append({"file_path": "", "warnings": ["No Output File were provided for validation."]})
     else:
-        files.extend(map_jobs(lambda it: file_summary(it[0], it[1], expected.get(it[0])),
+        files.extend(map_jobs(spark, lambda it: file_summary(it[0], it[1], expected.get(it[0])),
                               tables.items(), parallel))
     rows = []
     for f in files:

@@ -70,16 +70,16 @@ def stage_table(df: DataFrame, prefix: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_jobs(fn, items, parallel: int = 4) -> list:
+def map_jobs(spark: SparkSession, fn, items, parallel: int = 4) -> list:
     """``[fn(x) for x in items]`` with up to ``parallel`` calls at once, for
     independent per-table jobs. Each call runs with the caller's local
-    properties (job group, scheduler pool), so its jobs are accounted to
-    the caller."""
+    properties and job tags (job group, scheduler pool), so its jobs are
+    accounted to the caller."""
     from concurrent.futures import ThreadPoolExecutor
     from pyspark.util import inheritable_thread_target
     items = list(items)
     if parallel <= 1 or len(items) <= 1:
         return [fn(x) for x in items]
-    target = inheritable_thread_target(fn)
+    target = inheritable_thread_target(spark)(fn)
     with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
         return list(pool.map(target, items))
