@@ -86,15 +86,22 @@ def silver_logic(name: Column, is_int: Column, is_num: Column, is_time: Column,
 
 def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], with_nulls: bool = True) -> DataFrame:
     """(table, table_no, column_no, column, dtype, is_int, is_num, is_time,
-    has_nulls); ``has_nulls`` costs one aggregate job per table."""
+    has_nulls); ``has_nulls`` of all tables costs ONE job (a branch per
+    table, each an array of per-column null flags, unioned)."""
     rows = []
-    for ti, (name, df) in enumerate(tables.items()):
-        cols = [c for c in df.columns if c != SOURCE_ROW]
-        nulls = {}
-        if with_nulls and cols:
-            r = df.agg(*[F.max(F.col(f"`{c}`").isNull().cast("int")).alias(f"n{i}")
-                         for i, c in enumerate(cols)]).first()
-            nulls = {c: bool(r[f"n{i}"]) for i, c in enumerate(cols)}
+    items = list(tables.items())
+    colsets = [[c for c in df.columns if c != SOURCE_ROW] for _, df in items]
+    flags: dict[int, list] = {}
+    branches = [df.agg(F.lit(ti).alias("_t"), F.array(*[F.max(F.col(f"`{c}`").isNull().cast("int"))
+                                                         for c in cols]).alias("_n"))
+                for ti, ((_, df), cols) in enumerate(zip(items, colsets)) if with_nulls and cols]
+    if branches:
+        out = branches[0]
+        for b in branches[1:]:
+            out = out.unionByName(b)
+        flags = {int(r["_t"]): list(r["_n"]) for r in out.collect()}
+    for ti, ((name, df), cols) in enumerate(zip(items, colsets)):
+        nulls = {c: bool(flags[ti][i]) for i, c in enumerate(cols)} if ti in flags else {}
         for ci, c in enumerate(cols):
             dt = df.schema[c].dataType
             rows.append((name, ti, ci, c, dt.simpleString(),
