@@ -75,6 +75,7 @@ def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) ->
             none = F.lit(None).cast("double")
             mn = mx = av = none
             sv = F.when(nn, col.cast("string"))
+            # SL-05: first non-null sample in file order
             smp = F.min_by(sv, F.when(nn, order_key)) if order_key is not None else F.first(sv, ignorenulls=True)
         parts.append(df.agg(F.lit(c).alias("c"), F.count(F.when(nn, 1)).alias("nn"), u.cast("long").alias("u"),
                             mn.alias("mn"), mx.alias("mx"), av.alias("av"), smp.alias("s")))
