@@ -88,3 +88,14 @@ def test_lov_covers_every_text_column_d26(spark):
     _, lov = PF.profile(OrderedDict(t=df))
     got = sorted((r.column, r.value, r.freq, r.unique_count) for r in lov.collect())
     assert got == [("a", "x", 2, 2), ("a", "y", 1, 2), ("b", "p", 2, 1)]
+
+
+def test_duplicate_count_hot_row(spark):
+    """A third of the rows are one identical row (a hot hash group): the
+    count stays exact, and the scan ordinal / generated keys are ignored (D27)."""
+    from strata.operators.quality import duplicate_count
+    rows = [(i, "same", 1.5) if i % 3 == 0 else (i, f"r{i % 50}", float(i % 50)) for i in range(3000)]
+    df = spark.createDataFrame([(i, s, v, i) for i, (_, s, v) in enumerate(rows)],
+                               "pk_x long, s string, v double, _source_row long")
+    # 1000 identical rows -> 999 extra; 2000 others over 50 distinct rows -> 1950 extra
+    assert duplicate_count(df) == 999 + 1950
