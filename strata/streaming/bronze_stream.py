@@ -28,15 +28,27 @@ from ..plans.rules import Rule
 from ..session import ensure_checkpoint_dir
 
 
+def stream_checkpoint(spark: SparkSession, name: str) -> str:
+    """The stream checkpoint of ``name``: ``{spark.checkpoint.dir}/streams/{name}``.
+    Without the setting (local mode only) it falls back to the session's
+    own checkpoint folder, which lives as long as the application."""
+    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.checkpoint.dir", None))
+    if root:
+        return f"{root.rstrip('/')}/streams/{name}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+
+
 def bronze_stream(spark: SparkSession, landing_dir: str, schema: T.StructType, table: str,
                   rules: Sequence[Rule], out_path: str, checkpoint: str | None = None, fmt: str = "parquet",
                   max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery`` (call
     ``awaitTermination()`` or ``processAllAvailable()``). ``checkpoint``
-    defaults to ``stream-{table}`` under the session's checkpoint folder,
-    so reruns of the same table resume where the last one stopped."""
+    defaults to ``streams/{table}`` under the configured
+    ``spark.checkpoint.dir`` - a path that stays the same across
+    applications, so a rerun resumes where the last one stopped."""
     if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{table}"
+        checkpoint = stream_checkpoint(spark, table)
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
