@@ -58,13 +58,14 @@ def _done(spark, root: str, layer: str, run_id: str, names: Sequence[str]) -> di
 
 def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root: str, run_id: str,
                  rules_hook: Callable[[str, DataFrame], DataFrame] | None = None,
-                 date_mode: str = "per_value") -> RunResult:
+                 date_mode: str = "per_value", csv_multi_line: bool = True) -> RunResult:
     """RX-06. ``rules_hook(layer, rules)`` may edit/approve a rule frame
-    before it runs (the review step)."""
+    before it runs (the review step). ``csv_multi_line=False`` reads large
+    CSV inputs in parallel splits (no newlines inside quoted fields)."""
     hook = rules_hook or (lambda layer, r: r)
     res = RunResult(run_id)
     audit = AuditLog(spark, os.path.join(root, "audit", run_id), run_id)
-    raw = OrderedDict((stem_of(p), read_source(spark, p)) for p in inputs)
+    raw = OrderedDict((stem_of(p), read_source(spark, p, csv_multi_line=csv_multi_line)) for p in inputs)
     file_names = {stem_of(p): os.path.basename(p.rstrip("/")) for p in inputs}
 
     # RX-04 profile + RG-01

@@ -3,7 +3,7 @@
 Every scan returns a lazy DataFrame plus the row ordinal the order-dependent
 operators need: ``_source_file`` (the file the row came from) and
 ``_source_row`` (its position in that file: the Parquet row index, or for
-CSV a per-scan id that increases along each file).
+CSV/JSON a value that increases along each file, see ``split_ordinal``).
 """
 
 from __future__ import annotations
@@ -53,17 +53,39 @@ def read_parquet(spark: SparkSession, path: str, ordinal: bool = True) -> DataFr
     return with_parquet_ordinal(df) if ordinal else df
 
 
-def read_csv_text(spark: SparkSession, path: str, null_tokens: Iterable[str] = NULL_TOKENS) -> DataFrame:
-    """SC-01 part 1: CSV as text (header, quoted multi-line fields), the
-    null-token list mapped to NULL (D14), plus the row ordinal."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
+def split_ordinal():
+    """Position of a row inside its file for a scan whose files may be split:
+    ``file_block_start * 2^33 + (row id within the read partition)``.
+
+    A split (block) is read whole by one partition and its rows get
+    consecutive row ids there; splits of one file have increasing block
+    starts. So within each file the value grows strictly along the file,
+    whatever order the splits were packed into partitions in (Spark packs
+    them largest first). The row id part is below 2^33 (the low bits of
+    ``monotonically_increasing_id``); decimal(33,0) cannot overflow."""
+    block = F.col("_metadata.file_block_start").cast("decimal(20,0)")
+    rid = F.pmod(F.monotonically_increasing_id(), F.lit(2 ** 33)).cast("decimal(11,0)")
+    return (block * F.lit(2 ** 33).cast("decimal(11,0)") + rid).cast("decimal(33,0)")
+
+
+def read_csv_text(spark: SparkSession, path: str, null_tokens: Iterable[str] = NULL_TOKENS,
+                  multi_line: bool = True) -> DataFrame:
+    """SC-01 part 1: CSV as text (header, quoted fields), the null-token list
+    mapped to NULL (D14), plus the row ordinal.
+
+    ``multi_line=True`` (default) accepts newlines inside quoted fields, as
+    pandas does; such a file cannot be split, so each file is one task.
+    ``multi_line=False`` reads files in splits in parallel (large inputs);
+    quoted fields must then not hold newlines."""
+    raw = (spark.read.option("header", True).option("multiLine", multi_line)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     toks = list(null_tokens)
     cols = [F.when(F.col(f"`{c}`").isin(toks), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
             for c in raw.columns]
-    # multiLine CSV files are not split, so the per-scan id grows along each file
-    return raw.select(*cols, F.col("_metadata.file_path").alias(SOURCE_FILE),
-                      F.monotonically_increasing_id().alias(SOURCE_ROW))
+    # multi-line files are read whole, so the scan's row id grows along each
+    # file; split files need the block start in front of it
+    row = F.monotonically_increasing_id() if multi_line else split_ordinal()
+    return raw.select(*cols, F.col("_metadata.file_path").alias(SOURCE_FILE), row.alias(SOURCE_ROW))
 
 
 _INT_RE = r"^\s*[+-]?[0-9]+\s*$"
@@ -110,22 +132,23 @@ def infer_types(df: DataFrame, keep_text=None) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    df = read_csv_text(spark, path)
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    df = read_csv_text(spark, path, multi_line=multi_line)
     return infer_types(df) if infer else df
 
 
-def read_source(spark: SparkSession, path: str, ordinal: bool = True) -> DataFrame:
+def read_source(spark: SparkSession, path: str, ordinal: bool = True, csv_multi_line: bool = True) -> DataFrame:
     """SC-03: reader chosen by suffix; any other suffix is an error."""
     p = path.rstrip("/").lower()
     if p.endswith(".csv"):
-        return read_csv(spark, path)
+        return read_csv(spark, path, multi_line=csv_multi_line)
     if p.endswith(".parquet"):
         return read_parquet(spark, path, ordinal=ordinal)
     if p.endswith(".json"):
+        # line-delimited JSON is read in splits: block-aware ordinal
         df = spark.read.json(path)
         return df.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE),
-                         F.monotonically_increasing_id().alias(SOURCE_ROW)) if ordinal else df
+                         split_ordinal().alias(SOURCE_ROW)) if ordinal else df
     raise ValueError(f"Unsupported file type: {os.path.splitext(p)[1]}")
 
 

@@ -55,3 +55,32 @@ def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_split_scans_keep_file_order(spark):
+    """CSV read in splits (multi_line=False) and line-delimited JSON: files
+    are cut into many splits, packed into partitions out of file order; the
+    ordinal still sorts every row back into its file position."""
+    from strata.sources.tables import read_csv_text, read_source
+    root = tempfile.mkdtemp(prefix="strata-split-")
+    sizes = {"a": 6000, "b": 1500, "c": 9000}
+    for name, n in sizes.items():
+        with open(os.path.join(root, f"{name}.csv"), "w") as fh:
+            fh.write("seq,payload\n")
+            fh.writelines(f"{i},{'x' * (i % 37)}\n" for i in range(n))
+        with open(os.path.join(root, f"{name}.json"), "w") as fh:
+            fh.writelines(f'{{"seq": {i}, "payload": "{"y" * (i % 23)}"}}\n' for i in range(n))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
+    try:
+        csv = read_csv_text(spark, os.path.join(root, "*.csv"), multi_line=False)
+        jsn = read_source(spark, os.path.join(root, "*.json"))
+        assert csv.rdd.getNumPartitions() > 6
+        for df in (csv, jsn):
+            rows = df.orderBy("_source_file", "_source_row").select("_source_file", "seq").collect()
+            for name, n in sizes.items():
+                seq = [int(r.seq) for r in rows if r._source_file.endswith(f"/{name}.csv")
+                       or r._source_file.endswith(f"/{name}.json")]
+                assert seq == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
