@@ -95,6 +95,45 @@ NAME_DIRT = ("CASE WHEN c_custkey % 3 = 0 THEN concat(' ' || chr(9), upper(c_nam
 SEG_DIRT = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END"
 
 
+@register("bronze_ingest_orders_csv", """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS total_price,
+       o_orderdate AS order_date,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority
+FROM orders
+""")
+def bronze_ingest_orders_csv(spark, sf):
+    """SC-01 end to end: ``orders`` written as CSV text (zero-padded keys,
+    null tokens 'N/A' and 'NA', timestamps as text) to the checkpoint folder,
+    read back in parallel splits with the null-token list (D14) and type
+    inference (D15), then the bronze rules."""
+    from .session import stage_path
+    from .sources.tables import read_csv
+    text = T(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        X(CUST_TEXT.replace("VARCHAR", "STRING")).alias("o_custkey"), "o_orderstatus",
+        X("CASE WHEN o_orderkey % 13 = 0 THEN 'N/A' ELSE CAST(o_totalprice AS STRING) END").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
+        X("CASE WHEN o_orderkey % 11 = 0 THEN 'NA' ELSE o_orderpriority END").alias("o_orderpriority"))
+    path = stage_path(spark, "orders-csv")
+    text.write.option("header", True).csv(path)
+    src = read_csv(spark, path, multi_line=False)
+    rules = [Rule(source_table="orders", source_column="o_orderkey", target_column="order_id",
+                  transformation_logic="Type cast to integer"),
+             Rule(source_table="orders", source_column="o_custkey", target_column="customer_id",
+                  transformation_logic="Convert to whole number"),
+             Rule(source_table="orders", source_column="o_orderstatus", target_column="o_orderstatus",
+                  transformation_logic="Keep in text format"),
+             Rule(source_table="orders", source_column="o_totalprice", target_column="total_price",
+                  transformation_logic="Convert to decimal"),
+             Rule(source_table="orders", source_column="o_orderdate", target_column="order_date",
+                  transformation_logic="Parse datetime"),
+             Rule(source_table="orders", source_column="o_orderpriority", target_column="priority",
+                  transformation_logic="Direct pass-through")]
+    out = run_bronze(OrderedDict(orders=src), rules, {"orders": "orders.csv"}).tables["orders_bronze"]
+    return out.drop("_load_timestamp", K.SOURCE_FILE, K.SOURCE_ROW)
+
+
 @register("silver_clean_customer", f"""
 SELECT row_number() OVER (ORDER BY c_custkey) AS pk_customer_bronze_silver_id,
        c_custkey AS customer_id,

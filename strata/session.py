@@ -59,13 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stage_path(spark: SparkSession, prefix: str = "stage") -> str:
+    """A fresh path in the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def stage_table(df: DataFrame, prefix: str = "stage") -> DataFrame:
     """Write ``df`` once as a Parquet table in the checkpoint folder and read
     it back: later plans that use the result more than once scan the table
     instead of recomputing it, and a lost executor re-reads the table
     rather than re-running the lineage."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    path = stage_path(spark, prefix)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
