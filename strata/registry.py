@@ -1194,6 +1194,21 @@ def log_status_class(spark, sf):
     return trail.select("event_id", "status_class", "time_text", "reason", "status")
 
 
+@register("log_audit_json", ORACLE["log_status_class"])
+def log_audit_json(spark, sf):
+    """SC-14 + LG-01: the audit rows written as JSON lines by Spark (one
+    file per task, in the checkpoint folder), scanned back with the audit
+    schema and turned into the trail; same result as ``log_status_class``."""
+    from .session import stage_path
+    a = _audit_frame(spark, sf)
+    path = stage_path(spark, "audit-jsonl")
+    (a.select(F.col("timestamp").cast("timestamp").alias("timestamp"), "run_id", "agent", "action", "extra",
+              F.col("event_id").alias("seq"))
+     .write.option("timestampFormat", LG.TS_FORMAT).json(path))
+    trail = LG.audit_trail(LG.read_audit(spark, path))
+    return trail.select(F.col("seq").alias("event_id"), "status_class", "time_text", "reason", "status")
+
+
 @register("log_error_class", f"""
 WITH a AS ({_AUDIT_SQL})
 SELECT event_id,
