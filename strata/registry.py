@@ -588,6 +588,17 @@ def profile_columns(spark, sf):
     return _prof_out(prof)
 
 
+@register("profile_json_roundtrip", ORACLE["profile_columns"])
+def profile_json_roundtrip(spark, sf):
+    """SC-11: the profile of part and orders written as a JSON artifact and
+    scanned back with the profile schema; same rows as ``profile_columns``."""
+    from .session import stage_path
+    from .sources import artifacts as ART
+    prof, _ = PF.profile(OrderedDict(part=T(spark, sf, "part"), orders=T(spark, sf, "orders")))
+    path = ART.write_json(prof, stage_path(spark, "profile-json"))
+    return _prof_out(ART.read_json(spark, path, PF.PROFILE_SCHEMA))
+
+
 @register("profile_compact", _profile_sql("lineitem", LINEITEM_COLS, compact=True))
 def profile_compact(spark, sf):
     prof, _ = PF.profile(OrderedDict(lineitem=T(spark, sf, "lineitem")), compact=True)
