@@ -827,6 +827,22 @@ FROM (VALUES ('orders', 0), ('customer', 1)) AS tt(t, i)
 """
 
 
+@register("rules_csv_roundtrip", f"""
+SELECT source_schema, source_table, source_column, target_schema, target_table, target_column,
+       transformation_type, transformation_logic,
+       CAST(row_number() OVER (ORDER BY rule_no) - 1 AS BIGINT) AS rule_no
+FROM ({BRONZE_RULES_SQL}) r
+""")
+def rules_csv_roundtrip(spark, sf):
+    """SC-09 then SC-07/SC-08: the generated bronze rules written as the
+    reviewable CSV (fixed column order, rule order, blanks as "") and read
+    back; ``rule_no`` becomes the position in the file."""
+    from .session import stage_path
+    from .sources import artifacts as ART
+    path = ART.write_rules(_bronze_rules(spark, sf), stage_path(spark, "rules-csv"))
+    return ART.read_rules(spark, path)
+
+
 @register("rules_silver", SILVER_RULES_SQL)
 def rules_silver(spark, sf):
     from .sources.tables import read_parquet
