@@ -1087,6 +1087,21 @@ GROUP BY order_status ORDER BY value DESC, order_status LIMIT 20
 """)(_intent("highest total price per order status"))
 
 
+@register("pipeline_full_run", """
+SELECT o_orderpriority, round(coalesce(sum(o_totalprice), 0), 2) AS value
+FROM orders GROUP BY o_orderpriority ORDER BY value DESC, o_orderpriority LIMIT 20
+""")
+def pipeline_full_run(spark, sf):
+    """RX-06 end to end on ``orders``: profile, generated rules for all
+    three layers, each layer written and read back with its quality report,
+    then the question answered on the gold table."""
+    from .plans.pipeline import run_pipeline
+    from .session import stage_path
+    res = run_pipeline(spark, [os.path.join(sf, "orders.parquet")], "total totalprice by orderpriority",
+                       root=stage_path(spark, "pipeline"), run_id="r1")
+    return res.answer.df.select("o_orderpriority", R2("value"))
+
+
 @register("intent_sql_text", """
 SELECT order_priority, round(coalesce(sum(o_totalprice), 0), 2) AS value
 FROM (SELECT o_orderpriority AS order_priority, o_totalprice FROM orders) t
