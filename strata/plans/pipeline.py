@@ -36,6 +36,13 @@ class RunResult:
     skipped: list = field(default_factory=list)
 
 
+def _settled(rules: DataFrame) -> DataFrame:
+    """The reviewed rule table computed once and kept as a local frame: it is
+    written, checked and parsed afterwards, and it has one row per target
+    column, so its size is bounded by the schema width, not the data."""
+    return rules.sparkSession.createDataFrame(rules.collect(), rules.schema)
+
+
 def _write_layer(spark, tables: "OrderedDict[str, DataFrame]", root: str, layer: str, run_id: str) -> dict:
     out = {}
     for name, df in tables.items():
@@ -75,7 +82,7 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
         ART.write_json(lov, os.path.join(root, "lovs", run_id))
     order = {n: i for i, n in enumerate(raw)}
     prof_n = prof.join(spark.createDataFrame(list(order.items()), "dataset string, dataset_no int"), "dataset")
-    b_rules = hook("bronze", bronze_rules(prof_n))
+    b_rules = _settled(hook("bronze", bronze_rules(prof_n)))
     res.rules["bronze"] = b_rules
     selection_guard(b_rules)
     ART.write_rules(b_rules, os.path.join(root, "rules", run_id, "bronze"))
@@ -96,7 +103,7 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     ART.write_json(res.quality["bronze"][0], ART.quality_paths(root, run_id)["bronze"])
 
     # silver
-    s_rules = hook("silver", silver_rules(column_catalog(spark, bronze)))
+    s_rules = _settled(hook("silver", silver_rules(column_catalog(spark, bronze))))
     res.rules["silver"] = s_rules
     selection_guard(s_rules)
     ART.write_rules(s_rules, os.path.join(root, "rules", run_id, "silver"))
@@ -114,7 +121,7 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     ART.write_json(res.quality["silver"][0], ART.quality_paths(root, run_id)["silver"])
 
     # gold
-    g_rules = hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False)))
+    g_rules = _settled(hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False))))
     res.rules["gold"] = g_rules
     selection_guard(g_rules)
     ART.write_rules(g_rules, os.path.join(root, "rules", run_id, "gold"))
