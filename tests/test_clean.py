@@ -123,3 +123,15 @@ def test_dedup_rule_runs_rest_of_its_text_d17(spark):
              Rule(source_table="t_bronze", source_column="v", target_column="v")]
     out = run_silver(OrderedDict(t_bronze=df), rules).tables["t_silver"]
     assert sorted((r.code, r.v) for r in out.collect()) == [("A", 1), ("B", 3)]
+
+
+def test_median_edge_cases(spark):
+    """All-null column -> no median (the fill is skipped); infinities are
+    ordinary values at the ends; one value is its own median."""
+    from strata.operators.stats import median_value
+    nulls = spark.createDataFrame([(None,), (None,)], "v double")
+    assert median_value(nulls, "v") is None
+    inf = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (None,)], "v double")
+    assert median_value(inf, "v") == 1.5
+    one = spark.createDataFrame([(4,)], "v long")
+    assert median_value(one, "v") == 4.0
