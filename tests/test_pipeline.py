@@ -84,3 +84,12 @@ def test_split_scans_keep_file_order(spark):
                 assert seq == list(range(n))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_row_counts_one_job(spark):
+    from strata.sources.tables import row_counts
+    a = spark.range(0, 1234)
+    b = spark.range(0, 7).where("id < 0")
+    c = spark.createDataFrame([("x",), ("y",)], "s string")
+    assert row_counts({"a": a, "b": b, "c": c}) == {"a": 1234, "b": 0, "c": 2}
+    assert row_counts({}) == {}
