@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, neighbours, packing, quality, repeats, secrets, simhash
+from . import language, licences, lines, mixing, neighbours, packing, quality, repeats, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_paragraph_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    out = licences.scan_licences(docs, licences.train(docs)).drop("text")
+    found = F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"], F.format_number(x["similarity"], 2)))
+    return out.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"),
+                      F.array_join(F.array_sort(F.array_distinct(F.col("licences.family"))), ",").alias("families"),
+                      F.array_join(found, ",").alias("findings"))
