@@ -30,27 +30,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, row_key, text_slices, text_view
 
 LENGTH, GRAM, MAX_RUN = 50, 16, 64
+#: A shard's fragments are sorted in so many parts, by minimizer, one at a time.
+PARTS = 16
 NO_ID = np.int64(-(2 ** 63))
 #: Bytes of text that one bucket or one slice of work holds at a time.
 SLICE = 2 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([a.nbytes for a in arrays], "<i8").tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    """Arrays as one compressed blob, byte planes apart (high bytes are mostly zero)."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T) for a in arrays]
+    return zstandard.compress(b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *[p.tobytes() for p in planes]]), 1)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, "<i8", len(kinds))
+    blob = zstandard.decompress(blob)
     at, out = 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at))
-        at += n
+    for n, kind in zip(np.frombuffer(blob, "<i8", len(kinds)).tolist(), map(np.dtype, kinds)):
+        planes = np.frombuffer(blob, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += n * kind.itemsize
     return out
 
 
@@ -126,15 +132,14 @@ def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 # --------------------------------------------------------------------------
 # step 1: minimizers that occur in more than one document
 # --------------------------------------------------------------------------
-SENT = ("<i8", "<i8", "<u4", "<u4", "<u4", "u1")  # ids, keys, runs a document, minimizer, start, starts
+SENT = ("<i8", "<u4", "<u4", "<u4", "u1")  # document keys, runs of each, minimizer, start, starts
 
 
 def _send_runs(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
             data, off = text_view(b.column(b.schema.get_field_index("text")))
-            ids = b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
-            keys = b.column(1).to_numpy(zero_copy_only=False)
+            keys = b.column(0).to_numpy(zero_copy_only=False)
             doc, start, n, m = runs(data, off, length)
             shard = (m % np.uint64(shards)).astype(np.int64)
             rest = (m // np.uint64(shards)).astype(np.uint32)
@@ -142,30 +147,31 @@ def _send_runs(shards: int, length: int):
             for s, i in _by(shard):
                 d, count = np.unique(doc[i], return_counts=True)
                 names.append(s)
-                blobs.append(pack(ids[d], keys[d], count.astype("<u4"), rest[i], start[i].astype("<u4"), n[i].astype("u1")))
+                blobs.append(pack(keys[d], count.astype("<u4"), rest[i], start[i].astype("<u4"), n[i].astype("u1")))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
     return run
 
 
-FOUND = ("<i8", "<i4", "<u4", "<u4", "u1")  # document key, shard, minimizer, start, starts
+FOUND = ("<i8", "<u4", "<i4", "u1", "<u4", "u1")  # document keys, runs of each, shard, part, start, starts
 
 
 def _find_repeats(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        (ids, keys, count, m, start, n), _ = unpack_all(table.column("blob").to_pylist(), *SENT)
-        doc = np.repeat(np.arange(len(ids)), count)
+        (keys, count, m, start, n), _ = unpack_all(table.column("blob").to_pylist(), *SENT)
+        who = np.repeat(keys, count)
         order = np.argsort(m, kind="stable")
-        x, who = m[order], ids[doc[order]]
+        x, y = m[order], who[order]
         begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+        several = np.minimum.reduceat(y, begin) != np.maximum.reduceat(y, begin)
         i = order[np.repeat(several, np.diff(np.append(begin, len(x))))]
-        key = keys[doc[i]]
         names, blobs = [], []
-        for bucket, j in _by(key % buckets):
+        for bucket, j in _by(who[i] % buckets):
             k = i[j]
+            k = k[np.lexsort((start[k], who[k]))]
+            key, many = np.unique(who[k], return_counts=True)
             names.append(bucket)
-            blobs.append(pack(key[j], np.full(len(k), shard, "<i4"), m[k], start[k], n[k]))
+            blobs.append(pack(key, many.astype("<u4"), np.full(len(k), shard, "<i4"), (m[k] % PARTS).astype("u1"), start[k], n[k]))
         return pa.table([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
     return run
 
@@ -178,7 +184,8 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-CUT = ("<u2", "u1", "<u4", "<i8", "<i8", "<u4")  # fragment sizes, bytes, occurrences: fragment, id, key, start
+#: Fragments: size, part, bytes. Occurrences: fragment, doc_id, bucket, the key's rank in it, start.
+CUT = ("<u2", "u1", "u1", "<u4", "<i8", "<i4", "<u4", "<u4")
 
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,9 +199,11 @@ def _cut_fragments(length: int):
         names, blobs = [], []
         if docs.num_rows and found.num_rows:
             data, off, ids, keys = _documents(docs)
-            (key, shard, m, start, n), _ = unpack_all(found.column("blob").to_pylist(), *FOUND)
-            order = np.argsort(keys, kind="stable")
-            doc = order[np.searchsorted(keys, key, sorter=order)]
+            (key, many, shard, part, start, n), _ = unpack_all(found.column("blob").to_pylist(), *FOUND)
+            bucket = found.column("bucket")[0].as_py()
+            distinct, row = np.unique(keys, return_index=True)
+            rank = np.repeat(np.searchsorted(distinct, key), many)
+            doc = row[rank]
             from .quality import _spans_hash
             a = off[doc] + start
             size = n.astype(np.int64) + length - 1
@@ -212,7 +221,8 @@ def _cut_fragments(length: int):
                 _, first, which = np.unique(h[i], return_index=True, return_inverse=True)
                 f = i[first]
                 names.append(s)
-                blobs.append(pack(size[f].astype("<u2"), data[_ranges(a[f], size[f])], which.astype("<u4"), ids[doc[i]], key[i], start[i]))
+                blobs.append(pack(size[f].astype("<u2"), part[f], data[_ranges(a[f], size[f])], which.astype("<u4"), ids[doc[i]],
+                                  np.full(len(i), bucket, "<i4"), rank[i].astype("<u4"), start[i]))
         return pa.table([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
     return run
 
@@ -305,64 +315,80 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, left: np
     return np.concatenate([[0], np.cumsum(many)]), own[_ranges(f, many)], n
 
 
-def _mark_repeats(buckets: int, length: int):
+def _mark_repeats(length: int):
     def run(table: pa.Table) -> pa.Table:
-        (size, data, which, ids, key, start), sizes = unpack_all(table.column("blob").to_pylist(), *CUT)
+        (size, part, data, which, ids, bucket, rank, start), sizes = unpack_all(table.column("blob").to_pylist(), *CUT)
         size = size.astype(np.int64)
-        which = which.astype(np.int64) + np.repeat(np.cumsum([0, *sizes[0][:-1]]), sizes[2])
+        which = which.astype(np.int64) + np.repeat(np.cumsum([0, *sizes[0][:-1]]), sizes[3])
         place = np.cumsum(size) - size
-        # equal fragments of different buckets become one
-        from .quality import _spans_hash
-        h = np.empty(len(size), np.uint64)
-        lo = 0
-        while lo < len(size):
-            hi = int(np.searchsorted(place, place[lo] + SLICE, side="right"))
-            h[lo:hi] = _spans_hash(data[place[lo]: place[hi - 1] + size[hi - 1]], place[lo:hi] - place[lo], place[lo:hi] - place[lo] + size[lo:hi])
-            lo = hi
-        _, first, one = np.unique(h, return_index=True, return_inverse=True)
-        which, size, place = one[which], size[first], place[first]
-        smallest = np.full(len(size), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, which, ids)
-        starts = size - length + 1
-        fragment = np.repeat(np.arange(len(size)), starts)
-        shift = np.arange(len(fragment)) - np.repeat(np.cumsum(starts) - starts, starts)
-        at = place[fragment] + shift
-        left = np.where(shift > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256 + np.arange(len(at)))
-        bounds, members, lengths = maximal_repeats(data, at, size[fragment] - shift, left, length)
-        # a fragment that several documents have is a leaf of the tree: a repeat of its whole length
-        largest = np.full(len(size), np.iinfo(np.int64).min)
-        np.maximum.at(largest, which, ids)
-        leaf = np.flatnonzero(largest > smallest)
-        members = np.concatenate([members, (np.cumsum(starts) - starts)[leaf]])
-        lengths = np.concatenate([lengths, size[leaf]])
-        bounds = np.concatenate([bounds, bounds[-1] + np.arange(1, len(leaf) + 1)])
         names, blobs = [], []
-        if len(members):
-            node = np.repeat(np.arange(len(lengths)), np.diff(bounds))
-            least = np.minimum.reduceat(smallest[fragment[members]], bounds[:-1])[node]
-            # every occurrence of the members' fragments
-            order = np.argsort(which, kind="stable")
-            many = np.bincount(which, minlength=len(size))
-            begin = np.cumsum(many) - many
-            f = fragment[members]
-            occ = order[_ranges(begin[f], many[f])]
-            back = np.repeat(np.arange(len(members)), many[f])
-            late = ids[occ] > least[back]
-            occ, back = occ[late], back[late]
-            a = start[occ].astype(np.int64) + shift[members[back]]
+        for _, own in _by(part):
+            local = np.full(len(size), -1)
+            local[own] = np.arange(len(own))
+            occ = np.flatnonzero(local[which] >= 0)
+            at, length_of = place[own], size[own]
+            own_data = data[_ranges(at, length_of)]
+            o, a, z = _marks_of(own_data, length_of, local[which[occ]], ids[occ], start[occ], length)
+            o = occ[o]
             # a document's marks from one start: the longest is enough
-            by = np.lexsort((-lengths[node[back]], a, key[occ]))
-            k, a, z = key[occ][by], a[by], (a + lengths[node[back]])[by]
-            once = np.ones(len(k), bool)
-            once[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1])
-            k, a, z = k[once], a[once], z[once]
-            for bucket, i in _by(k % buckets):
-                names.append(bucket)
-                blobs.append(pack(k[i], a[i].astype("<u4"), z[i].astype("<u4")))
+            by = np.lexsort((-z, a, rank[o], bucket[o]))
+            o, a, z = o[by], a[by], z[by]
+            once = np.ones(len(o), bool)
+            once[1:] = (bucket[o[1:]] != bucket[o[:-1]]) | (rank[o[1:]] != rank[o[:-1]]) | (a[1:] != a[:-1])
+            o, a, z = o[once], a[once], z[once]
+            for to, i in _by(bucket[o]):
+                names.append(to)
+                blobs.append(pack(rank[o[i]], a[i].astype("<u4"), (z - a)[i].astype("<u4")))
         return pa.table([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
     return run
 
 
+def _marks_of(data: np.ndarray, size: np.ndarray, which: np.ndarray, ids: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(occurrence, first byte, end) of every repeat in an occurrence (of
+    fragment ``which`` in document ``ids``) that is not in the smallest document."""
+    from .quality import _spans_hash
+    place = np.cumsum(size) - size
+    # equal fragments of different buckets become one
+    h = np.empty(len(size), np.uint64)
+    lo = 0
+    while lo < len(size):
+        hi = int(np.searchsorted(place, place[lo] + SLICE, side="right"))
+        h[lo:hi] = _spans_hash(data[place[lo]: place[hi - 1] + size[hi - 1]], place[lo:hi] - place[lo], place[lo:hi] - place[lo] + size[lo:hi])
+        lo = hi
+    _, first, one = np.unique(h, return_index=True, return_inverse=True)
+    which, size, place = one[which], size[first], place[first]
+    smallest, largest = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), np.iinfo(np.int64).min)
+    np.minimum.at(smallest, which, ids)
+    np.maximum.at(largest, which, ids)
+    starts = size - length + 1
+    fragment = np.repeat(np.arange(len(size)), starts)
+    shift = np.arange(len(fragment)) - np.repeat(np.cumsum(starts) - starts, starts)
+    at = place[fragment] + shift
+    left = np.where(shift > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256 + np.arange(len(at)))
+    bounds, members, lengths = maximal_repeats(data, at, size[fragment] - shift, left, length)
+    # a fragment that several documents have is a leaf of the tree: a repeat of its whole length
+    leaf = np.flatnonzero(largest > smallest)
+    members = np.concatenate([members, (np.cumsum(starts) - starts)[leaf]])
+    lengths = np.concatenate([lengths, size[leaf]])
+    bounds = np.concatenate([bounds, bounds[-1] + np.arange(1, len(leaf) + 1)])
+    if len(members) == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    node = np.repeat(np.arange(len(lengths)), np.diff(bounds))
+    f = fragment[members]
+    least = np.minimum.reduceat(smallest[f], bounds[:-1])[node]
+    # every occurrence of the members' fragments
+    order = np.argsort(which, kind="stable")
+    many = np.bincount(which, minlength=len(size))
+    begin = np.cumsum(many) - many
+    occ = order[_ranges(begin[f], many[f])]
+    back = np.repeat(np.arange(len(members)), many[f])
+    late = ids[occ] > least[back]
+    occ, back = occ[late], back[late]
+    a = start[occ].astype(np.int64) + shift[members[back]]
+    return occ, a, a + lengths[node[back]]
+
+
 # --------------------------------------------------------------------------
 # step 4: cut
 # --------------------------------------------------------------------------
@@ -371,17 +397,36 @@ _SPANS = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def _cut_marks(docs: pa.Table, marks: pa.Table) -> pa.Table:
-    data, off, _, keys = _documents(docs)
-    step = np.zeros(len(data) + 1, np.int32)
+    docs = docs.combine_chunks()
+    keys = docs.column("key").to_numpy()
+    _, rank_of = np.unique(keys, return_inverse=True)  # rows that agree in id and text all get the marks
     if marks.num_rows:
-        (key, a, z), _ = unpack_all(marks.column("blob").to_pylist(), "<i8", "<u4", "<u4")
-        order = np.argsort(keys, kind="stable")
-        lo, hi = np.searchsorted(keys, key, sorter=order), np.searchsorted(keys, key, side="right", sorter=order)
-        doc = order[_ranges(lo, hi - lo)]  # rows that agree in id and text all get the marks
-        back = np.repeat(np.arange(len(key)), hi - lo)
-        np.add.at(step, off[doc] + a[back], 1)
-        np.add.at(step, off[doc] + z[back], -1)
-    gone = np.cumsum(step[:-1]) > 0
+        (rank, a, n), _ = unpack_all(marks.column("blob").to_pylist(), "<u4", "<u4", "<u4")
+    else:
+        rank = a = n = np.zeros(0, np.int64)
+    order = np.argsort(rank, kind="stable")
+    rank, a, n = rank[order].astype(np.int64), a[order].astype(np.int64), n[order].astype(np.int64)
+    lo, hi = np.searchsorted(rank, rank_of), np.searchsorted(rank, rank_of, side="right")
+    out, at = [], 0
+    for batch in docs.to_batches():
+        for part in text_slices(iter([batch]), "text", SLICE):
+            i = np.arange(at, at + part.num_rows)
+            at += part.num_rows
+            mark = _ranges(lo[i], hi[i] - lo[i])
+            data, off = text_view(part.column(part.schema.get_field_index("text")))
+            begin = np.repeat(off[:-1], hi[i] - lo[i]) + a[mark]
+            out.append(_cut(part.column(part.schema.get_field_index("doc_id")), data, off, begin, begin + n[mark]))
+    return pa.Table.from_batches(out, out[0].schema) if out else pa.table([pa.array([], f.type) for f in _KEPT], schema=_KEPT)
+
+
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(_SPANS)), ("kept", pa.binary())])
+
+
+def _cut(ids: pa.Array, data: np.ndarray, off: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    step = np.zeros(len(data) + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, end, -1)
+    gone = np.cumsum(step[:-1], dtype=np.int32) > 0
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     prev = np.concatenate([[False], gone[:-1]]) & ~edge[:-1]
@@ -392,7 +437,7 @@ def _cut_marks(docs: pa.Table, marks: pa.Table) -> pa.Table:
         [pa.array(first - begin, pa.int64()), pa.array(last - begin, pa.int64())], fields=list(_SPANS)))
     total = np.concatenate([[0], np.cumsum(~gone)])
     kept = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(total[off].astype(np.int64)), pa.py_buffer(data[~gone])])
-    return pa.table([docs.column("doc_id").combine_chunks(), pa.array(np.diff(off)), spans, kept.cast(pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off)), spans, kept.cast(pa.binary())], schema=_KEPT)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -403,8 +448,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).select(
         "doc_id", row_key(F.col("doc_id"), F.col("text"))[0].alias("key"), "text")
     rows = rows.withColumn("bucket", F.pmod("key", F.lit(n)).cast("int"))
-    sent = rows.select("doc_id", "key", "text").mapInArrow(_send_runs(n, length), "shard int, blob binary")
+    sent = rows.select("key", "text").mapInArrow(_send_runs(n, length), "shard int, blob binary")
     found = sent.groupBy("shard").applyInArrow(_find_repeats(n), "bucket int, blob binary")
     cut = rows.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_cut_fragments(length), "shard int, blob binary")
-    marks = cut.groupBy("shard").applyInArrow(_mark_repeats(n, length), "bucket int, blob binary")
+    marks = cut.groupBy("shard").applyInArrow(_mark_repeats(length), "bucket int, blob binary")
     return rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut_marks, RESULT)
