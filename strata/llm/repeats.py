@@ -321,7 +321,7 @@ def _mark_repeats(length: int):
         size = size.astype(np.int64)
         which = which.astype(np.int64) + np.repeat(np.cumsum([0, *sizes[0][:-1]]), sizes[3])
         place = np.cumsum(size) - size
-        names, blobs = [], []
+        found: dict[int, list] = {}
         for _, own in _by(part):
             local = np.full(len(size), -1)
             local[own] = np.arange(len(own))
@@ -337,8 +337,8 @@ def _mark_repeats(length: int):
             once[1:] = (bucket[o[1:]] != bucket[o[:-1]]) | (rank[o[1:]] != rank[o[:-1]]) | (a[1:] != a[:-1])
             o, a, z = o[once], a[once], z[once]
             for to, i in _by(bucket[o]):
-                names.append(to)
-                blobs.append(pack(rank[o[i]], a[i].astype("<u4"), (z - a)[i].astype("<u4")))
+                found.setdefault(to, []).append((rank[o[i]], a[i].astype("<u4"), (z - a)[i].astype("<u4")))
+        names, blobs = list(found), [pack(*map(np.concatenate, zip(*x))) for x in found.values()]
         return pa.table([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
     return run
 
@@ -357,36 +357,33 @@ def _marks_of(data: np.ndarray, size: np.ndarray, which: np.ndarray, ids: np.nda
         lo = hi
     _, first, one = np.unique(h, return_index=True, return_inverse=True)
     which, size, place = one[which], size[first], place[first]
-    smallest, largest = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), np.iinfo(np.int64).min)
+    smallest = np.full(len(size), np.iinfo(np.int64).max)
     np.minimum.at(smallest, which, ids)
-    np.maximum.at(largest, which, ids)
     starts = size - length + 1
     fragment = np.repeat(np.arange(len(size)), starts)
     shift = np.arange(len(fragment)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = place[fragment] + shift
     left = np.where(shift > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256 + np.arange(len(at)))
     bounds, members, lengths = maximal_repeats(data, at, size[fragment] - shift, left, length)
-    # a fragment that several documents have is a leaf of the tree: a repeat of its whole length
-    leaf = np.flatnonzero(largest > smallest)
-    members = np.concatenate([members, (np.cumsum(starts) - starts)[leaf]])
-    lengths = np.concatenate([lengths, size[leaf]])
-    bounds = np.concatenate([bounds, bounds[-1] + np.arange(1, len(leaf) + 1)])
-    if len(members) == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    node = np.repeat(np.arange(len(lengths)), np.diff(bounds))
-    f = fragment[members]
-    least = np.minimum.reduceat(smallest[f], bounds[:-1])[node]
-    # every occurrence of the members' fragments
-    order = np.argsort(which, kind="stable")
-    many = np.bincount(which, minlength=len(size))
-    begin = np.cumsum(many) - many
-    occ = order[_ranges(begin[f], many[f])]
-    back = np.repeat(np.arange(len(members)), many[f])
-    late = ids[occ] > least[back]
-    occ, back = occ[late], back[late]
-    a = start[occ].astype(np.int64) + shift[members[back]]
-    return occ, a, a + lengths[node[back]]
+    # a fragment that several documents have is a leaf of the tree: a repeat
+    # of its whole length, which marks all but its smallest document's
+    # occurrences; only those can still gain from the inner intervals
+    whole = np.flatnonzero(ids > smallest[which])
+    begin = start[whole].astype(np.int64)
+    marks = [(whole, begin, begin + size[which[whole]])]
+    if len(members):
+        node = np.repeat(np.arange(len(lengths)), np.diff(bounds))
+        f = fragment[members]
+        late = smallest[f] > np.minimum.reduceat(smallest[f], bounds[:-1])[node]
+        members, node, f = members[late], node[late], f[late]
+        first = np.flatnonzero(ids == smallest[which])
+        first = first[np.argsort(which[first], kind="stable")]
+        many = np.bincount(which[first], minlength=len(size))
+        occ = first[_ranges((np.cumsum(many) - many)[f], many[f])]
+        back = np.repeat(np.arange(len(members)), many[f])
+        begin = start[occ].astype(np.int64) + shift[members[back]]
+        marks.append((occ, begin, begin + lengths[node[back]]))
+    return tuple(np.concatenate(x) for x in zip(*marks))
 
 
 # --------------------------------------------------------------------------
