@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage_path
+from ..session import stage_path, stage_table
 from .common import text_slices
 
 RULE_VERSION = 1
@@ -93,7 +93,8 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rule_version: int =
     # copies collapse to one text a task before the shuffle
     fresh = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
     fresh.mapInArrow(_scan(rule_version), FINDINGS).write.mode("append").parquet(ledger)
-    found = (read_ledger(spark, ledger).where(F.col("rule_version") == rule_version)
-             .select(F.col("blob").alias("_b"), F.col("spans").alias("_s")).dropDuplicates(["_b"]))
+    # one row a blob, written first, so that the join below can split the paths of a hot blob
+    found = stage_table(read_ledger(spark, ledger).where(F.col("rule_version") == rule_version)
+                        .select(F.col("blob").alias("_b"), F.col("spans").alias("_s")).dropDuplicates(["_b"]), "secret-findings")
     paths = docs.withColumn("blob", F.sha2(text, 256)).drop("spans")
     return paths.join(found, paths["blob"] == found["_b"], "left").drop("_b").withColumnRenamed("_s", "spans")
