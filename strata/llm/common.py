@@ -36,6 +36,14 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(none, doc_id, text).alias("_k1"), F.xxhash64(F.lit(71), text, none, doc_id).alias("_k2")]
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def text_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array (nulls as empty) without copying:
     the values buffer and the n + 1 offsets into it."""

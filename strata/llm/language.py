@@ -41,8 +41,7 @@ def normalise(text: str | None) -> bytes:
 
 
 class SuffixAutomaton:
-    """Suffix automaton of a byte string as a table state x byte class; a
-    missing step leads on from the root with the sign bit set."""
+    """Suffix automaton of a byte string: ``step`` of each state by byte."""
 
     def __init__(self, text: bytes):
         self.size = len(text)
@@ -74,9 +73,8 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """The automata of all languages in one table over the bytes they use."""
-
-    MISS = np.int32(-(2 ** 31))
+    """The automata of all languages in one table of state x byte class; a
+    missing step leads on from the root with the sign bit set."""
 
     def __init__(self, texts: dict[str, bytes]):
         self.langs = sorted(texts)
@@ -86,10 +84,12 @@ class CrossParser:
         self.classes = np.zeros(256, np.int32)
         self.classes[used] = np.arange(1, len(used) + 1)
         self.cost = np.array([np.log2(max(a.size, 2)) for a in autos])
-        self.roots, tables, base = [], [], 0
+        self.starts, tables, base = [], [], 0
         for a in autos:
-            t = np.zeros((len(a.step), self.width), np.int64)
-            root = np.zeros(self.width, np.int64)
+            # the last state is no phrase at all: the start, and what follows a byte of no phrase
+            none = len(a.step)
+            t = np.zeros((none + 1, self.width), np.int64)
+            root = np.full(self.width, none, np.int64)
             for c, s in a.step[0].items():
                 root[self.classes[c]] = s
             t[:] = root - 2 ** 40  # a phrase ends, the next one starts with this byte
@@ -99,8 +99,8 @@ class CrossParser:
             missing = t < 0
             t = (np.where(missing, t + 2 ** 40, t) + base) * self.width
             tables.append(np.where(missing, t - 2 ** 31, t).astype(np.int32).ravel())
-            self.roots.append(base * self.width)
-            base += len(a.step)
+            self.starts.append((base + none) * self.width)
+            base += none + 1
         if base * self.width >= 2 ** 31:
             raise ValueError("train_bytes x languages is too large for one table")
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
@@ -119,14 +119,14 @@ class CrossParser:
             grid[i, : len(t)] = self.classes[np.frombuffer(t, np.uint8)]
         grid = np.ascontiguousarray(grid.T)
         alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], n, 1)
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], n, 1)
         count = np.zeros((langs, n), np.int32)
         for k in range(lengths[0]):
             m = alive[k]
             s = self.table[state[:, :m] + grid[k, :m]]
             count[:, :m] -= s >> 31
             state[:, :m] = s & 0x7FFFFFFF
-        np.add.at(out, np.array([d for d, _ in own]), count.T + 1)
+        np.add.at(out, np.array([d for d, _ in own]), count.T)
         return out
 
     def predict(self, docs: list[bytes]) -> list[tuple[str, float]]:

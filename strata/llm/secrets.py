@@ -96,5 +96,6 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rule_version: int =
     # one row a blob, written first, so that the join below can split the paths of a hot blob
     found = stage_table(read_ledger(spark, ledger).where(F.col("rule_version") == rule_version)
                         .select(F.col("blob").alias("_b"), F.col("spans").alias("_s")).dropDuplicates(["_b"]), "secret-findings")
-    paths = docs.withColumn("blob", F.sha2(text, 256)).drop("spans")
-    return paths.join(found, paths["blob"] == found["_b"], "left").drop("_b").withColumnRenamed("_s", "spans")
+    rest = [c for c in docs.columns if c not in ("blob", "spans")]
+    paths = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.sha2(text, 256).alias("blob"))
+    return paths.join(found, F.col("blob") == F.col("_b"), "left").select("_row.*", "blob", F.col("_s").alias("spans"))

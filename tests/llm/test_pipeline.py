@@ -1,0 +1,33 @@
+from collections import Counter
+
+import corpus_pipeline
+from strata.llm import registry, simhash
+
+
+def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        out.write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns, name
+        if name == "language_id":
+            assert docs.count() >= 0.99 * n
+        if name == "simhash_near_dedup":
+            near = simhash.near_duplicates(before)
+            assert docs.count() == near.select("component_id").distinct().count()
+    last = corpus_pipeline.STAGES[4][1](spark, docs, "")
+    tokens = last.groupBy().sum("length").first()[0]
+    assert tokens == sum(r.doc_tokens * k for r, k in Counter(last.where("start = 0").select("doc_tokens").collect()).items())
+
+
+def test_pipeline_survives_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    for name, df in (("odd", odd), ("empty", empty)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").count()
+        assert rows > 0 if name == "odd" else rows == 0
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(x[2:].split("_")[0]) for x in registry.QUERIES) == list(range(1, 11))
