@@ -40,20 +40,36 @@ def is_string(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.StringType)
 
 
+#: Decimal numbers, exponents and the names of infinity; no type suffixes, no hexadecimal.
+NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+WHOLE_RE = r"^\s*[+-]?[0-9]+\s*$"
+
+
+def text_double(text: Column) -> Column:
+    """Text that is a number as double, else null (NaN counts as null)."""
+    return F.when(text.rlike(NUMBER_RE), F.trim(text).try_cast("double"))
+
+
+def text_long(text: Column) -> Column:
+    """Whole-number text read exactly (no way through double, which loses
+    digits above 2^53); other number text through double."""
+    return F.when(text.rlike(WHOLE_RE), F.trim(text).try_cast("bigint")).otherwise(text_double(text).try_cast("bigint"))
+
+
 def to_double(c: str, dtype: T.DataType) -> Column:
     """FN-01 numeric coerce: bad text -> null (D1); integers stay integers (D3)."""
     if is_numeric(dtype):
         return F.col(c)
     if isinstance(dtype, T.BooleanType):
         return F.col(c).cast("double")
-    return F.expr(f"try_cast(`{c}` as double)")
+    return text_double(F.col(c))
 
 
 def as_double(c: str, dtype: T.DataType) -> Column:
     """Like ``to_double`` but always DOUBLE (used for statistics)."""
     if is_numeric(dtype) or isinstance(dtype, T.BooleanType):
         return F.col(c).cast("double")
-    return F.expr(f"try_cast(`{c}` as double)")
+    return text_double(F.col(c))
 
 
 def fractional_flag(c: str, dtype: T.DataType) -> Column:
@@ -69,7 +85,7 @@ def to_integer(c: str, dtype: T.DataType) -> Column:
     whole numbers only (``fractional_flag`` false)."""
     if is_integral(dtype):
         return F.col(c).cast("long")
-    return as_double(c, dtype).try_cast("long")
+    return text_long(F.col(c)) if is_string(dtype) else as_double(c, dtype).try_cast("long")
 
 
 def to_text(c: str, dtype: T.DataType) -> Column:

@@ -86,7 +86,7 @@ def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) ->
 
 
 def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
-                  approx_above: int | None = 10_000_000, with_lov: bool = True,
+                  estimate_distinct: bool = False, with_lov: bool = True,
                   lov_max: int = LOV_MAX_DISTINCT) -> tuple[DataFrame, DataFrame | None]:
     """Profile one table -> (profile rows, list-of-values rows)."""
     spark = df.sparkSession
@@ -94,14 +94,13 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
     ords = ordinal_columns(df)
     order_key = F.struct(*[F.col(o) for o in ords]) if ords else None
     rows_total = int(df.count())
-    # a column cannot have more distinct values than the table has rows: the
-    # HyperLogLog pass is only needed when the table exceeds the exact limit
+    # exact at any size; an estimate only where the caller asks for one
     estimate: dict[str, int] = {}
-    if approx_above is not None and rows_total > approx_above and cols:
+    if estimate_distinct and cols:
         hll = df.agg(*[F.approx_count_distinct(F.when(~_is_null(c, df.schema[c].dataType), F.col(f"`{c}`")))
                        .alias(f"h{i}") for i, c in enumerate(cols)]).first()
         estimate = {c: int(hll[f"h{i}"] or 0) for i, c in enumerate(cols)}
-    exact_cols = [c for c in cols if c not in estimate or estimate[c] <= approx_above]
+    exact_cols = [c for c in cols if c not in estimate]
     stats = _column_stats(df, cols, set(exact_cols), order_key) if cols else {}
     out = []
     for i, c in enumerate(cols):

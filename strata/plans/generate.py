@@ -92,8 +92,7 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], with_nu
     items = list(tables.items())
     colsets = [[c for c in df.columns if c != SOURCE_ROW] for _, df in items]
     flags: dict[int, list] = {}
-    branches = [df.agg(F.lit(ti).alias("_t"), F.array(*[F.max(F.col(f"`{c}`").isNull().cast("int"))
-                                                         for c in cols]).alias("_n"))
+    branches = [df.agg(F.lit(ti).alias("_t"), F.array(*[F.max(is_missing(df, c).cast("int")) for c in cols]).alias("_n"))
                 for ti, ((_, df), cols) in enumerate(zip(items, colsets)) if with_nulls and cols]
     if branches:
         out = branches[0]
@@ -111,6 +110,12 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], with_nu
                                        "is_int boolean, is_num boolean, is_time boolean, has_nulls boolean")
 
 
+def is_missing(df: DataFrame, c: str):
+    """Null, or NaN in a floating-point column."""
+    col = F.col(f"`{c}`")
+    return col.isNull() | F.isnan(col) if df.schema[c].dataType.typeName() in ("float", "double") else col.isNull()
+
+
 def silver_rules(catalog: DataFrame) -> DataFrame:
     """RG-02: per bronze table a key row, then one Direct row per column."""
     fname = F.concat(F.col("table"), F.lit(".parquet"))

@@ -32,10 +32,19 @@ class LayerResult:
     warnings: list[tuple[str, str, str]] = field(default_factory=list)   # (table, column, message)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN means "no value" in every layer, so it becomes null where a frame starts."""
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floating:
+        return df
+    return df.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) if c in floating else F.col(f"`{c}`") for c in df.columns])
+
+
 class _Frame:
     """A lazy frame plus pending column expressions over it."""
 
     def __init__(self, df: DataFrame):
+        df = nan_to_null(df)
         self.df = df
         self.cols: "OrderedDict[str, Column]" = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
         self.pending: dict[str, tuple[str, str]] = {}   # col -> (kind, date_mode)
@@ -88,16 +97,16 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
     if kind in ("integer", "integer_per_value"):
         if clean.is_integral(dtype):
             return e.cast("long")
-        d = e.cast("double") if (clean.is_numeric(dtype) or isinstance(dtype, T.BooleanType)) else e.try_cast("double")
-        if kind == "integer_per_value":
-            return F.when(d == F.floor(d), d.try_cast("long"))
-        return d.try_cast("long")
+        typed = clean.is_numeric(dtype) or isinstance(dtype, T.BooleanType)
+        d = e.cast("double") if typed else clean.text_double(e.cast("string"))
+        whole = d.try_cast("long") if typed else clean.text_long(e.cast("string"))
+        return F.when(d == F.floor(d), whole) if kind == "integer_per_value" else whole
     if kind == "double":
         if clean.is_numeric(dtype):
             return e
         if isinstance(dtype, T.BooleanType):
             return e.cast("double")
-        return e.try_cast("double")
+        return clean.text_double(e.cast("string"))
     if kind == "text":
         return e if clean.is_string(dtype) else e.cast("string")
     if kind in ("date_any", "date_first", "date_per_value"):
@@ -129,7 +138,7 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
             return None
         if clean.is_integral(dtype):
             if isinstance(value, float) and not float(value).is_integer():
-                return None
+                return F.coalesce(e.cast("double"), F.lit(value))
             return F.coalesce(e, F.lit(int(value)).cast(dtype))
         if clean.is_numeric(dtype):
             return F.coalesce(e, F.lit(value).cast(dtype))

@@ -184,8 +184,15 @@ def normalise_answers(raw: DataFrame, question: str, col: str = "payload") -> Da
     da_obj = F.from_json(F.get_json_object(j, "$.direct_answer"),
                          "question string, answer string, why string, approach string")
     da_str = F.get_json_object(j, "$.direct_answer")
-    is_obj = F.ltrim(F.coalesce(da_str, F.lit(""))).startswith("{")
-    charts = F.from_json(F.get_json_object(j, "$.charts"), "array<string>")
+    parsed = F.try_parse_json(j)
+
+    def kind(path):  # STRING, BIGINT, ARRAY<...>, OBJECT<...>, ...
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit(""))
+    is_obj = kind("$.direct_answer").startswith("OBJECT")
+    da_str = F.when(kind("$.direct_answer") == "STRING", da_str)
+    charts_text = F.get_json_object(j, "$.charts")
+    # one chart may stand alone, without a list around it
+    charts = F.when(kind("$.charts").startswith("OBJECT"), F.array(charts_text)).otherwise(F.from_json(charts_text, "array<string>"))
     chart_objs = F.filter(charts, lambda c: F.ltrim(c).startswith("{"))
 
     def nz(c, dflt):

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from ..operators.profile import profile
 from ..operators.quality import validate_layer
-from ..sources.tables import is_complete, layer_path, read_source, read_parquet, stem_of, write_table
+from ..sources.tables import is_complete, layer_path, read_many, read_parquet, table_names, write_table
 from .answer import Answer, answer, answer_text
 from .generate import bronze_rules, column_catalog, gold_rules, silver_rules
 from .layers import run_bronze, run_gold, run_silver
@@ -72,8 +72,13 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     hook = rules_hook or (lambda layer, r: r)
     res = RunResult(run_id)
     audit = AuditLog(spark, os.path.join(root, "audit", run_id), run_id)
-    raw = OrderedDict((stem_of(p), read_source(spark, p, csv_multi_line=csv_multi_line)) for p in inputs)
-    file_names = {stem_of(p): os.path.basename(p.rstrip("/")) for p in inputs}
+    tables, unreadable = read_many(spark, inputs, csv_multi_line)
+    for name, error in unreadable.items():  # skip, record, go on
+        audit.log("profiler", "skipped", table=name, error=error)
+    if not tables:
+        raise ValueError(f"no readable input: {unreadable}")
+    raw = OrderedDict(tables)
+    file_names = {name: os.path.basename(p.rstrip("/")) for p, name in table_names(inputs).items() if name in raw}
 
     # RX-04 profile + RG-01
     prof, lov = profile(raw)

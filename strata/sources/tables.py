@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import PySparkException
 
+from ..functions.clean import text_double
 from ..operators.joins import is_id_like
 from ..operators.keys import SOURCE_FILE, SOURCE_ROW
+from ..session import stage_table
 
 # Text read as missing in CSV input (the pandas default list).
 NULL_TOKENS = [
@@ -107,7 +109,7 @@ def infer_types(df: DataFrame, keep_text=None) -> DataFrame:
         exprs += [
             F.count(col).alias(f"n{i}"),
             F.count(F.when(col.rlike(_INT_RE) & F.expr(f"try_cast(`{c}` as bigint)").isNotNull(), 1)).alias(f"i{i}"),
-            F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"d{i}"),
+            F.count(text_double(col)).alias(f"d{i}"),
             F.count(F.when(col.isin(_BOOL_TRUE + _BOOL_FALSE), 1)).alias(f"b{i}"),
         ]
     row = df.agg(*exprs).first()
@@ -124,7 +126,7 @@ def infer_types(df: DataFrame, keep_text=None) -> DataFrame:
         elif row[f"i{i}"] == n:
             out.append(F.expr(f"try_cast(`{c}` as bigint)").alias(c))
         elif row[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` as double)").alias(c))
+            out.append(text_double(col).alias(c))
         elif row[f"b{i}"] == n:
             out.append(F.when(col.isin(_BOOL_TRUE), True).when(col.isin(_BOOL_FALSE), False).alias(c))
         else:
@@ -152,21 +154,51 @@ def read_source(spark: SparkSession, path: str, ordinal: bool = True, csv_multi_
     raise ValueError(f"Unsupported file type: {os.path.splitext(p)[1]}")
 
 
-def read_many(spark: SparkSession, paths: Iterable[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """SC-04/SC-05: many files -> tables keyed by stem; an unreadable source
-    is skipped and its error recorded (its schema is resolved eagerly, the
+def table_names(paths: Iterable[str]) -> dict[str, str]:
+    """SC-05: path -> table name: the stem; where several paths share one, as
+    many of their folders in front of it as tell them apart."""
+    paths = list(dict.fromkeys(paths))
+    parts = {p: [x for x in re.split(r"[/\\]+", os.path.dirname(p.rstrip("/"))) if x] for p in paths}
+    names, depth = {p: stem_of(p) for p in paths}, 0
+    while len(set(names.values())) < len(paths) and depth < max(map(len, parts.values())):
+        depth += 1
+        shared = {n for n in names.values() if list(names.values()).count(n) > 1}
+        names.update({p: "_".join([*parts[p][-depth:], stem_of(p)]) for p in paths if names[p] in shared})
+    if len(set(names.values())) < len(paths):
+        raise ValueError(f"inputs cannot be told apart: {sorted(names)}")
+    return names
+
+
+def read_many(spark: SparkSession, paths: Iterable[str], csv_multi_line: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """SC-04/SC-05: many files -> tables by name; an unreadable source is
+    skipped and its error recorded (its schema is resolved eagerly, the
     data is not read)."""
     tables, errors = {}, {}
-    for p in paths:
+    for p, name in table_names(paths).items():
         try:
-            df = read_source(spark, p)
+            df = read_source(spark, p, csv_multi_line=csv_multi_line)
             df.schema  # noqa: B018  resolve now so a bad path fails here
-            tables[stem_of(p)] = df
+            tables[name] = df
         except (PySparkException, ValueError, OSError) as exc:
-            errors[stem_of(p)] = str(exc)[:500]
+            errors[name] = str(exc)
     return tables, errors
 
 
+def csv_parts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """SC-04: (rows whose field count fits the header, rejected rows as
+    ``_corrupt_record`` with file and ordinal). No row is lost: kept and
+    rejected rows add up to the input."""
+    header = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path).schema
+    schema = T.StructType([*header.fields, T.StructField("_corrupt_record", T.StringType())])
+    raw = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    row = F.monotonically_increasing_id() if multi_line else split_ordinal()
+    # parsed and written once: both parts read that table, not the text again
+    raw = stage_table(raw.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), row.alias(SOURCE_ROW)), "csv")
+    bad = F.col("_corrupt_record").isNotNull()
+    return raw.where(~bad).drop("_corrupt_record"), raw.where(bad).select("_corrupt_record", SOURCE_FILE, SOURCE_ROW)
+
+
 def layer_path(root: str, layer: str, run_id: str, table: str) -> str:
     return os.path.join(root, layer, run_id, table)
 

