@@ -166,8 +166,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
 
     spark = docs.sparkSession
     rng = random.Random(seed)
-    sample = (docs.where(F.col("text").isNotNull()).select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), F.substring("text", 1, 4000).alias("text"))
-              .orderBy("_h").limit(sample_docs).collect())
+    # the least seeded hashes first, as numbers only; then the texts they belong to
+    ranked = docs.where(F.col("text").isNotNull()).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    edge = ranked.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
+    sample = [] if edge is None else (ranked.where(F.col("_h") <= edge).select(F.substring("text", 1, 4000).alias("text"))
+                                      .limit(2 * sample_docs).collect())
     lines = sorted({w for r in sample for w in r["text"].split("\n") if w.strip()})
     rng.shuffle(lines)
     corpus = [words(x) for x in lines[:sample_lines]]
