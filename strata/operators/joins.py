@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 
+#: Rows with a null key, which all share one key, are spread over this many
+#: salts; the other side's null-key rows are repeated once a salt.
+NULL_SALTS = 32
+
 METADATA_COLUMNS = {"_load_timestamp", "_source_file", "_row_inserted", "_row_updated"}
 
 
@@ -42,10 +46,14 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """JN-01/JN-02: outer join on ``keys`` with one (coalesced) key column per
     key; non-key columns present on both sides come from the left (D28).
 
-    ``null_keys_match`` makes null keys equal (pandas ``merge``, D8).
+    ``null_keys_match`` makes null keys equal (pandas ``merge``, D8): n and m
+    rows without a key give n * m rows, see ``null_key_warnings``. Their
+    pairs are made by ``NULL_SALTS`` tasks, not by one.
     ``how`` may also be ``inner``, ``left`` or ``right``.
     """
     keys = list(keys)
+    if null_keys_match and how == "full_outer":
+        return _full_outer_null_safe(left, right, keys)
     lcols = list(left.columns)
     rpay = [c for c in right.columns if c not in keys and c not in lcols]
     r = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(keys)], *rpay)
@@ -73,7 +81,7 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
     anti_parts = []
     for i, k in enumerate(keys):
         lk, rk = lkeys[f"_lk{i}"], r[f"_rk{i}"]
-        anti_parts.append(rk.eqNullSafe(lk) if null_keys_match else rk == lk)
+        anti_parts.append(rk == lk)
     ac = anti_parts[0]
     for p in anti_parts[1:]:
         ac = ac & p
@@ -86,6 +94,59 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return matched.unionByName(only_right)
 
 
+def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The full outer join with equal null keys, rows without a key salted."""
+    lcols = list(left.columns)
+    rpay = [c for c in right.columns if c not in keys and c not in lcols]
+    n = len(keys)
+
+    def no_key(names):
+        out = F.col(names[0]).isNull()
+        for c in names[1:]:
+            out = out | F.col(c).isNull()
+        return out
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))
+    one = F.array(F.lit(0))
+
+    def equal(a, b):
+        out = F.col(f"{a}s") == F.col(f"{b}s")
+        for i in range(n):
+            out = out & F.col(f"{a}{i}").eqNullSafe(F.col(f"{b}{i}"))
+        return out
+    lk, rk, dk = ([f"{p}{i}" for i in range(n)] for p in ("_l", "_r", "_d"))
+    left_s = left.select("*", *[F.col(f"`{k}`").alias(x) for k, x in zip(keys, lk)]) \
+        .withColumn("_ls", F.when(no_key(lk), spread).otherwise(0))
+    right_k = right.select(*[F.col(f"`{k}`").alias(x) for k, x in zip(keys, rk)], *[F.col(f"`{c}`") for c in rpay])
+    right_s = right_k.withColumn("_rs", F.explode(F.when(no_key(rk), every).otherwise(one)))
+    matched = left_s.join(right_s, equal("_l", "_r"), "left").select(*[F.col(f"`{c}`") for c in (*lcols, *rpay)])
+    # right rows without a partner: the distinct left keys are few, so here
+    # those without a key are the repeated side
+    keys_s = (left.select(*[F.col(f"`{k}`").alias(x) for k, x in zip(keys, dk)]).distinct()
+              .withColumn("_ds", F.explode(F.when(no_key(dk), every).otherwise(one))))
+    alone = right_k.withColumn("_rs", F.when(no_key(rk), spread).otherwise(0)).join(keys_s, equal("_r", "_d"), "left_anti")
+    at = dict(zip(keys, rk))
+    alone = alone.select(*[F.col(at[c]).alias(c) if c in at else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols],
+                         *[F.col(f"`{c}`") for c in rpay])
+    return matched.unionByName(alone)
+
+
+def null_key_warnings(frames: Sequence[DataFrame]) -> list[tuple[str, str]]:
+    """(key columns, message) for each neighbouring pair of sources that both
+    hold rows without a key: such rows match each other, n * m of them. One
+    small aggregate a pair over the key columns."""
+    out = []
+    for a, b in zip(frames, frames[1:]):
+        keys = shared_id_keys(a.columns, b.columns)
+        if not keys:
+            continue
+        missing = F.greatest(*[F.col(f"`{k}`").isNull().cast("int") for k in keys]) if len(keys) > 1 else F.col(f"`{keys[0]}`").isNull().cast("int")
+        n, m = (int(df.agg(F.sum(missing.cast("long"))).first()[0] or 0) for df in (a, b))
+        if n and m:
+            out.append((",".join(keys), f"{n} and {m} rows without a key match each other: {n * m} rows"))
+    return out
+
+
 def union_by_name(left: DataFrame, right: DataFrame) -> DataFrame:
     """JN-03 / SO-01: bag union by column name, missing columns null."""
     return left.unionByName(right, allowMissingColumns=True)

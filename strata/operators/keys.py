@@ -99,6 +99,42 @@ def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos
             .drop("_part", "_local", "_pid", "_off"))
 
 
+MAX_DENSE_FILES = 100_000
+
+
+def dense_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | None:
+    """Positions in file order without a sort or a copy, where the ordinal
+    itself counts the rows: no row of a file was dropped, so its ordinals run
+    from the smallest to the largest without a gap or a repeat (checked by
+    count, range, sum and sum of squares, in one aggregate that reads the
+    ordinal columns alone). The offsets have one row a file and are broadcast
+    up to ``MAX_DENSE_FILES`` files. None where that doesn't hold: sort then.
+    """
+    if SOURCE_ROW not in df.columns or SOURCE_FILE not in df.columns:
+        return None
+    row = F.col(SOURCE_ROW).cast("decimal(19,0)")
+    files = (df.groupBy(SOURCE_FILE)
+             .agg(F.count(F.lit(1)).alias("n"), F.count(SOURCE_ROW).alias("n_set"), F.min(SOURCE_ROW).alias("lo"),
+                  F.try_sum(row).alias("s1"), F.try_sum(row * row).alias("s2"))
+             .limit(MAX_DENSE_FILES + 1).collect())
+    if len(files) > MAX_DENSE_FILES:
+        return None
+    rows, running = [], start
+    for r in sorted(files, key=lambda r: r[SOURCE_FILE] or ""):
+        n, lo = int(r["n"]), r["lo"]
+        if r[SOURCE_FILE] is None or r["n_set"] != n or r["s1"] is None or r["s2"] is None:
+            return None
+        # sums of lo, lo + 1, ... lo + n - 1 and of their squares
+        if int(r["s1"]) != n * lo + n * (n - 1) // 2 or \
+                int(r["s2"]) != n * lo * lo + lo * n * (n - 1) + (n - 1) * n * (2 * n - 1) // 6:
+            return None
+        rows.append((r[SOURCE_FILE], running - int(lo)))
+        running += n
+    offsets = df.sparkSession.createDataFrame(rows, "_dense_file string, _off long")
+    return (df.join(F.broadcast(offsets), F.col(SOURCE_FILE) == F.col("_dense_file"))
+            .withColumn(name, F.col("_off") + F.col(SOURCE_ROW)).drop("_off", "_dense_file"))
+
+
 def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column] | None = None,
                       start: int = 1) -> DataFrame:
     """WN-01: ``name`` = 1..n as the first column, in ``order_by`` order
@@ -108,7 +144,11 @@ def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column]
     if not order_by:
         order_by = ordinal_columns(df) or list(df.columns)
     cols = list(df.columns)
-    keyed = positions(df, order_by, name=name, start=start)
+    keyed = None
+    if list(order_by) == ordinal_columns(df):
+        keyed = dense_positions(df, name, start)
+    if keyed is None:
+        keyed = positions(df, order_by, name=name, start=start)
     return keyed.select(name, *cols)
 
 

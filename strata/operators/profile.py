@@ -202,13 +202,20 @@ def catalog_frame(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataF
 
 
 def preview(name: str, df: DataFrame, max_columns: int = 12) -> DataFrame:
-    """PR-15: shape, first ``max_columns`` columns, dtype and null count (one aggregate)."""
+    """PR-15: shape, first ``max_columns`` columns, dtype, null count and the
+    first non-null value in file order (one aggregate)."""
     cols = _data_columns(df, max_columns)
-    exprs = [F.count(F.lit(1)).alias("_rows")] + [
-        F.count(F.when(_is_null(c, df.schema[c].dataType), 1)).alias(f"n{i}") for i, c in enumerate(cols)]
+    ords = ordinal_columns(df)
+    at = F.struct(*[F.col(o) for o in ords]) if ords else None
+    exprs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        null = _is_null(c, df.schema[c].dataType)
+        text = F.when(~null, F.col(f"`{c}`").cast("string"))
+        exprs += [F.count(F.when(null, 1)).alias(f"n{i}"),
+                  (F.min_by(text, F.when(~null, at)) if ords else F.first(text, ignorenulls=True)).alias(f"s{i}")]
     row = df.agg(*exprs).first()
     ncols = len(_data_columns(df, None))
-    data = [(name, int(row["_rows"]), ncols, i, c, df.schema[c].dataType.simpleString(), int(row[f"n{i}"]))
+    data = [(name, int(row["_rows"]), ncols, i, c, df.schema[c].dataType.simpleString(), int(row[f"n{i}"]), row[f"s{i}"])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
-        data, "dataset string, rows long, columns int, column_no int, column string, dtype string, null_count long")
+        data, "dataset string, rows long, columns int, column_no int, column string, dtype string, null_count long, sample_value string")

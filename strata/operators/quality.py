@@ -3,9 +3,10 @@
 Per table: ONE aggregate job for row count and per-column null counts, and
 an exact duplicate-row count that shuffles two 64-bit hashes per row instead
 of whole rows: rows are grouped by (xxhash64, salted xxhash64); only rows in
-hash groups of size > 1 (candidates) are compared whole. Hash equality is
-necessary for row equality, so the count is exact; collisions only add
-candidates to verify. The report never blocks the pipeline.
+hash groups of size > 1 (candidates) are compared whole, and without a
+candidate the count ends there. Hash equality is necessary for row equality,
+so the count is exact; collisions only add candidates to verify. The report
+never blocks the pipeline.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import map_jobs
+from ..session import map_jobs, stage_table
 from .keys import SOURCE_ROW
 
 FILE_SCHEMA = T.StructType([
@@ -43,6 +44,11 @@ def duplicate_check_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("pk_") and c != SOURCE_ROW]
 
 
+#: Candidate hashes are broadcast up to this many (16 bytes each); beyond it
+#: both sides are shuffled by hash.
+MAX_BROADCAST_HASHES = 500_000
+
+
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> int:
     """AG-09: rows beyond the first of each identical group (exact)."""
     cols = list(cols) if cols is not None else duplicate_check_columns(df)
@@ -50,8 +56,14 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> int:
         return 0
     refs = [F.col(f"`{c}`") for c in cols]
     hashed = df.select(F.xxhash64(*refs).alias("_h1"), F.xxhash64(F.lit("strata"), *refs).alias("_h2"), *refs)
-    cand = (hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > 1).select("_h1", "_h2"))
+    cand = stage_table(hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+                       .where(F.col("_n") > 1).select("_h1", "_h2"), "repeated-hashes")
+    n = cand.count()
+    if n == 0:
+        return 0
+    # the join drops every other row where it is read; equal rows then meet
+    # in the partial aggregate before anything is shuffled
+    cand = F.broadcast(cand) if n <= MAX_BROADCAST_HASHES else cand
     suspects = hashed.join(cand, ["_h1", "_h2"], "left_semi").select(*refs)
     row = (suspects.groupBy(*refs).agg(F.count(F.lit(1)).alias("_n"))
            .agg(F.sum(F.col("_n") - 1).alias("d")).first())

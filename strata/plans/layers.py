@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import clean
 from ..functions.dates import DATE_FORMATS, parse_generic, parse_text_with
 from ..operators.aggregate import group_aggregate
-from ..operators.joins import combine_sources
+from ..operators.joins import combine_sources, null_key_warnings
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, add_surrogate_key, dedup_keep_first, ordinal_columns
 from ..operators.stats import column_decisions, mean_value, median_value, mode_value
 from ..session import stage_table
@@ -341,6 +341,8 @@ def run_gold(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule], matc
 
     for plan in gold_plans(rules, list(sources), cols_of, match):
         frames = [sources[s] for s in plan.sources]
+        if null_keys_match:
+            res.warnings += [(plan.target_table, keys, text) for keys, text in null_key_warnings(frames)]
         df = combine_sources(frames, null_keys_match=null_keys_match)
         res.tables[plan.target_table] = _gold_table(df, plan, res, key_order.get(plan.target_table))
     return res
@@ -367,7 +369,7 @@ def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str
         df, errs = group_aggregate(df, group, aggs)
         for e in errs:
             res.warnings.append((plan.target_table,) + e)
-        grouped = True
+        grouped = len(errs) < len(aggs)
     elif aggs and not group:
         res.warnings.append((plan.target_table, "", "aggregate rules ignored: no grouping column"))
     # PR-05: keep target columns (+ _*, pk_*); if nothing matches keep all

@@ -179,7 +179,11 @@ def read_first(store: DataFrame, key: str, n: int = 5) -> DataFrame:
 
 def normalise_answers(raw: DataFrame, question: str, col: str = "payload") -> DataFrame:
     """FN-21: a raw JSON answer -> direct_answer struct (string or object
-    accepted), charts kept only when objects, counters of what was fixed."""
+    accepted), charts kept only when objects, and the seven counters and flags
+    of what was found: analysis_was_dict, direct_answer_was_dict,
+    direct_answer_was_string, charts_input_count, charts_output_count,
+    invalid_chart_specs_dropped, detailed_analysis_was_string. An absent
+    direct answer counts as an empty object, an absent analysis as text."""
     j = F.col(col)
     da_obj = F.from_json(F.get_json_object(j, "$.direct_answer"),
                          "question string, answer string, why string, approach string")
@@ -204,8 +208,17 @@ def normalise_answers(raw: DataFrame, question: str, col: str = "payload") -> Da
         .otherwise(F.struct(F.lit(question).alias("question"),
                             nz(da_str, "No answer provided").alias("answer"),
                             F.lit("").alias("why"), F.lit("No methodology provided").alias("approach")))
+    whole = kind("$").startswith("OBJECT")
+
+    def absent(path):
+        return ~whole | (kind(path) == "")
     return raw.select(
         "*",
+        whole.alias("analysis_was_dict"),
+        (is_obj | absent("$.direct_answer")).alias("direct_answer_was_dict"),
+        (kind("$.direct_answer") == "STRING").alias("direct_answer_was_string"),
+        ((kind("$.detailed_analysis") == "STRING") | absent("$.detailed_analysis")).alias("detailed_analysis_was_string"),
+        F.coalesce(F.size(chart_objs), F.lit(0)).alias("charts_output_count"),
         direct.alias("direct_answer"),
         F.coalesce(chart_objs, F.array().cast("array<string>")).alias("charts"),
         F.coalesce(F.size(charts), F.lit(0)).alias("charts_input_count"),

@@ -1420,3 +1420,6 @@ def rule_warnings(spark, sf):
     res = run_gold(OrderedDict(orders=o), rules)
     res.tables["status_mix"].write.format("noop").mode("overwrite").save()
     return warnings_frame(spark, "gold", res)
+
+
+from . import registry_runs  # noqa: E402,F401  adds its queries to the same tables

@@ -56,8 +56,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def write_trace(traces: DataFrame, path: str) -> str:
-    """SC-15: append trace records."""
-    return write_json(traces, path, mode="append")
+    """SC-15: append trace records (as many files as the frame has parts)."""
+    traces.write.mode("append").json(path)
+    return path
 
 
 def answer_frame(spark: SparkSession, run_id: str, question: str, answer: str, why: str, approach: str,
@@ -76,6 +77,26 @@ def quality_paths(root: str, run_id: str) -> dict[str, str]:
     return {layer: os.path.join(root, "quality", run_id, layer) for layer in ("bronze", "silver", "gold")}
 
 
+def read_reports(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """SC-13: the reports of a run's layers as one frame; a layer without a
+    report adds no row."""
+    from ..operators.quality import FILE_SCHEMA
+    out = spark.createDataFrame([], FILE_SCHEMA)
+    for path in quality_paths(root, run_id).values():
+        out = out.unionByName(read_json(spark, path, FILE_SCHEMA))
+    return out
+
+
+def ensure_report(spark: SparkSession, root: str, run_id: str, layer: str, tables) -> bool:
+    """QL-05: write the layer's report where it is missing; True if it was."""
+    from ..operators.quality import validate_layer
+    path = quality_paths(root, run_id)[layer]
+    if _exists(spark, path):
+        return False
+    write_json(validate_layer(spark, layer, tables, run_id)[0], path)
+    return True
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))  # noqa: SLF001
