@@ -70,8 +70,8 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> int:
     return int(row["d"] or 0)
 
 
-def null_pct_by_column(df: DataFrame) -> tuple[int, dict[str, float]]:
-    """AG-08: (row count, null % per column rounded to 2 dp; empty -> 0.0)."""
+def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """(row count, nulls per column; NaN counts as null), one aggregate."""
     exprs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(df.columns):
         col = F.col(f"`{c}`")
@@ -81,8 +81,17 @@ def null_pct_by_column(df: DataFrame) -> tuple[int, dict[str, float]]:
         exprs.append(F.count(F.when(isn, 1)).alias(f"n{i}"))
     row = df.agg(*exprs).first()
     rows = int(row["_rows"])
-    pct = {c: (round(row[f"n{i}"] * 100.0 / rows, 2) if rows else 0.0) for i, c in enumerate(df.columns)}
-    return rows, pct
+    return rows, {c: int(row[f"n{i}"]) for i, c in enumerate(df.columns)}
+
+
+def null_percent(rows: int, nulls: Mapping[str, int]) -> dict[str, float]:
+    return {c: (round(n * 100.0 / rows, 2) if rows else 0.0) for c, n in nulls.items()}
+
+
+def null_pct_by_column(df: DataFrame) -> tuple[int, dict[str, float]]:
+    """AG-08: (row count, null % per column rounded to 2 dp; empty -> 0.0)."""
+    rows, nulls = null_counts(df)
+    return rows, null_percent(rows, nulls)
 
 
 def compare_columns(actual: Sequence[str], expected: Sequence[str] | None) -> tuple[list[str], list[str]]:
@@ -98,13 +107,13 @@ def file_summary(name: str, df: DataFrame, expected: Sequence[str] | None = None
     flag); a failure becomes a warning, never an error."""
     out = {"file_path": name, "warnings": []}
     try:
-        rows, pct = null_pct_by_column(df)
+        rows, nulls = null_counts(df)
         dups = duplicate_count(df) if rows else 0
         missing, unexpected = compare_columns(df.columns, expected)
         out.update({
             "row_count": rows, "column_count": len(df.columns), "columns": list(df.columns),
             "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
-            "null_pct_by_column": pct, "duplicate_row_count": dups, "is_empty": rows == 0,
+            "null_pct_by_column": null_percent(rows, nulls), "null_counts": nulls, "duplicate_row_count": dups, "is_empty": rows == 0,
             "missing_expected_columns": missing, "unexpected_columns": unexpected,
         })
         if rows == 0:
@@ -147,6 +156,8 @@ def validate_layer(spark: SparkSession, layer: str, tables: Mapping[str, DataFra
         "warn_only": True, "status": "warning" if total_w else "passed",
         "summary": {"file_count": len(tables) if tables else 0, "files_with_warnings": with_w,
                     "total_warnings": total_w},
+        # exact counts, for steps that would scan the tables for them again
+        "null_counts": {f["file_path"]: f["null_counts"] for f in files if "null_counts" in f},
     }
     return frame, summary
 

@@ -141,6 +141,61 @@ def median_value(df: DataFrame, c: str) -> float | None:
     return (float(mid[0]) + float(mid[1])) / 2.0
 
 
+def fill_values(df: DataFrame, fills: dict[str, str], limit: int = 200_000, accuracy: int = 10_000) -> dict:
+    """The fill statistic (``mean``, ``median`` or ``mode``) of every column
+    in ``fills``, as few jobs as one column needs: one aggregate for all means
+    and median sketches, one that counts inside all median brackets, one that
+    groups the values of all brackets, one union of the modes. A median whose
+    bracket holds more than ``limit`` values goes on alone (``median_value``).
+    """
+    out: dict = dict.fromkeys(fills)
+    first: dict = {}
+    number = {c: as_double(c, df.schema[c].dataType) for c, op in fills.items() if op in ("mean", "median")}
+    number = {c: F.when(~F.isnan(d), d) for c, d in number.items()}
+    medians = [c for c, op in fills.items() if op == "median"]
+    if number:
+        half, margin = 0.5, 2.0 / accuracy
+        exprs = [F.avg(d).alias(f"m{i}") if fills[c] == "mean" else F.struct(
+            F.count(d).alias("n"), F.percentile_approx(d, [half - margin, half + margin], accuracy).alias("b")).alias(f"m{i}")
+            for i, (c, d) in enumerate(number.items())]
+        row = df.agg(*exprs).first()
+        first = {c: row[f"m{i}"] for i, c in enumerate(number)}
+        out.update({c: None if first[c] is None else float(first[c]) for c in number if fills[c] == "mean"})
+    medians = [c for c in medians if first[c]["n"]]
+    if medians:
+        inside = {c: number[c].between(*[F.lit(float(x)) for x in first[c]["b"]]) for c in medians}
+        row = df.agg(*[F.struct(F.count_if(number[c] < F.lit(float(first[c]["b"][0]))).alias("below"),
+                                F.count_if(inside[c]).alias("inside")).alias(f"c{i}") for i, c in enumerate(medians)]).first()
+        counts = {c: row[f"c{i}"] for i, c in enumerate(medians)}
+        ranks = {c: ((first[c]["n"] - 1) // 2, first[c]["n"] // 2) for c in medians}
+        held = [c for c in medians if counts[c]["inside"] <= limit and counts[c]["below"] <= ranks[c][0]
+                and ranks[c][1] < counts[c]["below"] + counts[c]["inside"]]
+        if held:
+            values = F.array(*[F.when(inside[c], F.struct(F.lit(i).alias("i"), number[c].alias("v"))) for i, c in enumerate(held)])
+            pairs = df.select(F.explode(F.array_compact(values)).alias("p")).groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("k"))
+            ends = {c: counts[c]["below"] for c in held}
+            picked: dict[str, list] = {c: [] for c in held}
+            for r in sorted(pairs.collect(), key=lambda r: (r["i"], r["v"])):
+                c = held[r["i"]]
+                ends[c] += r["k"]
+                picked[c] += [r["v"]] * sum(1 for k in ranks[c][len(picked[c]):] if k < ends[c])
+            out.update({c: (float(a) + float(b)) / 2.0 for c, (a, b) in picked.items()})
+        for c in medians:
+            if c not in held:
+                out[c] = median_value(df, c)
+    modes = [c for c, op in fills.items() if op == "mode"]
+    if modes:
+        top = None
+        for i, c in enumerate(modes):
+            best = (df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                    .orderBy(F.desc("n"), F.asc("v")).limit(1))
+            best = best.select(F.lit(i).alias("i"), *[F.col("v").alias(f"v{j}") if j == i else F.lit(None).cast(df.schema[x].dataType).alias(f"v{j}")
+                                                      for j, x in enumerate(modes)])
+            top = best if top is None else top.unionByName(best)
+        out.update({modes[r["i"]]: r[f"v{r['i']}"] for r in top.collect()})
+    return out
+
+
 def mode_value(df: DataFrame, c: str):
     """AG-07: most frequent non-null value, smallest on a tie (D11); None when
     the column is all null. ``groupBy`` + top-1 keeps only one row per task."""

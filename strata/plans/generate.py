@@ -84,16 +84,19 @@ def silver_logic(name: Column, is_int: Column, is_num: Column, is_time: Column,
             .otherwise(SILVER_TEXT))
 
 
-def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], with_nulls: bool = True) -> DataFrame:
+def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], with_nulls: bool = True,
+                   null_counts: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
     """(table, table_no, column_no, column, dtype, is_int, is_num, is_time,
-    has_nulls); ``has_nulls`` of all tables costs ONE job (a branch per
+    has_nulls); ``has_nulls`` comes from ``null_counts`` where a report
+    already holds them, and costs ONE job for all other tables (a branch per
     table, each an array of per-column null flags, unioned)."""
+    known = null_counts or {}
     rows = []
     items = list(tables.items())
     colsets = [[c for c in df.columns if c != SOURCE_ROW] for _, df in items]
     flags: dict[int, list] = {}
     branches = [df.agg(F.lit(ti).alias("_t"), F.array(*[F.max(is_missing(df, c).cast("int")) for c in cols]).alias("_n"))
-                for ti, ((_, df), cols) in enumerate(zip(items, colsets)) if with_nulls and cols]
+                for ti, ((name, df), cols) in enumerate(zip(items, colsets)) if with_nulls and cols and name not in known]
     if branches:
         out = branches[0]
         for b in branches[1:]:
@@ -101,6 +104,8 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], with_nu
         flags = {int(r["_t"]): list(r["_n"]) for r in out.collect()}
     for ti, ((name, df), cols) in enumerate(zip(items, colsets)):
         nulls = {c: bool(flags[ti][i]) for i, c in enumerate(cols)} if ti in flags else {}
+        if with_nulls and name in known:
+            nulls = {c: known[name].get(c, 0) > 0 for c in cols}
         for ci, c in enumerate(cols):
             dt = df.schema[c].dataType
             rows.append((name, ti, ci, c, dt.simpleString(),

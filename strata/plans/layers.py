@@ -2,8 +2,9 @@
 
 Rules are parsed on the driver into typed steps and folded into ONE lazy
 ``select`` per stage. The only eager points are the whole-column decisions
-(integer all-or-nothing, first-format date vote, fill statistics); decisions
-between two row-changing steps are batched into one aggregate job.
+(integer all-or-nothing, first-format date vote, fill statistics); those
+between two row-changing steps are batched, so that the number of jobs
+doesn't depend on the number of columns.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..functions.dates import DATE_FORMATS, parse_generic, parse_text_with
 from ..operators.aggregate import group_aggregate
 from ..operators.joins import combine_sources, null_key_warnings
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, add_surrogate_key, dedup_keep_first, ordinal_columns
-from ..operators.stats import column_decisions, mean_value, median_value, mode_value
+from ..operators.stats import column_decisions, fill_values
 from ..session import stage_table
 from .rules import (GoldPlan, Rule, gold_plans, parse_bronze, parse_silver, rules_for_table)
 
@@ -48,6 +49,7 @@ class _Frame:
         self.df = df
         self.cols: "OrderedDict[str, Column]" = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
         self.pending: dict[str, tuple[str, str]] = {}   # col -> (kind, date_mode)
+        self.fills: dict[str, list[tuple]] = {}         # col -> its fill and the steps that wait for it
         self.shuffled = False   # lineage holds a shuffle (dedup) not yet written
 
     def reset(self, df: DataFrame) -> None:
@@ -83,7 +85,7 @@ class _Frame:
         return True
 
     def resolve_col(self, c: str) -> None:
-        if c in self.pending:
+        if c in self.pending or c in self.fills:
             self.resolve()
 
     def resolve(self) -> None:  # overridden below
@@ -151,10 +153,17 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
 
 class Frame(_Frame):
     def resolve(self) -> None:
-        """Settle pending whole-column decisions in one aggregate job."""
+        """Settle pending whole-column decisions in one aggregate job, and the
+        pending fills of all columns together (``fill_values``)."""
+        if self.pending or self.fills:
+            self.settle()
+        while self.pending or self.fills:
+            self._decide()
+            self._fill()
+
+    def _decide(self) -> None:
         if not self.pending:
             return
-        self.settle()
         frame = self.current()
         ints = [c for c, (k, _) in self.pending.items() if k == "integer"]
         dates = [c for c, (k, m) in self.pending.items() if k == "date" and m == "first_format"]
@@ -168,7 +177,21 @@ class Frame(_Frame):
                 self.cols[c] = _apply(self.cols[c], dt, "date_first", votes.get(c))
         self.pending = {}
 
+    def _fill(self) -> None:
+        waiting, self.fills = self.fills, {}
+        if not waiting:
+            return
+        values = fill_values(self.current(), {c: steps[0][1] for c, steps in waiting.items()})
+        for c, steps in waiting.items():
+            if values[c] is not None:
+                self.apply(c, "fill_value", values[c])
+            for how, kind, arg in steps[1:]:
+                (self.apply if how == "apply" else self.defer)(c, kind, arg)
+
     def apply(self, c: str, kind: str, arg=None) -> None:
+        if c in self.fills:
+            self.fills[c].append(("apply", kind, arg))
+            return
         self.resolve_col(c)
         dt = self.dtype(c)
         out = _apply(self.cols[c], dt, kind, arg)
@@ -176,9 +199,20 @@ class Frame(_Frame):
             self.cols[c] = out
 
     def defer(self, c: str, kind: str, mode: str = "") -> None:
+        if c in self.fills:
+            self.fills[c].append(("defer", kind, mode))
+            return
         self.resolve_col(c)
         self.pending[c] = (kind, mode)
 
+    def defer_fill(self, c: str, statistic: str) -> None:
+        """Fill from a statistic of the column as it stands now. Rules on
+        other columns don't change it, and whatever changes the rows settles
+        it first, so it can wait for the fills of the other columns; the
+        column's later steps wait with it."""
+        self.resolve_col(c)
+        self.fills[c] = [("fill", statistic, None)]
+
 
 # ---------------------------------------------------------------------------
 # RX-01 bronze
@@ -275,13 +309,9 @@ def run_silver(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
                 fr.materialize()
                 fr.reset(fr.df.na.drop(subset=[work]))
             elif st.null_op in ("mean", "median", "mode"):
-                fr.materialize()
-                fr.settle()
-                stat = {"mean": mean_value, "median": median_value, "mode": mode_value}[st.null_op]
-                value = stat(fr.df, work)
-                if value is not None:
-                    fr.apply(work, "fill_value", value)
+                fr.defer_fill(work, st.null_op)
             elif st.null_op == "default":
+                fr.resolve_col(work)
                 before = fr.cols[work]
                 fr.apply(work, "fill_default")
                 if fr.cols[work] is before:

@@ -108,7 +108,7 @@ def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root
     ART.write_json(res.quality["bronze"][0], ART.quality_paths(root, run_id)["bronze"])
 
     # silver
-    s_rules = _settled(hook("silver", silver_rules(column_catalog(spark, bronze))))
+    s_rules = _settled(hook("silver", silver_rules(column_catalog(spark, bronze, null_counts=res.quality["bronze"][1]["null_counts"]))))
     res.rules["silver"] = s_rules
     selection_guard(s_rules)
     ART.write_rules(s_rules, os.path.join(root, "rules", run_id, "silver"))
