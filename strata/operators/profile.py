@@ -4,12 +4,11 @@ notes and join-key candidates (AG-02..AG-04, FN-12, FN-13, JN-04, PR-15).
 Cost per table: a row count, then ONE job of per-column aggregate branches
 (non-null count, exact distinct count, min/max/mean, first non-null sample
 in file order) unioned together: each branch reads only its column
-(columnar pruning) and aggregates map-side on the native type. Only text columns with fewer than
-``lov_max`` distinct values are grouped by (column, value) for their value
-lists - a tiny shuffle. Tables larger than ``approx_above`` rows first get
-a HyperLogLog pass; columns whose estimate exceeds the limit keep the
-estimate (flagged ``unique_exact=false``), so a billion-key column does not
-force a full shuffle of itself.
+(columnar pruning) and aggregates map-side on the native type. Distinct
+counts are exact at any size; ``estimate_distinct=True`` asks for HyperLogLog
+estimates instead (flagged ``unique_exact=false``). Only text columns with
+fewer than ``lov_max`` distinct values are grouped by (column, value) for
+their value lists - a tiny shuffle.
 """
 
 from __future__ import annotations
