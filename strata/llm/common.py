@@ -36,12 +36,15 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(none, doc_id, text).alias("_k1"), F.xxhash64(F.lit(71), text, none, doc_id).alias("_k2")]
 
 
-def free_name(taken: list[str], name: str) -> str:
-    """``name``, with underscores until no column has it."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
+def whole_row(names: list[str]) -> Column:
+    """The named columns as one struct, whatever characters the names hold."""
+    return F.struct(*[F.col(f"`{c}`") for c in names])
+
+
+def numbered(names: list[str]) -> list[Column]:
+    """The named columns as c0, c1, ... and ``text``: Arrow steps look up
+    their input columns by plain names."""
+    return [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(names)]
 
 
 def text_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import text_slices
+from .common import numbered, text_slices
 
 TRAIN_DOCS, TRAIN_BYTES, SEGMENT = 200, 40_000, 2048
 #: Bits a byte by which one language must do better for odds of 2 to 1.
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: CrossParser) -> DataFrame:
     from pyspark.sql import types as T
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in names],
                            T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.select(*numbered(names)).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

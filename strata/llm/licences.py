@@ -4,8 +4,8 @@ A multinomial logistic regression over sparse word 1- and 2-grams names the
 licence family of a paragraph (a line of text), with a class for paragraphs
 that are no licence. It is trained here: positives are the template
 paragraphs below and seeded edits of them; the unknown class learns from a
-bounded sample of the corpus (``sample_docs`` documents by a seeded hash, at
-most ``sample_lines`` lines) and from shuffled template words. The acceptance
+bounded sample of the corpus (``sample_docs`` documents by a seeded hash, of
+each at most ``sample_chars`` characters, at most ``sample_lines`` lines) and from shuffled template words. The acceptance
 threshold is calibrated on a held-out third. A prediction counts only if a
 template of the family confirms it: 0.8 or more of the template's five-word
 shingles (all its words, if it has fewer) in the paragraph, or of the paragraph's in
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import numbered, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-SAMPLE_DOCS, SAMPLE_LINES, EDITS = 400, 2000, 12
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS, EDITS = 400, 2000, 4000, 12
 UNKNOWN = "unknown"
 
 #: Notices and opening paragraphs of public licences, by family.
@@ -160,7 +160,8 @@ def _edited(ws: list[str], rng: random.Random, filler: list[str]) -> list[str]:
     return take() + out + take()
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, seed: int = 3) -> LicenceModel:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES,
+          sample_chars: int = SAMPLE_CHARS, seed: int = 3) -> LicenceModel:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors
 
@@ -169,7 +170,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
     # the least seeded hashes first, as numbers only; then the texts they belong to
     ranked = docs.where(F.col("text").isNotNull()).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     edge = ranked.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
-    sample = [] if edge is None else (ranked.where(F.col("_h") <= edge).select(F.substring("text", 1, 4000).alias("text"))
+    sample = [] if edge is None else (ranked.where(F.col("_h") <= edge).select(F.substring("text", 1, sample_chars).alias("text"))
                                       .limit(2 * sample_docs).collect())
     lines = sorted({w for r in sample for w in r["text"].split("\n") if w.strip()})
     rng.shuffle(lines)
@@ -226,4 +227,4 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count, pa.int64()), pa.array(found, kind)], [*names, "n_paragraphs", "licences"])
 
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in names], T.StructField("n_paragraphs", T.LongType()), T.StructField("licences", T.ArrayType(item))])
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.select(*numbered(names)).mapInArrow(run, schema)

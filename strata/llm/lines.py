@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .common import row_key
+from .common import row_key, whole_row
 
 WINDOW = 3
 
@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cut out of ``text``, plus _n_lines and _n_removed."""
     gone = later_lines(docs, window)
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*rest).alias("_row") if rest else F.lit(None).alias("_row"), "text",
+    rows = docs.select(whole_row(rest).alias("_row") if rest else F.lit(None).alias("_row"), "text",
                        *row_key(F.col("doc_id"), F.col("text")))
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: lines[i])

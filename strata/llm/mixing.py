@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from ..operators.keys import positions
 from ..session import stage_table
-from .common import WORD, sized
+from .common import WORD, sized, whole_row
 
 SEED = 20240607
 #: Seeded ranks have 60 bits; their top bits make the buckets whose sizes
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     source) where they are read."""
     sizes = stage_table(_measured(docs, [], seed), "mix-sizes")
     plan, n = source_plan(sizes, weights, max_epochs)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_s"),
+    rows = docs.select(whole_row(docs.columns).alias("_row"), F.col("source").alias("_s"),
                        seeded_rank(F.col("doc_id"), F.col("text"), seed).alias("_r"))
     p = sized(plan, n)
     copies = _copies("_r").cast("int")

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .common import row_key, text_slices, texts_of
+from .common import row_key, text_slices, texts_of, whole_row
 from .components import connected_components
 
 SHINGLE, MAX_BITS = 4, 4
 #: Fingerprints that shape the shard tree, at most about; points of a shard
 #: at which the tree starts to grow; points of a leaf inside a shard.
 SAMPLE, SHARD, LEAF = 20_000, 8_192, 96
+#: Shingle hashes whose bits are counted at once.
+HASH_BLOCK = 1 << 17
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -60,13 +62,12 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     flat = np.array([x for h in hashes for x in h], np.uint64)
     first = (np.cumsum(n) - n)[some]
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for lo in range(0, len(some), 512):  # bounded bit matrices
-        part = some[lo: lo + 512]
-        a, b = first[lo], first[lo] + 0
-        b = int(first[lo + len(part) - 1] + n[part[-1]])
-        bits = np.unpackbits(flat[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits = np.add.reduceat(bits, first[lo: lo + len(part)] - a, axis=0, dtype=np.int32)
-        out[part] = ((set_bits * 2 > n[part, None]) * weight).sum(axis=1, dtype=np.uint64)
+    set_bits = np.zeros((len(some), 64), np.int64)
+    for a in range(0, len(flat), HASH_BLOCK):  # bounded bit matrices, also inside one long text
+        bits = np.unpackbits(flat[a: a + HASH_BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lo, hi = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, a + len(bits))
+        set_bits[lo:hi] += np.add.reduceat(bits, np.maximum(first[lo:hi] - a, 0), axis=0, dtype=np.int64)
+    out[some] = ((set_bits * 2 > n[some, None]) * weight).sum(axis=1, dtype=np.uint64)
     return out
 
 
@@ -244,7 +245,7 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -
     here = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_k1", "_k2")
     first = near.where(here.eqNullSafe(F.col("_first"))).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"))
     first = stage_table(first, "simhash-first")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col("doc_id"), F.col("text"))).join(first, ["_k1", "_k2"])
+    rows = docs.select(whole_row(docs.columns).alias("_row"), *row_key(F.col("doc_id"), F.col("text"))).join(first, ["_k1", "_k2"])
     once = rows.where(F.col("_n") == 1).select("_row.*")
     if first.where(F.col("_n") > 1).isEmpty():
         return once

@@ -29,5 +29,5 @@ def clashing(odd):
     from pyspark.sql import functions as F
     names = ["_row", "_k1", "_k2", "_n", "_r", "_s", "_size", "_rank", "_source", "_id", "_pos", "key", "bucket", "fp", "shard",
              "size", "target", "copies", "blob", "spans", "rule_version", "length", "start", "n_words", "kept", "lang_pred", "lang_score",
-             "n_paragraphs", "licences", "component_id", "_t", "_l", "id", "gram", "n"]
+             "n_paragraphs", "licences", "component_id", "_t", "_l", "id", "gram", "n", "a.b", "two words"]
     return odd.select("*", *[F.lit("x").alias(c) for c in names])

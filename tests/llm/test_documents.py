@@ -323,3 +323,13 @@ def test_repeats_brute_force(spark, odd, docs):
 def test_interval_tree():
     assert sorted(repeats.interval_tree([60, 55, 10, 52], 50)) == [(0, 1, 60), (0, 2, 55), (3, 4, 52)]
     assert repeats.interval_tree([], 50) == []
+
+
+def test_fingerprints_do_not_depend_on_the_block(monkeypatch):
+    texts = [b"", b"one", b"a b c d e", b" ".join(b"w%d" % (i % 97) for i in range(500)), b"  ", b"x y z", b"one two three four five six"] * 3
+    whole = simhash.fingerprints_of(texts)
+    monkeypatch.setattr(simhash, "HASH_BLOCK", 7)
+    assert (simhash.fingerprints_of(texts) == whole).all()
+    for text, fp in zip(texts, whole.tolist()):
+        hashes = simhash.shingle_hashes(text)
+        assert fp == sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
