@@ -57,12 +57,18 @@ def error_class(message: Column) -> Column:
     return expr.otherwise(ERROR_CLASS_DEFAULT)
 
 
+# The message texts that FN-24 and FN-28 look for.
+RETRY_SECONDS = r"try again in\s+([0-9]+(?:\.[0-9]+)?)s"
+RETRY_MINUTES = r"try again in\s+([0-9]+)m([0-9]+(?:\.[0-9]+)?)s"
+FAILED_GENERATION = r"(?is)failed_generation['\"]?\s*[:=]\s*['\"](.+?)['\"](?:[}\n]|$)"
+
+
 def retry_after_seconds(message: Column) -> Column:
     """FN-24: "try again in 12.5s" -> 12.5, "try again in 14m29.1s" -> 869.1."""
     low = F.lower(message)
-    secs = F.regexp_extract(low, r"try again in\s+([0-9]+(?:\.[0-9]+)?)s", 1)
-    mins = F.regexp_extract(low, r"try again in\s+([0-9]+)m([0-9]+(?:\.[0-9]+)?)s", 1)
-    msec = F.regexp_extract(low, r"try again in\s+([0-9]+)m([0-9]+(?:\.[0-9]+)?)s", 2)
+    secs = F.regexp_extract(low, RETRY_SECONDS, 1)
+    mins = F.regexp_extract(low, RETRY_MINUTES, 1)
+    msec = F.regexp_extract(low, RETRY_MINUTES, 2)
     return (F.when(secs != "", secs.cast("double"))
             .when(mins != "", mins.cast("double") * 60 + msec.cast("double")))
 
@@ -70,7 +76,7 @@ def retry_after_seconds(message: Column) -> Column:
 def failed_generation(message: Column) -> Column:
     """FN-28: the quoted failed-generation text (≤500 chars), else the 500
     characters from the marker on, else ""."""
-    quoted = F.regexp_extract(message, r"(?is)failed_generation['\"]?\s*[:=]\s*['\"](.+?)['\"](?:[}\n]|$)", 1)
+    quoted = F.regexp_extract(message, FAILED_GENERATION, 1)
     pos = F.instr(F.lower(message), "failed_generation")
     return (F.when(quoted != "", F.substring(quoted, 1, 500))
             .when(pos > 0, message.substr(pos, F.lit(500)))

@@ -8,14 +8,13 @@ ordering: a business key, or the row ordinal recorded at the scan
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import stage_path
 
 SOURCE_FILE = "_source_file"
 SOURCE_ROW = "_source_row"
@@ -41,8 +40,7 @@ def sorted_table(df: DataFrame, order_by: Sequence[str | Column], with_path: boo
     files into read partitions.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/sorted-{uuid.uuid4().hex}"
+    path = stage_path(spark, "sorted")
     df.orderBy(*_cols(order_by)).write.option("maxRecordsPerFile", 0).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     tagged = back.select("*",
@@ -99,40 +97,45 @@ def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos
             .drop("_part", "_local", "_pid", "_off"))
 
 
-MAX_DENSE_FILES = 100_000
+MAX_DENSE_BLOCKS = 100_000
+#: Ordinals of split text scans hold the block start above these low bits;
+#: those of whole files are below it.
+BLOCK_SIZE = 2 ** 33
 
 
 def dense_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | None:
     """Positions in file order without a sort or a copy, where the ordinal
-    itself counts the rows: no row of a file was dropped, so its ordinals run
-    from the smallest to the largest without a gap or a repeat (checked by
-    count, range, sum and sum of squares, in one aggregate that reads the
-    ordinal columns alone). The offsets have one row a file and are broadcast
-    up to ``MAX_DENSE_FILES`` files. None where that doesn't hold: sort then.
+    itself counts the rows: no row of a file (or of a block of a split file)
+    was dropped, so the ordinals run from the smallest to the largest without
+    a gap or a repeat (checked by count, range, sum and sum of squares, in one
+    aggregate that reads the ordinal columns alone). The offsets have one row
+    a block and are broadcast up to ``MAX_DENSE_BLOCKS`` blocks. None where
+    that doesn't hold: sort then.
     """
     if SOURCE_ROW not in df.columns or SOURCE_FILE not in df.columns:
         return None
-    row = F.col(SOURCE_ROW).cast("decimal(19,0)")
-    files = (df.groupBy(SOURCE_FILE)
-             .agg(F.count(F.lit(1)).alias("n"), F.count(SOURCE_ROW).alias("n_set"), F.min(SOURCE_ROW).alias("lo"),
-                  F.try_sum(row).alias("s1"), F.try_sum(row * row).alias("s2"))
-             .limit(MAX_DENSE_FILES + 1).collect())
-    if len(files) > MAX_DENSE_FILES:
+    block, low = F.expr(f"{SOURCE_ROW} div {BLOCK_SIZE}"), F.expr(f"cast({SOURCE_ROW} % {BLOCK_SIZE} as bigint)")
+    row = low.cast("decimal(19,0)")
+    blocks = (df.groupBy(SOURCE_FILE, block.alias("block"))
+              .agg(F.count(F.lit(1)).alias("n"), F.count(SOURCE_ROW).alias("n_set"), F.min(low).alias("lo"),
+                   F.try_sum(row).alias("s1"), F.try_sum(row * row).alias("s2"))
+              .limit(MAX_DENSE_BLOCKS + 1).collect())
+    if len(blocks) > MAX_DENSE_BLOCKS:
         return None
     rows, running = [], start
-    for r in sorted(files, key=lambda r: r[SOURCE_FILE] or ""):
-        n, lo = int(r["n"]), r["lo"]
+    for r in sorted(blocks, key=lambda r: (r[SOURCE_FILE] or "", r["block"] or 0)):
+        n, lo = r["n"], r["lo"]
         if r[SOURCE_FILE] is None or r["n_set"] != n or r["s1"] is None or r["s2"] is None:
             return None
         # sums of lo, lo + 1, ... lo + n - 1 and of their squares
         if int(r["s1"]) != n * lo + n * (n - 1) // 2 or \
                 int(r["s2"]) != n * lo * lo + lo * n * (n - 1) + (n - 1) * n * (2 * n - 1) // 6:
             return None
-        rows.append((r[SOURCE_FILE], running - int(lo)))
+        rows.append((r[SOURCE_FILE], r["block"], running - lo))
         running += n
-    offsets = df.sparkSession.createDataFrame(rows, "_dense_file string, _off long")
-    return (df.join(F.broadcast(offsets), F.col(SOURCE_FILE) == F.col("_dense_file"))
-            .withColumn(name, F.col("_off") + F.col(SOURCE_ROW)).drop("_off", "_dense_file"))
+    offsets = df.sparkSession.createDataFrame(rows, "_dense_file string, _dense_block long, _off long")
+    return (df.join(F.broadcast(offsets), (F.col(SOURCE_FILE) == F.col("_dense_file")) & (block == F.col("_dense_block")))
+            .withColumn(name, F.col("_off") + low).drop("_off", "_dense_file", "_dense_block"))
 
 
 def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column] | None = None,

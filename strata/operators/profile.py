@@ -57,6 +57,19 @@ def _data_columns(df: DataFrame, max_columns: int | None) -> list[str]:
 _STATS_SCHEMA = "c string, nn long, u long, mn double, mx double, av double, s string"
 
 
+#: Longer texts are told apart by their SHA-256, so that a distinct count
+#: shuffles 32 bytes of a document and not the document.
+HASHED_FROM = 64
+
+
+def _identity(col, dt):
+    """A value that is equal exactly where the column's values are."""
+    if not isinstance(dt, (T.StringType, T.BinaryType)):
+        return col
+    raw = col.cast("binary")
+    return F.when(F.octet_length(raw) <= HASHED_FROM, raw).otherwise(F.unhex(F.sha2(raw, 256)))
+
+
 def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) -> dict[str, dict]:
     """Per-column statistics as ONE job: one aggregate branch per column,
     unioned. Each branch reads only its column (columnar pruning) and is
@@ -66,7 +79,7 @@ def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) ->
         dt = df.schema[c].dataType
         col = F.col(f"`{c}`")
         nn = ~_is_null(c, dt)
-        u = F.count_distinct(F.when(nn, col)) if c in exact else F.lit(None).cast("long")
+        u = F.count_distinct(F.when(nn, _identity(col, dt))) if c in exact else F.lit(None).cast("long")
         if is_numeric(dt):
             v = F.when(nn, col.cast("double"))
             mn, mx, av, smp = F.min(v), F.max(v), F.avg(v), F.lit(None).cast("string")

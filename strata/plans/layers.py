@@ -41,57 +41,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) if c in floating else F.col(f"`{c}`") for c in df.columns])
 
 
-class _Frame:
-    """A lazy frame plus pending column expressions over it."""
-
-    def __init__(self, df: DataFrame):
-        df = nan_to_null(df)
-        self.df = df
-        self.cols: "OrderedDict[str, Column]" = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
-        self.pending: dict[str, tuple[str, str]] = {}   # col -> (kind, date_mode)
-        self.fills: dict[str, list[tuple]] = {}         # col -> its fill and the steps that wait for it
-        self.shuffled = False   # lineage holds a shuffle (dedup) not yet written
-
-    def reset(self, df: DataFrame) -> None:
-        self.df = df
-        self.cols = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
-
-    def settle(self) -> None:
-        """Before an eager job: when the lineage holds a dedup shuffle, write
-        the current frame once to the checkpoint folder, so that statistics,
-        decisions and the final write read it instead of re-running the
-        shuffle each."""
-        if self.shuffled:
-            self.reset(stage_table(self.current(), "silver"))
-            self.shuffled = False
-
-    def current(self) -> DataFrame:
-        return self.df.select(*[e.alias(n) for n, e in self.cols.items()])
-
-    def dtype(self, c: str) -> T.DataType:
-        return self.df.select(self.cols[c].alias("x")).schema[0].dataType
-
-    def materialize(self) -> None:
-        self.resolve()
-        self.reset(self.current())
-
-    def rename(self, src: str, dst: str) -> bool:
-        """PR-01: rename in rule order (later rules see the new name); a
-        rename onto an existing column is refused."""
-        if src not in self.cols or src == dst or dst in self.cols:
-            return False
-        self.resolve_col(src)
-        self.cols = OrderedDict((dst if k == src else k, v) for k, v in self.cols.items())
-        return True
-
-    def resolve_col(self, c: str) -> None:
-        if c in self.pending or c in self.fills:
-            self.resolve()
-
-    def resolve(self) -> None:  # overridden below
-        raise NotImplementedError
-
-
 def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | None:
     """The cleaning functions applied to a column expression of type ``dtype``
     (None = no change)."""
@@ -151,7 +100,53 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
     raise ValueError(kind)
 
 
-class Frame(_Frame):
+class Frame:
+    """A lazy frame plus pending column expressions over it."""
+
+    def __init__(self, df: DataFrame):
+        df = nan_to_null(df)
+        self.df = df
+        self.cols: "OrderedDict[str, Column]" = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
+        self.pending: dict[str, tuple[str, str]] = {}   # col -> (kind, date_mode)
+        self.fills: dict[str, list[tuple]] = {}         # col -> its fill and the steps that wait for it
+        self.shuffled = False   # lineage holds a shuffle (dedup) not yet written
+
+    def reset(self, df: DataFrame) -> None:
+        self.df = df
+        self.cols = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
+
+    def settle(self) -> None:
+        """Before an eager job: when the lineage holds a dedup shuffle, write
+        the current frame once to the checkpoint folder, so that statistics,
+        decisions and the final write read it instead of re-running the
+        shuffle each."""
+        if self.shuffled:
+            self.reset(stage_table(self.current(), "silver"))
+            self.shuffled = False
+
+    def current(self) -> DataFrame:
+        return self.df.select(*[e.alias(n) for n, e in self.cols.items()])
+
+    def dtype(self, c: str) -> T.DataType:
+        return self.df.select(self.cols[c].alias("x")).schema[0].dataType
+
+    def materialize(self) -> None:
+        self.resolve()
+        self.reset(self.current())
+
+    def rename(self, src: str, dst: str) -> bool:
+        """PR-01: rename in rule order (later rules see the new name); a
+        rename onto an existing column is refused."""
+        if src not in self.cols or src == dst or dst in self.cols:
+            return False
+        self.resolve_col(src)
+        self.cols = OrderedDict((dst if k == src else k, v) for k, v in self.cols.items())
+        return True
+
+    def resolve_col(self, c: str) -> None:
+        if c in self.pending or c in self.fills:
+            self.resolve()
+
     def resolve(self) -> None:
         """Settle pending whole-column decisions in one aggregate job, and the
         pending fills of all columns together (``fill_values``)."""

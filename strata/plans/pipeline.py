@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from ..operators.profile import profile
 from ..operators.quality import validate_layer
+from ..session import scratch
 from ..sources.tables import is_complete, layer_path, read_many, read_parquet, table_names, write_table
 from .answer import Answer, answer, answer_text
 from .generate import bronze_rules, column_catalog, gold_rules, silver_rules
@@ -65,14 +66,28 @@ def _done(spark, root: str, layer: str, run_id: str, names: Sequence[str]) -> di
 
 def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root: str, run_id: str,
                  rules_hook: Callable[[str, DataFrame], DataFrame] | None = None,
-                 date_mode: str = "per_value", csv_multi_line: bool = True) -> RunResult:
+                 date_mode: str = "per_value", csv_multi_line: bool | None = None) -> RunResult:
     """RX-06. ``rules_hook(layer, rules)`` may edit/approve a rule frame
-    before it runs (the review step). ``csv_multi_line=False`` reads large
-    CSV inputs in parallel splits (no newlines inside quoted fields)."""
+    before it runs (the review step). ``csv_multi_line`` says whether quoted
+    CSV fields hold newlines (default: the text is scanned for them). CSV
+    rows that don't fit their header are written to ``rejected/{run_id}``.
+    What the run stages is deleted when it ends."""
+    with scratch(spark):
+        return _run(spark, inputs, question, root, run_id, rules_hook, date_mode, csv_multi_line)
+
+
+def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, run_id: str,
+         rules_hook: Callable[[str, DataFrame], DataFrame] | None, date_mode: str, csv_multi_line: bool | None) -> RunResult:
     hook = rules_hook or (lambda layer, r: r)
     res = RunResult(run_id)
     audit = AuditLog(spark, os.path.join(root, "audit", run_id), run_id)
-    tables, unreadable = read_many(spark, inputs, csv_multi_line)
+    rejected: dict[str, DataFrame] = {}
+    tables, unreadable = read_many(spark, inputs, csv_multi_line, rejected)
+    for name, rows in rejected.items():
+        n = rows.count()
+        if n:
+            audit.log("profiler", "rejected", table=name, rows=n,
+                      path=write_table(rows, os.path.join(root, "rejected", run_id, name)))
     for name, error in unreadable.items():  # skip, record, go on
         audit.log("profiler", "skipped", table=name, error=error)
     if not tables:

@@ -4,8 +4,11 @@ write to."""
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,9 +62,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("strata_scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside the block lie in one folder of the checkpoint
+    folder, which is deleted when the block ends. So whatever leaves the block
+    must have been written elsewhere or computed before it ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
+
+
 def stage_path(spark: SparkSession, prefix: str = "stage") -> str:
     """A fresh path in the session's checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    folder = _SCRATCH.get() or ensure_checkpoint_dir(spark)
+    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
 def stage_table(df: DataFrame, prefix: str = "stage") -> DataFrame:
@@ -87,4 +109,6 @@ def map_jobs(spark: SparkSession, fn, items, parallel: int = 4) -> list:
         return [fn(x) for x in items]
     target = inheritable_thread_target(spark)(fn)
     with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
-        return list(pool.map(target, items))
+        # each call sees the caller's scratch folder
+        jobs = [pool.submit(contextvars.copy_context().run, target, x) for x in items]
+        return [job.result() for job in jobs]

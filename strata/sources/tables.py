@@ -12,7 +12,7 @@ import os
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import PySparkException
@@ -70,24 +70,37 @@ def split_ordinal():
     return (block * F.lit(2 ** 33).cast("decimal(11,0)") + rid).cast("decimal(33,0)")
 
 
+def quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the file isn't whole records on its own, so that a
+    quoted field may go on in the next line. A parallel scan of the text: what
+    is left of a line without its escaped quotes and its quoted fields must
+    hold no quote."""
+    fields = F.regexp_replace(F.regexp_replace("value", '""', ""), r'(^|,)\s*"[^"]*"\s*(?=,|$)', "$1")
+    return not spark.read.text(path).where(F.col("value").contains('"') & fields.contains('"')).isEmpty()
+
+
+def _without_tokens(names: Iterable[str], null_tokens: Iterable[str]) -> list[Column]:
+    """The columns with null in place of the null tokens."""
+    toks = list(null_tokens)
+    return [F.when(F.col(f"`{c}`").isin(toks), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in names]
+
+
 def read_csv_text(spark: SparkSession, path: str, null_tokens: Iterable[str] = NULL_TOKENS,
-                  multi_line: bool = True) -> DataFrame:
+                  multi_line: bool | None = None) -> DataFrame:
     """SC-01 part 1: CSV as text (header, quoted fields), the null-token list
     mapped to NULL (D14), plus the row ordinal.
 
-    ``multi_line=True`` (default) accepts newlines inside quoted fields, as
-    pandas does; such a file cannot be split, so each file is one task.
-    ``multi_line=False`` reads files in splits in parallel (large inputs);
-    quoted fields must then not hold newlines."""
+    Newlines inside quoted fields are accepted; a file that has some cannot
+    be split, so it is one task. All others are read in splits in parallel.
+    By default a scan of the text finds out (``quoted_newlines``); a caller
+    who knows saves it by ``multi_line``."""
+    multi_line = quoted_newlines(spark, path) if multi_line is None else multi_line
     raw = (spark.read.option("header", True).option("multiLine", multi_line)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    toks = list(null_tokens)
-    cols = [F.when(F.col(f"`{c}`").isin(toks), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
-            for c in raw.columns]
     # multi-line files are read whole, so the scan's row id grows along each
     # file; split files need the block start in front of it
     row = F.monotonically_increasing_id() if multi_line else split_ordinal()
-    return raw.select(*cols, F.col("_metadata.file_path").alias(SOURCE_FILE), row.alias(SOURCE_ROW))
+    return raw.select(*_without_tokens(raw.columns, null_tokens), F.col("_metadata.file_path").alias(SOURCE_FILE), row.alias(SOURCE_ROW))
 
 
 _INT_RE = r"^\s*[+-]?[0-9]+\s*$"
@@ -134,12 +147,21 @@ def infer_types(df: DataFrame, keep_text=None) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     df = read_csv_text(spark, path, multi_line=multi_line)
     return infer_types(df) if infer else df
 
 
-def read_source(spark: SparkSession, path: str, ordinal: bool = True, csv_multi_line: bool = True) -> DataFrame:
+def read_csv_checked(spark: SparkSession, path: str, multi_line: bool | None = None,
+                     null_tokens: Iterable[str] = NULL_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """SC-01 with SC-04: the typed rows and the rejected ones. The text is
+    parsed once, into a staged table."""
+    kept, rejected = csv_parts(spark, path, multi_line)
+    names = [c for c in kept.columns if c not in (SOURCE_FILE, SOURCE_ROW)]
+    return infer_types(kept.select(*_without_tokens(names, null_tokens), SOURCE_FILE, SOURCE_ROW)), rejected
+
+
+def read_source(spark: SparkSession, path: str, ordinal: bool = True, csv_multi_line: bool | None = None) -> DataFrame:
     """SC-03: reader chosen by suffix; any other suffix is an error."""
     p = path.rstrip("/").lower()
     if p.endswith(".csv"):
@@ -169,14 +191,18 @@ def table_names(paths: Iterable[str]) -> dict[str, str]:
     return names
 
 
-def read_many(spark: SparkSession, paths: Iterable[str], csv_multi_line: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:
+def read_many(spark: SparkSession, paths: Iterable[str], csv_multi_line: bool | None = None,
+              rejected: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """SC-04/SC-05: many files -> tables by name; an unreadable source is
-    skipped and its error recorded (its schema is resolved eagerly, the
-    data is not read)."""
+    skipped and its error recorded (its schema is resolved eagerly). With
+    ``rejected``, CSV rows that don't fit the header go there, by table."""
     tables, errors = {}, {}
     for p, name in table_names(paths).items():
         try:
-            df = read_source(spark, p, csv_multi_line=csv_multi_line)
+            if rejected is not None and p.rstrip("/").lower().endswith(".csv"):
+                df, rejected[name] = read_csv_checked(spark, p, csv_multi_line)
+            else:
+                df = read_source(spark, p, csv_multi_line=csv_multi_line)
             df.schema  # noqa: B018  resolve now so a bad path fails here
             tables[name] = df
         except (PySparkException, ValueError, OSError) as exc:
@@ -184,10 +210,11 @@ def read_many(spark: SparkSession, paths: Iterable[str], csv_multi_line: bool =
     return tables, errors
 
 
-def csv_parts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def csv_parts(spark: SparkSession, path: str, multi_line: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """SC-04: (rows whose field count fits the header, rejected rows as
     ``_corrupt_record`` with file and ordinal). No row is lost: kept and
     rejected rows add up to the input."""
+    multi_line = quoted_newlines(spark, path) if multi_line is None else multi_line
     header = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path).schema
     schema = T.StructType([*header.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')

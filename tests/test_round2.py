@@ -91,3 +91,52 @@ def test_csv_rejects_lose_no_row(spark, tmp_path, multi_line):
     assert sorted(r.a for r in kept.collect()) == ["1", "7"]
     assert sorted(r._corrupt_record for r in rejected.collect()) == ["3,4,5", "6"]
     assert kept.count() + rejected.count() == 4
+
+
+def test_quoted_newlines_are_found(spark, tmp_path):
+    cases = {"plain": ("a,b\n1,2\n", False), "quoted": ('a,b\n"x, y","say ""hi"""\n"",""\n', False),
+             "newline": ('a,b\n"one\ntwo",2\n', True), "escaped": ('a,b\n"""one\ntwo""",2\n', True), "stray": ('a,b\n5" pipe,2\n', True)}
+    for name, (text, spans) in cases.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert TB.quoted_newlines(spark, str(tmp_path / f"{name}.csv")) is spans, name
+    assert TB.read_csv(spark, str(tmp_path / "newline.csv")).first().a == "one\ntwo"
+    assert TB.read_csv(spark, str(tmp_path / "quoted.csv")).first().b == 'say "hi"'
+
+
+def test_keys_of_a_split_file_need_no_sort(spark, tmp_path):
+    from strata.operators.keys import add_surrogate_key, dense_positions
+    n = 6000
+    (tmp_path / "s.csv").write_text("seq,pad\n" + "".join(f"{i},{'x' * (i % 37)}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
+    try:
+        df = TB.read_csv(spark, str(tmp_path / "s.csv"))
+        assert df.rdd.getNumPartitions() > 3 and dense_positions(df, "k") is not None
+        keyed = add_surrogate_key(df, "pk")
+        assert dict(keyed.dtypes)["pk"] == "bigint"
+        assert all(r.pk == int(r.seq) + 1 for r in keyed.select("pk", "seq").collect())
+        assert dense_positions(df.where("seq % 7 != 3"), "k") is None
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_full_run_keeps_rejects_and_leaves_no_scratch(spark, tmp_path):
+    from pathlib import Path
+    from strata.plans.pipeline import run_pipeline
+    from strata.session import ensure_checkpoint_dir
+    (tmp_path / "sales.csv").write_text("store_id,amount\ns1,10\ns2,20,99\ns1,5\n")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    root = str(tmp_path / "out")
+    res = run_pipeline(spark, [str(tmp_path / "sales.csv")], "total amount by store", root, "r1")
+    assert set(folder.iterdir()) == before
+    assert [r._corrupt_record for r in spark.read.parquet(f"{root}/rejected/r1/sales").collect()] == ["s2,20,99"]
+    assert spark.read.parquet(res.outputs["bronze"]["sales_bronze"]).count() == 2
+    assert len(res.answer.df.collect()) == 1
+
+
+def test_distinct_counts_of_long_texts(spark):
+    from strata.operators.profile import profile_table
+    rows = [("x" * n,) for n in (1, 64, 65, 66, 66, 500, 500)] + [(None,), ("é" * 40,), ("é" * 40,)]
+    prof, _ = profile_table("t", spark.createDataFrame(rows, "s string"))
+    assert prof.first().unique_count == 6
