@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import stages
-from strata.session import stage_path
+from strata.session import scratch, stage_path
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -27,7 +27,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     for name, stage in STAGES:
         path = stage_path(spark, f"pipeline-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch(spark):  # a stage's own tables are deleted once its output is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

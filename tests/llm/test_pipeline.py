@@ -31,3 +31,14 @@ def test_pipeline_survives_odd_and_empty_tables(spark, odd, empty, tmp_path):
 
 def test_all_ten_are_registered():
     assert sorted(int(x[2:].split("_")[0]) for x in registry.QUERIES) == list(range(1, 11))
+
+
+def test_stages_leave_their_outputs_alone(spark, odd, tmp_path):
+    from pathlib import Path
+    from strata.session import ensure_checkpoint_dir
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+    assert left == sorted(f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES)
