@@ -282,6 +282,23 @@ def test_quality_rejects_foreign_noise(spark):
     assert not kept.pop(100) and all(kept.values())
 
 
+def test_quality_bands_reject_on_both_sides(spark):
+    """Letters in disorder lie above the band, boilerplate of a few common
+    words below it, although neither breaks a base rule; clean texts of all
+    lengths stay inside."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice(["ba", "ne", "tion", "re", "ou", "lis", "ter", "mo"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    clean = lambda n: [rng.choice(vocabulary[: rng.choice((40, 400))]) for _ in range(n)]
+    rows = [(i, "en", " ".join(clean(rng.choice((40, 100, 150, 200, 300))))) for i in range(300)]
+    garbled = [(1000 + i, "en", " ".join("".join(rng.sample(w, len(w))) for w in clean(150))) for i in range(6)]
+    boiler = [(2000 + i, "en", " ".join(rng.choice(vocabulary[:5]) for _ in range(150))) for i in range(6)]
+    out = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows + garbled + boiler, "doc_id long, lang string, text string")).collect()}
+    assert all(not out[i].base_failed and out[i].perplexity > out[i].ppl_high and not out[i].kept for i, *_ in garbled)
+    low = [out[i] for i, *_ in boiler if not out[i].base_failed]
+    assert low and all(r.perplexity < r.ppl_low and not r.kept for r in low)
+    assert sum(out[i].kept for i, *_ in rows) >= 0.98 * len(rows)
+
+
 # -- licences ------------------------------------------------------------
 def test_licences(spark, docs):
     out = {r.doc_id: r.families for r in registry.QUERIES["op9_paragraph_classifier"](spark, SF).collect()}
