@@ -4,7 +4,10 @@ Each source's share of the corpus is its weight over all weights. A source
 may be repeated at most ``max_epochs`` times, so a target above that cap is
 clamped and the excess is shared again among the others by weight, until no
 target is above its cap. Documents then take whole repetitions plus a seeded
-fraction of one more. All steps are DataFrame operations.
+fraction of one more: a prefix by seeded rank, a few documents that fill what
+is left, and further prefixes over the documents that still fit, until no
+document of a source fits what is left of its target. All steps are DataFrame
+operations.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ordered last; an empty table gives an empty result; rows that agree in
@@ -26,7 +29,8 @@ SEED = 20240607
 #: Seeded ranks have 60 bits; their top bits make the buckets whose sizes
 #: are summed first, so that only one bucket a source is looked at by row.
 RANK_BITS, BUCKET_BITS = 60, 12
-#: Documents that a source may add to its seeded fraction to come near its target.
+#: Documents that a source adds to its seeded fraction, largest first, before
+#: further prefixes take all others that fit.
 FILLS = 4
 
 
@@ -41,11 +45,67 @@ def seeded_rank(doc_id: Column, text: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, RANK_BITS // 4), 16, 10).cast("long")
 
 
+def _prefix(groups: DataFrame, rests: DataFrame, n: int, all_fit: bool = False) -> DataFrame:
+    """(_es, _cut, _got): the last rank up to which the groups of a source fit
+    its ``_rest``, and their words. A source whose groups all fit has a row
+    only with ``all_fit``."""
+    shift = RANK_BITS - BUCKET_BITS
+    buckets = groups.groupBy("_source", F.shiftright("_rank", shift).alias("_b")).agg(F.sum("_g").alias("_bs"))
+    order = W.partitionBy("_source").orderBy("_b")
+    run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    buckets = buckets.withColumn("_before", F.sum("_bs").over(run) - F.col("_bs"))
+    over = F.col("_before") + F.col("_bs") > F.col("_rest")
+    if all_fit:
+        buckets = buckets.withColumn("_last", F.lead("_b").over(order).isNull())
+        over = over | F.col("_last")
+    buckets, small = buckets.alias("k"), sized(rests.select("_source", "_rest"), n).alias("p")
+    edge = (buckets.join(small, F.col("k._source").eqNullSafe(F.col("p._source")))
+            .where((F.col("_before") <= F.col("_rest")) & over)
+            .select(F.col("k._source").alias("_es"), "_b", "_before", "_rest"))
+    edge = sized(stage_table(edge, "mix-edges"), n)
+    run = W.partitionBy("_source").orderBy("_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = (groups.join(edge, F.col("_source").eqNullSafe(F.col("_es")) & (F.shiftright("_rank", shift) == F.col("_b")))
+              .withColumn("_upto", F.col("_before") + F.sum("_g").over(run)))
+    fits = F.col("_upto") <= F.col("_rest")
+    return inside.groupBy("_es", "_b", "_before").agg(
+        F.max(F.when(fits, F.col("_rank"))).alias("_in"), F.max(F.when(fits, F.col("_upto"))).alias("_got")).select(
+        "_es", F.coalesce("_in", F.shiftleft("_b", shift) - 1).alias("_cut"), F.coalesce("_got", "_before").alias("_got"))
+
+
+def _once_more(rank: str, size: str) -> Column:
+    """Does a rank with so many words take one repetition more?"""
+    later = F.exists("_rounds", lambda r: (F.col(size) <= r["limit"]) & (F.col(rank) <= r["cut"]))
+    return (F.col(rank) <= F.col("_cut")) | F.array_contains("_more", F.col(rank)) | later
+
+
+def _fill_rounds(groups: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """Prefixes over the documents of at most half of what is left, then of
+    all of it, in turns until none fits: two turns halve what is left."""
+    half = False
+    while n:
+        limit = F.floor(F.col("_left") / (2 if half else 1)).cast("long")
+        p = sized(plan, n).select(F.col("_source").alias("_ps"), "_cut", "_more", "_rounds", limit.alias("_limit"))
+        fit = stage_table(groups.join(p, F.col("_source").eqNullSafe(F.col("_ps")))
+                          .where((F.col("_g") > 0) & (F.col("_g") <= F.col("_limit")) & ~_once_more("_rank", "_g"))
+                          .select("_source", "_rank", "_g"), "mix-fitting")
+        if not fit.isEmpty():
+            cuts = _prefix(fit, plan.withColumnRenamed("_left", "_rest"), n, all_fit=True).withColumnRenamed("_cut", "_to")
+            new = F.array(F.struct(limit.alias("limit"), F.col("_to").alias("cut")))
+            plan = stage_table(plan.join(sized(cuts, n), F.col("_source").eqNullSafe(F.col("_es")), "left").select(
+                "_source", "_total", "_target", "_whole", "_cut", (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_left"), "_more",
+                F.when(F.col("_es").isNull() & F.col("_got").isNull(), F.col("_rounds")).otherwise(F.concat("_rounds", new)).alias("_rounds")), "mix-plan")
+        elif not half:
+            break
+        half = not half
+    return plan
+
+
 def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> tuple[DataFrame, int]:
-    """(_source, _total, _target, _whole, _cut, _left, _more) and its row count. ``sizes``
-    is a written table with _source, _size, _rank. A document takes
-    ``_whole`` repetitions, and one more if its seeded rank is at most
-    ``_cut`` or among ``_more``; ``_left`` words of the target stay open."""
+    """(_source, _total, _target, _whole, _cut, _left, _more, _rounds) and its row count.
+    ``sizes`` is a written table with _source, _size, _rank. A document takes
+    ``_whole`` repetitions, and one more if its seeded rank is at most ``_cut``,
+    among ``_more``, or at most the cut of a round whose limit its words (those
+    of all rows of its rank) keep; ``_left`` words of the target stay open."""
     totals = sizes.groupBy("_source").agg(F.sum("_size").alias("_total"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_pos") % len(weights) + 1).cast("int"))
     src = positions(totals, [F.col("_source").asc_nulls_last()]).withColumn("_w", weight).withColumn(
@@ -68,23 +128,8 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoc
 
     # the fraction: documents by seeded rank while their words fit the rest;
     # first by buckets of ranks, then by rank in the one bucket of the edge
-    shift = RANK_BITS - BUCKET_BITS
     groups = stage_table(sizes.groupBy("_source", "_rank").agg(F.sum("_size").alias("_g")), "mix-ranks")
-    buckets = groups.groupBy("_source", F.shiftright("_rank", shift).alias("_b")).agg(F.sum("_g").alias("_bs"))
-    run = W.partitionBy("_source").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    buckets = buckets.withColumn("_before", F.sum("_bs").over(run) - F.col("_bs")).alias("k")
-    small = sized(src, n).alias("p")
-    edge = (buckets.join(small, F.col("k._source").eqNullSafe(F.col("p._source")))
-            .where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_bs") > F.col("_rest")))
-            .select(F.col("k._source").alias("_es"), "_b", "_before", "_rest"))
-    edge = sized(stage_table(edge, "mix-edges"), n)
-    run = W.partitionBy("_source").orderBy("_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = (groups.join(edge, F.col("_source").eqNullSafe(F.col("_es")) & (F.shiftright("_rank", shift) == F.col("_b")))
-              .withColumn("_upto", F.col("_before") + F.sum("_g").over(run)))
-    fits = F.col("_upto") <= F.col("_rest")
-    cuts = inside.groupBy("_es", "_b", "_before").agg(
-        F.max(F.when(fits, F.col("_rank"))).alias("_in"), F.max(F.when(fits, F.col("_upto"))).alias("_got")).select(
-        "_es", F.coalesce("_in", F.shiftleft("_b", shift) - 1).alias("_cut"), F.coalesce("_got", "_before").alias("_got"))
+    cuts = _prefix(groups, src, n)
     plan = stage_table(src.join(sized(cuts, n), F.col("_source").eqNullSafe(F.col("_es")), "left").select(
         "_source", "_total", "_target", "_whole", F.coalesce("_cut", F.lit(-1)).alias("_cut"),
         (F.col("_rest") - F.coalesce("_got", F.lit(0))).alias("_left"),
@@ -99,13 +144,26 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoc
             "_source", "_total", "_target", "_whole", "_cut",
             (F.col("_left") - F.coalesce("_f._g", F.lit(0))).alias("_left"),
             F.when(F.col("_f").isNull(), F.col("_more")).otherwise(F.array_append("_more", F.col("_f._rank"))).alias("_more")), "mix-plan")
-    return plan, n
+    plan = plan.withColumn("_rounds", F.array().cast("array<struct<limit:bigint,cut:bigint>>"))
+    return _fill_rounds(groups, plan, n), n
 
 
-def _copies(rank: str) -> Column:
-    """Repetitions of a document under its source's plan."""
-    more = (F.col(rank) <= F.col("_cut")) | F.array_contains("_more", F.col(rank))
-    return F.col("_whole") + more.cast("long")
+def _repeated(rows: DataFrame, sizes: DataFrame, plan: DataFrame, n: int, source: str, rank: str, size: Column) -> DataFrame:
+    """``rows`` with the plan of their source and ``_copies``, their repetitions. Rounds
+    limit the words of all rows of a rank; a rank that its single rows would
+    pass and all of them together do not is looked up (usually few or none)."""
+    p = sized(plan, n)
+    rows = rows.join(p, F.col(source).eqNullSafe(p["_source"]))
+    if plan.where(F.size("_rounds") > 0).isEmpty():
+        more = (F.col(rank) <= F.col("_cut")) | F.array_contains("_more", F.col(rank))
+        return rows.withColumn("_copies", F.col("_whole") + more.cast("long"))
+    groups = sizes.groupBy(F.col("_source").alias("_xs"), F.col("_rank").alias("_xr")).agg(
+        F.max("_size").alias("_one"), F.sum("_size").alias("_all"))
+    both = groups.join(p, F.col("_xs").eqNullSafe(p["_source"]))
+    held = stage_table(both.where(_once_more("_xr", "_one") & ~_once_more("_xr", "_all")).select("_xs", "_xr"), "mix-held")
+    rows = rows.withColumn("_words", size).join(sized(held, held.count()), F.col(source).eqNullSafe(F.col("_xs")) & (F.col(rank) == F.col("_xr")), "left")
+    more = _once_more(rank, "_words") & F.col("_xr").isNull()
+    return rows.withColumn("_copies", F.col("_whole") + more.cast("long"))
 
 
 def _measured(docs: DataFrame, keep: list[Column], seed: int) -> DataFrame:
@@ -117,12 +175,11 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     sizes = stage_table(_measured(docs, [F.col("doc_id").alias("_id")], seed), "mix-sizes")
     plan, n = source_plan(sizes, weights, max_epochs)
-    p, s = sized(plan, n).alias("p"), sizes.alias("s")
-    copies = _copies("_rank")
-    return s.join(p, F.col("s._source").eqNullSafe(F.col("p._source"))).select(
-        F.col("_id").alias("doc_id"), F.col("s._source").alias("source"), F.col("_size").alias("size"),
-        F.col("_total").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"),
-        (F.col("_size") * copies).alias("taken"))
+    rows = sizes.select("_id", F.col("_source").alias("_s"), "_size", F.col("_rank").alias("_r"))
+    return _repeated(rows, sizes, plan, n, "_s", "_r", F.col("_size")).select(
+        F.col("_id").alias("doc_id"), F.col("_s").alias("source"), F.col("_size").alias("size"),
+        F.col("_total").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"),
+        (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = SEED) -> DataFrame:
@@ -133,10 +190,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     plan, n = source_plan(sizes, weights, max_epochs)
     rows = docs.select(whole_row(docs.columns).alias("_row"), F.col("source").alias("_s"),
                        seeded_rank(F.col("doc_id"), F.col("text"), seed).alias("_r"))
-    p = sized(plan, n)
-    copies = _copies("_r").cast("int")
-    return (rows.join(p, F.col("_s").eqNullSafe(p["_source"])).where(copies > 0)
-            .select("_row", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*"))
+    text = F.col("_row").getField("text")
+    rows = _repeated(rows, sizes, plan, n, "_s", "_r", words(text)).where(F.col("_copies") > 0)
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def _oracle_fills() -> str:
