@@ -11,9 +11,10 @@ from counted sizes, and queries go to every block of a bucket they probe.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components take no part; vectors of another dimension are never compared;
-ties go to the smaller id; fewer candidates give fewer rows; repeated rows
-with one id count once; an empty table gives an empty result; extra
-columns are ignored.
+ties go to the smaller id; fewer candidates give fewer rows; equal rows are
+taken together before hashing, and an id with several vectors takes one place,
+with its nearest; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"))
-            .where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)))
+            .where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)).dropDuplicates())
 
 
 def _hashes(tables: int, probes: int, seed: int):
@@ -115,20 +116,25 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABLE
         out_q, out_p, out_d = [], [], []
         step = max(1, (4 << 20) // max(1, len(p)))  # bounded distance blocks
         norm = (p * p).sum(axis=1)
+        firsts = np.flatnonzero(np.concatenate([[True], ids_p[1:] != ids_p[:-1]])) if len(p) else np.zeros(0, np.int64)
         for q_id, q in ((ids[asks][i: i + step], x[asks][i: i + step]) for i in range(0, int(asks.sum()), step)):
             if not len(p):
                 break
             # squared distances by one product choose the best; exact ones rank them
             rough = norm[None, :] - 2 * (q @ p.T) + (q * q).sum(axis=1)[:, None]
             slack = 1e-9 * (norm.max() + (q * q).sum(axis=1).max() + 1)
-            for qi, vec, row in zip(q_id, q, rough):
-                if len(row) > k + 1:
-                    few = np.flatnonzero(row <= np.partition(row, k)[k] + slack)
+            least = np.minimum.reduceat(rough, firsts, axis=1) if len(firsts) < len(p) else rough  # one place an id
+            for qi, vec, row, near in zip(q_id, q, rough, least):
+                if len(near) > k + 1:
+                    few = np.flatnonzero(row <= np.partition(near, k)[k] + slack)
                 else:
                     few = np.arange(len(row))
                 few = few[ids_p[few] != qi]
                 d = np.sqrt(((p[few] - vec) ** 2).sum(axis=1))
-                best = np.lexsort((ids_p[few], d))[:k]
+                best = np.lexsort((ids_p[few], d))
+                if len(firsts) < len(p):
+                    best = best[np.sort(np.unique(ids_p[few][best], return_index=True)[1])]
+                best = best[:k]
                 out_q.append(np.full(len(best), qi))
                 out_p.append(ids_p[few][best])
                 out_d.append(d[best])

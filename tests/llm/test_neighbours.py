@@ -39,6 +39,21 @@ def test_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") < 9).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(3)
+    x = np.ones((40, 16)) + 1e-4 * rng.normal(size=(40, 16))  # one tight cluster
+    once = [(i, x[i].tolist()) for i in range(40)]
+    schema = "vec_id long, embedding array<double>"
+    found = lambda rows: sorted(map(tuple, neighbours.search(spark.createDataFrame(rows, schema), F.col("vec_id") % 4 == 0).collect()))
+    single = found(once)
+    assert len(single) == 10 * 10
+    assert found(once * 2 + [once[1], once[4]] * 30) == single
+    # ids with several vectors: the nearest of each counts
+    several = once + [(i, (x[i] + 1e-6 * j).tolist()) for i in range(40) for j in range(1, 4)]
+    many = found(several)
+    assert len(many) == 10 * 10 and all(len({v for q, _, v, _ in many if q == i}) == 10 for i in range(0, 40, 4))
+
+
 def test_hadamard_rotation_keeps_length():
     x = np.random.default_rng(0).normal(size=(5, 10))
     y = neighbours.rotate(x, neighbours.rotations(10, 1)[0])
