@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licences, lines, mixing, neighbours, packing, quality, repeats, secrets, simhash
+from . import fill_middle, language, licences, lines, mixing, neighbours, packing, quality, repeats, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"),
                       F.array_join(F.array_sort(F.array_distinct(F.col("licences.family"))), ",").alias("families"),
                       F.array_join(found, ",").alias("findings"))
+
+
+@query("op13_chunk_memo", fill_middle.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(table(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
