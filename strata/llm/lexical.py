@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import stage_path, stage_table
-from .common import text_slices, texts_of
+from .common import sized, text_slices, texts_of
 
 K = 50
 #: Bounds of a block (documents, postings) and of an index task (postings).
-BLOCK_DOCS, BLOCK_POSTINGS, PART_POSTINGS = 2048, 1 << 18, 2_000_000
+BLOCK_DOCS, BLOCK_POSTINGS, PART_POSTINGS = 2048, 1 << 17, 500_000
 #: Items searched in one pass over the index; more items take more passes.
 ITEM_BLOCK = 1000
 #: A query vocabulary of at most so many terms travels with the tasks, and
@@ -131,19 +131,23 @@ class Index:
 
 def build_index(docs: DataFrame, path: str | None = None, vocabulary: set[bytes] | None = None) -> Index:
     """The index of all rows of ``docs``, written under ``path`` (default: a
-    new table in the checkpoint folder). The rows are dealt by ranges of (m,
-    row), so that neither a large stratum nor repeated rows meet in one task;
-    the number of ranges follows the counted postings."""
+    new table in the checkpoint folder). Each stratum is cut in as many pieces
+    as its counted postings need and the pieces are dealt by hash, so that
+    neither a large stratum nor the long documents meet in one task."""
     spark = docs.sparkSession
     counts = stage_table(term_counts(docs, "doc_id", vocabulary), "lexical-counts").where("n > 0")
     documents, length, postings = counts.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.size("terms").cast("long"))).first()
     frequencies = stage_table(counts.select(F.explode("terms").alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("df")), "lexical-df")
     m = F.expr(f"50 + (50 * n * {documents}L) div {max(length or 0, 1)}L")
-    parts = max(1, math.ceil((postings or 0) / PART_POSTINGS))
-    dealt = counts.select("id", m.alias("m"), "terms", "tfs", "uid").repartitionByRange(parts, "m", "uid")
+    rows = counts.select("id", m.alias("m"), "terms", "tfs", "uid")
+    strata = rows.groupBy(F.col("m").alias("_m")).agg(F.sum(F.size("terms").cast("long")).alias("t")).select(
+        "_m", F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK_POSTINGS)).alias("_pieces"))
+    strata = stage_table(strata, "lexical-strata")  # one row a stratum
+    pieces = rows.join(sized(strata, strata.count()), F.col("m") == F.col("_m")).withColumn("_p", F.pmod(F.xxhash64("uid"), F.col("_pieces")))
+    dealt = pieces.repartition(max(1, math.ceil((postings or 0) / PART_POSTINGS)), "m", "_p")
     path = path or stage_path(spark, "lexical-index")
-    dealt.sortWithinPartitions("m", "uid").drop("uid").mapInArrow(_blocks, BLOCKS).write.parquet(path)
+    dealt.sortWithinPartitions("m", "_p", "uid").select("id", "m", "terms", "tfs").mapInArrow(_blocks, BLOCKS).write.parquet(path)
     return Index(spark.read.schema(BLOCKS).parquet(path), frequencies, documents, length or 0)
 
 
@@ -220,8 +224,9 @@ def _search(items: Items, k: int):
                 row = {name: b.column(c)[i].values if c else b.column(c)[i].as_py() for c, name in enumerate(b.schema.names)}
                 row["terms"] = row["terms"].to_pylist()
                 ids = row["ids"].fill_null(NO_ID)
-                row = {name: v.to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(v, pa.Array) else v
-                       for name, v in (row | {"ids": ids}).items()}
+                # positions stay views of the batch; the short lists become long integers
+                row = {name: v if not isinstance(v, pa.Array) else v.to_numpy(zero_copy_only=False) if name == "docs"
+                       else v.to_numpy(zero_copy_only=False).astype(np.int64) for name, v in (row | {"ids": ids}).items()}
                 block = Block(row, items.terms)
                 bound = items.bounds(block)
                 if bound.any():
