@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, language, lexical, licences, lines, mixing, neighbours, packing, quality, repeats, secrets, simhash
+from . import fill_middle, language, lexical, licences, lines, mixing, neighbours, packing, quality, repeats, secrets, shingle_join, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_length_strata", lexical.ORACLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op11_token_groups", shingle_join.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_documents(table(spark, sf_dir).select("doc_id", "text"))
