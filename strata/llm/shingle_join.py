@@ -40,7 +40,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
@@ -65,58 +65,56 @@ def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64))
 
 
-SETS = "doc_id long, n long, key binary, tokens binary"
+def text_key() -> list[Column]:
+    """Two 64-bit hashes that stand for a text."""
+    return [F.xxhash64(F.lit(seed), "text").alias(name) for name, seed in (("t1", 42), ("t2", 71))]
+
+
+SETS = "doc_id long, t1 long, t2 long, n long, key binary, part int, counts binary"
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Each row's set and the set's 128-bit key (null for an empty set)."""
+    """Each row's text hashes, set size and the set's 128-bit key (null for an
+    empty set); beside them rows with each task's part of the rarity sketch.
+    Sets are eight bytes a shingle, more than the text, so they are made anew
+    where they are needed and never written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = [c.split()[0] for c in SETS.split(", ")]
         for b in text_slices(batches, "text"):
             sets = [shingle_set(t, k) for t in texts_of(b, "text")]
-            raw = [s.astype("<u8").tobytes() for s in sets]
+            every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
+            cells += np.bincount(every.astype(np.int64), minlength=len(cells))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(r) if r else None for r in raw], pa.binary()), pa.array(raw, pa.binary())],
-                ["doc_id", "n", "key", "tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SETS)
+                [b.column(0), b.column(1), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        if cells.any():
+            parts = [p.astype("<u2").tobytes() for p in np.split(np.minimum(cells, (1 << 16) - 1), SKETCH_PARTS)]
+            none = [pa.nulls(SKETCH_PARTS, t) for t in (pa.int64(),) * 4 + (pa.binary(),)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return rows.select("doc_id", *text_key(), "text").mapInArrow(run, SETS)
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of a column of sets, and the bounds of the rows."""
-    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[off[0]: off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
-    return np.frombuffer(raw.tobytes(), "<u8"), (off - off[0]) // 8
 
-
-def rarity(classes: DataFrame) -> np.ndarray:
-    """log2 of the number of sets with a token of each sketch cell. What
-    reaches the driver is 2 ** SKETCH_BITS counters, whatever the input."""
-    cells, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for b in batches:
-            if b.num_rows:
-                total += np.bincount((_tokens(b.column(0))[0] >> shift).astype(np.int64), minlength=cells)
-        if total.any():
-            parts = [p.astype("<u4").tobytes() for p in np.split(np.minimum(total, (1 << 32) - 1), SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+def rarity(sets: DataFrame) -> np.ndarray:
+    """log2 of the number of rows with a token of each sketch cell. What
+    reaches the driver is one byte a cell, whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(raw, "<u4").astype(np.uint64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(raw, "<u2").astype(np.uint64)
         for part, total in sums.items():
             level = np.log2(total.astype(float) + 1).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level], pa.binary())], ["part", "level"])
 
-    parts = classes.select("tokens").mapInArrow(count, "part int, counts binary").repartition(8, "part")
+    parts = sets.where("part IS NOT NULL").select("part", "counts").repartition(8, "part")
     levels = dict(tuple(r) for r in parts.mapInArrow(add, "part int, level binary").collect())
-    blank = bytes(cells // SKETCH_PARTS)
+    blank = bytes((1 << SKETCH_BITS) // SKETCH_PARTS)
     return np.frombuffer(b"".join(bytes(levels.get(i, blank)) for i in range(SKETCH_PARTS)), np.uint8)
 
 
@@ -128,34 +126,35 @@ def needed(n: int, percent: int = PERCENT) -> int:
 MEMBERS = "key binary, n long, home long, deal long, prefix array<bigint>"
 
 
-def group_keys(classes: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def group_keys(docs: DataFrame, levels: np.ndarray, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Each class's group before large ones are dealt (home), the second
-    minhash (deal) and the rarest tokens (prefix)."""
-    shared = classes.sparkSession.sparkContext.broadcast(levels)
+    minhash (deal) and the rarest tokens (prefix). Equal sets give equal rows
+    and become one where they meet."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift, band = np.uint64(64 - SKETCH_BITS), math.log(100 / min(percent, 99))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = shared.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            flat, at = _tokens(b.column(1))
-            order = (lv[flat >> shift].astype(np.uint64) << np.uint64(58)) | (flat >> np.uint64(6))
-            mixed = flat * _MIX
-            home, deal, prefix = [], [], []
-            for a, z in zip(at.tolist(), at.tolist()[1:]):
-                size = int(math.log(z - a) / band)
-                home.append(xxhash.xxh3_64_intdigest(b"%d %d" % (size, flat[a])) >> 1)
-                deal.append(int(mixed[a:z].min() >> np.uint64(1)))
-                first = np.argsort(order[a:z], kind="stable")[: z - a - needed(z - a, percent) + 1]
-                prefix.append(flat[a:z][first].view(np.int64))
-            n = np.diff(at)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(home, pa.int64()), pa.array(deal, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()),
-                                          pa.array(np.concatenate(prefix)))], ["key", "n", "home", "deal", "prefix"])
-
-    return classes.select("key", "tokens").mapInArrow(run, MEMBERS)
+        for b in text_slices(batches, "text"):
+            keys, sizes, home, deal, prefix = [], [], [], [], []
+            for s in (shingle_set(t, k) for t in texts_of(b, "text")):
+                if len(s) == 0:
+                    continue
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                home.append(xxhash.xxh3_64_intdigest(b"%d %d" % (int(math.log(len(s)) / band), s[0])) >> 1)
+                deal.append(int((s * _MIX).min() >> np.uint64(1)))
+                order = (lv[s >> shift].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                prefix.append(s[np.argsort(order, kind="stable")[: len(s) - needed(len(s), percent) + 1]].view(np.int64))
+            if keys:
+                at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(home, pa.int64()), pa.array(deal, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(prefix)))],
+                    ["key", "n", "home", "deal", "prefix"])
+
+    rows = docs.select(F.col("text").alias("text")).mapInArrow(run, MEMBERS)
+    return rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "home", "deal", "prefix")])
 
 
 def assign_groups(members: DataFrame) -> DataFrame:
@@ -239,16 +238,15 @@ class Group:
         return found
 
 
-def _open(percent: int):
+def _open(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, None
-        for b in batches:
+        for b in text_slices(batches, "text"):
             out = []
-            flat, at = _tokens(b.column(4)) if b.num_rows else (None, [0])
-            for i, (g, block, query, key) in enumerate(zip(*[b.column(c).to_pylist() for c in range(4)])):
+            for text, g, block, query, key in zip(texts_of(b, "text"), *[b.column(c).to_pylist() for c in range(4)]):
                 if (g, block) != now:
                     now, group = (g, block), Group(percent)
-                tokens = set(flat[at[i]: at[i + 1]].tolist())
+                tokens = set(shingle_set(text, k).tolist())
                 found = group.links(tokens)[0] if query else group.add(key, tokens)
                 out += [(key, other) for other in found]
             if out:
@@ -256,14 +254,17 @@ def _open(percent: int):
     return run
 
 
-def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between keys whose components are those of all pairs at
-    the similarity."""
-    members = stage_table(assign_groups(group_keys(classes, rarity(classes), percent)), "jaccard-members")
+    the similarity. Only texts of classes that visit a group are shuffled."""
+    members = stage_table(assign_groups(stage_table(group_keys(docs, rarity(sets), k, percent), "jaccard-keys")), "jaccard-members")
     queries = stage_table(groups_to_open(members, percent), "jaccard-queries")
-    rows = visits(members, queries).join(classes.select("key", "tokens"), "key")
-    dealt = rows.select("group", "block", "query", "key", "tokens").repartition("group", "block")
-    return dealt.sortWithinPartitions("group", "block", "query", "key").mapInArrow(_open(percent), "a binary, b binary")
+    going = stage_table(visits(members, queries).join(classes.select("key", "t1", "t2"), "key"), "jaccard-visits")
+    wanted = stage_table(going.select("t1", "t2").distinct(), "jaccard-wanted")
+    texts = docs.select(*text_key(), "text").join(sized(wanted, wanted.count()), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(
+        F.first("text").alias("text"))
+    dealt = going.join(texts, ["t1", "t2"]).select("group", "block", "query", "key", "text").repartition("group", "block")
+    return dealt.sortWithinPartitions("group", "block", "query", "key").mapInArrow(_open(k, percent), "a binary, b binary")
 
 
 def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -272,16 +273,18 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     sets = stage_table(shingle_sets(docs, k), "jaccard-sets")
-    classes = stage_table(sets.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-classes")
-    labels = connected_components(stage_table(links(classes, percent), "jaccard-links"))
+    rows = sets.where("part IS NULL").select("doc_id", "n", "key", "t1", "t2")
+    text = F.min(F.struct("t1", "t2")).alias("text")
+    classes = stage_table(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), text).select(
+        "key", "doc_id", "text.t1", "text.t2"), "jaccard-classes")
+    labels = connected_components(stage_table(links(docs, sets, classes, k, percent), "jaccard-links"))
     linked = stage_table(labels.join(classes.select("key", "doc_id"), F.col("node") == F.col("key")).select("key", "root", "doc_id"), "jaccard-linked")
     least = linked.groupBy(F.col("root").alias("_r")).agg(F.min("doc_id").alias("component"))
     named = linked.join(least, F.col("root") == F.col("_r")).select(F.col("key").alias("_k"), "component")
     # one row a class, written first, so that the join below can split the rows of a hot class
     found = stage_table(classes.select("key", "doc_id").join(named, F.col("key") == F.col("_k"), "left").select(
         F.col("key").alias("_key"), F.coalesce("component", "doc_id").alias("component")), "jaccard-found")
-    return sets.select("doc_id", "n", "key").join(found, F.col("key") == F.col("_key"), "left").select(
+    return rows.select("doc_id", "n", "key").join(found, F.col("key") == F.col("_key"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
