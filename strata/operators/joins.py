@@ -131,28 +131,40 @@ def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) ->
     return matched.unionByName(alone)
 
 
-def null_key_warnings(frames: Sequence[DataFrame]) -> list[tuple[str, str]]:
-    """(key columns, message) for each neighbouring pair of sources that both
-    hold rows without a key: such rows match each other, n * m of them. One
-    small aggregate a pair over the key columns."""
-    out = []
-    for a, b in zip(frames, frames[1:]):
-        keys = shared_id_keys(a.columns, b.columns)
-        if not keys:
-            continue
-        missing = F.greatest(*[F.col(f"`{k}`").isNull().cast("int") for k in keys]) if len(keys) > 1 else F.col(f"`{keys[0]}`").isNull().cast("int")
-        n, m = (int(df.agg(F.sum(missing.cast("long"))).first()[0] or 0) for df in (a, b))
-        if n and m:
-            out.append((",".join(keys), f"{n} and {m} rows without a key match each other: {n * m} rows"))
+def _no_key(keys: Sequence[str]):
+    out = F.col(f"`{keys[0]}`").isNull()
+    for k in keys[1:]:
+        out = out | F.col(f"`{k}`").isNull()
     return out
 
 
+def fold_keys(frames: Sequence[DataFrame]) -> list[list[str]]:
+    """The keys of each step of the fold: id-like columns that a source shares
+    with any source before it."""
+    known, steps = list(frames[0].columns), []
+    for df in frames[1:]:
+        steps.append(shared_id_keys(known, df.columns))
+        known += [c for c in df.columns if c not in known]
+    return steps
+
+
+def rows_without_key(parts: Sequence[tuple[DataFrame, Sequence[str]]]) -> list[int]:
+    """How many rows of each frame lack one of its keys: one job that reads
+    the key columns alone."""
+    out = None
+    for i, (df, keys) in enumerate(parts):
+        one = df.agg(F.lit(i).alias("i"), F.count_if(_no_key(keys)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    counts = {} if out is None else {r["i"]: r["n"] for r in out.collect()}
+    return [counts[i] for i in range(len(parts))]
+
+
 def union_by_name(left: DataFrame, right: DataFrame) -> DataFrame:
     """JN-03 / SO-01: bag union by column name, missing columns null."""
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True) -> DataFrame:
+def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True, warn=None) -> DataFrame:
     """Left fold of the gold sources: outer join on shared id-like columns,
     union by name when none is shared (JN-01..03).
 
@@ -160,18 +172,32 @@ def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True) -
     keys). When that input is itself an earlier join, it is written once to
     the checkpoint folder first; otherwise each further step would double
     the plan (2^n re-computations of the first join for n sources).
+
+    Rows without a key match each other, n * m of them; ``warn(keys, text)``
+    is told where both sides of a step have some. One job counts those of all
+    new sources; the rows joined so far are only counted where the new
+    source has some.
     """
+    steps = fold_keys(frames)
+    counted = [(df, keys) for df, keys in zip(frames[1:], steps) if keys] if warn and null_keys_match else []
+    first = [(frames[0], steps[0])] if counted and steps[0] else []
+    found = rows_without_key([*first, *counted]) if counted else []
+    start, new = (found[0] if first else 0), iter(found[len(first):])
     df = frames[0]
     joined = False
-    for nxt in frames[1:]:
-        keys = shared_id_keys(df.columns, nxt.columns)
-        if keys:
-            if joined:
-                df = stage_table(df, "outer-join")
-            df = full_outer(df, nxt, keys, null_keys_match=null_keys_match)
-            joined = True
-        else:
+    for no, (nxt, keys) in enumerate(zip(frames[1:], steps)):
+        if not keys:
             df = union_by_name(df, nxt)
+            continue
+        if joined:
+            df = stage_table(df, "outer-join")
+        m = next(new) if counted else 0
+        if m:
+            n = start if no == 0 else rows_without_key([(df, keys)])[0]
+            if n:
+                warn(",".join(keys), f"{n} and {m} rows without a key match each other: {n * m} rows")
+        df = full_outer(df, nxt, keys, null_keys_match=null_keys_match)
+        joined = True
     return df
 
 

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from ..session import stage_path
+from ..session import stage_path, stage_table
 
 SOURCE_FILE = "_source_file"
 SOURCE_ROW = "_source_row"
@@ -97,45 +98,91 @@ def positions(df: DataFrame, order_by: Sequence[str | Column], name: str = "_pos
             .drop("_part", "_local", "_pid", "_off"))
 
 
-MAX_DENSE_BLOCKS = 100_000
 #: Ordinals of split text scans hold the block start above these low bits;
 #: those of whole files are below it.
 BLOCK_SIZE = 2 ** 33
+#: Rows of one directory entry, and of one of its words.
+ENTRY, WORD = 2 ** 15, 64
+#: A directory of at most so many entries (4 KB each and 4 KB of counts) is
+#: broadcast; a larger one is joined by a shuffle on (file, block, entry).
+BROADCAST_ENTRIES = 4096
 
 
-def dense_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | None:
-    """Positions in file order without a sort or a copy, where the ordinal
-    itself counts the rows: no row of a file (or of a block of a split file)
-    was dropped, so the ordinals run from the smallest to the largest without
-    a gap or a repeat (checked by count, range, sum and sum of squares, in one
-    aggregate that reads the ordinal columns alone). The offsets have one row
-    a block and are broadcast up to ``MAX_DENSE_BLOCKS`` blocks. None where
-    that doesn't hold: sort then.
-    """
+def _address() -> dict[str, Column]:
+    """A row's ordinal as (file, block, entry, word, bit)."""
+    low = F.expr(f"cast({SOURCE_ROW} % {BLOCK_SIZE} as bigint)")
+    return {"file": F.col(SOURCE_FILE), "block": F.expr(f"cast({SOURCE_ROW} div {BLOCK_SIZE} as bigint)"),
+            "entry": F.floor(low / ENTRY), "word": F.floor(low % ENTRY / WORD).cast("int"), "bit": (low % WORD).cast("int")}
+
+
+def _words(df: DataFrame) -> DataFrame:
+    """(file, block, entry, word, bits, n): which rows of each run of 64
+    ordinals there are, and how many. A scan's rows come in file order, so
+    a task sends one row a run."""
+    at = _address()
+    return (df.select(*[c.alias(f"_{n}") for n, c in at.items()]).groupBy("_file", "_block", "_entry", "_word")
+            .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("bits"), F.count(F.lit(1)).alias("n")))
+
+
+def ordinals_are_distinct(df: DataFrame) -> bool:
+    """Whether every row has an ordinal of its own: exactly, by as many set
+    bits as rows."""
+    if SOURCE_ROW not in df.columns or SOURCE_FILE not in df.columns:
+        return False
+    r = _words(df).agg(F.sum("n"), F.sum(F.bit_count("bits")), F.count_if(F.col("_file").isNull() | F.col("_entry").isNull())).first()
+    return r[0] == r[1] and not r[2]
+
+
+def rank_directory(df: DataFrame) -> DataFrame | None:
+    """(file, block, entry, offset, words, before): one row per run of 32 768
+    ordinals with the rows that are there as bits, the number of set bits in
+    front of each word, and the number of rows in front of the entry, files by
+    name. Built from the two ordinal columns alone; None where an ordinal is
+    missing or repeated, for then rows can't be told apart (the set bits are
+    counted against the rows, so this is exact)."""
+    per_word = F.map_from_entries(F.collect_list(F.struct("_word", "bits")))
+    entries = stage_table(_words(df).groupBy("_file", "_block", "_entry").agg(
+        per_word.alias("w"), F.sum("n").alias("n"), F.sum(F.bit_count("bits")).cast("long").alias("held")).select(
+        "_file", "_block", "_entry", "n", "held", F.transform(F.sequence(F.lit(0), F.lit(ENTRY // WORD - 1)),
+                                                              lambda i: F.coalesce(F.col("w")[i], F.lit(0).cast("long"))).alias("words")), "ranks")
+    # one row a file reaches the driver
+    files = entries.groupBy("_file").agg(F.sum("n").alias("n"), F.sum("held").alias("held"),
+                                         F.count_if(F.col("_entry").isNull()).alias("unset")).collect()
+    if any(r["_file"] is None or r["unset"] or r["n"] != r["held"] for r in files):
+        return None
+    starts, running = [], 0
+    for r in sorted(files, key=lambda r: r["_file"]):
+        starts.append((r["_file"], running))
+        running += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "_f string, _start long")
+    inside = W.partitionBy("_file").orderBy("_block", "_entry").rowsBetween(W.unboundedPreceding, -1)
+    counts = F.transform("words", lambda x: F.bit_count(x).cast("int"))
+    before = F.aggregate(counts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return (entries.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            .join(F.broadcast(first), F.col("_file") == F.col("_f"))
+            .select("_file", "_block", "_entry", (F.col("_start") + F.col("_in")).alias("_offset"), "words", before.alias("before")))
+
+
+def ranked_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | None:
+    """Contiguous positions in file order without a sort or a copy, also
+    where rows were dropped: a row's position is its entry's offset plus the
+    set bits in front of its own (``rank_directory``). None without distinct
+    ordinals: sort then."""
     if SOURCE_ROW not in df.columns or SOURCE_FILE not in df.columns:
         return None
-    block, low = F.expr(f"{SOURCE_ROW} div {BLOCK_SIZE}"), F.expr(f"cast({SOURCE_ROW} % {BLOCK_SIZE} as bigint)")
-    row = low.cast("decimal(19,0)")
-    blocks = (df.groupBy(SOURCE_FILE, block.alias("block"))
-              .agg(F.count(F.lit(1)).alias("n"), F.count(SOURCE_ROW).alias("n_set"), F.min(low).alias("lo"),
-                   F.try_sum(row).alias("s1"), F.try_sum(row * row).alias("s2"))
-              .limit(MAX_DENSE_BLOCKS + 1).collect())
-    if len(blocks) > MAX_DENSE_BLOCKS:
+    directory = rank_directory(df)
+    if directory is None:
         return None
-    rows, running = [], start
-    for r in sorted(blocks, key=lambda r: (r[SOURCE_FILE] or "", r["block"] or 0)):
-        n, lo = r["n"], r["lo"]
-        if r[SOURCE_FILE] is None or r["n_set"] != n or r["s1"] is None or r["s2"] is None:
-            return None
-        # sums of lo, lo + 1, ... lo + n - 1 and of their squares
-        if int(r["s1"]) != n * lo + n * (n - 1) // 2 or \
-                int(r["s2"]) != n * lo * lo + lo * n * (n - 1) + (n - 1) * n * (2 * n - 1) // 6:
-            return None
-        rows.append((r[SOURCE_FILE], r["block"], running - lo))
-        running += n
-    offsets = df.sparkSession.createDataFrame(rows, "_dense_file string, _dense_block long, _off long")
-    return (df.join(F.broadcast(offsets), (F.col(SOURCE_FILE) == F.col("_dense_file")) & (block == F.col("_dense_block")))
-            .withColumn(name, F.col("_off") + low).drop("_off", "_dense_file", "_dense_block"))
+    directory = stage_table(directory, "rank-directory")
+    small = directory.count() <= BROADCAST_ENTRIES
+    at = _address()
+    names = ["file", "block", "entry"]
+    rows = df.select("*", *[at[n].alias(f"_r_{n}") for n in (*names, "word", "bit")])
+    same = [F.col(f"_r_{n}") == F.col(f"_{n}") for n in names]
+    joined = rows.join(F.broadcast(directory) if small else directory, same[0] & same[1] & same[2])
+    front = F.expr("~shiftleft(-1L, _r_bit)")
+    rank = F.col("before")[F.col("_r_word")] + F.bit_count(F.col("words")[F.col("_r_word")].bitwiseAND(front))
+    return joined.withColumn(name, F.col("_offset") + rank + start).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column] | None = None,
@@ -149,34 +196,77 @@ def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column]
     cols = list(df.columns)
     keyed = None
     if list(order_by) == ordinal_columns(df):
-        keyed = dense_positions(df, name, start)
+        keyed = ranked_positions(df, name, start)
     if keyed is None:
         keyed = positions(df, order_by, name=name, start=start)
     return keyed.select(name, *cols)
 
 
+#: Up to so many addresses (a file name and a number each) are broadcast.
+BROADCAST_ADDRESSES = 500_000
+
+
+def keep_rows(df: DataFrame, chosen: DataFrame, total: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose ordinals are in ``chosen`` (distinct ordinals
+    of rows of ``df``). Few chosen rows, or few others, are broadcast as
+    addresses, so that the rows themselves are not shuffled."""
+    same = list(ORDINAL_COLUMNS)
+    n = chosen.count()
+    if n <= BROADCAST_ADDRESSES:
+        return df.join(F.broadcast(chosen), same, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    total = df.count() if total is None else total
+    if total - n <= BROADCAST_ADDRESSES:
+        others = stage_table(df.select(*same).join(chosen, same, "left_anti"), "other-rows")
+        return df.join(F.broadcast(others), same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.join(chosen, same, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def first_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The ordinals of the first row of each key, written once. Only keys and
+    ordinals are read and shuffled, and a hot key is one row a task."""
+    at = F.min(F.struct(*ORDINAL_COLUMNS)).alias("_at")
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(at).select(*[F.col(f"_at.{c}").alias(c) for c in ORDINAL_COLUMNS])
+    return stage_table(found, "first-rows")
+
+
+def _first_equal_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The ordinals of all rows but later copies of equal ones. Two 64-bit
+    hashes find the rows that may have a copy; only those are compared whole."""
+    refs = [F.col(f"`{c}`") for c in columns]
+    hashes = [F.xxhash64(*refs).alias("_h1"), F.xxhash64(F.lit("strata"), *refs).alias("_h2")]
+    at = list(ORDINAL_COLUMNS)
+    hashed = df.select(*hashes, *at)
+    groups = stage_table(hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*at)).alias("_at")), "row-hashes")
+    alone = groups.where("_n = 1").select(*[F.col(f"_at.{c}").alias(c) for c in at])
+    several = groups.where("_n > 1").select("_h1", "_h2")
+    if several.count() <= BROADCAST_ADDRESSES:
+        several = F.broadcast(several)
+    compared = df.select(*hashes, "*").join(several, ["_h1", "_h2"], "left_semi").groupBy(*refs).agg(F.min(F.struct(*at)).alias("_at"))
+    return stage_table(alone.union(compared.select(*[F.col(f"_at.{c}").alias(c) for c in at])), "first-rows")
+
+
 def dedup_keep_first(df: DataFrame, subset: Sequence[str] | None,
                      order_by: Sequence[str] | None = None) -> DataFrame:
     """WN-02 / WN-03 / SO-02: keep the first row (in ``order_by`` order, default the
     row ordinal) of each ``subset`` key; nulls equal each other (D6).
 
-    Built as a hash aggregate of ``min(struct(order..., payload...))``: the
-    partial (map-side) aggregate collapses a hot key to one row per task
-    before the shuffle, so a key holding a third of the table never lands
-    in one task as raw rows.
+    In file order the winners are picked as addresses: keys and ordinals alone
+    go through the aggregate (``first_rows``), and the rows are then read by
+    address (``keep_rows``). That needs distinct ordinals, which is checked
+    exactly; else, and for another order, the winner's other columns travel
+    with it (``min(struct(order, payload))``). Either way the partial
+    aggregate leaves one row a key and task, so a key holding a third of
+    the table never lands in one task as raw rows.
     """
     cols = list(df.columns)
     order = list(order_by) if order_by else ordinal_columns(df)
-    if subset is None:
-        keys = [c for c in cols if c not in order]
-        if not order:
-            return df.dropDuplicates()
-        agg = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-        return agg.select(*[F.col(c) if c in keys else F.col(f"_first.{c}") for c in cols])
-    keys = list(subset)
     if not order:
-        # no order known: any row of the key is as good (dropDuplicates)
-        return df.dropDuplicates(keys)
+        # no order known: any row of the key is as good
+        return df.dropDuplicates(list(subset) if subset is not None else None)
+    if order == list(ORDINAL_COLUMNS) and ordinals_are_distinct(df):
+        keys = [c for c in cols if c not in order] if subset is None else list(subset)
+        return keep_rows(df, _first_equal_rows(df, keys) if subset is None else first_rows(df, keys))
+    keys = [c for c in cols if c not in order] if subset is None else list(subset)
     payload = order + [c for c in cols if c not in keys and c not in order]
-    agg = df.groupBy(*keys).agg(F.min(F.struct(*payload)).alias("_first"))
-    return agg.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in cols])
+    agg = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in payload])).alias("_first"))
+    return agg.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_first.`{c}`").alias(c) for c in cols])

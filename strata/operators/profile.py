@@ -86,9 +86,9 @@ def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) ->
         else:
             none = F.lit(None).cast("double")
             mn = mx = av = none
-            sv = F.when(nn, col.cast("string"))
-            # SL-05: first non-null sample in file order
-            smp = F.min_by(sv, F.when(nn, order_key)) if order_key is not None else F.first(sv, ignorenulls=True)
+            sv = F.when(nn, col)
+            # SL-05: first non-null sample in file order, made a text once
+            smp = (F.min_by(sv, F.when(nn, order_key)) if order_key is not None else F.first(sv, ignorenulls=True)).cast("string")
         parts.append(df.agg(F.lit(c).alias("c"), F.count(F.when(nn, 1)).alias("nn"), u.cast("long").alias("u"),
                             mn.alias("mn"), mx.alias("mx"), av.alias("av"), smp.alias("s")))
     out = parts[0]
@@ -99,8 +99,10 @@ def _column_stats(df: DataFrame, cols: list[str], exact: set[str], order_key) ->
 
 def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
                   estimate_distinct: bool = False, with_lov: bool = True,
-                  lov_max: int = LOV_MAX_DISTINCT) -> tuple[DataFrame, DataFrame | None]:
-    """Profile one table -> (profile rows, list-of-values rows)."""
+                  lov_max: int = LOV_MAX_DISTINCT, distinct: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Profile one table -> (profile rows, list-of-values rows). Without
+    ``distinct`` no distinct values are counted (null, not exact), which leaves
+    one aggregate without a shuffle of values, and no lists of values."""
     spark = df.sparkSession
     cols = _data_columns(df, max_columns)
     ords = ordinal_columns(df)
@@ -112,7 +114,7 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
         hll = df.agg(*[F.approx_count_distinct(F.when(~_is_null(c, df.schema[c].dataType), F.col(f"`{c}`")))
                        .alias(f"h{i}") for i, c in enumerate(cols)]).first()
         estimate = {c: int(hll[f"h{i}"] or 0) for i, c in enumerate(cols)}
-    exact_cols = [c for c in cols if c not in estimate]
+    exact_cols = [c for c in cols if c not in estimate] if distinct else []
     stats = _column_stats(df, cols, set(exact_cols), order_key) if cols else {}
     out = []
     for i, c in enumerate(cols):
@@ -120,7 +122,7 @@ def profile_table(name: str, df: DataFrame, max_columns: int | None = None,
         st = stats[c]
         nulls = rows_total - int(st["nn"])
         exact = c in exact_cols
-        u = int(st["u"] or 0) if exact else estimate[c]
+        u = int(st["u"] or 0) if exact else estimate.get(c)
         pct = round(nulls * 100.0 / rows_total, 2) if rows_total else 0.0
         out.append((name, i, c, dt.simpleString(), rows_total, nulls, float(pct), u, exact,
                     st["mn"], st["mx"], st["av"], st["s"]))
@@ -222,9 +224,9 @@ def preview(name: str, df: DataFrame, max_columns: int = 12) -> DataFrame:
     exprs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         null = _is_null(c, df.schema[c].dataType)
-        text = F.when(~null, F.col(f"`{c}`").cast("string"))
+        value = F.when(~null, F.col(f"`{c}`"))
         exprs += [F.count(F.when(null, 1)).alias(f"n{i}"),
-                  (F.min_by(text, F.when(~null, at)) if ords else F.first(text, ignorenulls=True)).alias(f"s{i}")]
+                  (F.min_by(value, F.when(~null, at)) if ords else F.first(value, ignorenulls=True)).cast("string").alias(f"s{i}")]
     row = df.agg(*exprs).first()
     ncols = len(_data_columns(df, None))
     data = [(name, int(row["_rows"]), ncols, i, c, df.schema[c].dataType.simpleString(), int(row[f"n{i}"]), row[f"s{i}"])

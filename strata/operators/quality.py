@@ -129,39 +129,35 @@ def file_summary(name: str, df: DataFrame, expected: Sequence[str] | None = None
     return out
 
 
-def validate_layer(spark: SparkSession, layer: str, tables: Mapping[str, DataFrame], run_id: str = "",
-                   expected: Mapping[str, Sequence[str]] | None = None,
-                   parallel: int = 4) -> tuple[DataFrame, dict]:
-    """QL-01/QL-03: per-table rows (QL-04 flattened) and the layer summary (AG-11).
-    The per-table jobs are independent and submitted ``parallel`` at a time."""
-    expected = expected or {}
-    files = []
-    if not tables:
-        files.append({"file_path": "", "warnings": ["No Output File were provided for validation."]})
-    else:
-        files.extend(map_jobs(spark, lambda it: file_summary(it[0], it[1], expected.get(it[0])),
-                              tables.items(), parallel))
-    rows = []
-    for f in files:
-        rows.append((run_id, layer, f.get("file_path"), f.get("row_count"), f.get("column_count"),
-                     f.get("columns"), f.get("dtypes"), f.get("null_pct_by_column"),
-                     f.get("duplicate_row_count"), f.get("is_empty"),
-                     f.get("missing_expected_columns"), f.get("unexpected_columns"), f["warnings"]))
-    frame = spark.createDataFrame(rows, FILE_SCHEMA)
+def layer_report(spark: SparkSession, layer: str, files: Sequence[dict], run_id: str = "") -> tuple[DataFrame, dict]:
+    """QL-03: the per-table rows and the layer summary (AG-11) of summaries
+    made now or kept from an earlier run."""
+    files = list(files) or [{"file_path": "", "warnings": ["No Output File were provided for validation."]}]
+    names = [f.name for f in FILE_SCHEMA.fields if f.name not in ("run_id", "layer_name")]
+    frame = spark.createDataFrame([(run_id, layer, *[f.get(n) for n in names]) for f in files], FILE_SCHEMA)
     with_w = sum(1 for f in files if f["warnings"])
     total_w = sum(len(f["warnings"]) for f in files)
     summary = {
         "run_id": run_id, "layer_name": layer,
         "validated_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
         "warn_only": True, "status": "warning" if total_w else "passed",
-        "summary": {"file_count": len(tables) if tables else 0, "files_with_warnings": with_w,
-                    "total_warnings": total_w},
+        "summary": {"file_count": sum(1 for f in files if f["file_path"]), "files_with_warnings": with_w, "total_warnings": total_w},
         # exact counts, for steps that would scan the tables for them again
         "null_counts": {f["file_path"]: f["null_counts"] for f in files if "null_counts" in f},
     }
     return frame, summary
 
 
+def validate_layer(spark: SparkSession, layer: str, tables: Mapping[str, DataFrame], run_id: str = "",
+                   expected: Mapping[str, Sequence[str]] | None = None,
+                   parallel: int = 4) -> tuple[DataFrame, dict]:
+    """QL-01/QL-03: per-table rows (QL-04 flattened) and the layer summary (AG-11).
+    The per-table jobs are independent and submitted ``parallel`` at a time."""
+    expected = expected or {}
+    files = map_jobs(spark, lambda it: file_summary(it[0], it[1], expected.get(it[0])), tables.items(), parallel) if tables else []
+    return layer_report(spark, layer, files, run_id)
+
+
 def rollup(files: DataFrame) -> DataFrame:
     """AG-11: file count, files with warnings, total warnings, status per layer."""
     nw = F.size(F.coalesce(F.col("warnings"), F.array().cast("array<string>")))

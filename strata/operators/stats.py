@@ -9,13 +9,16 @@ aggregation buffer, i.e. one task holds every distinct value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.clean import as_double, fractional_flag
 from ..functions.dates import first_format_from_votes, format_vote_exprs
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_table
 
 def mean_value(df: DataFrame, c: str) -> float | None:
     """AG-05: mean of the numeric reading of ``c`` (partial + final agg)."""
@@ -225,26 +228,64 @@ def column_decisions(df: DataFrame, fractional_cols: list[str], vote_cols: list[
     return fr, votes
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact interpolated median of ``value`` per group of ``keys``.
+#: Values of a group that one window may hold when its median is picked, the
+#: slices of a bracket that holds more, and the group rows that are broadcast.
+BRACKET_VALUES, SLICES, GROUP_ROWS = 200_000, 1024, 100_000
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median", accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated median of ``value`` per group of ``keys``; null and
+    NaN are no values, and a group without values has no row.
 
-    Spark's ``median`` aggregate would keep a whole group in one buffer. Here
-    the rows are ranked by one global range sort on (keys, value) - a hot
-    group is split across range partitions by value - and each group's two
-    middle ranks are picked from its start rank and size (partial
-    aggregates), so no task holds a whole group.
+    Spark's ``median`` would keep a whole group in one buffer, a sort would
+    move every row. Here a sketch brackets each group's middle (its rank error
+    is below 1/``accuracy``), one pass counts what lies below and inside the
+    brackets, and only the values inside are grouped and picked from. A
+    bracket with more than ``BRACKET_VALUES`` values is cut in slices and
+    narrowed to those with the middle ranks, so a hot group costs a further
+    scan, not a task that holds it. The group rows, one a group, are joined with the values
+    where these are read.
     """
-    from .keys import positions
     if not keys:
         raise ValueError("group_median needs grouping keys; use median_value for a global median")
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+    vals = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col(f"`{value}`").cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = positions(vals, [*keys, "_v"], name="_pos")
-    stats = ranked.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    # the (at most two) middle positions of each group; positions are unique,
-    # so the join below has no hot key even when one group is a third of the rows
-    mids = stats.select(*keys, F.explode(F.array_distinct(F.array(
-        F.col("_start") + F.floor((F.col("_n") - 1) / 2), F.col("_start") + F.floor(F.col("_n") / 2))))
-        .alias("_mid"))
-    picked = ranked.select("_pos", "_v").join(mids, F.col("_pos") == F.col("_mid"))
-    return picked.groupBy(*keys).agg(F.avg("_v").alias(name))
+    ks, margin = [f"_k{i}" for i in range(len(keys))], 2.0 / accuracy
+    groups = stage_table(vals.groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_q")).select(
+        *ks, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi")), "medians")
+    few = groups.count() <= GROUP_ROWS
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+
+    def bracketed(state: DataFrame) -> DataFrame:
+        side = state.select(*[F.col(k).alias(f"_g{k}") for k in ks], *[c for c in state.columns if c not in ks])
+        side = F.broadcast(side) if few else side
+        same = [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in ks]
+        return vals.join(side, reduce(lambda a, b: a & b, same))
+
+    while True:
+        counted = stage_table(bracketed(groups).groupBy(*ks, "_n", "_lo", "_hi").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_in")), "medians")
+        wide = counted.where((F.col("_in") > BRACKET_VALUES) & (F.col("_lo") < F.col("_hi")))
+        if wide.isEmpty():
+            break
+        # cut the bracket in SLICES; the slices with the middle ranks are the next one
+        width = F.col("_hi") - F.col("_lo")
+        cut = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(width > 0, width) * SLICES), F.lit(SLICES - 1))
+        slices = bracketed(counted).where(inside).groupBy(*ks, "_n", "_lo", "_hi", "_below", F.coalesce(cut, F.lit(0)).alias("_s")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        upto = F.col("_below") + F.sum("_c").over(W.partitionBy(*ks).orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow))
+        holds = (F.col("_up") > F.floor((F.col("_n") - 1) / 2)) & (F.col("_up") - F.col("_c") <= F.floor(F.col("_n") / 2))
+        moved = stage_table(slices.withColumn("_up", upto).where(holds).groupBy(*ks, "_n", "_lo", "_hi").agg(
+            F.min("_from").alias("_nlo"), F.max("_to").alias("_nhi")), "medians")
+        stuck = moved.where((F.col("_nlo") > F.col("_lo")) | (F.col("_nhi") < F.col("_hi"))).isEmpty()
+        groups = moved.select(*ks, "_n", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"))
+        if stuck:
+            break
+    found = bracketed(counted).where(inside).groupBy(*ks, "_n", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    end = F.col("_below") + F.sum("_c").over(W.partitionBy(*ks).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranks = [F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)]
+    hits = sum(((r >= F.col("_end") - F.col("_c")) & (r < F.col("_end"))).cast("int") for r in ranks)
+    picked = found.withColumn("_end", end).withColumn("_hits", hits).where("_hits > 0")
+    return picked.groupBy(*ks).agg((F.sum(F.col("_v") * F.col("_hits")) / 2).alias(name)).select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col(f"`{name}`"))

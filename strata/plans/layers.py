@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import clean
 from ..functions.dates import DATE_FORMATS, parse_generic, parse_text_with
 from ..operators.aggregate import group_aggregate
-from ..operators.joins import combine_sources, null_key_warnings
+from ..operators.joins import combine_sources
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, add_surrogate_key, dedup_keep_first, ordinal_columns
 from ..operators.stats import column_decisions, fill_values
 from ..session import stage_table
@@ -103,9 +103,10 @@ def _apply(expr: Column, dtype: T.DataType, kind: str, arg=None) -> Column | Non
 class Frame:
     """A lazy frame plus pending column expressions over it."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, decide=column_decisions):
         df = nan_to_null(df)
         self.df = df
+        self.decide = decide
         self.cols: "OrderedDict[str, Column]" = OrderedDict((c, F.col(f"`{c}`")) for c in df.columns)
         self.pending: dict[str, tuple[str, str]] = {}   # col -> (kind, date_mode)
         self.fills: dict[str, list[tuple]] = {}         # col -> its fill and the steps that wait for it
@@ -162,7 +163,7 @@ class Frame:
         frame = self.current()
         ints = [c for c, (k, _) in self.pending.items() if k == "integer"]
         dates = [c for c, (k, m) in self.pending.items() if k == "date" and m == "first_format"]
-        frac, votes = column_decisions(frame, ints, dates)
+        frac, votes = self.decide(frame, ints, dates)
         for c, (kind, mode) in self.pending.items():
             dt = frame.schema[c].dataType
             if kind == "integer":
@@ -215,18 +216,20 @@ class Frame:
 
 def run_bronze(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule],
                file_names: dict[str, str] | None = None, match: str = "word",
-               integer_policy: str = "all_or_nothing") -> LayerResult:
+               integer_policy: str = "all_or_nothing", decide=column_decisions) -> LayerResult:
     """Rename, cast and add lineage per table; output ``{stem}_bronze``.
 
     ``integer_policy="all_or_nothing"`` (D2) decides an integer cast for the
     whole column (one aggregate job); ``"per_value"`` casts each value alone
     (non-whole values become null), which keeps the layer row-local for
-    incremental / streaming ingestion."""
+    streaming ingestion. ``decide`` takes the whole-column decisions of a
+    frame (``column_decisions``); an incremental run adds what it knows of
+    files that it doesn't read again."""
     res = LayerResult()
     file_names = file_names or {}
     for stem, df in sources.items():
         fname = file_names.get(stem, f"{stem}.csv")
-        fr = Frame(df)
+        fr = Frame(df, decide)
         for rule in rules_for_table(rules, fname, stem):
             st = parse_bronze(rule, match)
             if st.kind == "load_ts":
@@ -366,9 +369,8 @@ def run_gold(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule], matc
 
     for plan in gold_plans(rules, list(sources), cols_of, match):
         frames = [sources[s] for s in plan.sources]
-        if null_keys_match:
-            res.warnings += [(plan.target_table, keys, text) for keys, text in null_key_warnings(frames)]
-        df = combine_sources(frames, null_keys_match=null_keys_match)
+        df = combine_sources(frames, null_keys_match=null_keys_match,
+                             warn=lambda keys, text, t=plan.target_table: res.warnings.append((t, keys, text)))
         res.tables[plan.target_table] = _gold_table(df, plan, res, key_order.get(plan.target_table))
     return res
 

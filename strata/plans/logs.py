@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,83 +148,75 @@ PAYLOAD_SCHEMA = "direct_answer string, charts string, detailed_analysis string"
 
 def last_payload(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """The payload of the last message (highest ``turn``) whose fenced JSON
-    parses and has a ``direct_answer``; ``max_by`` is a partial aggregate."""
+    parses and has a ``direct_answer``; a partial aggregate. Of messages with
+    one turn the payload with the largest values counts, in any run."""
     parsed = messages.select(conv, turn, F.from_json(fenced_json(F.col(text)), PAYLOAD_SCHEMA).alias("p"))
     ok = parsed.where(F.col("p.direct_answer").isNotNull())
-    return ok.groupBy(conv).agg(F.max(turn).alias("turn"), F.max_by(F.col("p"), F.col(turn)).alias("p")) \
-        .select(conv, "turn", "p.direct_answer", "p.charts", "p.detailed_analysis")
+    return ok.groupBy(conv).agg(F.max(F.struct(turn, "p")).alias("m")).select(
+        conv, F.col(f"m.{turn}").alias(turn), "m.p.direct_answer", "m.p.charts", "m.p.detailed_analysis")
 
 
 # --------------------------------------------------------------------------
-# SC-16 keyed document store
+# FN-21 answer normalisation over a table of raw answers
 # --------------------------------------------------------------------------
 
-def upsert_latest(current: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
-    """SC-16: union the stored and the new rows and keep the latest version
-    of each key (``max_by`` over a struct: partial aggregate, no window)."""
-    allrows = current.unionByName(updates, allowMissingColumns=True)
-    payload = [c for c in allrows.columns if c != key]
-    agg = allrows.groupBy(key).agg(F.max_by(F.struct(*payload), F.col(version)).alias("_r"))
-    return agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in payload])
-
-
-def read_first(store: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """SC-16 read: the first ``n`` documents by key (the query text is not used)."""
-    return store.orderBy(key).limit(n)
+# What stands for a missing part of an answer.
+NO_ANSWER = "No answer provided"
+NO_APPROACH = "No methodology provided"
+NO_ANALYSIS = "No additional analysis provided."
 
 
-# --------------------------------------------------------------------------
-# FN-21 answer normalisation over a table of raw answers
-# --------------------------------------------------------------------------
-
 def normalise_answers(raw: DataFrame, question: str, col: str = "payload") -> DataFrame:
     """FN-21: a raw JSON answer -> direct_answer struct (string or object
     accepted), charts kept only when objects, and the seven counters and flags
     of what was found: analysis_was_dict, direct_answer_was_dict,
     direct_answer_was_string, charts_input_count, charts_output_count,
     invalid_chart_specs_dropped, detailed_analysis_was_string. An absent
-    direct answer counts as an empty object, an absent analysis as text."""
-    j = F.col(col)
-    da_obj = F.from_json(F.get_json_object(j, "$.direct_answer"),
-                         "question string, answer string, why string, approach string")
-    da_str = F.get_json_object(j, "$.direct_answer")
-    parsed = F.try_parse_json(j)
-
-    def kind(path):  # STRING, BIGINT, ARRAY<...>, OBJECT<...>, ...
-        return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit(""))
-    is_obj = kind("$.direct_answer").startswith("OBJECT")
-    da_str = F.when(kind("$.direct_answer") == "STRING", da_str)
-    charts_text = F.get_json_object(j, "$.charts")
+    direct answer counts as an empty object, an absent analysis as text.
+
+    The payload is parsed once, into a VARIANT; everything else is a typed
+    path of it. The parts are put in columns of their own first, so that no
+    later expression repeats the parse."""
+    parts = raw.select("*", F.try_parse_json(F.col(col)).alias("_v")).select("*", *[
+        F.try_variant_get("_v", f"$.{name}", "variant").alias(f"_{name}") for name in ("direct_answer", "charts", "detailed_analysis")])
+
+    def kind(part):  # STRING, BIGINT, ARRAY<...>, OBJECT<...>, ... or "" where there is none
+        return F.coalesce(F.schema_of_variant(part), F.lit(""))
+    parts = parts.select("*", *[kind(p).alias(f"{p}_kind") for p in ("_v", "_direct_answer", "_charts", "_detailed_analysis")])
+    whole = F.col("_v_kind").startswith("OBJECT")
+    is_obj, is_text = F.col("_direct_answer_kind").startswith("OBJECT"), F.col("_direct_answer_kind") == "STRING"
+
+    def absent(name):
+        return ~whole | (F.col(f"_{name}_kind") == "")
+
+    def field(name, default):
+        found = F.try_variant_get("_direct_answer", f"$.{name}", "string")
+        return F.coalesce(F.when(found != "", found), F.lit(default))
+    told = F.when(is_text, F.try_variant_get("_direct_answer", "$", "string"))
+    direct = F.when(is_obj, F.struct(field("question", question).alias("question"), field("answer", NO_ANSWER).alias("answer"),
+                                     field("why", "").alias("why"), field("approach", NO_APPROACH).alias("approach"))) \
+        .otherwise(F.struct(F.lit(question).alias("question"), F.coalesce(F.when(told != "", told), F.lit(NO_ANSWER)).alias("answer"),
+                            F.lit("").alias("why"), F.lit(NO_APPROACH).alias("approach")))
     # one chart may stand alone, without a list around it
-    charts = F.when(kind("$.charts").startswith("OBJECT"), F.array(charts_text)).otherwise(F.from_json(charts_text, "array<string>"))
-    chart_objs = F.filter(charts, lambda c: F.ltrim(c).startswith("{"))
-
-    def nz(c, dflt):
-        return F.coalesce(F.when(c != "", c), F.lit(dflt))
-    direct = F.when(is_obj, F.struct(nz(da_obj["question"], question).alias("question"),
-                                     nz(da_obj["answer"], "No answer provided").alias("answer"),
-                                     F.coalesce(da_obj["why"], F.lit("")).alias("why"),
-                                     nz(da_obj["approach"], "No methodology provided").alias("approach"))) \
-        .otherwise(F.struct(F.lit(question).alias("question"),
-                            nz(da_str, "No answer provided").alias("answer"),
-                            F.lit("").alias("why"), F.lit("No methodology provided").alias("approach")))
-    whole = kind("$").startswith("OBJECT")
-
-    def absent(path):
-        return ~whole | (kind(path) == "")
-    return raw.select(
-        "*",
+    charts = F.when(F.col("_charts_kind").startswith("OBJECT"), F.array("_charts")).otherwise(F.try_variant_get("_charts", "$", "array<variant>"))
+    objects = F.transform(F.filter(charts, lambda c: F.schema_of_variant(c).startswith("OBJECT")), lambda c: F.to_json(c))
+    parts = parts.withColumns({"_given": F.coalesce(F.size(charts), F.lit(0)), "_objects": objects})
+    kept = F.coalesce(F.size("_objects"), F.lit(0))
+    analysis = F.col("_detailed_analysis_kind")
+    text = F.when(analysis == "STRING", F.try_variant_get("_detailed_analysis", "$", "string")).when(
+        ~analysis.isin("", "VOID"), F.to_json("_detailed_analysis"))
+    return parts.select(
+        *[F.col(f"`{c}`") for c in raw.columns],
         whole.alias("analysis_was_dict"),
-        (is_obj | absent("$.direct_answer")).alias("direct_answer_was_dict"),
-        (kind("$.direct_answer") == "STRING").alias("direct_answer_was_string"),
-        ((kind("$.detailed_analysis") == "STRING") | absent("$.detailed_analysis")).alias("detailed_analysis_was_string"),
-        F.coalesce(F.size(chart_objs), F.lit(0)).alias("charts_output_count"),
+        (is_obj | absent("direct_answer")).alias("direct_answer_was_dict"),
+        is_text.alias("direct_answer_was_string"),
+        ((analysis == "STRING") | absent("detailed_analysis")).alias("detailed_analysis_was_string"),
+        F.greatest(kept, F.lit(0)).alias("charts_output_count"),
         direct.alias("direct_answer"),
-        F.coalesce(chart_objs, F.array().cast("array<string>")).alias("charts"),
-        F.coalesce(F.size(charts), F.lit(0)).alias("charts_input_count"),
-        (F.coalesce(F.size(charts), F.lit(0)) - F.coalesce(F.size(chart_objs), F.lit(0))).alias("invalid_chart_specs_dropped"),
-        F.coalesce(F.get_json_object(j, "$.detailed_analysis"),
-                   F.lit("No additional analysis provided.")).alias("detailed_analysis"))
+        F.coalesce("_objects", F.array().cast("array<string>")).alias("charts"),
+        F.greatest("_given", F.lit(0)).alias("charts_input_count"),
+        (F.greatest("_given", F.lit(0)) - F.greatest(kept, F.lit(0))).alias("invalid_chart_specs_dropped"),
+        F.coalesce(text, F.lit(NO_ANALYSIS)).alias("detailed_analysis"))
 
 
 def run_summary(spark: SparkSession, tables: Mapping[str, DataFrame], preview_columns: int = 8) -> DataFrame:
@@ -236,11 +228,3 @@ def run_summary(spark: SparkSession, tables: Mapping[str, DataFrame], preview_co
         cols = [c for c in df.columns if c not in ("_source_file", "_source_row")]
         rows.append((name, counts[name], len(cols), cols[:preview_columns]))
     return spark.createDataFrame(rows, "table string, rows long, columns int, column_preview array<string>")
-
-
-def union_all(frames: Iterable[DataFrame]) -> DataFrame:
-    frames = list(frames)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out

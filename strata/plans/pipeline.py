@@ -1,10 +1,13 @@
 """The full run (RX-04 profile, RX-06 phases): profile -> bronze rules ->
 bronze -> silver rules -> silver -> gold rules -> gold -> answer, with a
-quality report per layer and a skip of phases whose outputs are complete.
+quality report per layer.
 
 Each layer is written to ``{root}/{layer}/{run_id}/{table}`` and read back
 by the next phase, so every phase starts from durable files (lineage is cut
-at each layer and a lost executor only re-runs the current phase).
+at each layer and a lost executor only re-runs the current phase). A rerun
+under the same run id rebuilds what changed since (``plans.incremental``): the
+bronze parts of new, changed and removed input files, and the silver and gold
+tables whose sources, rules or options differ.
 """
 
 from __future__ import annotations
@@ -14,17 +17,20 @@ from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from ..operators.profile import profile
-from ..operators.quality import validate_layer
-from ..session import scratch
-from ..sources.tables import is_complete, layer_path, read_many, read_parquet, table_names, write_table
+
+from ..operators.quality import layer_report
+from ..session import map_jobs, scratch
+from ..sources import artifacts as ART
+from ..sources.manifest import digest
+from ..sources.tables import layer_path, table_names, write_table
 from .answer import Answer, answer, answer_text
 from .generate import bronze_rules, column_catalog, gold_rules, silver_rules
-from .layers import run_bronze, run_gold, run_silver
+from .incremental import Built, Tracked, kept_table, note_table, profile_frames, update_bronze
+from .layers import run_gold, run_silver
 from .logs import AuditLog
-from ..sources import artifacts as ART
-from .rules import collect_rules, gold_plans, normalise_source_name, selection_guard
+from .rules import collect_rules, gold_plans, normalise_source_name, rules_for_table, selection_guard
 
 
 @dataclass
@@ -34,7 +40,9 @@ class RunResult:
     quality: dict = field(default_factory=dict)       # layer -> (files frame, summary)
     rules: dict = field(default_factory=dict)         # layer -> rule frame
     answer: Answer | None = None
-    skipped: list = field(default_factory=list)
+    skipped: list = field(default_factory=list)       # layers in which nothing was rebuilt
+    rebuilt: dict = field(default_factory=dict)       # layer -> tables that were
+    parts: dict = field(default_factory=dict)         # bronze table -> input files' parts that were replaced
 
 
 def _settled(rules: DataFrame) -> DataFrame:
@@ -44,24 +52,27 @@ def _settled(rules: DataFrame) -> DataFrame:
     return rules.sparkSession.createDataFrame(rules.collect(), rules.schema)
 
 
-def _write_layer(spark, tables: "OrderedDict[str, DataFrame]", root: str, layer: str, run_id: str) -> dict:
-    out = {}
-    for name, df in tables.items():
-        p = layer_path(root, layer, run_id, name)
-        write_table(df, p)
-        out[name] = p
-    return out
-
+def _finish_layer(spark: SparkSession, res: RunResult, audit: AuditLog, root: str, layer: str, built: Sequence[Built]) -> None:
+    """Outputs, quality report and audit event of a layer. Tables that were
+    kept bring the summary they were written with."""
+    res.outputs[layer] = {b.name: b.path for b in built}
+    res.rebuilt[layer] = [b.name for b in built if b.rebuilt]
+    res.quality[layer] = layer_report(spark, layer, [b.summary for b in built], res.run_id)
+    if not res.rebuilt[layer]:
+        res.skipped.append(layer)
+        return
+    ART.write_json(res.quality[layer][0], ART.quality_paths(root, res.run_id)[layer])
+    audit.log(f"{layer}_agent", "completed", outputs=res.outputs[layer], rebuilt=res.rebuilt[layer],
+              warnings=[w for b in built for w in b.warnings])
 
-def _read_layer(spark, paths: dict) -> "OrderedDict[str, DataFrame]":
-    return OrderedDict((n, read_parquet(spark, p, ordinal=False)) for n, p in paths.items())
 
-
-def _done(spark, root: str, layer: str, run_id: str, names: Sequence[str]) -> dict | None:
-    paths = {n: layer_path(root, layer, run_id, n) for n in names}
-    if names and all(is_complete(spark, p) for p in paths.values()):
-        return paths
-    return None
+def _reviewed(res: RunResult, root: str, layer: str, rules: DataFrame):
+    """The reviewed rules of a layer, guarded and kept as an artifact."""
+    settled = _settled(rules)
+    res.rules[layer] = settled
+    selection_guard(settled)
+    ART.write_rules(settled, os.path.join(root, "rules", res.run_id, layer))
+    return collect_rules(settled)
 
 
 def run_pipeline(spark: SparkSession, inputs: Sequence[str], question: str, root: str, run_id: str,
@@ -81,86 +92,94 @@ def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, r
     hook = rules_hook or (lambda layer, r: r)
     res = RunResult(run_id)
     audit = AuditLog(spark, os.path.join(root, "audit", run_id), run_id)
-    rejected: dict[str, DataFrame] = {}
-    tables, unreadable = read_many(spark, inputs, csv_multi_line, rejected)
-    for name, rows in rejected.items():
-        n = rows.count()
+    state = os.path.join(root, "state", run_id)
+    tracked: "OrderedDict[str, Tracked]" = OrderedDict()
+    unreadable: dict[str, str] = {}
+
+    def opened(item):
+        path, name = item
+        try:
+            return name, Tracked.open(spark, name, path, os.path.join(state, "inputs", name), csv_multi_line)
+        except (PySparkException, ValueError, OSError) as exc:  # skip, record, go on
+            return name, str(exc)
+    for name, t in map_jobs(spark, opened, table_names(inputs).items()):
+        if isinstance(t, Tracked):
+            tracked[name] = t
+        else:
+            unreadable[name] = t
+            audit.log("profiler", "skipped", table=name, error=t)
+    if not tracked:
+        raise ValueError(f"no readable input: {unreadable}")
+    for name, t in tracked.items():
+        n = t.rejected.count() if t.rejected is not None else 0
         if n:
             audit.log("profiler", "rejected", table=name, rows=n,
-                      path=write_table(rows, os.path.join(root, "rejected", run_id, name)))
-    for name, error in unreadable.items():  # skip, record, go on
-        audit.log("profiler", "skipped", table=name, error=error)
-    if not tables:
-        raise ValueError(f"no readable input: {unreadable}")
-    raw = OrderedDict(tables)
-    file_names = {name: os.path.basename(p.rstrip("/")) for p, name in table_names(inputs).items() if name in raw}
+                      path=write_table(t.rejected, os.path.join(root, "rejected", run_id, name)))
+    file_names = {name: os.path.basename(t.path.rstrip("/")) for name, t in tracked.items()}
 
     # RX-04 profile + RG-01
-    prof, lov = profile(raw)
-    ART.write_json(prof, os.path.join(root, "profiles", run_id))
-    if lov is not None:
-        ART.write_json(lov, os.path.join(root, "lovs", run_id))
-    order = {n: i for i, n in enumerate(raw)}
+    found = map_jobs(spark, lambda t: t.profile(), tracked.values())
+    prof, lists = profile_frames(spark, found)
+    if any(t.changed() for t in tracked.values()):
+        ART.write_json(prof, os.path.join(root, "profiles", run_id))
+        ART.write_json(lists, os.path.join(root, "lovs", run_id))
+    order = {n: i for i, n in enumerate(tracked)}
     prof_n = prof.join(spark.createDataFrame(list(order.items()), "dataset string, dataset_no int"), "dataset")
-    b_rules = _settled(hook("bronze", bronze_rules(prof_n)))
-    res.rules["bronze"] = b_rules
-    selection_guard(b_rules)
-    ART.write_rules(b_rules, os.path.join(root, "rules", run_id, "bronze"))
-    audit.log("profiler", "completed", tables=list(raw))
+    b_rules = _reviewed(res, root, "bronze", hook("bronze", bronze_rules(prof_n)))
+    audit.log("profiler", "completed", tables=list(tracked))
 
     # bronze
-    b_names = [f"{n}_bronze" for n in raw]
-    b_paths = _done(spark, root, "bronze", run_id, b_names)
-    if b_paths is None:
-        b = run_bronze(raw, collect_rules(b_rules), file_names)
-        b_paths = _write_layer(spark, b.tables, root, "bronze", run_id)
-        audit.log("bronze_agent", "completed", outputs=b_paths, warnings=b.warnings)
-    else:
-        res.skipped.append("bronze")
-    bronze = _read_layer(spark, b_paths)
-    res.outputs["bronze"] = b_paths
-    res.quality["bronze"] = validate_layer(spark, "bronze", bronze, run_id)
-    ART.write_json(res.quality["bronze"][0], ART.quality_paths(root, run_id)["bronze"])
+    def bronze_table(t: Tracked) -> Built:
+        own = rules_for_table(b_rules, file_names[t.name], t.name)
+        return update_bronze(t, own, file_names[t.name], layer_path(root, "bronze", run_id, f"{t.name}_bronze"))
+    b_built = map_jobs(spark, bronze_table, tracked.values())
+    res.parts = {b.name: b.parts for b in b_built if b.rebuilt}
+    _finish_layer(spark, res, audit, root, "bronze", b_built)
+    bronze = OrderedDict((b.name, b.read(spark)) for b in b_built)
 
     # silver
-    s_rules = _settled(hook("silver", silver_rules(column_catalog(spark, bronze, null_counts=res.quality["bronze"][1]["null_counts"]))))
-    res.rules["silver"] = s_rules
-    selection_guard(s_rules)
-    ART.write_rules(s_rules, os.path.join(root, "rules", run_id, "silver"))
-    s_names = [n[: -len("_bronze")] + "_silver" for n in bronze]
-    s_paths = _done(spark, root, "silver", run_id, s_names)
-    if s_paths is None:
-        s = run_silver(bronze, collect_rules(s_rules), date_mode=date_mode)
-        s_paths = _write_layer(spark, s.tables, root, "silver", run_id)
-        audit.log("silver_agent", "completed", outputs=s_paths, warnings=s.warnings)
-    else:
-        res.skipped.append("silver")
-    silver = _read_layer(spark, s_paths)
-    res.outputs["silver"] = s_paths
-    res.quality["silver"] = validate_layer(spark, "silver", silver, run_id)
-    ART.write_json(res.quality["silver"][0], ART.quality_paths(root, run_id)["silver"])
+    s_rules = _reviewed(res, root, "silver", hook("silver", silver_rules(
+        column_catalog(spark, bronze, null_counts=res.quality["bronze"][1]["null_counts"]))))
+
+    def silver_table(b: Built) -> Built:
+        own = rules_for_table(s_rules, f"{b.name}.parquet", b.name)
+        name = b.name[: -len("_bronze")] + "_silver"
+        path, note = layer_path(root, "silver", run_id, name), os.path.join(state, "silver", f"{name}.json")
+        stamp = digest(b.stamp, [r.__dict__ for r in own], date_mode)
+        kept = kept_table(spark, name, path, note, stamp)
+        if kept is not None:
+            return kept
+        made = run_silver(OrderedDict({b.name: bronze[b.name]}), own, date_mode=date_mode)
+        df = made.tables[name]
+        write_table(df, path)
+        return note_table(spark, Built(name, path, stamp, df.schema, {}, True, warnings=made.warnings), note)
+    s_built = map_jobs(spark, silver_table, b_built)
+    _finish_layer(spark, res, audit, root, "silver", s_built)
+    silver = OrderedDict((b.name, b.read(spark)) for b in s_built)
 
     # gold
-    g_rules = _settled(hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False))))
-    res.rules["gold"] = g_rules
-    selection_guard(g_rules)
-    ART.write_rules(g_rules, os.path.join(root, "rules", run_id, "gold"))
+    g_rules = _reviewed(res, root, "gold", hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False))))
     g_src = OrderedDict((normalise_source_name(n), df) for n, df in silver.items())
-    g_list = collect_rules(g_rules)
-    cols_of = lambda srcs: [c for s_ in srcs for c in g_src[s_].columns]
-    g_names = [p.target_table for p in gold_plans(g_list, list(g_src), cols_of)]
-    g_paths = _done(spark, root, "gold", run_id, g_names)
-    if g_paths is None:
-        g = run_gold(g_src, g_list)
-        g_paths = _write_layer(spark, g.tables, root, "gold", run_id)
-        audit.log("gold_agent", "completed", outputs=g_paths, warnings=g.warnings)
-    else:
-        res.skipped.append("gold")
-    gold = _read_layer(spark, g_paths)
-    res.outputs["gold"] = g_paths
-    # QL-05: the gold report is always produced before the answer is written
-    res.quality["gold"] = validate_layer(spark, "gold", gold, run_id)
-    ART.write_json(res.quality["gold"][0], ART.quality_paths(root, run_id)["gold"])
+    stamps = {normalise_source_name(b.name): b.stamp for b in s_built}
+
+    def gold_table(plan) -> Built:
+        own = [r for r in g_rules if r.target_table.strip() == plan.target_table]
+        path, note = layer_path(root, "gold", run_id, plan.target_table), os.path.join(state, "gold", f"{plan.target_table}.json")
+        stamp = digest([stamps[s] for s in plan.sources], [r.__dict__ for r in own])
+        kept = kept_table(spark, plan.target_table, path, note, stamp)
+        if kept is not None:
+            return kept
+        made = run_gold(g_src, own)
+        df = made.tables[plan.target_table]
+        write_table(df, path)
+        return note_table(spark, Built(plan.target_table, path, stamp, df.schema, {}, True, warnings=made.warnings), note)
+    plans = gold_plans(g_rules, list(g_src), lambda srcs: [c for s in srcs for c in g_src[s].columns])
+    # QL-05: the gold report is always there before the answer is written
+    g_built = map_jobs(spark, gold_table, plans)
+    _finish_layer(spark, res, audit, root, "gold", g_built)
+    gold = OrderedDict((b.name, b.read(spark)) for b in g_built)
+    for t in tracked.values():
+        t.state.record()
 
     # answer
     if gold and question:

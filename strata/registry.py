@@ -21,6 +21,7 @@ from .operators import charts as CH
 from .operators import keys as K
 from .operators import profile as PF
 from .operators import quality as QL
+from .operators import store as ST
 from .operators.joins import combine_sources, join_key_candidates, measure_key_overlap
 from .operators.stats import group_median
 from .plans import answer as AN
@@ -685,8 +686,9 @@ SELECT t AS dataset, c AS "column",
 FROM ({_columns_sql(TABLE_NAMES)}) ic
 """)
 def semantic_classes(spark, sf):
-    """FN-12 as run inside RX-04: classes over the profile of every table."""
-    prof, _ = PF.profile(OrderedDict((t, T(spark, sf, t)) for t in TABLE_NAMES), with_lov=False)
+    """FN-12 as run inside RX-04: classes over the profile of every table.
+    Names and types decide, so no distinct values are counted."""
+    prof, _ = PF.profile(OrderedDict((t, T(spark, sf, t)) for t in TABLE_NAMES), with_lov=False, distinct=False)
     return PF.semantic_classes(prof)
 
 
@@ -1375,7 +1377,7 @@ def doc_upsert_latest(spark, sf):
     d = T(spark, sf, "documents").select("doc_id", "text", "lang", F.lit(1).alias("version"))
     upd = d.where("doc_id % 5 = 0").select("doc_id", F.concat("text", F.lit(" [v2]")).alias("text"), "lang",
                                             F.lit(2).alias("version"))
-    out = LG.upsert_latest(d, upd, "doc_id", "version")
+    out = ST.upsert_latest(d, upd, "doc_id", "version")
     return out.select("doc_id", "version", F.md5("text").alias("text_md5"), "lang")
 
 
@@ -1422,4 +1424,4 @@ def rule_warnings(spark, sf):
     return warnings_frame(spark, "gold", res)
 
 
-from . import registry_runs  # noqa: E402,F401  adds its queries to the same tables
+from . import registry_links, registry_runs  # noqa: E402,F401  add their queries to the same tables

@@ -108,43 +108,54 @@ _BOOL_TRUE = ["True", "TRUE", "true"]
 _BOOL_FALSE = ["False", "FALSE", "false"]
 
 
+def type_candidates(df: DataFrame, keep_text=is_id_like) -> list[str]:
+    """Text columns whose type is found from their values; id-like names stay
+    text (leading zeros kept, D15)."""
+    return [c for c in df.columns if isinstance(df.schema[c].dataType, T.StringType) and c != SOURCE_FILE and not keep_text(c)]
+
+
+def type_counts(c: str) -> list[Column]:
+    """How many values of a text column there are, and how many of them read
+    as whole numbers, as numbers and as booleans. The counts of a table's
+    files add up to the table's."""
+    col = F.col(f"`{c}`")
+    whole = col.rlike(_INT_RE) & F.expr(f"try_cast(`{c}` as bigint)").isNotNull()
+    return [F.count(col).alias("n"), F.count(F.when(whole, 1)).alias("i"), F.count(text_double(col)).alias("d"),
+            F.count(F.when(col.isin(_BOOL_TRUE + _BOOL_FALSE), 1)).alias("b")]
+
+
+def chosen_type(counts) -> str:
+    """The type that every value of a column has: bigint, double, boolean,
+    else string (a column without values too)."""
+    for kind, type_name in (("i", "bigint"), ("d", "double"), ("b", "boolean")):
+        if counts["n"] and counts[kind] == counts["n"]:
+            return type_name
+    return "string"
+
+
+def with_types(df: DataFrame, types) -> DataFrame:
+    """Text columns read as the types of ``types`` (column -> type)."""
+    def read(c):
+        col = F.col(f"`{c}`")
+        kind = types.get(c, "string")
+        if kind == "bigint":
+            return F.expr(f"try_cast(`{c}` as bigint)").alias(c)
+        if kind == "double":
+            return text_double(col).alias(c)
+        if kind == "boolean":
+            return F.when(col.isin(_BOOL_TRUE), True).when(col.isin(_BOOL_FALSE), False).alias(c)
+        return col
+    return df.select(*[read(c) for c in df.columns])
+
+
 def infer_types(df: DataFrame, keep_text=None) -> DataFrame:
-    """SC-01 part 2 (D15): infer integer / double / boolean per text column in
-    ONE aggregate job; id-like names stay text (leading zeros kept)."""
-    keep_text = keep_text or (lambda c: is_id_like(c))
-    cand = [c for c in df.columns
-            if isinstance(df.schema[c].dataType, T.StringType) and c not in (SOURCE_FILE,) and not keep_text(c)]
+    """SC-01 part 2 (D15): integer / double / boolean per text column, found
+    in ONE aggregate job."""
+    cand = type_candidates(df, keep_text or is_id_like)
     if not cand:
         return df
-    exprs = []
-    for i, c in enumerate(cand):
-        col = F.col(f"`{c}`")
-        exprs += [
-            F.count(col).alias(f"n{i}"),
-            F.count(F.when(col.rlike(_INT_RE) & F.expr(f"try_cast(`{c}` as bigint)").isNotNull(), 1)).alias(f"i{i}"),
-            F.count(text_double(col)).alias(f"d{i}"),
-            F.count(F.when(col.isin(_BOOL_TRUE + _BOOL_FALSE), 1)).alias(f"b{i}"),
-        ]
-    row = df.agg(*exprs).first()
-    out = []
-    for c in df.columns:
-        if c not in cand:
-            out.append(F.col(f"`{c}`"))
-            continue
-        i = cand.index(c)
-        n = row[f"n{i}"]
-        col = F.col(f"`{c}`")
-        if n == 0:
-            out.append(col)
-        elif row[f"i{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` as bigint)").alias(c))
-        elif row[f"d{i}"] == n:
-            out.append(text_double(col).alias(c))
-        elif row[f"b{i}"] == n:
-            out.append(F.when(col.isin(_BOOL_TRUE), True).when(col.isin(_BOOL_FALSE), False).alias(c))
-        else:
-            out.append(col)
-    return df.select(*out)
+    row = df.agg(*[F.struct(*type_counts(c)).alias(f"c{i}") for i, c in enumerate(cand)]).first()
+    return with_types(df, {c: chosen_type(row[f"c{i}"]) for i, c in enumerate(cand)})
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
@@ -169,10 +180,8 @@ def read_source(spark: SparkSession, path: str, ordinal: bool = True, csv_multi_
     if p.endswith(".parquet"):
         return read_parquet(spark, path, ordinal=ordinal)
     if p.endswith(".json"):
-        # line-delimited JSON is read in splits: block-aware ordinal
-        df = spark.read.json(path)
-        return df.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE),
-                         split_ordinal().alias(SOURCE_ROW)) if ordinal else df
+        kept = json_parts(spark, path)[0]
+        return kept if ordinal else kept.drop(SOURCE_FILE, SOURCE_ROW)
     raise ValueError(f"Unsupported file type: {os.path.splitext(p)[1]}")
 
 
@@ -195,12 +204,15 @@ def read_many(spark: SparkSession, paths: Iterable[str], csv_multi_line: bool |
               rejected: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """SC-04/SC-05: many files -> tables by name; an unreadable source is
     skipped and its error recorded (its schema is resolved eagerly). With
-    ``rejected``, CSV rows that don't fit the header go there, by table."""
+    ``rejected``, CSV rows that don't fit the header and JSON lines that
+    can't be read go there, by table."""
     tables, errors = {}, {}
     for p, name in table_names(paths).items():
         try:
             if rejected is not None and p.rstrip("/").lower().endswith(".csv"):
                 df, rejected[name] = read_csv_checked(spark, p, csv_multi_line)
+            elif rejected is not None and p.rstrip("/").lower().endswith(".json"):
+                df, rejected[name] = json_parts(spark, p)
             else:
                 df = read_source(spark, p, csv_multi_line=csv_multi_line)
             df.schema  # noqa: B018  resolve now so a bad path fails here
@@ -226,6 +238,29 @@ def csv_parts(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     return raw.where(~bad).drop("_corrupt_record"), raw.where(bad).select("_corrupt_record", SOURCE_FILE, SOURCE_ROW)
 
 
+def json_parts(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """SC-04 for JSON, one object a line (read in splits) or an array of
+    objects: (rows, rejected lines as ``_corrupt_record`` with file and
+    ordinal). A line that can't be read is rejected whole; it adds neither a
+    column nor a null row. A field of the data that is named
+    ``_corrupt_record`` stays data."""
+    head = spark.read.text(path).where(F.trim("value") != "").first()
+    whole = head is not None and head[0].lstrip().startswith("[")
+    reader = spark.read.option("multiLine", whole)
+    fields = reader.option("mode", "DROPMALFORMED").json(path).schema.fields
+    bad = "_corrupt_record"
+    while bad.lower() in {f.name.lower() for f in fields}:
+        bad += "_"
+    schema = T.StructType([*fields, T.StructField(bad, T.StringType())])
+    raw = (spark.read.schema(schema).option("multiLine", whole).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", bad).json(path))
+    row = F.monotonically_increasing_id() if whole else split_ordinal()
+    # parsed and written once: both parts read that table, not the text again
+    raw = stage_table(raw.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), row.alias(SOURCE_ROW)), "json")
+    broken = F.col(bad).isNotNull()
+    return raw.where(~broken).drop(bad), raw.where(broken).select(F.col(bad).alias("_corrupt_record"), SOURCE_FILE, SOURCE_ROW)
+
+
 def layer_path(root: str, layer: str, run_id: str, table: str) -> str:
     return os.path.join(root, layer, run_id, table)
 

@@ -104,18 +104,21 @@ def test_quoted_newlines_are_found(spark, tmp_path):
 
 
 def test_keys_of_a_split_file_need_no_sort(spark, tmp_path):
-    from strata.operators.keys import add_surrogate_key, dense_positions
+    from strata.operators.keys import add_surrogate_key, ranked_positions
     n = 6000
     (tmp_path / "s.csv").write_text("seq,pad\n" + "".join(f"{i},{'x' * (i % 37)}\n" for i in range(n)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
     try:
         df = TB.read_csv(spark, str(tmp_path / "s.csv"))
-        assert df.rdd.getNumPartitions() > 3 and dense_positions(df, "k") is not None
+        assert df.rdd.getNumPartitions() > 3 and ranked_positions(df, "k") is not None
         keyed = add_surrogate_key(df, "pk")
         assert dict(keyed.dtypes)["pk"] == "bigint"
         assert all(r.pk == int(r.seq) + 1 for r in keyed.select("pk", "seq").collect())
-        assert dense_positions(df.where("seq % 7 != 3"), "k") is None
+        gaps = df.where("seq % 7 != 3 and seq % 5000 > 70")
+        left = sorted(int(r.seq) for r in gaps.select("seq").collect())
+        ranked = ranked_positions(gaps, "k")
+        assert {int(r.seq): r.k for r in ranked.collect()} == {s: i for i, s in enumerate(left)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
