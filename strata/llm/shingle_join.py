@@ -8,13 +8,16 @@ in a minhash, a large group dealt further by a second minhash. A group's
 token union bounds the overlap that a query can have with any of its members;
 a query opens only groups whose union holds enough of its tokens.
 
-A query at similarity p lacks at most a share 1 - p of its tokens in a
-partner, so the rarest n - ceil(p n) + 1 tokens of both hold a common one
-(rarity by a count sketch of fixed size; a hash order breaks ties, so the
-order is the same everywhere). The matrix is therefore probed with these
-tokens alone: rows (token, group, least and largest set), joined with the
-queries' rarest tokens, give the few groups a query is sent to. Of two groups
-only the one with the smaller number queries the other.
+Two sets at similarity p, of n and m shingles, have at least p n and p m in
+common. So, in one order of all tokens, the first n - ceil(p n) + k of one and
+the first m - ceil(p m) + k of the other share k tokens at least. The order is
+by rarity (a count sketch of fixed size; a hash breaks ties). The matrix holds
+the groups' tokens of these prefixes, rows (token, group, sets), with k a
+32nd of the set. Joined with the queries' prefixes it counts how many tokens a
+query can share with any set of a group; only groups with k of them are
+opened, a set's own group too. So documents that share a passage, but not most
+of their text, are told apart without a look at their sets. Of two groups only
+the one with the smaller number queries the other.
 
 In an open group a set that is within p of a leader follows it, others become
 leaders. Jaccard distance is a metric, so the followers of a leader can only
@@ -53,6 +56,8 @@ SHINGLE, PERCENT = 3, 90
 GROUP_SETS, GROUP_TOKENS, QUERY_BLOCK = 1024, 1 << 18, 4096
 #: Counters of the rarity sketch (the size is the same for every corpus).
 SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: The prefixes of linked sets share one token in so many of the smaller set.
+PREFIX_SHARE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +128,14 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-MEMBERS = "key binary, n long, home long, deal long, prefix array<bigint>"
+def common(n: int, share: int) -> int:
+    """Tokens that the prefixes of two linked sets share, for the smaller one."""
+    return max(1, n // share)
+
+
+KEYS = "key binary, n long, home long, deal long, prefix array<bigint>"
+#: The low bits of a group's number hold its size band.
+BAND_MASK = 255
 
 
 def group_keys(docs: DataFrame, levels: np.ndarray, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -131,7 +143,7 @@ def group_keys(docs: DataFrame, levels: np.ndarray, k: int = SHINGLE, percent: i
     minhash (deal) and the rarest tokens (prefix). Equal sets give equal rows
     and become one where they meet."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    shift, band = np.uint64(64 - SKETCH_BITS), math.log(100 / min(percent, 99))
+    shift, band, share = np.uint64(64 - SKETCH_BITS), math.log(100 / min(percent, 99)), PREFIX_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = shared.value
@@ -142,10 +154,11 @@ def group_keys(docs: DataFrame, levels: np.ndarray, k: int = SHINGLE, percent: i
                     continue
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
-                home.append(xxhash.xxh3_64_intdigest(b"%d %d" % (int(math.log(len(s)) / band), s[0])) >> 1)
+                size = int(math.log(len(s)) / band)
+                home.append(xxhash.xxh3_64_intdigest(b"%d %d" % (size, s[0])) >> 1 & ~BAND_MASK | size)
                 deal.append(int((s * _MIX).min() >> np.uint64(1)))
                 order = (lv[s >> shift].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                prefix.append(s[np.argsort(order, kind="stable")[: len(s) - needed(len(s), percent) + 1]].view(np.int64))
+                prefix.append(s[np.argsort(order, kind="stable")[: len(s) - needed(len(s), percent) + common(len(s), share)]].view(np.int64))
             if keys:
                 at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
                 yield pa.RecordBatch.from_arrays(
@@ -153,45 +166,52 @@ def group_keys(docs: DataFrame, levels: np.ndarray, k: int = SHINGLE, percent: i
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(prefix)))],
                     ["key", "n", "home", "deal", "prefix"])
 
-    rows = docs.select(F.col("text").alias("text")).mapInArrow(run, MEMBERS)
+    rows = docs.select(F.col("text").alias("text")).mapInArrow(run, KEYS)
     return rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "home", "deal", "prefix")])
 
 
-def assign_groups(members: DataFrame) -> DataFrame:
-    """(key, n, group, prefix): large groups are dealt to as many as their
-    counted sets and tokens need."""
-    large = stage_table(members.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(
+def assign_groups(keys: DataFrame) -> DataFrame:
+    """(key, id, n, group, prefix): large groups are dealt to as many as their
+    counted sets and tokens need. id stands for the key where rows are many;
+    two keys with one id only look at each other's groups too."""
+    large = stage_table(keys.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).select(
         F.col("home").alias("_h"), F.greatest(F.ceil(F.col("c") / GROUP_SETS), F.ceil(F.col("t") / GROUP_TOKENS)).alias("pieces"))
         .where("pieces > 1"), "jaccard-large")
-    dealt = members.join(sized(large, large.count()), F.col("home") == F.col("_h"), "left")
-    return dealt.select("key", "n", F.when(F.col("pieces").isNull(), F.col("home")).otherwise(
-        F.xxhash64("home", F.col("deal") % F.col("pieces"))).alias("group"), "prefix")
+    dealt = keys.join(sized(large, large.count()), F.col("home") == F.col("_h"), "left")
+    piece = F.shiftleft(F.shiftrightunsigned(F.xxhash64("home", F.col("deal") % F.col("pieces")), 9), 8).bitwiseOR(
+        F.col("home").bitwiseAND(F.lit(BAND_MASK)))
+    return dealt.select("key", F.xxhash64("key").alias("id"), "n", F.when(F.col("pieces").isNull(), F.col("home")).otherwise(piece).alias("group"), "prefix")
 
 
 def groups_to_open(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, group): the groups but its own that hold one of a query's rarest
-    tokens in sets of a possible size."""
-    rows = members.select("key", "n", "group", F.explode("prefix").alias("token"))
-    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("largest")).select(
-        "token", F.col("group").alias("target"), "least", "largest")
-    return (rows.join(matrix, "token")
-            .where((F.col("target") > F.col("group")) & (100 * F.col("largest") >= percent * F.col("n"))
-                   & (percent * F.col("least") <= 100 * F.col("n")))
-            .select("key", F.col("target").alias("group")).distinct())
+    """(key, group, target): the groups that may hold a partner of a set, by
+    the tokens of its prefix that the group's prefixes hold. The set's own
+    group counts with tokens that another of its sets has."""
+    rows = members.select("id", "group", F.explode("prefix").alias("token"))
+    matrix = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("sets")).select("token", F.col("group").alias("target"), "sets")
+    apart = F.abs(F.col("target").bitwiseAND(F.lit(BAND_MASK)) - F.col("group").bitwiseAND(F.lit(BAND_MASK)))
+    met = rows.join(matrix, "token").where(
+        ((F.col("target") > F.col("group")) | (F.col("target") == F.col("group")) & (F.col("sets") > 1)) & (apart <= 2))
+    shared = met.groupBy("id", "target").agg(F.count(F.lit(1)).alias("held"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(percent * F.col("n") / 100) / PREFIX_SHARE))
+    return shared.join(members.select("id", "key", "n", "group"), "id").where(F.col("held") >= least).select("key", "group", "target")
 
 
 def visits(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """(group, block, query, key): the members of each group worth opening,
-    once for each block of its queries, and the queries, each in one block."""
-    asked = queries.groupBy("group").agg(F.count(F.lit(1)).alias("q"))
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("c")).join(asked, "group", "left").where("c > 1 OR q IS NOT NULL")
-    blocks = stage_table(sizes.select(F.col("group").alias("_g"), F.greatest(F.lit(1), F.ceil(F.coalesce("q", F.lit(0)) / QUERY_BLOCK))
-                                      .cast("int").alias("blocks")), "jaccard-groups")
-    own = members.select("key", "group").join(blocks, F.col("group") == F.col("_g")).select(
+    """(group, block, query, key): for each group that others query all its
+    sets, once for each block of the queries, and the queries, each in one
+    block; for any other group its sets that may have a partner there."""
+    others = queries.where("target <> group").select("key", F.col("target").alias("group"))
+    own = queries.where("target = group").select("key", "group")
+    blocks = stage_table(others.groupBy(F.col("group").alias("_g")).agg(
+        F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")), "jaccard-groups")
+    here = F.col("group") == F.col("_g")
+    asked = members.select("key", "group").join(blocks, here).select(
         "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "key")
-    others = queries.join(blocks, F.col("group") == F.col("_g")).select(
-        "group", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"), "key")
-    return own.union(others)
+    alone = own.join(blocks, here, "left_anti").select("group", F.lit(0).alias("block"), F.lit(False).alias("query"), "key")
+    asking = others.join(blocks, here).select("group", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"),
+                                              F.lit(True).alias("query"), "key")
+    return asked.union(alone).union(asking)
 
 
 class Group:
@@ -257,7 +277,7 @@ def _open(k: int, percent: int):
 def links(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between keys whose components are those of all pairs at
     the similarity. Only texts of classes that visit a group are shuffled."""
-    members = stage_table(assign_groups(stage_table(group_keys(docs, rarity(sets), k, percent), "jaccard-keys")), "jaccard-members")
+    members = assign_groups(stage_table(group_keys(docs, rarity(sets), k, percent), "jaccard-keys"))
     queries = stage_table(groups_to_open(members, percent), "jaccard-queries")
     going = stage_table(visits(members, queries).join(classes.select("key", "t1", "t2"), "key"), "jaccard-visits")
     wanted = stage_table(going.select("t1", "t2").distinct(), "jaccard-wanted")

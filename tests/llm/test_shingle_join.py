@@ -74,7 +74,7 @@ def test_brute_force(spark, rows):
 
 
 def test_small_groups_and_blocks_lose_no_link(spark, rows, monkeypatch):
-    for name, value in (("GROUP_SETS", 2), ("GROUP_TOKENS", 60), ("QUERY_BLOCK", 2)):
+    for name, value in (("GROUP_SETS", 2), ("GROUP_TOKENS", 60), ("QUERY_BLOCK", 2), ("PREFIX_SHARE", 8)):
         monkeypatch.setattr(sj, name, value)
     assert found(sj.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
@@ -103,13 +103,13 @@ def test_a_group_finds_the_same_components_as_all_pairs():
 
 def test_rarest_tokens_hold_a_common_one():
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        a = rng.choice(10_000, rng.integers(1, 60), replace=False)
-        b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, 4)], rng.choice(10_000, rng.integers(0, 4))]))
+    for _ in range(600):
+        a = rng.choice(10_000, rng.integers(1, 300), replace=False)
+        b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, 9)], rng.choice(10_000, rng.integers(0, 9))]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 90 * (len(a) + len(b) - both):
-            front = [set(np.sort(x)[: len(x) - sj.needed(len(x)) + 1]) for x in (a, b)]
-            assert front[0] & front[1]
+            front = [set(np.sort(x)[: len(x) - sj.needed(len(x)) + sj.common(len(x), 32)]) for x in (a, b)]
+            assert len(front[0] & front[1]) >= max(sj.common(sj.needed(len(x)), 32) for x in (a, b))
 
 
 def test_odd_tables(spark, odd, empty, clashing):
