@@ -19,6 +19,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,18 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import stage_table
-from .common import sized, text_slices, text_view
+from .common import sized, text_slices, texts_of
 
 CAPACITY, GRAIN, END_ID = 4096, 64, 2
-#: Words kept with their ids in a worker; beyond it the memory starts anew.
-CACHE_WORDS = 2_000_000
+#: Words kept with their ids in a worker, and the longest one kept; beyond
+#: the first the memory starts anew.
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 
 
 # --------------------------------------------------------------------------
 # tokens
 # --------------------------------------------------------------------------
-class WordIds:
-    """Ids of texts through ids of their space-separated words. The
+class WordIds(dict):
+    """Ids of words (little-endian, four bytes each) by the words' bytes. The
     tokenizer drops white space and never joins across it, so the ids of a
     text are those of its words, and each different word is encoded once."""
 
@@ -50,65 +52,45 @@ class WordIds:
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.reset()
-
-    def reset(self) -> None:
-        self.words: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.begin, self.length, self.used = [0], [1], 1
-        self.flat[0] = END_ID
+        self.end = struct.pack("<I", END_ID)
 
     def piece(self, p: str) -> list[int]:
         ids = self.pieces.get(p)
         if ids is None:
-            ids = self.pieces[p] = [t.id for t in self.model.tokenize(p)]
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(p)]
+            if len(p) <= CACHE_WORD_BYTES:
+                self.pieces[p] = ids
         return ids
 
     def encode(self, word: str) -> list[int]:
         if word.isascii() and "<|" not in word:
-            return [i for p in self.PIECES.findall(word.lower()) for i in self.piece(p)]
+            # characters without a sign of their own have a stand-in in the vocabulary
+            return [i for p in self.PIECES.findall(word.lower()) for i in self.piece(p if p.isprintable() else p.translate(BYTE_CHARS))]
         low = LATIN.match(word)
         if low and "<|" not in word:
             return [i for p in LATIN_PIECES.findall(unicodedata.normalize("NFC", word).lower())
                     for i in self.piece(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def index(self, word: str) -> int:
-        k = self.words.get(word)
-        if k is None:
-            ids = self.encode(word)
-            k = self.words[word] = len(self.begin)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.begin.append(self.used)
-            self.length.append(len(ids))
-            self.used += len(ids)
-        return k
-
-    def batch(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, each with its end id, and
-        the n + 1 bounds of the texts."""
-        if len(self.words) > CACHE_WORDS:
-            self.reset()
-        data = np.where(data == 10, np.uint8(32), data)
-        cuts = np.flatnonzero(data == 32) + 1
-        bounds = np.unique(np.concatenate([cuts, off]))
-        strings = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1,
-                                        [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
-        coded = strings.dictionary_encode()
-        known = np.array([self.index(w) for w in coded.dictionary.to_pylist()], np.int64)
-        which = known[coded.indices.to_numpy(zero_copy_only=False)] if len(strings) else np.zeros(0, np.int64)
-        ends = np.searchsorted(bounds, off[1:])
-        which = np.insert(which, ends, 0)
-        begin, length = np.array(self.begin, np.int64)[which], np.array(self.length, np.int64)[which]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])]
-        return ids.astype("<u4"), upto[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encode(word.decode("utf-8", "replace"))
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= CACHE_WORD_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = packed
+        return packed
+
+    def document(self, text: bytes) -> bytes:
+        """The ids of a text, with the end id."""
+        return b"".join(map(self.__getitem__, text.replace(b"\n", b" ").split(b" "))) + self.end
 
 
 #: Latin letters, marks and signs whose classes and lower case are the same everywhere.
@@ -152,8 +134,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grai
         words = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, WordIds(tokenizer))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in text_slices(batches, "text"):
-            ids, bounds = words.batch(*text_view(b.column(1)))
-            tokens = np.diff(bounds)
+            texts = [words.document(t) for t in texts_of(b, "text")]
+            tokens = np.array([len(t) for t in texts], np.int64) // 4
             doc, start, length = cut_points(tokens, capacity, grain)
             order = np.argsort(length, kind="stable")
             sorted_len = length[order]
@@ -161,13 +143,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grai
             k = np.empty(len(length), np.int64)
             k[order] = np.arange(len(length)) - first + seen[sorted_len]
             seen += np.bincount(length, minlength=capacity + 1)
-            at, view = bounds[doc] + start, memoryview(ids.view(np.uint8))
-            crc = [zlib.crc32(view[4 * a: 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+            pieces = [texts[d][a:z] for d, a, z in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist())]
+            crc = list(map(zlib.crc32, pieces))
             cols = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
                     pa.array(tokens[doc]), pa.array(np.full(len(doc), part, np.int64)), pa.array(k)]
             names = [c.split()[0] for c in PIECES.split(", ")]
             if with_ids:
-                cols.append(pa.array([ids[a:z].astype(np.int32) for a, z in zip(at, at + length)], pa.list_(pa.int32())))
+                flat = np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
