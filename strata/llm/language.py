@@ -5,20 +5,27 @@ parsed greedily into the longest phrases that occur in a language's text;
 the language that needs the fewest phrases, normalised by what a phrase
 costs (log2 of the language's training length) and by the text's length, wins.
 
-Training reads at most ``train_docs`` documents a language (the first by a
-seeded hash of the id) and at most ``train_bytes`` bytes of their normalised
-text, so the model is at most 2 * train_bytes states a language. Scoring reads
-whole texts: long ones are parsed in segments of SEGMENT bytes, all of them.
-
-Defined cases: ``und`` with score 0 for a null text, one without a letter, or
-where nothing could be learned; ties go to the smaller language name; rows
-with a null language are not learned from; repeated rows get equal rows;
-extra columns pass through.
+Training is bounded by four parameters: at most ``train_docs`` documents a
+language (the first by a seeded hash of the id), of each a piece of
+``train_piece`` characters from a seeded place in its whole text, at most
+``train_bytes`` bytes of their normalised text a language (every document gives
+an equal share), and ``max_langs`` labels (those with the most documents, ties
+by name). More than MODEL_BYTES / train_bytes labels share MODEL_BYTES, so the
+model's size does not grow with dirty labels; labels beyond ``max_langs`` are
+never predicted. Scoring reads whole texts: long ones are parsed in segments of
+SEGMENT bytes, all of them.
+
+Defined cases: ``und`` with score 0 for a null text, one without a letter
+(digits, fractions, circled and Roman numerals are none), or where nothing
+could be learned; ties go to the smaller language name; rows with a null
+language are not learned from; repeated rows get equal rows; extra columns
+pass through.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +36,14 @@ from pyspark.sql import Window as W
 
 from .common import numbered, text_slices
 
-TRAIN_DOCS, TRAIN_BYTES, SEGMENT = 200, 40_000, 2048
+TRAIN_DOCS, TRAIN_PIECE, TRAIN_BYTES, MAX_LANGS, SEGMENT = 200, 2_000, 40_000, 256, 2048
+#: Training bytes of all languages together.
+MODEL_BYTES = 400_000
 #: Bits a byte by which one language must do better for odds of 2 to 1.
 SOFTNESS = 0.08
-_GAPS = re.compile(r"[\W\d_]+")
+#: Numerals that are word characters but neither digits nor letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_GAPS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def normalise(text: str | None) -> bytes:
@@ -142,33 +153,38 @@ class CrossParser:
         return out
 
 
-def training_sample(docs: DataFrame, allowed: Column, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> dict[str, bytes]:
+def training_sample(docs: DataFrame, allowed: Column, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES,
+                    train_piece: int = TRAIN_PIECE, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
     """Bounded text per language: the window's limit is applied in every task
-    before the shuffle, so a language sends train_docs rows a task at most."""
+    before the shuffle, so a language sends train_docs pieces a task at most."""
+    labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    limit = min(train_bytes, max(1, MODEL_BYTES // max(1, len(langs))))
+    spare = F.greatest(F.lit(1), F.length("text") - train_piece + 1)
+    piece = F.substring("text", F.pmod(F.xxhash64(F.lit(47), "doc_id"), spare).cast("int") + 1, F.lit(train_piece))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(31), "doc_id"), "doc_id", "_t"))
-    rows = (docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-            .select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", 1, train_bytes).alias("_t"))
+    rows = (labelled.where(F.col("lang").isin(langs)).select("doc_id", "lang", piece.alias("_t"))
             .withColumn("_n", rank).where(F.col("_n") <= train_docs).select("lang", "_n", "_t")
-            .groupBy("lang").applyInPandas(lambda pdf: _joined_text(pdf, train_bytes), "lang string, text binary"))
+            .groupBy("lang").applyInPandas(lambda pdf: _joined_text(pdf, limit), "lang string, text binary"))
     return {r["lang"]: bytes(r["text"]) for r in rows.collect() if r["text"]}
 
 
 def _joined_text(pdf, limit: int):
     import pandas as pd
-    parts, size = [], 0
-    # the same share of each document, so that no long one fills the sample
-    share = max(200, limit // max(1, min(len(pdf), 100)))
-    for t in pdf.sort_values("_n")["_t"]:
-        part = normalise(t)[:share]
-        parts.append(part)
-        size += len(part) + 1
-        if size >= limit:
-            break
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "text": [b" ".join(parts)[:limit]]})
-
-
-def train(docs: DataFrame, allowed: Column | None = None, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> CrossParser:
-    return CrossParser(training_sample(docs, F.lit(True) if allowed is None else allowed, train_docs, train_bytes))
+    pieces = [normalise(t) for t in pdf.sort_values("_n")["_t"]]
+    pieces = [p for p in pieces if p]
+    # an equal share of each document; what short ones leave goes to the others
+    parts, left = [], limit
+    for k, p in enumerate(sorted(pieces, key=len)):
+        parts.append(p[: left // (len(pieces) - k)])
+        left -= len(parts[-1]) + 1
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "text": [b" ".join(p for p in parts if p)[:limit]]})
+
+
+def train(docs: DataFrame, allowed: Column | None = None, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES,
+          train_piece: int = TRAIN_PIECE, max_langs: int = MAX_LANGS) -> CrossParser:
+    return CrossParser(training_sample(docs, F.lit(True) if allowed is None else allowed, train_docs, train_bytes, train_piece, max_langs))
 
 
 def identify(docs: DataFrame, model: CrossParser) -> DataFrame:
