@@ -3,10 +3,12 @@
 
 Spark counts the 4-grams of all documents (each task counts its own rows
 first), so what is gathered grows with the input, while the model itself is
-bounded by the gram space: keys are hashed to at most 2**24 per order and
+bounded by the gram space: keys are hashed one to one to 32 bits per order and
 language and stored as sorted arrays with probabilities and back-off weights.
 Texts are scored whole; the bands are spread around the median of the log
 perplexity per byte of the documents of a language that pass the base rules.
+Medians and quartiles are exact ranks of values on a grid of 1/GRID, so they are
+the same however the rows are dealt.
 The mean of a text with fewer words than the language's median scatters more,
 by the square root of the ratio, and its band is wider by that.
 
@@ -24,14 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..session import stage_table
 from .common import numbered, text_slices, text_view
 
-ORDER, HASH_BITS = 4, 24
+ORDER, HASH_BITS = 4, 32
+#: Steps of a log perplexity, in parts of a nat.
+GRID = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: A band reaches so many quartile distances from the median (4 are 2.7
 #: standard deviations of a normal spread), and at least so far (in nats a byte).
@@ -67,16 +72,31 @@ def _spans_hash(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _repeated(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seen before in its document?, found twice or more there?) per span."""
+def _repeated(doc: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seen before in its document?, found twice or more there?) per byte
+    span [a, b). Hashes bring equal spans together; spans of equal hashes are
+    then compared byte by byte."""
+    h = _spans_hash(data, a, b)
     order = np.lexsort((np.arange(len(h)), h, doc))
     d, x = doc[order], h[order]
     same = (d[1:] == d[:-1]) & (x[1:] == x[:-1])
-    later = np.zeros(len(h), bool)
+    at, raw = np.flatnonzero(same), data.tobytes()
+    spans = list(zip(a[order].tolist(), b[order].tolist()))
+    unlike = [i for i in at.tolist() if raw[slice(*spans[i])] != raw[slice(*spans[i + 1])]]
+    later, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
     later[order[1:]] = same
-    twice = np.zeros(len(h), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
+    breaks = np.flatnonzero(~same)
+    for i in {int(breaks[k - 1]) + 1 if (k := np.searchsorted(breaks, i)) else 0 for i in unlike}:
+        run = [i]  # different spans of one hash: told apart by their bytes
+        while run[-1] < len(same) and same[run[-1]]:
+            run.append(run[-1] + 1)
+        members: dict[bytes, list[int]] = {}
+        for j in run:
+            members.setdefault(raw[slice(*spans[j])], []).append(order[j])
+        for found in members.values():
+            later[found], later[found[0]], twice[found] = True, False, len(found) > 1
     return later, twice
 
 
@@ -112,7 +132,7 @@ def base_stats(data: np.ndarray, off: np.ndarray, stream: np.ndarray, bounds: np
     covered = np.zeros(len(word_ends), bool)
     if k > 0:
         i = np.flatnonzero(doc[:k] == doc[REPEAT_WINDOW - 1:])
-        _, twice = _repeated(doc[i], _spans_hash(stream, word_starts[i], word_ends[i + REPEAT_WINDOW - 1]))
+        _, twice = _repeated(doc[i], stream, word_starts[i], word_ends[i + REPEAT_WINDOW - 1])
         step = np.zeros(len(word_ends) + 1, np.int64)
         np.add.at(step, i[twice], 1)
         np.add.at(step, i[twice] + REPEAT_WINDOW, -1)
@@ -128,7 +148,7 @@ def base_stats(data: np.ndarray, off: np.ndarray, stream: np.ndarray, bounds: np
     wordy = ink[stops] > ink[begins]
     a, b = begins[wordy], stops[wordy]
     line_doc = line_doc[wordy]
-    later, _ = _repeated(line_doc, _spans_hash(data, a, b)) if len(a) else (np.zeros(0, bool), None)
+    later, _ = _repeated(line_doc, data, a, b) if len(a) else (np.zeros(0, bool), None)
     return {"n_words": n_words,
             "word_chars": _per_doc(~space & ((data & 0xC0) != 0x80), off),
             "n_symbols": _per_doc(_SYMBOL[data], off),
@@ -214,9 +234,9 @@ def kneser_ney(gram: np.ndarray, count: np.ndarray) -> list[dict[str, np.ndarray
     return out
 
 
-def _hashed(g: np.ndarray, order: int) -> np.ndarray:
-    h = (g.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
-    return (h >> np.uint64(32 - HASH_BITS)).astype(np.uint32) if order > 3 else h.astype(np.uint32)
+def _hashed(g: np.ndarray) -> np.ndarray:
+    """One to one: the multiplier is odd and a gram has at most 32 bits."""
+    return ((g.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 MODEL = "lang string, orders int, kind string, keys binary, vals binary"
@@ -231,12 +251,10 @@ def train_models(counts: DataFrame) -> dict[str | None, "NgramModel"]:
         order = np.argsort(g)
         rows = []
         for k, level in enumerate(kneser_ney(g[order], table.column("n").to_numpy()[order]), 1):
-            for kind, key, val, width in (("p", level["g"], level["p"], k), ("back", level["ctx"], level["back"], k - 1)):
-                h = _hashed(key, width)
-                by = np.lexsort((-val, h))
-                h, val = h[by], val[by]
-                once = np.concatenate([[True], h[1:] != h[:-1]])
-                rows.append((table.column("lang")[0].as_py(), k, kind, h[once].tobytes(), np.log(np.maximum(val[once], 1e-12)).astype(np.float32).tobytes()))
+            for kind, key, val in (("p", level["g"], level["p"]), ("back", level["ctx"], level["back"])):
+                h = _hashed(key)
+                by = np.argsort(h)
+                rows.append((table.column("lang")[0].as_py(), k, kind, h[by].tobytes(), np.log(np.maximum(val[by], 1e-12)).astype(np.float32).tobytes()))
         return pa.table(list(zip(*rows)) and [pa.array([r[i] for r in rows], t) for i, t in enumerate(
             (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["lang", "orders", "kind", "keys", "vals"])
 
@@ -255,15 +273,14 @@ class NgramModel:
 
     def add(self, order: int, kind: str, keys: bytes, vals: bytes) -> None:
         k, v = np.frombuffer(keys, np.uint32), np.frombuffer(vals, np.float32)
-        width = order if kind == "p" else order - 1
-        shift = max(0, (HASH_BITS if width > 3 else 32) - 18)
+        shift = HASH_BITS - 18
         index = np.searchsorted(k, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(shift)).astype(np.int32)
         self.arrays[order, kind] = (k, v, shift, index)
 
     def find(self, order: int, kind: str, g: np.ndarray) -> np.ndarray:
         """Values of the grams, nan where there is none."""
         keys, vals, shift, index = self.arrays[order, kind]
-        h = _hashed(g, order if kind == "p" else order - 1)
+        h = _hashed(g)
         top = h >> np.uint32(shift)
         at, end = index[top], index[top + 1]
         out = np.full(len(h), np.nan, np.float32)
@@ -320,9 +337,11 @@ def score(docs: DataFrame, models: dict[str | None, NgramModel]) -> DataFrame:
                 if lang in known:
                     mine = of == i
                     logp[mine] = known[lang].log_probability(codes[mine])
-            total = np.concatenate([[0], np.cumsum(logp, dtype=np.float64)])
             size = np.diff(at)
-            mean = np.where(size > 0, -(total[at[1:]] - total[at[:-1]]) / np.maximum(size, 1), np.nan)
+            # a text's sum is its own, whatever texts stand beside it
+            total = np.zeros(len(size))
+            total[size > 0] = np.add.reduceat(logp.astype(np.float64), at[:-1][size > 0]) if len(logp) else 0.0
+            mean = np.where(size > 0, -total / np.maximum(size, 1), np.nan)
             cols = b.columns[: len(names)]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array(out[s].astype(np.int64)) for s in stats],
                                               pc.if_else(pa.array(size > 0), pa.array(mean), pa.scalar(None, pa.float64()))], [*names, *stats, "log_ppl"])
@@ -333,6 +352,18 @@ def score(docs: DataFrame, models: dict[str | None, NgramModel]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _ranked(rows: DataFrame, value: Column, shares: list[float], name: str) -> DataFrame:
+    """Exact quantiles of a whole-numbered value per language: the smallest
+    value that at least so many of the rows reach up to. Rows of one value are
+    one count before they meet, so a group holds different values, not rows."""
+    lang = "_bl" if name == "_q" else "_bl_w"
+    counts = rows.groupBy(F.col("lang").alias(lang), value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy(lang).orderBy("v"))
+    total = F.sum("c").over(W.partitionBy(lang))
+    at = counts.select(lang, "v", upto.alias("u"), total.alias("n"))
+    return at.groupBy(lang).agg(F.array(*[F.min(F.when(F.col("u") >= F.lit(x) * F.col("n"), F.col("v"))) for x in shares]).alias(name))
+
+
 def assess(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` but the text with base statistics,
     base_failed, perplexity (per byte), ppl_low, ppl_high and kept. Needs text
@@ -342,8 +373,10 @@ def assess(docs: DataFrame) -> DataFrame:
     scored = stage_table(score(docs, train_models(counts)), "quality-scores")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    bands = (scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_bl"))
-             .agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("_q"), F.percentile_approx("n_words", 0.5).alias("_nw")))
+    passed = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
+    bands = _ranked(passed, F.round(F.col("log_ppl") * GRID).cast("long"), [0.25, 0.5, 0.75], "_q").join(
+        _ranked(passed, F.col("n_words"), [0.5], "_w"), F.col("_bl").eqNullSafe(F.col("_bl_w"))).select(
+        "_bl", F.transform("_q", lambda q: q / F.lit(float(GRID))).alias("_q"), F.col("_w")[0].alias("_nw"))
     reach = lambda a, b: F.greatest(F.lit(BAND_LEAST), F.lit(BAND_SPREAD) * (F.col("_q")[b] - F.col("_q")[a]))
     bands = bands.select("_bl", "_nw", F.col("_q")[1].alias("_mid"), reach(0, 1).alias("_below"), reach(1, 2).alias("_above"))
     rows = scored.select(F.struct(*[F.col(f"`{c}`") for c in scored.columns]).alias("_row"))
