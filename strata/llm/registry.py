@@ -102,7 +102,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("doc_id", "text")
     out = licences.scan_licences(docs, licences.train(docs)).drop("text")
-    found = F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"], F.format_number(x["similarity"], 2)))
+    found = F.transform("licences", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"], F.format_number(x["similarity"], 2)))
     return out.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"),
                       F.array_join(F.array_sort(F.array_distinct(F.col("licences.family"))), ",").alias("families"),
                       F.array_join(found, ",").alias("findings"))

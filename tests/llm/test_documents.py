@@ -369,3 +369,108 @@ def test_fingerprints_do_not_depend_on_the_block(monkeypatch):
     for text, fp in zip(texts, whole.tolist()):
         hashes = simhash.shingle_hashes(text)
         assert fp == sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_ids_are_the_tokenizers(spark):
+    """Every character from U+0000 to U+00FF, alone and mixed with words, blanks and special tokens."""
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(registry.tokenizer_path())
+    words = packing.WordIds(registry.tokenizer_path())
+    rng = random.Random(9)
+    chars = [chr(i) for i in range(256)]
+    extra = ["<|", "|>", "<|endoftext|>", "don't", "WORD", "x1y22", "İ", "ﬁ", "中文", "́", "é", "\U0001f600", " ", "\n", "\t"]
+    texts = [*chars, *(f"a{c}b" for c in chars), *(f"{c}{c} {c}" for c in chars)]
+    texts += ["".join(rng.choice(chars + extra * 12) for _ in range(rng.randrange(1, 40))) for _ in range(6000)]
+    for t in texts:
+        got = np.frombuffer(words.document(t.encode()), "<u4").tolist()
+        assert got == tokenizer.encode(t, add_special_tokens=False).ids + [2], repr(t)
+
+
+def test_a_full_word_cache_starts_anew(monkeypatch):
+    words = packing.WordIds(registry.tokenizer_path())
+    text = " ".join(f"w{i}x" for i in range(500)).encode() + b" " + b"long" * 100
+    want = words.document(text)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    words = packing.WordIds(registry.tokenizer_path())
+    assert words.document(text) == want and len(words) <= 10
+
+
+# -- round 3: contracts on odd texts ----------------------------------------
+def test_numerals_are_no_letters(spark, docs):
+    rows = [(900_000, "½ ² ①②"), (900_001, "Ⅷ ³ 12"), (900_002, "the ² of the and that")]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string"))
+    out = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.identify(df, language.train(df)).where("doc_id >= 900000").collect()}
+    assert out[900_000] == out[900_001] == ("und", 0.0) and out[900_002][0] == "en"
+
+
+def test_many_labels_share_the_model(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 50, f"l{i:03}") for i in range(300)] + [(999, "wordaa " * 20, "l000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_sample(df, F.lit(True))
+    assert len(sample) == language.MAX_LANGS and "l000" in sample and "l299" not in sample
+    assert sum(map(len, sample.values())) <= language.MODEL_BYTES
+    model = language.CrossParser(sample)
+    assert model.predict([b"wordaa wordaa wordaa"])[0][0] == "l000"
+
+
+def test_training_takes_pieces_from_whole_texts(spark):
+    text = "aaaa " * 3000 + "zzzz " * 3000
+    df = spark.createDataFrame([(i, text, "x") for i in range(40)], "doc_id long, text string, lang string")
+    sample = language.training_sample(df, F.lit(True))["x"]
+    assert b"a" in sample and b"z" in sample and len(sample) <= language.TRAIN_BYTES
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+def test_hash_collisions_count_nothing(spark):
+    t = thue_morse(4096)
+    other = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{t}\n{other}"), (2, f"{t}\n{other}\n{t}\n{other}\n{t}"), (3, " ".join([t, other] * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    out = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality.assess(df).collect()}
+    assert out[1] == (0, 0) and out[2][0] == 3
+    assert out[3] == (0, 0)  # two windows of five words that only look alike
+
+
+def test_verdicts_do_not_depend_on_partitions(spark, docs):
+    one = sorted((r.doc_id, r.kept) for r in quality.assess(docs.coalesce(1)).collect())
+    for n in (3, 11):
+        assert sorted((r.doc_id, r.kept) for r in quality.assess(docs.repartition(n, F.xxhash64("text"))).collect()) == one
+
+
+def test_model_keys_tell_all_grams_apart():
+    rng = np.random.default_rng(5)
+    g = np.unique(rng.integers(0, 2 ** 32, 500_000, dtype=np.uint64))
+    assert len(np.unique(quality._hashed(g))) == len(g)
+
+
+def wrapped(text, width):
+    import textwrap
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_licence_notices_wrapped_cut_and_denied(spark, docs, clashing, odd):
+    model = licences.train(docs.select("doc_id", "text"))
+    grant, warranty = licences.TEMPLATES["MIT"][3], licences.TEMPLATES["MIT"][5]
+    prose = "We met near the old bridge and talked until the rain stopped.\n\n"
+    cases = [("MIT", "This project is licensed under the\nterms of the MIT license."), ("MIT", grant[:100]), ("MIT", warranty),
+             ("BSD", wrapped(licences.TEMPLATES["BSD"][4], 72)), ("GPL", wrapped(licences.TEMPLATES["GPL"][1], 40)),
+             ("EPL-2.0", licences.TEMPLATES["EPL-2.0"][1]), ("zlib", licences.TEMPLATES["zlib"][1]), ("CC0", "Licensed under CC0 1.0.")]
+    cases += [("MIT", wrapped(grant, w)) for w in (40, 72)] + [("Apache-2.0", wrapped(licences.TEMPLATES["Apache-2.0"][1], w)) for w in (40, 72)]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)] + [(100 + i, prose + t + "\n\nAnd so it went.") for i, (_, t) in enumerate(cases)]
+    denials = ["We are not licensed under the MIT license and reject it", "This project is not licensed under the terms of the MIT license.", prose]
+    rows += [(200 + i, t) for i, t in enumerate(denials)]
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, (family, _) in enumerate(cases):
+        assert {x.family for x in out[i].licences} == {family}, cases[i]
+        assert {x.family for x in out[100 + i].licences} == {family} and out[100 + i].licences[0].line >= 2, cases[i]
+    assert not any(out[200 + i].licences for i in range(len(denials)))
+    assert [len(p) for _, p in licences.paragraphs("a\nb\n\n \nc")] == [2, 1]
+    for df in (odd, clashing):
+        found = licences.scan_licences(df, model)
+        assert len(found.collect()) == df.count() and set(df.columns) <= set(found.columns)
