@@ -249,5 +249,6 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -
     once = rows.where(F.col("_n") == 1).select("_row.*")
     if first.where(F.col("_n") > 1).isEmpty():
         return once
-    repeated = rows.where(F.col("_n") > 1).groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+    # rows of one doc_id and text: the one whose other columns come first as JSON, in any run
+    repeated = rows.where(F.col("_n") > 1).groupBy("_k1", "_k2").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return once.union(repeated.select("_row.*"))

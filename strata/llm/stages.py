@@ -1,5 +1,15 @@
 """Stages of the corpus pipeline. Each takes (spark, docs, sf_dir), calls one
-operator on all of ``docs`` and, but for the last, returns its columns."""
+operator on all of ``docs`` and, but for the last, returns its columns.
+
+Defined cases, beside those of the operators: a null or empty text goes with
+language ID (it has no letter), so later stages only meet one where they are
+run alone, and then keep it; a null doc_id or source is a value of its own; rows
+that are repeated whole are documents that resemble each other, of which the
+near-duplicate stage keeps one; ties in "first" go to the smaller doc_id, then
+text, then the other columns; an empty table stays empty with its columns;
+extra columns, whatever their names, pass through all stages but the last, and
+a table without lang, source or n_chars runs through too.
+"""
 
 from __future__ import annotations
 
@@ -40,6 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents, with their token ids, in sequences of at
+    most 4096 tokens: a sequence is its pieces' ids by offset."""
     from .registry import tokenizer_path
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), with_ids=True)
