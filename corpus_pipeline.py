@@ -18,8 +18,8 @@ STAGES = [
     ("packing", stages.packing_stage),
 ]
 
-#: Tokens, automata and fingerprints have no SQL form; tests/llm compares the
-#: pipeline with a brute-force version.
+#: Tokens, automata and fingerprints have no SQL form; tests/llm compares each
+#: stage with a brute-force version on what the stage before it left.
 ORACLE_SQL = None
 
 
