@@ -77,8 +77,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             i = j
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    data, off = text_view(batch.column(batch.schema.get_field_index(column)))
-    raw = data.tobytes()
-    bounds = off.tolist()
+def byte_strings(arr: pa.Array) -> list[bytes]:
+    data, off = text_view(arr)
+    raw, bounds = data.tobytes(), off.tolist()
     return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    return byte_strings(batch.column(batch.schema.get_field_index(column)))

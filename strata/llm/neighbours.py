@@ -3,15 +3,18 @@
 A vector is turned by pseudo-rotations (random signs and a fast Hadamard
 transform, three times) and hashed to its nearest signed axis. ``tables``
 independent rotations make the tables; a query looks into the ``probes``
-signed axes nearest to it in every table. Candidates are ranked exactly in
-double precision where they lie; each bucket returns its best ``k`` only.
+signed axes nearest to it in every table, by default into one of PROBE_SHARE
+per dimension, so that recall holds for wider vectors. Candidates are ranked
+exactly in double precision where they lie; each bucket returns its best ``k``
+only. A query that found fewer than ``k`` others looks into all axes of the
+first table, which holds every vector once.
 
 A bucket that holds many vectors is split into blocks of ``block`` vectors
 from counted sizes, and queries go to every block of a bucket they probe.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components take no part; vectors of another dimension are never compared;
-ties go to the smaller id; fewer candidates give fewer rows; equal rows are
+ties go to the smaller id; only fewer candidates give fewer rows; equal rows are
 taken together before hashing, and an id with several vectors takes one place,
 with its nearest; an empty table gives an empty result; extra columns are
 ignored.
@@ -29,7 +32,7 @@ from pyspark.sql import Window as W
 
 from ..session import stage_table
 
-TABLES, PROBES, BLOCK, SEED = 10, 10, 20_000, 5
+TABLES, PROBES, PROBE_SHARE, BLOCK, SEED = 10, 10, 7, 20_000, 5
 
 
 def rotations(dim: int, tables: int, seed: int = SEED) -> np.ndarray:
@@ -70,7 +73,14 @@ def usable(vectors: DataFrame) -> DataFrame:
             .where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)).dropDuplicates())
 
 
-def _hashes(tables: int, probes: int, seed: int):
+def probed(dim: int) -> int:
+    """Signed axes that a query of this dimension looks into."""
+    return max(PROBES, (1 << max(0, int(dim - 1).bit_length())) // PROBE_SHARE)
+
+
+def _hashes(tables: int, probes: int | None, seed: int):
+    """Buckets of each vector: ``probes`` of them in every table (None: as many
+    as its dimension asks for; 0: all)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -81,7 +91,8 @@ def _hashes(tables: int, probes: int, seed: int):
                     mine = np.flatnonzero(size == dim)
                     x = lists.take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), dim)
                     for t, signs in enumerate(rotations(int(dim), tables, seed)):
-                        near = axes(rotate(x, signs), probes)
+                        y = rotate(x, signs)
+                        near = axes(y, probed(int(dim)) if probes is None else probes or 2 * y.shape[1])
                         n = near.shape[1]
                         code = (np.int64(t) << 40) | (np.int64(dim) << 20) | near.astype(np.int64).ravel()
                         yield pa.RecordBatch.from_arrays(
@@ -89,7 +100,7 @@ def _hashes(tables: int, probes: int, seed: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABLES, probes: int = PROBES,
+def search(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABLES, probes: int | None = None,
            block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score for each vector of ``vectors`` (vec_id,
     embedding) that fulfils ``queries``: its nearest others by Euclidean distance."""
@@ -101,8 +112,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABLE
         F.col("bucket").alias("_sb"), F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
     stored = index.join(sizes, F.col("bucket") == F.col("_sb")).select(
         "bucket", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("block"), "id", "v", F.lit(False).alias("asks"))
-    sent = asked.mapInArrow(_hashes(tables, probes, seed), schema).join(sizes, F.col("bucket") == F.col("_sb")).select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id", "v", F.lit(True).alias("asks"))
+
+    def sent(asking: DataFrame, tables: int, probes: int | None) -> DataFrame:
+        return asking.mapInArrow(_hashes(tables, probes, seed), schema).join(sizes, F.col("bucket") == F.col("_sb")).select(
+            "bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id", "v", F.lit(True).alias("asks"))
 
     def rank(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -141,7 +154,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABLE
         cat = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
         return pa.table({"query_id": cat(out_q, pa.int64()), "vec_id": cat(out_p, pa.int64()), "score": cat(out_d, pa.float64())})
 
-    found = stored.union(sent).groupBy("bucket", "block").applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def ranked(stored: DataFrame, sent: DataFrame) -> DataFrame:
+        found = stored.union(sent).groupBy("bucket", "block").applyInArrow(rank, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    best = stage_table(ranked(stored, sent(asked, tables, probes)), "lsh-found")
+    full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = stage_table(asked.join(full, "id", "left_anti"), "lsh-short")
+    if not short.isEmpty():
+        first = stored.where(F.shiftright("bucket", 40) == 0)  # one table holds every vector once
+        best = best.union(ranked(first, sent(short, 1, 0))).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,78 +19,108 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import stage_table
-from .common import sized, text_slices, texts_of
+from .common import byte_strings, sized, text_slices
 
 CAPACITY, GRAIN, END_ID = 4096, 64, 2
-#: Words kept with their ids in a worker, and the longest one kept; beyond
-#: the first the memory starts anew.
-CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+#: Words and pieces of words kept with their ids in a worker, and the longest
+#: ones kept; a full memory starts anew.
+CACHE_WORDS, CACHE_PIECES, CACHE_WORD_BYTES = 750_000, 500_000, 64
+#: Bytes of text whose words are told apart together.
+TOKEN_SLICE = 8 << 20
 
 
 # --------------------------------------------------------------------------
 # tokens
 # --------------------------------------------------------------------------
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class PieceIds(dict):
+    """Ids (little-endian, four bytes each) of the lower-case pieces that the
+    tokenizer's pattern cuts words into."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+        self.ids = [packed([i]) for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        # bytes without a sign of their own have a stand-in in the vocabulary
+        text = piece.decode() if piece.isalnum() else "".join(map(STAND_INS.__getitem__, piece))
+        ids = self.ids
+        ids = b"".join([ids[t.id] for t in self.model.tokenize(text)])
+        if len(piece) <= CACHE_WORD_BYTES:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class WordIds(dict):
-    """Ids of words (little-endian, four bytes each) by the words' bytes. The
-    tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words, and each different word is encoded once."""
+    """Ids of words by the words' bytes. The tokenizer drops white space and
+    never joins across it, so the ids of a text are those of its words, and
+    each different word is encoded once."""
 
     #: Fixed value: the tokenizer's own split pattern, for ASCII text.
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces: dict[str, list[int]] = {}
-        self.end = struct.pack("<I", END_ID)
-
-    def piece(self, p: str) -> list[int]:
-        ids = self.pieces.get(p)
-        if ids is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            ids = [t.id for t in self.model.tokenize(p)]
-            if len(p) <= CACHE_WORD_BYTES:
-                self.pieces[p] = ids
-        return ids
-
-    def encode(self, word: str) -> list[int]:
-        if word.isascii() and "<|" not in word:
-            # characters without a sign of their own have a stand-in in the vocabulary
-            return [i for p in self.PIECES.findall(word.lower()) for i in self.piece(p if p.isprintable() else p.translate(BYTE_CHARS))]
-        low = LATIN.match(word)
-        if low and "<|" not in word:
-            return [i for p in LATIN_PIECES.findall(unicodedata.normalize("NFC", word).lower())
-                    for i in self.piece(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        self.pieces = PieceIds(self.tokenizer)
+        self.end = packed([END_ID])
+
+    def encode(self, word: bytes) -> bytes:
+        if word.isascii() and b"<|" not in word:
+            low, pieces = word.lower(), self.pieces
+            if low.isalpha():  # a word of letters is one piece
+                return pieces[low]
+            if low[-1:] in b".,;:!?" and low[:-1].isalpha():
+                return pieces[low[:-1]] + pieces[low[-1:]]
+            return b"".join([pieces[p] for p in self.PIECES.findall(low)])
+        text = word.decode("utf-8", "replace")
+        if "<|" not in text and LATIN.match(text):
+            return b"".join([self.pieces[p.encode()] for p in LATIN_PIECES.findall(unicodedata.normalize("NFC", text).lower())])
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode("utf-8", "replace"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.encode(word)
         if len(word) <= CACHE_WORD_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[word] = packed
-        return packed
+            self[word] = ids
+        return ids
 
-    def document(self, text: bytes) -> bytes:
-        """The ids of a text, with the end id."""
-        return b"".join(map(self.__getitem__, text.replace(b"\n", b" ").split(b" "))) + self.end
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, with the end id. Words are cut and told apart
+        by Arrow; the ids of a slice's different words are looked up and then
+        taken in the order of the words, which joins them."""
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)  # the tokenizer does so; special tokens are as written
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        known = pa.array(list(map(self.__getitem__, byte_strings(words.dictionary))), pa.large_binary())
+        taken = known.take(words.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset: taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        bounds = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])].tolist()
+        data = taken.buffers()[2].to_pybytes() if len(taken) and taken.buffers()[2] is not None else b""
+        return [data[a:z] + self.end for a, z in zip(bounds, bounds[1:])]
 
 
 #: Latin letters, marks and signs whose classes and lower case are the same everywhere.
@@ -107,6 +137,7 @@ def _byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = _byte_chars()
+STAND_INS = [chr(BYTE_CHARS.get(b, b)) for b in range(256)]
 _WORKER: dict[str, WordIds] = {}
 
 
@@ -133,8 +164,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grai
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, WordIds(tokenizer))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in text_slices(batches, "text"):
-            texts = [words.document(t) for t in texts_of(b, "text")]
+        for b in text_slices(batches, "text", TOKEN_SLICE):
+            texts = words.documents(b.column(1))
             tokens = np.array([len(t) for t in texts], np.int64) // 4
             doc, start, length = cut_points(tokens, capacity, grain)
             order = np.argsort(length, kind="stable")

@@ -42,6 +42,8 @@ PARTS = 16
 NO_ID = np.int64(-(2 ** 63))
 #: Bytes of text that one bucket or one slice of work holds at a time.
 SLICE = 2 << 20
+#: Bytes of text that a group of rows has on average at most.
+GROUP_BYTES = 32 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -441,7 +443,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes) and kept (remaining bytes) of every row."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} bytes or more")
-    n = partitions(docs.sparkSession)
+    # a group holds about GROUP_BYTES of text, however many shuffle partitions are set
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // GROUP_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).select(
         "doc_id", row_key(F.col("doc_id"), F.col("text"))[0].alias("key"), "text")
     rows = rows.withColumn("bucket", F.pmod("key", F.lit(n)).cast("int"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,18 +382,21 @@ def test_ids_are_the_tokenizers(spark):
     extra = ["<|", "|>", "<|endoftext|>", "don't", "WORD", "x1y22", "İ", "ﬁ", "中文", "́", "é", "\U0001f600", " ", "\n", "\t"]
     texts = [*chars, *(f"a{c}b" for c in chars), *(f"{c}{c} {c}" for c in chars)]
     texts += ["".join(rng.choice(chars + extra * 12) for _ in range(rng.randrange(1, 40))) for _ in range(6000)]
-    for t in texts:
-        got = np.frombuffer(words.document(t.encode()), "<u4").tolist()
+    every = words.documents(pa.array([*texts, None, ""])) + [x for t in texts[:2000] for x in words.documents(pa.array([t]))]
+    assert every[len(texts): len(texts) + 2] == [words.end] * 2
+    del every[len(texts): len(texts) + 2]
+    for t, ids in zip([*texts, *texts[:2000]], every):
+        got = np.frombuffer(ids, "<u4").tolist()
         assert got == tokenizer.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
 
 def test_a_full_word_cache_starts_anew(monkeypatch):
     words = packing.WordIds(registry.tokenizer_path())
-    text = " ".join(f"w{i}x" for i in range(500)).encode() + b" " + b"long" * 100
-    want = words.document(text)
+    text = pa.array([" ".join(f"w{i}x" for i in range(500)) + " " + "long" * 100])
+    want = words.documents(text)
     monkeypatch.setattr(packing, "CACHE_WORDS", 10)
     words = packing.WordIds(registry.tokenizer_path())
-    assert words.document(text) == want and len(words) <= 10
+    assert words.documents(text) == want and len(words) <= 10
 
 
 # -- round 3: contracts on odd texts ----------------------------------------

@@ -63,3 +63,24 @@ def test_hadamard_rotation_keeps_length():
 def test_registered_query_is_complete(spark):
     out = registry.QUERIES["op1_cross_polytope"](spark, SF).collect()
     assert len(out) == 10 * 5
+
+
+@pytest.mark.parametrize("dim", [64, 128, 256])
+def test_recall_holds_for_wider_vectors(spark, dim):
+    """Random directions, the hardest case: all neighbours are far."""
+    x = np.random.default_rng(dim).normal(size=(1500, dim))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 75 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {i for i, _ in brute(np.arange(1500), x, q)}) for q in range(0, 1500, 75)]
+    assert sum(hits) >= 0.9 * 10 * len(hits)
+
+
+def test_short_queries_are_completed(spark):
+    x = np.random.default_rng(8).normal(size=(14, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(df, F.lit(True), probes=1, tables=2).collect()
+    want = {(q, k + 1, i) for q in range(14) for k, (i, _) in enumerate(brute(np.arange(14), x, q))}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in rows} == want
+    assert neighbours.search(df.limit(4), F.lit(True)).count() == 12
