@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Error classes, tested in this order, and the message parts
 # that select them (all tests on the lower-cased message unless noted).
@@ -121,13 +120,6 @@ def fenced_json(text: Column) -> Column:
                   body.substr(start, end - start + 1)).otherwise(F.lit(None))
 
 
-ANSWER_SCHEMA = T.StructType([
-    T.StructField("direct_answer", T.StringType()),
-    T.StructField("charts", T.StringType()),
-    T.StructField("detailed_analysis", T.StringType()),
-])
-
-
 def answer_sentence(table: str, value: Column, group: Column | None = None) -> Column:
     """FN-20: the answer sentence with thousands separators and 2 decimals
     (``format_number``), for a top group or a single value."""

@@ -106,6 +106,8 @@ ENTRY, WORD = 2 ** 15, 64
 #: A directory of at most so many entries (4 KB each and 4 KB of counts) is
 #: broadcast; a larger one is joined by a shuffle on (file, block, entry).
 BROADCAST_ENTRIES = 4096
+#: The counts of at most so many entries are added up on the driver.
+DRIVER_ENTRIES = 100_000
 
 
 def _address() -> dict[str, Column]:
@@ -133,20 +135,32 @@ def ordinals_are_distinct(df: DataFrame) -> bool:
     return r[0] == r[1] and not r[2]
 
 
-def rank_directory(df: DataFrame) -> DataFrame | None:
+def rank_directory(df: DataFrame) -> tuple[DataFrame, int] | None:
     """(file, block, entry, offset, words, before): one row per run of 32 768
     ordinals with the rows that are there as bits, the number of set bits in
     front of each word, and the number of rows in front of the entry, files by
-    name. Built from the two ordinal columns alone; None where an ordinal is
-    missing or repeated, for then rows can't be told apart (the set bits are
-    counted against the rows, so this is exact)."""
-    per_word = F.map_from_entries(F.collect_list(F.struct("_word", "bits")))
+    name; and how many entries there are. Built from the two ordinal columns
+    alone; None where an ordinal is missing or repeated, for then rows can't be
+    told apart (the set bits are counted against the rows, so this is exact)."""
+    per_word = F.map_from_entries(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_word", "bits"))))
     entries = stage_table(_words(df).groupBy("_file", "_block", "_entry").agg(
         per_word.alias("w"), F.sum("n").alias("n"), F.sum(F.bit_count("bits")).cast("long").alias("held")).select(
         "_file", "_block", "_entry", "n", "held", F.transform(F.sequence(F.lit(0), F.lit(ENTRY // WORD - 1)),
                                                               lambda i: F.coalesce(F.col("w")[i], F.lit(0).cast("long"))).alias("words")), "ranks")
-    # one row a file reaches the driver
-    files = entries.groupBy("_file").agg(F.sum("n").alias("n"), F.sum("held").alias("held"),
+    at = ["_file", "_block", "_entry"]
+    rows = entries.select(*at, "n", "held").limit(DRIVER_ENTRIES + 1).collect()
+    if len(rows) <= DRIVER_ENTRIES:
+        if any(None in (r["_file"], r["_entry"]) or r["n"] != r["held"] for r in rows):
+            return None
+        offsets, running = [], 0
+        for r in sorted(rows):
+            offsets.append((*r[:3], running))
+            running += r["n"]
+        front = F.broadcast(df.sparkSession.createDataFrame(offsets, "_f string, _b long, _e long, _offset long"))
+        numbered = entries.join(front, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")) & (F.col("_entry") == F.col("_e")))
+        return numbered.select(*at, "_offset", "words", _set_before("words").alias("before")), len(rows)
+    # more entries: one row a file reaches the driver, the rest is a running sum inside each file
+    files = entries.groupBy("_file").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.count(F.lit(1)).alias("entries"),
                                          F.count_if(F.col("_entry").isNull()).alias("unset")).collect()
     if any(r["_file"] is None or r["unset"] or r["n"] != r["held"] for r in files):
         return None
@@ -156,11 +170,15 @@ def rank_directory(df: DataFrame) -> DataFrame | None:
         running += r["n"]
     first = df.sparkSession.createDataFrame(starts, "_f string, _start long")
     inside = W.partitionBy("_file").orderBy("_block", "_entry").rowsBetween(W.unboundedPreceding, -1)
-    counts = F.transform("words", lambda x: F.bit_count(x).cast("int"))
-    before = F.aggregate(counts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return (entries.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(first), F.col("_file") == F.col("_f"))
-            .select("_file", "_block", "_entry", (F.col("_start") + F.col("_in")).alias("_offset"), "words", before.alias("before")))
+    numbered = entries.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(first), F.col("_file") == F.col("_f"))
+    directory = numbered.select(*at, (F.col("_start") + F.col("_in")).alias("_offset"), "words", _set_before("words").alias("before"))
+    return stage_table(directory, "rank-directory"), sum(r["entries"] for r in files)
+
+
+def _set_before(words: str) -> Column:
+    """How many bits are set in front of each word."""
+    counts = F.transform(words, lambda x: F.bit_count(x).cast("int"))
+    return F.aggregate(counts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
 def ranked_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | None:
@@ -170,16 +188,15 @@ def ranked_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | No
     ordinals: sort then."""
     if SOURCE_ROW not in df.columns or SOURCE_FILE not in df.columns:
         return None
-    directory = rank_directory(df)
-    if directory is None:
+    found = rank_directory(df)
+    if found is None:
         return None
-    directory = stage_table(directory, "rank-directory")
-    small = directory.count() <= BROADCAST_ENTRIES
+    directory, entries = found
     at = _address()
     names = ["file", "block", "entry"]
     rows = df.select("*", *[at[n].alias(f"_r_{n}") for n in (*names, "word", "bit")])
     same = [F.col(f"_r_{n}") == F.col(f"_{n}") for n in names]
-    joined = rows.join(F.broadcast(directory) if small else directory, same[0] & same[1] & same[2])
+    joined = rows.join(F.broadcast(directory) if entries <= BROADCAST_ENTRIES else directory, same[0] & same[1] & same[2])
     front = F.expr("~shiftleft(-1L, _r_bit)")
     rank = F.col("before")[F.col("_r_word")] + F.bit_count(F.col("words")[F.col("_r_word")].bitwiseAND(front))
     return joined.withColumn(name, F.col("_offset") + rank + start).select(*[F.col(f"`{c}`") for c in df.columns], name)

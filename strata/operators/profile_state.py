@@ -84,7 +84,7 @@ def merge_states(states: DataFrame, name: str, schema: T.StructType, columns: Se
         F.min(number).alias("mn"), F.max(number).alias("mx"), F.sum(number * F.col("n")).alias("total"),
         F.min_by("id", F.when(there, F.col("first"))).alias("sample"),
         F.count_if(F.col("id").startswith("h")).alias("hashed")).collect()}
-    longs = {r["c"]: r["t"] for r in states.where("n = 0").groupBy("c").agg(
+    longs = {} if not any(r["hashed"] for r in per.values()) else {r["c"]: r["t"] for r in states.where("n = 0").groupBy("c").agg(
         F.min_by("long_text", F.struct("file", "at")).alias("t")).collect()}
     rows = []
     for i, c in enumerate(columns):

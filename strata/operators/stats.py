@@ -283,9 +283,12 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median
         if stuck:
             break
     found = bracketed(counted).where(inside).groupBy(*ks, "_n", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    end = F.col("_below") + F.sum("_c").over(W.partitionBy(*ks).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    runs = found.groupBy(*ks, "_n", "_below").agg(F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_runs"))
     ranks = [F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)]
-    hits = sum(((r >= F.col("_end") - F.col("_c")) & (r < F.col("_end"))).cast("int") for r in ranks)
-    picked = found.withColumn("_end", end).withColumn("_hits", hits).where("_hits > 0")
-    return picked.groupBy(*ks).agg((F.sum(F.col("_v") * F.col("_hits")) / 2).alias(name)).select(
-        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col(f"`{name}`"))
+
+    def add(acc, run):
+        end = acc["end"] + run["_c"]
+        hits = sum(((r >= acc["end"]) & (r < end)).cast("int") for r in ranks)
+        return F.struct(end.alias("end"), (acc["total"] + F.when(hits > 0, run["_v"] * hits).otherwise(0.0)).alias("total"))
+    total = F.aggregate("_runs", F.struct(F.col("_below").alias("end"), F.lit(0.0).alias("total")), add, lambda acc: acc["total"])
+    return runs.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], (total / 2).alias(name))

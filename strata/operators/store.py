@@ -16,28 +16,36 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..session import stage_table
 
 BUCKET = "_bucket"
 
 
-def row_order(df: DataFrame, key: str, version: str) -> list[Column]:
-    """A total order of a key's rows, latest first: the version, then the
-    other columns' values, so that equal versions resolve alike however the
-    rows are dealt; rows that agree in all of it are equal."""
-    rest = [f for f in df.schema.fields if f.name not in (key, version)]
-    plain = [F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in rest]
-    return [F.desc_nulls_last(f"`{version}`"), *[c.desc_nulls_last() for c in plain]]
-
-
 def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
-    """The latest row of each key (nulls are one key). Every task drops what
-    can't be the latest before rows are shuffled, so a hot key sends one row a
-    task."""
-    w = W.partitionBy(F.col(f"`{key}`")).orderBy(*row_order(df, key, version))
-    return df.withColumn("_latest", F.row_number().over(w)).where(F.col("_latest") == 1).drop("_latest")
+    """The latest row of each key (nulls are one key): the highest version and,
+    among equal versions, the largest values of the other columns, so that they
+    resolve alike however the rows are dealt. Columns without an order (maps,
+    variants) are compared as JSON. A partial aggregate: a hot key sends one
+    row a task."""
+    rest = [f for f in df.schema.fields if f.name not in (key, version)]
+    odd = [f.name for f in rest if not _ordered(f.dataType)]
+    plain = [f.name for f in rest if f.name not in odd]
+    order = F.struct(F.col(f"`{version}`"), *[F.col(f"`{c}`") for c in plain], *[F.to_json(F.struct(f"`{c}`")).alias(c) for c in odd])
+    if not odd:
+        agg = df.groupBy(F.col(f"`{key}`")).agg(F.max(order).alias("_r"))
+    else:
+        whole = F.struct(F.col(f"`{version}`"), *[F.col(f"`{f.name}`") for f in rest])
+        agg = df.groupBy(F.col(f"`{key}`")).agg(F.max_by(whole, order).alias("_r"))
+    return agg.select(*[F.col(f"`{c}`") if c == key else F.col(f"_r.`{c}`").alias(c) for c in df.columns])
+
+
+def _ordered(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _ordered(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_ordered(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
 def upsert_latest(current: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import fractional_flag
+from ..functions.clean import fractional_flag, is_integral
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, SOURCE_ROW
 from ..operators.profile import PROFILE_SCHEMA
 from ..operators.profile_state import STATE, file_states, merge_states, part_of, text_lists
 from ..operators.quality import file_summary
 from ..session import stage_table
-from ..sources.manifest import Evidence, InputState, digest, read_note, remove_parts, write_note, write_parts
+from ..sources.manifest import Evidence, InputState, digest, part_name, read_note, remove_parts, write_note, write_parts
 from ..sources.tables import (_without_tokens, NULL_TOKENS, chosen_type, csv_parts, json_parts, read_parquet,
                               type_candidates, type_counts, with_types)
 from .layers import run_bronze
@@ -101,11 +101,9 @@ class Tracked:
         return self.full or self.state.changed()
 
     def replaced(self) -> list[str]:
-        """The parts whose rows go: of changed and of removed files."""
-        if not self.state.fresh:
-            return list(self.state.gone)
-        rows = self.spark.createDataFrame([(p,) for p in self.state.fresh], "p string")
-        return sorted(r[0] for r in rows.select(part_of(F.col("p"))).collect()) + list(self.state.gone)
+        """The parts whose rows go: of changed and of removed files (a new
+        file's part is empty)."""
+        return [part_name(p) for p in (*self.state.fresh, *self.state.gone)]
 
     def _fresh_paths(self) -> list[str]:
         return [unquote(p) for p in self.state.fresh]
@@ -198,7 +196,8 @@ LISTS = "dataset string, column string, unique_count bigint, value string, freq
 
 
 def profile_frames(spark: SparkSession, found: Sequence[tuple[list, list]]) -> tuple[DataFrame, DataFrame]:
-    """The profile and the lists of values of all tables of a run."""
+    """The profile and the lists of values of all tables of a run, from rows
+    on the driver."""
     return (spark.createDataFrame([r for rows, _ in found for r in rows], PROFILE_SCHEMA),
             spark.createDataFrame([r for _, rows in found for r in rows], LISTS))
 
@@ -259,7 +258,10 @@ def update_bronze(tracked: Tracked, rules: Sequence[Rule], file_name: str, path:
         fresh, fractions = [], {}
 
         def decide(frame: DataFrame, ints: list[str], dates: list[str]):
-            flags = {c: [fractional_flag(c, frame.schema[c].dataType).cast("bigint").alias("fractional")] for c in ints}
+            open_ = [c for c in ints if not is_integral(frame.schema[c].dataType)]
+            if not open_:
+                return {c: False for c in ints}, {}
+            flags = {c: [fractional_flag(c, frame.schema[c].dataType).cast("bigint").alias("fractional")] for c in open_}
             fresh.append(stage_table(per_file(frame, flags), "fractions"))
             totals = evidence.totals(evidence.merged(fresh[-1], tracked.replaced(), full))
             frac = {c: bool(totals.get(c, {}).get("fractional")) for c in ints}

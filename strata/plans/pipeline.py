@@ -12,13 +12,17 @@ tables whose sources, rules or options differ.
 
 from __future__ import annotations
 
+import contextvars
 import os
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..operators.quality import layer_report
 from ..session import map_jobs, scratch
@@ -46,13 +50,33 @@ class RunResult:
 
 
 def _settled(rules: DataFrame) -> DataFrame:
-    """The reviewed rule table computed once and kept as a local frame: it is
-    written, checked and parsed afterwards, and it has one row per target
-    column, so its size is bounded by the schema width, not the data."""
-    return rules.sparkSession.createDataFrame(rules.collect(), rules.schema)
+    """The reviewed rule table computed once and kept as a local frame in rule
+    order: it is written, checked and parsed afterwards, and it has one row per
+    target column, so its size is bounded by the schema width, not the data."""
+    rows = rules.collect()
+    if "rule_no" in rules.columns:
+        rows.sort(key=lambda r: r["rule_no"])
+    return rules.sparkSession.createDataFrame(rows, rules.schema)
 
 
-def _finish_layer(spark: SparkSession, res: RunResult, audit: AuditLog, root: str, layer: str, built: Sequence[Built]) -> None:
+class Artifacts:
+    """Small artifacts written beside the run's own jobs; ``finish`` waits for
+    them, and an error of one is the run's."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.pool, self.jobs = spark, ThreadPoolExecutor(max_workers=2), []
+
+    def write(self, fn, *args) -> None:
+        target = inheritable_thread_target(self.spark)(fn)
+        self.jobs.append(self.pool.submit(contextvars.copy_context().run, target, *args))
+
+    def finish(self) -> None:
+        self.pool.shutdown()
+        for job in self.jobs:
+            job.result()
+
+
+def _finish_layer(spark: SparkSession, res: RunResult, audit: AuditLog, files: Artifacts, root: str, layer: str, built: Sequence[Built]) -> None:
     """Outputs, quality report and audit event of a layer. Tables that were
     kept bring the summary they were written with."""
     res.outputs[layer] = {b.name: b.path for b in built}
@@ -61,17 +85,17 @@ def _finish_layer(spark: SparkSession, res: RunResult, audit: AuditLog, root: st
     if not res.rebuilt[layer]:
         res.skipped.append(layer)
         return
-    ART.write_json(res.quality[layer][0], ART.quality_paths(root, res.run_id)[layer])
+    files.write(ART.write_json, res.quality[layer][0], ART.quality_paths(root, res.run_id)[layer])
     audit.log(f"{layer}_agent", "completed", outputs=res.outputs[layer], rebuilt=res.rebuilt[layer],
               warnings=[w for b in built for w in b.warnings])
 
 
-def _reviewed(res: RunResult, root: str, layer: str, rules: DataFrame):
+def _reviewed(res: RunResult, files: Artifacts, root: str, layer: str, rules: DataFrame):
     """The reviewed rules of a layer, guarded and kept as an artifact."""
     settled = _settled(rules)
     res.rules[layer] = settled
     selection_guard(settled)
-    ART.write_rules(settled, os.path.join(root, "rules", res.run_id, layer))
+    files.write(ART.write_rules, settled, os.path.join(root, "rules", res.run_id, layer), True)
     return collect_rules(settled)
 
 
@@ -91,6 +115,7 @@ def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, r
          rules_hook: Callable[[str, DataFrame], DataFrame] | None, date_mode: str, csv_multi_line: bool | None) -> RunResult:
     hook = rules_hook or (lambda layer, r: r)
     res = RunResult(run_id)
+    files = Artifacts(spark)
     audit = AuditLog(spark, os.path.join(root, "audit", run_id), run_id)
     state = os.path.join(root, "state", run_id)
     tracked: "OrderedDict[str, Tracked]" = OrderedDict()
@@ -121,11 +146,11 @@ def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, r
     found = map_jobs(spark, lambda t: t.profile(), tracked.values())
     prof, lists = profile_frames(spark, found)
     if any(t.changed() for t in tracked.values()):
-        ART.write_json(prof, os.path.join(root, "profiles", run_id))
-        ART.write_json(lists, os.path.join(root, "lovs", run_id))
-    order = {n: i for i, n in enumerate(tracked)}
-    prof_n = prof.join(spark.createDataFrame(list(order.items()), "dataset string, dataset_no int"), "dataset")
-    b_rules = _reviewed(res, root, "bronze", hook("bronze", bronze_rules(prof_n)))
+        files.write(ART.write_json, prof, os.path.join(root, "profiles", run_id))
+        files.write(ART.write_json, lists, os.path.join(root, "lovs", run_id))
+    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(tracked) for x in (n, i)])
+    prof_n = prof.withColumn("dataset_no", numbers[F.col("dataset")])
+    b_rules = _reviewed(res, files, root, "bronze", hook("bronze", bronze_rules(prof_n)))
     audit.log("profiler", "completed", tables=list(tracked))
 
     # bronze
@@ -134,11 +159,11 @@ def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, r
         return update_bronze(t, own, file_names[t.name], layer_path(root, "bronze", run_id, f"{t.name}_bronze"))
     b_built = map_jobs(spark, bronze_table, tracked.values())
     res.parts = {b.name: b.parts for b in b_built if b.rebuilt}
-    _finish_layer(spark, res, audit, root, "bronze", b_built)
+    _finish_layer(spark, res, audit, files, root, "bronze", b_built)
     bronze = OrderedDict((b.name, b.read(spark)) for b in b_built)
 
     # silver
-    s_rules = _reviewed(res, root, "silver", hook("silver", silver_rules(
+    s_rules = _reviewed(res, files, root, "silver", hook("silver", silver_rules(
         column_catalog(spark, bronze, null_counts=res.quality["bronze"][1]["null_counts"]))))
 
     def silver_table(b: Built) -> Built:
@@ -154,11 +179,11 @@ def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, r
         write_table(df, path)
         return note_table(spark, Built(name, path, stamp, df.schema, {}, True, warnings=made.warnings), note)
     s_built = map_jobs(spark, silver_table, b_built)
-    _finish_layer(spark, res, audit, root, "silver", s_built)
+    _finish_layer(spark, res, audit, files, root, "silver", s_built)
     silver = OrderedDict((b.name, b.read(spark)) for b in s_built)
 
     # gold
-    g_rules = _reviewed(res, root, "gold", hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False))))
+    g_rules = _reviewed(res, files, root, "gold", hook("gold", gold_rules(column_catalog(spark, silver, with_nulls=False))))
     g_src = OrderedDict((normalise_source_name(n), df) for n, df in silver.items())
     stamps = {normalise_source_name(b.name): b.stamp for b in s_built}
 
@@ -176,19 +201,20 @@ def _run(spark: SparkSession, inputs: Sequence[str], question: str, root: str, r
     plans = gold_plans(g_rules, list(g_src), lambda srcs: [c for s in srcs for c in g_src[s].columns])
     # QL-05: the gold report is always there before the answer is written
     g_built = map_jobs(spark, gold_table, plans)
-    _finish_layer(spark, res, audit, root, "gold", g_built)
+    _finish_layer(spark, res, audit, files, root, "gold", g_built)
     gold = OrderedDict((b.name, b.read(spark)) for b in g_built)
-    for t in tracked.values():
-        t.state.record()
 
     # answer
     if gold and question:
         res.answer = answer(gold, question)
         res.answer.text = answer_text(res.answer, res.answer.df.first())
-        ART.write_json(ART.answer_frame(spark, run_id, question, res.answer.text,
+        files.write(ART.write_json, ART.answer_frame(spark, run_id, question, res.answer.text,
                                         "Deterministic intent parsing and aggregation.",
                                         f"op={res.answer.op} metric={res.answer.metric} group={res.answer.group_col}",
                                         res.answer.charts, res.answer.sql), os.path.join(root, "answers", run_id))
         audit.log("reporter", "completed", sql=res.answer.sql)
-    audit.flush()
+    files.write(audit.flush)
+    files.finish()
+    for t in tracked.values():
+        t.state.record()
     return res

@@ -244,3 +244,27 @@ def rule_header_preference(spark, sf):
     rules = collect_rules(ART.read_rules(spark, path))
     out = run_bronze(OrderedDict(orders=T(spark, sf, "orders")), rules, {"orders": "orders.csv"}).tables["orders_bronze"]
     return out.select("order_key", "customer")
+
+
+# ===========================================================================
+# AG-09 duplicates over several batches
+# ===========================================================================
+
+@register("duplicates_across_runs", """
+WITH b AS (SELECT CAST(o_orderkey % 3 AS INTEGER) AS batch, o_custkey % 200 AS k, o_orderstatus, o_orderpriority FROM orders),
+f AS (SELECT k, o_orderstatus, o_orderpriority, min(batch) AS first FROM b GROUP BY ALL),
+n AS (SELECT batch, count(*) AS n FROM b GROUP BY batch), d AS (SELECT first AS batch, count(*) AS d FROM f GROUP BY first)
+SELECT n.batch, n.n - coalesce(d.d, 0) AS repeated, sum(n.n - coalesce(d.d, 0)) OVER (ORDER BY n.batch)::BIGINT AS so_far
+FROM n LEFT JOIN d ON n.batch = d.batch
+""")
+def duplicates_across_runs(spark, sf):
+    """AG-09: three batches of orders counted one after the other; each is
+    compared with the digests of those before it."""
+    from .operators.ledger import DuplicateLedger
+    o = T(spark, sf, "orders").select("o_orderkey", X("o_custkey % 200").alias("k"), "o_orderstatus", "o_orderpriority")
+    path, out = stage_path(spark, "row-ledger"), []
+    for batch in range(3):
+        ledger = DuplicateLedger(spark, path)
+        n = ledger.add(o.where(F.col("o_orderkey") % 3 == batch).drop("o_orderkey"))
+        out.append((batch, n, ledger.duplicates))
+    return spark.createDataFrame(out, "batch int, repeated bigint, so_far bigint")

@@ -9,6 +9,7 @@ from collections import OrderedDict
 from pyspark.sql import functions as F
 
 from .functions import clean
+from .operators import charts as CH
 from .operators import profile as PF
 from .operators import quality as QL
 from .operators.joins import combine_sources
@@ -450,3 +451,46 @@ SELECT CAST(event_id AS VARCHAR) AS run_id, CASE event_id % 4 WHEN 0 THEN 'read,
 def trace_tool_sequence(spark, sf):
     """SO-05: the distinct tools of a trace in order of first use."""
     return LG.tool_sequence(_traces(spark, sf)).select("run_id", F.array_join("tools", ",").alias("tools"))
+
+
+# ===========================================================================
+# CH-01 / CH-02: the branches that other queries leave out
+# ===========================================================================
+
+@register("chart_line", "SELECT o_orderdate, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+def chart_line(spark, sf):
+    o = T(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return CH.chart_frame(o, {"type": "line", "x_column": "o_orderdate", "y_column": "o_totalprice"}, ["o_orderdate", "o_totalprice"])
+
+
+@register("chart_scatter", "SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_returnflag = 'R'")
+def chart_scatter(spark, sf):
+    li = T(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    return CH.chart_frame(li, {"type": "scatter", "x_column": "l_quantity", "y_column": "l_extendedprice"})
+
+
+@register("chart_auto_numbers", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 200")
+def chart_auto_numbers(spark, sf):
+    """CH-02: two numbers make a scatter of the first 200 rows."""
+    kind, frame = CH.auto_chart(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    assert kind == "scatter"
+    return frame
+
+
+@register("chart_auto_record", """
+SELECT 'row_' || row_number() OVER (ORDER BY o_totalprice) AS record, o_totalprice
+FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 20)
+""")
+def chart_auto_record(spark, sf):
+    """CH-02: one number makes a bar of the first 20 rows with record labels."""
+    kind, frame = CH.auto_chart(T(spark, sf, "orders").select("o_totalprice"), ["o_totalprice"])
+    assert kind == "bar"
+    return frame
+
+
+@register("chart_auto_values", """
+SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY c_mktsegment ORDER BY count DESC, c_mktsegment LIMIT 20
+""")
+def chart_auto_values(spark, sf):
+    """CH-02: without numbers the most frequent values of the first column."""
+    return CH.auto_chart(T(spark, sf, "customer").select("c_mktsegment", "c_name"), ["c_name"])[1]

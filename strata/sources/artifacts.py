@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from ..plans.rules import RULE_COLUMNS, canonical_headers
 
 
-def write_rules(rules: DataFrame, path: str) -> str:
+def write_rules(rules: DataFrame, path: str, in_order: bool = False) -> str:
     """SC-09: the eight rule columns in fixed order (missing -> ""), CSV with
-    header, rows in rule order, one file (the table is schema-sized)."""
+    header, rows in rule order (``in_order``: as they come), one file (the
+    table is schema-sized)."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rules.columns else F.lit("").alias(c)
             for c in RULE_COLUMNS]
-    ordered = rules.orderBy("rule_no") if "rule_no" in rules.columns else rules
+    ordered = rules.orderBy("rule_no") if "rule_no" in rules.columns and not in_order else rules
     ordered.select(*cols).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 

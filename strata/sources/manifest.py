@@ -10,50 +10,36 @@ and that of the new files.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.profile_state import part_of
 from ..session import stage_table
 
-FILES = "path string, length bigint, modified timestamp"
-
-
-def input_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files below a path (a file, a folder or a pattern), by name as the
-    scans report them. File contents are not read."""
+def input_files(spark: SparkSession, path: str) -> dict[str, list]:
+    """path -> [length, time] of the files below a path (a file, a folder or a
+    pattern), named as the scans report them. File contents are not read; the
+    listing is the one that Spark's driver keeps of any scan of the path."""
     m = F.col("_metadata")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        m.file_path.alias("path"), m.file_size.alias("length"), m.file_modification_time.alias("modified"))
-
-
-def changes(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """(path, part, status) of every file: ``same``, ``added``, ``changed``
-    (length or time differ) or ``removed``."""
-    if old is None:
-        return new.select("path", part_of(F.col("path")).alias("part"), F.lit("added").alias("status"))
-    o = old.select(F.col("path").alias("_p"), F.col("length").alias("_l"), F.col("modified").alias("_m"))
-    both = new.join(o, F.col("path") == F.col("_p"), "full_outer")
-    status = (F.when(F.col("_p").isNull(), "added").when(F.col("path").isNull(), "removed")
-              .when((F.col("length") != F.col("_l")) | (F.col("modified") != F.col("_m")), "changed").otherwise("same"))
-    at = F.coalesce("path", "_p")
-    return both.select(at.alias("path"), part_of(at).alias("part"), status.alias("status"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        m.file_path, m.file_size, F.unix_micros(m.file_modification_time)).collect()
+    return {r[0]: [r[1], r[2]] for r in rows}
 
 
-def fingerprint(files: DataFrame) -> str:
-    """One text for a set of files, whatever their order."""
-    r = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modified")),
-                  F.bit_xor(F.xxhash64(F.lit(1), "modified", "length", "path"))).first()
-    return "-".join(str(x) for x in r)
+def changes(old: dict[str, list], new: dict[str, list]) -> dict[str, str]:
+    """path -> status of every file: ``same``, ``added``, ``changed`` (length or
+    time differ) or ``removed``."""
+    status = {p: "added" if p not in old else "same" if list(old[p]) == list(new[p]) else "changed" for p in new}
+    return status | {p: "removed" for p in old if p not in new}
 
 
 def digest(*parts) -> str:
     """A short name of small driver-side values (rule rows, options)."""
-    import hashlib
     return hashlib.sha256(json.dumps(parts, default=str, sort_keys=True).encode()).hexdigest()[:32]
 
 
@@ -108,29 +94,26 @@ def write_parts(df: DataFrame, table: str, full: bool) -> None:
 @dataclass
 class InputState:
     """The files of one input table against those an earlier run recorded in
-    ``folder``. ``fresh`` lists the new and changed files, ``gone`` the parts of
-    removed ones; ``first`` says that nothing was recorded."""
+    ``folder``. ``fresh`` lists the new and changed files, ``gone`` those that
+    were removed; ``first`` says that nothing was recorded."""
     spark: SparkSession
-    path: str
     folder: str
-    files: DataFrame = None
-    fresh: list[str] = field(default_factory=list)
-    gone: list[str] = field(default_factory=list)
-    first: bool = True
-    print: str = ""
+    files: dict[str, list]
+    fresh: list[str]
+    gone: list[str]
+    first: bool
 
     @staticmethod
     def open(spark: SparkSession, path: str, folder: str) -> "InputState":
-        files = stage_table(input_files(spark, path), "input-files")
-        note = read_note(spark, f"{folder}/files.json")
-        out = InputState(spark, path, folder, files, first=note is None, print=fingerprint(files))
-        if note is not None and note["fingerprint"] == out.print:
-            return out
-        old = spark.read.schema(FILES).parquet(note["table"]) if note is not None else None
-        rows = changes(old, files).where("status <> 'same'").collect()  # one row a changed file
-        out.fresh = sorted(r.path for r in rows if r.status != "removed")
-        out.gone = sorted(r.part for r in rows if r.status == "removed")
-        return out
+        files, old = input_files(spark, path), read_note(spark, f"{folder}/files.json")
+        status = changes(old or {}, files)
+        return InputState(spark, folder, files, sorted(p for p, s in status.items() if s in ("added", "changed")),
+                          sorted(p for p, s in status.items() if s == "removed"), old is None)
+
+    @property
+    def print(self) -> str:
+        """One text for the files."""
+        return digest(self.files)
 
     def changed(self) -> bool:
         return self.first or bool(self.fresh or self.gone)
@@ -138,11 +121,13 @@ class InputState:
     def record(self) -> None:
         """Remember the files; the last step of a run that has used them all,
         so that an interrupted run does its work again."""
-        if not self.changed():
-            return
-        table = f"{self.folder}/files-{self.print}"
-        self.files.write.mode("overwrite").parquet(table)
-        write_note(self.spark, f"{self.folder}/files.json", {"fingerprint": self.print, "table": table})
+        if self.changed():
+            write_note(self.spark, f"{self.folder}/files.json", self.files)
+
+
+def part_name(path: str) -> str:
+    """``part_of`` for a path on the driver."""
+    return hashlib.sha256(path.encode()).hexdigest()[:16]
 
 
 class Evidence:
@@ -175,7 +160,6 @@ class Evidence:
         return stage_table(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "evidence")
 
     def record(self, rows: DataFrame) -> None:
-        import uuid
         table = f"{self.path}-{uuid.uuid4().hex}"
         rows.write.parquet(table)
         before = self.note

@@ -158,13 +158,16 @@ def scan(spark, tmp_path):
     return read_parquet(spark, str(tmp_path / "t"))
 
 
-def test_keys_after_dropped_rows_without_a_sort(spark, scan):
+def test_keys_after_dropped_rows_without_a_sort(spark, scan, monkeypatch):
     kept = scan.where("id % 7 <> 3 AND NOT id BETWEEN 20000 AND 36000")
     out = K.add_surrogate_key(kept, "pk")
     text = plan(out)
     assert "rangepartitioning" not in text.lower() and "sorted-" not in text
-    rows = [r[0] for r in out.orderBy(*K.ORDINAL_COLUMNS).select("pk").collect()]
-    assert rows == list(range(1, kept.count() + 1))
+    monkeypatch.setattr(K, "DRIVER_ENTRIES", 1)
+    monkeypatch.setattr(K, "BROADCAST_ENTRIES", 1)
+    for keyed in (out, K.add_surrogate_key(kept, "pk")):
+        rows = [r[0] for r in keyed.orderBy(*K.ORDINAL_COLUMNS).select("pk").collect()]
+        assert rows == list(range(1, kept.count() + 1))
 
 
 def test_repeated_ordinals_are_noticed(spark, scan):
@@ -229,3 +232,33 @@ def test_null_keys_of_sources_apart_are_reported(spark):
     # the row of b alone has no k_id either
     assert told == [("k_id", "2 and 1 rows without a key match each other: 2 rows")]
     assert out.where("r = 5").count() == 2
+
+
+# -- duplicates over several batches --------------------------------------------------
+def test_ledger_counts_over_batches(spark, tmp_path):
+    from strata.operators.ledger import DuplicateLedger
+    from strata.operators.quality import duplicate_count
+    path = str(tmp_path / "ledger")
+    batches = [[(1, "a"), (1, "a"), (2, None), (3, "")], [(2, None), (4, "d"), (3, None)], [], [(1, "a"), (4, "d"), (4, "d"), (5, "e")]]
+    rows = []
+    for batch in batches:
+        df = spark.createDataFrame(batch, "k long, t string")
+        rows += batch
+        ledger = DuplicateLedger(spark, path)
+        before = ledger.duplicates
+        assert ledger.add(df) == ledger.duplicates - before
+        assert DuplicateLedger(spark, path).duplicates == duplicate_count(spark.createDataFrame(rows, "k long, t string"))
+    with pytest.raises(ValueError):
+        DuplicateLedger(spark, path).add(spark.createDataFrame([(1,)], "other long"))
+
+
+def test_an_interrupted_batch_is_counted_once(spark, tmp_path, monkeypatch):
+    from strata.operators import ledger as L
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    with monkeypatch.context() as m:
+        m.setattr(L, "write_note", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            L.DuplicateLedger(spark, path).add(df)
+    assert L.DuplicateLedger(spark, path).add(df) == 1
+    assert L.DuplicateLedger(spark, path).add(df) == 3
