@@ -41,14 +41,19 @@ TRAIN_DOCS, TRAIN_PIECE, TRAIN_BYTES, MAX_LANGS, SEGMENT = 200, 2_000, 40_000, 2
 MODEL_BYTES = 400_000
 #: Bits a byte by which one language must do better for odds of 2 to 1.
 SOFTNESS = 0.08
+_GAPS = re.compile(r"[\W\d_]+")
 #: Numerals that are word characters but neither digits nor letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_GAPS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def normalise(text: str | None) -> bytes:
     """Lower case, with one blank for whatever is no letter."""
-    return _GAPS.sub(" ", text.lower()).strip().encode() if text else b""
+    if not text:
+        return b""
+    letters = _GAPS.sub(" ", text.lower())
+    if not letters.isascii() and not _NUMERALS.isdisjoint(letters):
+        letters = " ".join("".join(" " if c in _NUMERALS else c for c in letters).split())
+    return letters.strip().encode()
 
 
 class SuffixAutomaton:
