@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 
 from ..session import stage_table
 
-TABLES, PROBES, PROBE_SHARE, BLOCK, SEED = 10, 10, 7, 20_000, 5
+TABLES, PROBES, PROBE_SHARE, BLOCK, SEED = 10, 10, 4, 20_000, 5
 
 
 def rotations(dim: int, tables: int, seed: int = SEED) -> np.ndarray:

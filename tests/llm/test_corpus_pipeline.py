@@ -118,8 +118,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     for d, k in copies.items():
         taken[source[d]] += k * size[d]
     for s in total:
-        least = min(n for d, n in size.items() if source[d] == s)
-        assert taken[s] <= target[s] + 1e-6 and target[s] - taken[s] <= max(0.02 * target[s], least), s
+        assert taken[s] <= target[s] + 1e-6, s
+        # what is left is less than any document that could still be added once
+        whole = int(target[s] // total[s])
+        rest = [n for d, n in size.items() if source[d] == s and copies[d] == whole < 3]
+        assert not rest or target[s] - taken[s] < min(rest), s
     # packing: the ids of every document, each sequence without a gap
     before, after = seen["packing"]
     from tokenizers import Tokenizer
@@ -147,7 +150,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_stages_with_clashing_columns(spark, odd, empty, clashing):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, clashing, "")
-        assert out.columns == clashing.columns and out.count() <= clashing.count(), name
+        assert out.columns == clashing.columns and (name == "mixing" or out.count() <= clashing.count()), name
         assert stage(spark, empty, "").columns == empty.columns
     assert corpus_pipeline.STAGES[4][1](spark, clashing, "").count() > 0
 
