@@ -37,7 +37,7 @@ from .common import byte_strings, sized, text_slices
 CAPACITY, GRAIN, END_ID = 4096, 64, 2
 #: Words and pieces of words kept with their ids in a worker, and the longest
 #: ones kept; a full memory starts anew.
-CACHE_WORDS, CACHE_PIECES, CACHE_WORD_BYTES = 750_000, 500_000, 64
+CACHE_WORDS, CACHE_PIECES, CACHE_WORD_BYTES = 500_000, 300_000, 64
 #: Bytes of text whose words are told apart together.
 TOKEN_SLICE = 8 << 20
 

@@ -50,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their token ids, in sequences of at
-    most 4096 tokens: a sequence is its pieces' ids by offset."""
+    """The pieces of all documents in sequences of at most 4096 tokens
+    (``packing.pack`` adds the token ids where ``with_ids`` asks for them)."""
     from .registry import tokenizer_path
-    return packing.pack(docs, tokenizer_path(), with_ids=True)
+    return packing.pack(docs, tokenizer_path())
