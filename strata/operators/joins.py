@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 
-#: Rows with a null key, which all share one key, are spread over this many
-#: salts; the other side's null-key rows are repeated once a salt.
+#: Rows with a null key, which all share one key, are spread over at most this
+#: many salts; the other side's null-key rows are repeated once a salt.
 NULL_SALTS = 32
+#: The pairs of rows without a key are dealt to tasks of at most so many
+#: pairs, and of at least so many while there are few tasks. A step with fewer
+#: pairs joins these rows with the others.
+MOST_NULL_PAIRS, LEAST_NULL_PAIRS = 1 << 25, 1 << 18
 
 METADATA_COLUMNS = {"_load_timestamp", "_source_file", "_row_inserted", "_row_updated"}
 
@@ -42,18 +46,19 @@ def shared_id_keys(left_cols: Sequence[str], right_cols: Sequence[str]) -> list[
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
-               null_keys_match: bool = True, how: str = "full_outer") -> DataFrame:
+               null_keys_match: bool = True, how: str = "full_outer", no_key: tuple[int, int] | None = None) -> DataFrame:
     """JN-01/JN-02: outer join on ``keys`` with one (coalesced) key column per
     key; non-key columns present on both sides come from the left (D28).
 
     ``null_keys_match`` makes null keys equal (pandas ``merge``, D8): n and m
     rows without a key give n * m rows, see ``null_key_warnings``. Their
-    pairs are made by ``NULL_SALTS`` tasks, not by one.
+    pairs are made by as many tasks as they need (``null_tasks``); ``no_key``
+    is (n, m) where it is known, else one job counts them.
     ``how`` may also be ``inner``, ``left`` or ``right``.
     """
     keys = list(keys)
     if null_keys_match and how == "full_outer":
-        return _full_outer_null_safe(left, right, keys)
+        return _full_outer_null_safe(left, right, keys, no_key or tuple(rows_without_key([(left, keys), (right, keys)])))
     lcols = list(left.columns)
     rpay = [c for c in right.columns if c not in keys and c not in lcols]
     r = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(keys)], *rpay)
@@ -94,8 +99,17 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return matched.unionByName(only_right)
 
 
-def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """The full outer join with equal null keys, rows without a key salted."""
+def null_tasks(n: int, m: int, parallelism: int) -> int:
+    """How many tasks make the n * m pairs of rows without a key. Each takes
+    some of the n rows and all m others, so those are repeated once a task."""
+    pairs = n * m
+    return max(1, min(n, max(-(-pairs // MOST_NULL_PAIRS), min(4 * parallelism, pairs // LEAST_NULL_PAIRS))))
+
+
+def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str], counted: tuple[int, int]) -> DataFrame:
+    """The full outer join with equal null keys. ``counted``: how many rows of
+    each side lack a key, which settles the number of tasks alone; where
+    these rows have many pairs, they are joined apart from the others."""
     lcols = list(left.columns)
     rpay = [c for c in right.columns if c not in keys and c not in lcols]
     n = len(keys)
@@ -105,8 +119,11 @@ def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) ->
         for c in names[1:]:
             out = out | F.col(c).isNull()
         return out
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))
+    def spread(salts):
+        return F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+
+    def every(salts):
+        return F.sequence(F.lit(0), F.lit(salts - 1))
     one = F.array(F.lit(0))
 
     def equal(a, b):
@@ -115,16 +132,30 @@ def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) ->
             out = out & F.col(f"{a}{i}").eqNullSafe(F.col(f"{b}{i}"))
         return out
     lk, rk, dk = ([f"{p}{i}" for i in range(n)] for p in ("_l", "_r", "_d"))
-    left_s = left.select("*", *[F.col(f"`{k}`").alias(x) for k, x in zip(keys, lk)]) \
-        .withColumn("_ls", F.when(no_key(lk), spread).otherwise(0))
+    left_k = left.select("*", *[F.col(f"`{k}`").alias(x) for k, x in zip(keys, lk)])
     right_k = right.select(*[F.col(f"`{k}`").alias(x) for k, x in zip(keys, rk)], *[F.col(f"`{c}`") for c in rpay])
-    right_s = right_k.withColumn("_rs", F.explode(F.when(no_key(rk), every).otherwise(one)))
-    matched = left_s.join(right_s, equal("_l", "_r"), "left").select(*[F.col(f"`{c}`") for c in (*lcols, *rpay)])
+
+    def pairs(left_s, right_s, cond):
+        return left_s.join(right_s, cond, "left").select(*[F.col(f"`{c}`") for c in (*lcols, *rpay)])
+    tasks = null_tasks(*counted, left.sparkSession.sparkContext.defaultParallelism)
+    if tasks == 1:
+        salts = max(1, min(NULL_SALTS, counted[0]))
+        matched = pairs(left_k.withColumn("_ls", F.when(no_key(lk), spread(salts)).otherwise(0)),
+                        right_k.withColumn("_rs", F.explode(F.when(no_key(rk), every(salts)).otherwise(one))), equal("_l", "_r"))
+    else:
+        # partitions are asked for by number, so that neither few bytes nor a
+        # broadcast brings the pairs into few tasks; one key is null in all
+        # these rows, so the salts alone make the pairs
+        few = left_k.where(no_key(lk)).withColumn("_ls", spread(tasks)).repartition(tasks, "_ls")
+        others = right_k.where(no_key(rk)).withColumn("_rs", F.explode(every(tasks))).repartition(tasks, "_rs")
+        keyed = [F.col(a) == F.col(b) for a, b in zip(lk, rk)]
+        matched = pairs(left_k.where(~no_key(lk)), right_k.where(~no_key(rk)), keyed).unionByName(
+            pairs(few, others, F.col("_ls") == F.col("_rs") if n == 1 else equal("_l", "_r")))
     # right rows without a partner: the distinct left keys are few, so here
     # those without a key are the repeated side
     keys_s = (left.select(*[F.col(f"`{k}`").alias(x) for k, x in zip(keys, dk)]).distinct()
-              .withColumn("_ds", F.explode(F.when(no_key(dk), every).otherwise(one))))
-    alone = right_k.withColumn("_rs", F.when(no_key(rk), spread).otherwise(0)).join(keys_s, equal("_r", "_d"), "left_anti")
+              .withColumn("_ds", F.explode(F.when(no_key(dk), every(NULL_SALTS)).otherwise(one))))
+    alone = right_k.withColumn("_rs", F.when(no_key(rk), spread(NULL_SALTS)).otherwise(0)).join(keys_s, equal("_r", "_d"), "left_anti")
     at = dict(zip(keys, rk))
     alone = alone.select(*[F.col(at[c]).alias(c) if c in at else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols],
                          *[F.col(f"`{c}`") for c in rpay])
@@ -179,7 +210,7 @@ def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True, w
     source has some.
     """
     steps = fold_keys(frames)
-    counted = [(df, keys) for df, keys in zip(frames[1:], steps) if keys] if warn and null_keys_match else []
+    counted = [(df, keys) for df, keys in zip(frames[1:], steps) if keys] if null_keys_match else []
     first = [(frames[0], steps[0])] if counted and steps[0] else []
     found = rows_without_key([*first, *counted]) if counted else []
     start, new = (found[0] if first else 0), iter(found[len(first):])
@@ -192,11 +223,10 @@ def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True, w
         if joined:
             df = stage_table(df, "outer-join")
         m = next(new) if counted else 0
-        if m:
-            n = start if no == 0 else rows_without_key([(df, keys)])[0]
-            if n:
-                warn(",".join(keys), f"{n} and {m} rows without a key match each other: {n * m} rows")
-        df = full_outer(df, nxt, keys, null_keys_match=null_keys_match)
+        n = 0 if not m else start if no == 0 else rows_without_key([(df, keys)])[0]
+        if n and warn:
+            warn(",".join(keys), f"{n} and {m} rows without a key match each other: {n * m} rows")
+        df = full_outer(df, nxt, keys, null_keys_match=null_keys_match, no_key=(n, m))
         joined = True
     return df
 

@@ -69,3 +69,32 @@ def test_fold_plan_stays_linear(spark):
     # null keys match across every step
     assert [rows[None][f"v{i}"] for i in range(5)] == [f"n{i}" for i in range(5)]
     assert rows[2].v0 == "v02" and rows[2].v2 == "v22" and rows[2].v3 is None
+
+
+def test_pairs_without_key_are_dealt_to_tasks(spark, monkeypatch):
+    """Many pairs of rows without a key: whole rows as in a plain null-safe
+    join, made by several tasks though the sides are small enough for a
+    broadcast and lie in one partition each."""
+    from strata.operators import joins
+    monkeypatch.setattr(joins, "LEAST_NULL_PAIRS", 100)
+    left = spark.range(0, 300, 1, 1).selectExpr("IF(id % 3 = 0, NULL, id % 50) AS k_id", "id AS v")
+    right = spark.range(0, 200, 1, 1).selectExpr("IF(id % 4 = 0, NULL, id % 60) AS k_id", "id AS w")
+    out = full_outer(left, right, ["k_id"])
+    a, b = left.collect(), right.collect()
+    held, known = {r.k_id for r in b}, {r.k_id for r in a}
+    want = [(x.k_id, x.v, y.w) for x in a for y in b if x.k_id == y.k_id]
+    want += [(x.k_id, x.v, None) for x in a if x.k_id not in held] + [(y.k_id, None, y.w) for y in b if y.k_id not in known]
+    key = str
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    parts = {r[0] for r in out.where("k_id IS NULL").selectExpr("spark_partition_id()").distinct().collect()}
+    assert len(parts) > 2
+    two = full_outer(left.selectExpr("k_id", "v % 2 AS j_id", "v"), right.selectExpr("k_id", "w % 2 AS j_id", "w"), ["k_id", "j_id"])
+    pairs = sum(x.k_id == y.k_id and x.v % 2 == y.w % 2 for x in a for y in b)
+    assert two.where("v IS NOT NULL AND w IS NOT NULL").count() == pairs
+
+
+def test_tasks_of_null_pairs_grow_with_the_pairs():
+    from strata.operators.joins import MOST_NULL_PAIRS, null_tasks
+    assert null_tasks(0, 9, 8) == null_tasks(9, 0, 8) == null_tasks(300, 200, 8) == 1
+    for n, m in ((18_000, 12_000), (108_000, 72_000), (1_000_000, 1_000)):
+        assert 8 <= null_tasks(n, m, 8) <= n and n * m / null_tasks(n, m, 8) <= MOST_NULL_PAIRS
