@@ -26,7 +26,7 @@ from ..session import stage_table
 NULL_SALTS = 32
 #: The pairs of rows without a key are dealt to tasks of at most so many
 #: pairs, and of at least so many while there are few tasks. A step with fewer
-#: pairs joins these rows with the others.
+#: pairs joins these rows with the others. Range joins deal theirs alike.
 MOST_NULL_PAIRS, LEAST_NULL_PAIRS = 1 << 25, 1 << 18
 
 METADATA_COLUMNS = {"_load_timestamp", "_source_file", "_row_inserted", "_row_updated"}
@@ -102,8 +102,12 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
 def null_tasks(n: int, m: int, parallelism: int) -> int:
     """How many tasks make the n * m pairs of rows without a key. Each takes
     some of the n rows and all m others, so those are repeated once a task."""
-    pairs = n * m
-    return max(1, min(n, max(-(-pairs // MOST_NULL_PAIRS), min(4 * parallelism, pairs // LEAST_NULL_PAIRS))))
+    return max(1, min(n, pair_tasks(n * m, parallelism)))
+
+
+def pair_tasks(pairs: int, parallelism: int) -> int:
+    """How many tasks make so many pairs; 0 or 1 where they need no dealing."""
+    return max(-(-pairs // MOST_NULL_PAIRS), min(4 * parallelism, pairs // LEAST_NULL_PAIRS))
 
 
 def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str], counted: tuple[int, int]) -> DataFrame:

@@ -10,6 +10,8 @@ comes from one row a (key, bin) that a window carries forward.
 An interval goes to the bins of the smallest power of two that is not
 shorter than it, so it lies in two of them at most; a value looks in its bin of
 each width that occurs. So neither side's copies depend on the intervals' lengths.
+The pairs of each bin are counted first (one row a bin and key): they settle how
+many tasks make them, and a bin of very many is shared by several tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Window as W
 
 from ..functions.clean import is_temporal
 from ..session import stage_table
+from . import joins
 
 #: Bins that the time range of an as-of join is cut in.
 BINS = 4096
@@ -95,9 +98,20 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     if how == "left":
         # the row ids must be the same in both uses, so they are written
         numbered = stage_table(left.withColumn("_id", F.monotonically_increasing_id()), "range-left")
-        inner = range_join(numbered, right, value, low, high, keys, "inner", closed)
-        alone = numbered.join(inner.select("_id").distinct(), "_id", "left_anti")
+        rows, spans, cond = _range_sides(numbered, right, value, low, high, keys, closed)
+        names = numbered.columns + [c for c in right.columns if c not in numbered.columns]
+        inner = rows.join(spans, cond, "inner").select(*[F.col(f"`{c}`") for c in names])
+        # whether a row is held needs one interval of a bin, not its pairs
+        alone = numbered.join(rows.join(spans, cond, "left_semi").select("_id").distinct(), "_id", "left_anti")
         return inner.unionByName(alone, allowMissingColumns=True).drop("_id")
+    rows, spans, cond = _range_sides(left, right, value, low, high, keys, closed)
+    return rows.join(spans, cond, "inner").select(*[F.col(f"`{c}`") for c in (*left.columns, *[c for c in right.columns if c not in left.columns])])
+
+
+def _range_sides(left: DataFrame, right: DataFrame, value: str, low: str, high: str, keys: Sequence[str],
+                 closed: bool) -> tuple[DataFrame, DataFrame, Column]:
+    """The left rows, one for each bin they look in, the intervals, one for
+    each bin they lie in, and the condition that makes their pairs."""
     payload = [c for c in right.columns if c not in left.columns]
     lo, hi = as_number(right, low), as_number(right, high)
     level = F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0 ** -20)))).cast("int")
@@ -111,8 +125,36 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     look = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(v / math.ldexp(1.0, n)).alias("bin")) for n in levels])
     rows = left.withColumn("_at", F.explode_outer(F.when(v.isNotNull(), look))) if levels else left.withColumn(
         "_at", F.lit(None).cast("struct<level:int,bin:bigint>"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in left.columns], F.col("_at.level").alias("_ll"), F.col("_at.bin").alias("_lb"))
+    there = ["_level", "_rbin", *[f"_rk{i}" for i in range(len(keys))]]
+    here = ["_ll", "_lb", *keys]
     held = (F.col(f"`{value}`") >= F.col("_low")) & (F.col(f"`{value}`") <= F.col("_high") if closed else F.col(f"`{value}`") < F.col("_high"))
-    cond = (F.col("_at.level") == F.col("_level")) & (F.col("_at.bin") == F.col("_rbin")) & held
-    for i, k in enumerate(keys):
-        cond = cond & (F.col(f"`{k}`") == F.col(f"_rk{i}"))
-    return rows.join(spans, cond, "inner").select(*[F.col(f"`{c}`") for c in (*left.columns, *payload)])
+    cond = held
+    for a, b in zip(here, there):
+        cond = cond & (F.col(f"`{a}`") == F.col(b))
+    if not levels:
+        return rows, spans, cond
+    # how many pairs each bin has
+    met = (rows.groupBy(*[F.col(f"`{a}`").alias(f"_c{i}") for i, a in enumerate(here)]).agg(F.count(F.lit(1)).alias("_n"))
+           .join(spans.groupBy(*[F.col(b).alias(f"_d{i}") for i, b in enumerate(there)]).agg(F.count(F.lit(1)).alias("_m")),
+                 [F.col(f"_c{i}") == F.col(f"_d{i}") for i in range(len(here))])
+           .select(*[f"_c{i}" for i in range(len(here))], (F.col("_n") * F.col("_m")).alias("_pairs")))
+    met = stage_table(met, "range-bins")
+    most = joins.MOST_NULL_PAIRS
+    total, full = met.agg(F.sum("_pairs"), F.count_if(F.col("_pairs") > most)).first()
+    tasks = joins.pair_tasks(total or 0, left.sparkSession.sparkContext.defaultParallelism)
+    if full:
+        # at most total / most rows: the bins that several tasks share
+        shared = F.broadcast(met.where(F.col("_pairs") > most).withColumn("_tasks", F.ceil(F.col("_pairs") / most).cast("int")).drop("_pairs"))
+
+        def with_tasks(df, names):
+            same = [F.col(f"`{c}`") == F.col(f"_c{i}") for i, c in enumerate(names)]
+            return df.join(shared, same, "left").withColumn("_tasks", F.coalesce("_tasks", F.lit(1))).drop(*[f"_c{i}" for i in range(len(names))])
+        rows = with_tasks(rows, here).withColumn("_ls", F.pmod(F.monotonically_increasing_id(), F.col("_tasks")).cast("int")).drop("_tasks")
+        spans = with_tasks(spans, there).withColumn("_rs", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
+        cond = cond & (F.col("_ls") == F.col("_rs"))
+        here = [*here, "_ls"]
+    if tasks > 1:
+        # by number: few bytes may make many pairs, also beside a broadcast side
+        rows = rows.repartition(tasks, *[F.col(f"`{a}`") for a in here])
+    return rows, spans, cond

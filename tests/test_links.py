@@ -124,6 +124,28 @@ def test_range_join_against_brute_force(spark):
     assert range_join(p, s.limit(0), "v", "lo", "hi", how="left").count() == len(points)
 
 
+def test_range_join_deals_pairs_to_tasks(spark, monkeypatch):
+    """Few bytes that make many pairs: several tasks make them, a bin with too
+    many is shared, and the rows are those of the plain join."""
+    from strata.operators import joins
+    p = spark.range(0, 400, 1, 1).selectExpr("id", "id % 2 AS k", "CAST(id % 40 AS DOUBLE) AS v")
+    s = spark.range(0, 60, 1, 1).selectExpr("id AS sid", "id % 2 AS k", "CAST(id % 30 AS DOUBLE) AS lo", "CAST(id % 30 + 4 AS DOUBLE) AS hi")
+    want = [(a.id, b.sid) for a in p.collect() for b in s.collect() if a.k == b.k and b.lo <= a.v < b.hi]
+    met = {a for a, _ in want}
+    monkeypatch.setattr(joins, "LEAST_NULL_PAIRS", 64)
+    monkeypatch.setattr(joins, "MOST_NULL_PAIRS", 100)
+    for how in ("inner", "left"):
+        out = range_join(p, s, "v", "lo", "hi", ["k"], how=how)
+        alone = [(a, None) for a in range(400) if a not in met] if how == "left" else []
+        assert sorted(((r.id, r.sid) for r in out.collect()), key=str) == sorted(want + alone, key=str)
+        parts = out.where("sid IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 4 and max(r["count"] for r in parts) < len(want) / 2
+    # one bin holds every pair
+    one = range_join(p.withColumn("v", F.lit(1.0)), s.withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(2.0)), "v", "lo", "hi", ["k"])
+    assert one.count() == one.distinct().count() == 400 * 30
+    assert one.groupBy(F.spark_partition_id()).count().count() > 4
+
+
 # -- keyed store -----------------------------------------------------------------
 def test_store_rewrites_touched_buckets_only(spark, tmp_path):
     store = KeyedStore(spark, str(tmp_path / "store"), "id", "version", buckets=8)
