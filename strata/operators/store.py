@@ -19,25 +19,30 @@ from pyspark.sql import types as T
 
 from ..session import stage_table
 
-BUCKET = "_bucket"
+BUCKET, SHARE = "_bucket", "_share"
+#: Updates with at most so many rows of any key are not reduced to one row a
+#: key before they are dealt to the buckets.
+HOT_ROWS = 1000
 
 
-def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
+def latest_rows(df: DataFrame, key: str, version: str, within: Sequence[str] = ()) -> DataFrame:
     """The latest row of each key (nulls are one key): the highest version and,
     among equal versions, the largest values of the other columns, so that they
     resolve alike however the rows are dealt. Columns without an order (maps,
     variants) are compared as JSON. A partial aggregate: a hot key sends one
-    row a task."""
-    rest = [f for f in df.schema.fields if f.name not in (key, version)]
+    row a task. ``within``: columns that follow from the key; rows dealt by
+    them are not dealt again."""
+    rest = [f for f in df.schema.fields if f.name not in (key, version, *within)]
     odd = [f.name for f in rest if not _ordered(f.dataType)]
     plain = [f.name for f in rest if f.name not in odd]
     order = F.struct(F.col(f"`{version}`"), *[F.col(f"`{c}`") for c in plain], *[F.to_json(F.struct(f"`{c}`")).alias(c) for c in odd])
+    groups = df.groupBy(*within, F.col(f"`{key}`"))
     if not odd:
-        agg = df.groupBy(F.col(f"`{key}`")).agg(F.max(order).alias("_r"))
+        agg = groups.agg(F.max(order).alias("_r"))
     else:
         whole = F.struct(F.col(f"`{version}`"), *[F.col(f"`{f.name}`") for f in rest])
-        agg = df.groupBy(F.col(f"`{key}`")).agg(F.max_by(whole, order).alias("_r"))
-    return agg.select(*[F.col(f"`{c}`") if c == key else F.col(f"_r.`{c}`").alias(c) for c in df.columns])
+        agg = groups.agg(F.max_by(whole, order).alias("_r"))
+    return agg.select(*[F.col(f"`{c}`") if c in (key, *within) else F.col(f"_r.`{c}`").alias(c) for c in df.columns])
 
 
 def _ordered(dtype: T.DataType) -> bool:
@@ -89,20 +94,31 @@ class KeyedStore:
 
     def upsert(self, updates: DataFrame) -> list[int]:
         """Merge ``updates`` in: the latest row of each key stays. Only the
-        buckets of the updates' keys are read, merged and replaced; the
-        merged rows are written to the checkpoint folder first, since a bucket
-        cannot be replaced while it is read. Returns the touched buckets. An
-        upsert that is run again gives the same store."""
-        fresh = stage_table(latest_rows(updates, self.key, self.version).withColumn(BUCKET, self.bucket(F.col(f"`{self.key}`"))), "upserts")
-        touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())  # at most one row a bucket
-        if not touched:
+        buckets of the updates' keys are read, merged and replaced. A row is
+        dealt once, to its bucket's tasks, and written once: dynamic partition
+        overwrite writes beside the buckets and replaces them when all is
+        written, so they may be read meanwhile. Returns the touched buckets.
+        An upsert that is run again gives the same store."""
+        heaviest = updates.groupBy(F.col(f"`{self.key}`")).count().agg(F.max("count")).first()[0]
+        if heaviest is None:
             return []
+        fresh = latest_rows(updates, self.key, self.version) if heaviest > HOT_ROWS else updates
         stored = self.read()
-        rows = fresh
-        if stored is not None:
-            rows = stored.where(F.col(BUCKET).isin(touched)).unionByName(fresh, allowMissingColumns=True)
-        merged = stage_table(latest_rows(rows.drop(BUCKET), self.key, self.version).withColumn(
-            BUCKET, self.bucket(F.col(f"`{self.key}`"))), "upserted")
-        (merged.repartition(min(len(touched), 4 * self.spark.sparkContext.defaultParallelism), BUCKET).sortWithinPartitions(BUCKET, f"`{self.key}`")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path))
+        if stored is None:
+            self._replace(fresh, self.buckets)
+            return sorted(r[0] for r in self.read().select(BUCKET).distinct().collect())  # at most one row a bucket
+        # the same rows settle the buckets and are merged, so they are written
+        fresh = stage_table(fresh.withColumn(BUCKET, self.bucket(F.col(f"`{self.key}`"))), "upserts")
+        touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())
+        self._replace(stored.where(F.col(BUCKET).isin(touched)).unionByName(fresh, allowMissingColumns=True).drop(BUCKET), len(touched))
         return touched
+
+    def _replace(self, rows: DataFrame, buckets: int) -> None:
+        """Replace the buckets of ``rows`` by the latest row of each key. A
+        bucket is shared by as many tasks as there are shuffle partitions for it."""
+        key = F.col(f"`{self.key}`")
+        share = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        dealt = (rows.withColumn(BUCKET, self.bucket(key)).withColumn(SHARE, F.pmod(F.xxhash64(F.lit(SHARE), key), F.lit(share)).cast("int"))
+                 .repartition(BUCKET, SHARE))
+        (latest_rows(dealt, self.key, self.version, (BUCKET, SHARE)).drop(SHARE).sortWithinPartitions(BUCKET, key)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path))

@@ -164,6 +164,35 @@ def test_store_rewrites_touched_buckets_only(spark, tmp_path):
     assert store.upsert(spark.createDataFrame([], "id long, version int, t string")) == []
 
 
+def test_store_deals_and_writes_rows_once(spark, tmp_path, monkeypatch):
+    """An upsert deals each row once, writes it once beside the buckets it
+    reads and writes no other whole copy; hot keys, null keys and new columns
+    come out as before."""
+    from strata.operators import store as S
+    staged = []
+    monkeypatch.setattr(S, "stage_table", lambda df, prefix, f=S.stage_table: (staged.append(df.count()), f(df, prefix))[1])
+    plans = []
+    real = S.latest_rows
+    monkeypatch.setattr(S, "latest_rows", lambda *a: (out := real(*a), plans.append(plan(out)))[0])
+    store = KeyedStore(spark, str(tmp_path / "store"), "id", "version", buckets=4)
+    base = spark.range(0, 3000).selectExpr("IF(id % 1000 = 999, NULL, id) AS id", "1 AS version", "concat('t', id) AS t")
+    assert store.upsert(base) == [0, 1, 2, 3] and staged == []
+    assert all(p.count("Exchange (") + p.count("Exchange\n") <= 2 for p in plans), plans[0]
+    new = spark.createDataFrame([(5, 2, "b", 1.5), (5, 2, "a", 2.5), (6, 0, "late", 0.0), (None, 1, "zz", 7.0), (9000, 1, "n", None)],
+                                "id long, version int, t string, x double")
+    store.upsert(new)
+    assert staged == [5]
+    rows = {r.id: (r.version, r.t, r.x) for r in store.read().collect()}
+    assert store.read().count() == len(rows) == 2997 + 2
+    assert (rows[5], rows[6], rows[None], rows[9000]) == ((2, "b", 1.5), (1, "t6", None), (1, "zz", 7.0), (1, "n", None))
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
+    hot = spark.range(0, 500).selectExpr("IF(id < 400, 5, id) AS id", "CAST(id AS INT) AS version", "'h' AS t", "0.0D AS x")
+    store.upsert(hot)
+    assert staged[1] == 101  # a hot key is one row before it is dealt
+    assert {r.id: r.version for r in store.get([5, 6, 450]).collect()} == {5: 399, 6: 1, 450: 450}
+    assert store.read().count() == 2999
+
+
 def test_equal_versions_resolve_alike(spark):
     rows = [(1, 1, t) for t in "cabd"] + [(2, None, "x"), (2, 0, "y"), (None, 1, "n"), (None, 1, "m")]
     df = spark.createDataFrame(rows, "id long, version int, t string")
