@@ -65,7 +65,9 @@ def text_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` text bytes, one row at
-    least, so a task's working memory does not follow the batch size."""
+    least, so a task's working memory does not follow the batch size. What a
+    slice's work has freed goes back to the system: workers are reused, so it
+    would add to the memory of the other workers and of later stages."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -75,6 +77,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+            release_memory()
+        del batch
+    release_memory()
+
+
+def release_memory() -> None:
+    """Free memory that Arrow's pool and the C library hold is given back."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def byte_strings(arr: pa.Array) -> list[bytes]:

@@ -40,8 +40,11 @@ PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 SENTINELS = (PREFIX, SUFFIX, MIDDLE)
 #: Rolling hash: window in bytes, zero bits at a border, least and largest chunk.
 WINDOW, BORDER_BITS, LEAST, LARGEST = 32, 10, 64, 1 << 16
-#: Chunk bytes kept by a task's cache; a full cache starts anew.
-CACHE_BYTES = 32 << 20
+#: Bytes kept by a task's cache, chunks and their entries (about so many bytes
+#: each beside the chunk); a full cache starts anew.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 400
+#: Bytes of text that are hashed together: the hashes take twelve times as much.
+HASH_SLICE = 1 << 20
 CONTINUATION = bytes(range(0x80, 0xC0))
 _GEAR = np.random.default_rng(13).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -104,11 +107,11 @@ class ChunkCache:
         self.misses += 1
         out = summarise(chunk)
         if found is None:  # a chunk that only shares another one's hash is not kept
-            if self.used + len(chunk) > self.limit:
+            if self.used + len(chunk) + ENTRY_BYTES > self.limit:
                 self.kept.clear()
                 self.used = 0
             self.kept[key] = (chunk, out)
-            self.used += len(chunk)
+            self.used += len(chunk) + ENTRY_BYTES
         return out
 
 
@@ -171,7 +174,7 @@ def transform(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = ChunkCache()
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", HASH_SLICE):
             data, off = text_view(b.column(2))
             raw, bounds, ends = data.tobytes(), off.tolist(), borders(data)
             at = np.searchsorted(ends, off + WINDOW).tolist()  # a window lies inside its text
@@ -192,10 +195,14 @@ def transform(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def restored(output: Column, form: Column) -> Column:
     """The text that an output was made from. A rearranged text holds no
-    sentinel of its own, so the sentinels split it in one way."""
-    parts = F.split(output, "<[PSM]>", -1)
-    return (F.when(form == "psm", F.concat(parts[1], parts[3], parts[2]))
-            .when(form == "spm", F.concat(parts[2], parts[3], parts[1])).otherwise(output))
+    sentinel of its own, so each sentinel is found once. The parts are cut as
+    bytes, without a pattern and without decoding the text."""
+    head, middle = F.substring_index(output, "<M>", 1), F.substring_index(output, "<M>", -1)
+
+    def first(mark):  # from behind the first sentinel up to this one
+        return F.substring(F.substring_index(head, mark, 1), len(PREFIX) + 1, 2 ** 31 - 1)
+    return (F.when(form == "psm", F.concat(first("<S>"), middle, F.substring_index(head, "<S>", -1)))
+            .when(form == "spm", F.concat(F.substring_index(head, "<P>", -1), middle, first("<P>"))).otherwise(output))
 
 
 ORACLE_SQL = """

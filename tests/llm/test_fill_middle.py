@@ -90,3 +90,32 @@ def test_odd_tables(odd, empty, clashing):
     out = fm.transform(clashing)
     assert len(out.collect()) == odd.count()
     assert set(out.columns) == (set(clashing.columns) - {"text"}) | set(fm.RESULT)
+
+
+def test_cache_counts_its_entries():
+    """Many short chunks: what an entry takes beside its bytes counts too."""
+    cache = fm.ChunkCache(limit=20_000)
+    for i in range(2_000):
+        cache.summary(b"%064d" % i)
+        assert len(cache.kept) * (64 + fm.ENTRY_BYTES) <= 20_000
+
+
+def test_restored_without_patterns(spark):
+    """Texts are put together again as bytes, whatever they hold around the
+    sentinels, and no pattern is run over a decoded text."""
+    rows = [(i, t) for t in ("", "a", "héé <S <P M> <> ñ", "\n\t<<>>", "日本語" * 40, "x" * 500) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fm.transform(df.withColumn("was", F.col("text"))).withColumn("back", fm.restored(F.col("output"), F.col("form")))
+    got = out.select("was", "back", "form").collect()
+    assert {r.form for r in got} == {"plain", "psm", "spm"} and all(r.was == r.back for r in got)
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_give_memory_back(monkeypatch):
+    import pyarrow as pa
+    from strata.llm import common
+    calls = []
+    monkeypatch.setattr(common, "release_memory", lambda: calls.append(1))
+    batch = pa.record_batch({"text": pa.array(["x" * 100] * 50)})
+    assert sum(b.num_rows for b in common.text_slices(iter([batch, batch]), "text", 1000)) == 100
+    assert len(calls) >= 10
