@@ -39,7 +39,7 @@ CAPACITY, GRAIN, END_ID = 4096, 64, 2
 #: ones kept; a full memory starts anew.
 CACHE_WORDS, CACHE_PIECES, CACHE_WORD_BYTES = 500_000, 300_000, 64
 #: Bytes of text whose words are told apart together.
-TOKEN_SLICE = 8 << 20
+TOKEN_SLICE = 4 << 20
 
 
 # --------------------------------------------------------------------------
