@@ -234,9 +234,10 @@ def kneser_ney(gram: np.ndarray, count: np.ndarray) -> list[dict[str, np.ndarray
     return out
 
 
-def _hashed(g: np.ndarray) -> np.ndarray:
-    """One to one: the multiplier is odd and a gram has at most 32 bits."""
-    return ((g.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _hashed(g: np.ndarray, width: int = 4) -> np.ndarray:
+    """Of grams of ``width`` bytes. One to one: the multiplier is odd and a
+    gram has at most 32 bits."""
+    return (((g.astype(np.uint64) & np.uint64((1 << 8 * width) - 1)) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 MODEL = "lang string, orders int, kind string, keys binary, vals binary"

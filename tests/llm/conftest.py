@@ -1,5 +1,7 @@
 import pytest
 
+#: As in tests/conftest.py: in a run of all tests this file bears its name.
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
