@@ -15,6 +15,8 @@ skew-split. The distinct left keys are map-side combined before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ NULL_SALTS = 32
 #: pairs, and of at least so many while there are few tasks. A step with fewer
 #: pairs joins these rows with the others. Range joins deal theirs alike.
 MOST_NULL_PAIRS, LEAST_NULL_PAIRS = 1 << 25, 1 << 18
+#: Where both sides of such pairs are dealt, a task has at most so many.
+MOST_CELL_PAIRS = 1 << 23
 
 METADATA_COLUMNS = {"_load_timestamp", "_source_file", "_row_inserted", "_row_updated"}
 
@@ -58,7 +62,7 @@ def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     if null_keys_match and how == "full_outer":
-        return _full_outer_null_safe(left, right, keys, no_key or tuple(rows_without_key([(left, keys), (right, keys)])))
+        return _full_outer_null_safe(left, right, keys, no_key or tuple(rows_without_key([(left, keys), (right, keys)])))[0]
     lcols = list(left.columns)
     rpay = [c for c in right.columns if c not in keys and c not in lcols]
     r = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(keys)], *rpay)
@@ -110,10 +114,51 @@ def pair_tasks(pairs: int, parallelism: int) -> int:
     return max(-(-pairs // MOST_NULL_PAIRS), min(4 * parallelism, pairs // LEAST_NULL_PAIRS))
 
 
-def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str], counted: tuple[int, int]) -> DataFrame:
+@dataclass
+class NullPairs:
+    """The pairs of a join's rows without a key, before they are made: each of
+    the n rows of ``left`` with each of the m rows of ``right``. ``rest`` has
+    the join's other rows."""
+    left: DataFrame
+    right: DataFrame
+    rest: DataFrame
+    counts: tuple[int, int]
+
+    def changed(self, fn) -> NullPairs:
+        """The pairs of a table whose columns ``fn`` renames or leaves out."""
+        return NullPairs(fn(self.left), fn(self.right), fn(self.rest), self.counts)
+
+    def made(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Each row of ``left`` with each of ``right``, which are this frame's
+        sides with other columns. Both are dealt, so a task's rows of either
+        side are about as many as the root of its pairs."""
+        a, b = pair_sides(*self.counts, left.sparkSession.sparkContext.defaultParallelism)
+
+        def share(of):
+            return F.pmod(F.monotonically_increasing_id(), F.lit(of))
+
+        def every(of):
+            return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        # partitions are asked for by number, as few bytes give many pairs
+        few = left.withColumn("_a", share(a)).withColumn("_b", every(b)).withColumn("_lc", F.col("_a") * b + F.col("_b"))
+        many = right.withColumn("_b", share(b)).withColumn("_a", every(a)).withColumn("_rc", F.col("_a") * b + F.col("_b"))
+        few, many = (df.drop("_a", "_b").repartition(a * b, cell) for df, cell in ((few, "_lc"), (many, "_rc")))
+        return few.join(many.hint("shuffle_hash"), F.col("_lc") == F.col("_rc")).drop("_lc", "_rc")
+
+
+def pair_sides(n: int, m: int, parallelism: int) -> tuple[int, int]:
+    """Into how many shares n and m rows are dealt, each share of one side
+    meeting each of the other: shares of about as many rows on both sides."""
+    tasks = max(1, -(-n * m // MOST_CELL_PAIRS), min(16 * parallelism, n * m // LEAST_NULL_PAIRS))
+    a = max(1, min(n, tasks, isqrt(tasks * n // max(m, 1))))
+    return a, max(1, min(m, -(-tasks // a)))
+
+
+def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str], counted: tuple[int, int]) -> tuple[DataFrame, NullPairs | None]:
     """The full outer join with equal null keys. ``counted``: how many rows of
     each side lack a key, which settles the number of tasks alone; where
-    these rows have many pairs, they are joined apart from the others."""
+    these rows have many pairs, they are joined apart from the others. With
+    one key their pairs are also returned as they are before they are made."""
     lcols = list(left.columns)
     rpay = [c for c in right.columns if c not in keys and c not in lcols]
     n = len(keys)
@@ -163,7 +208,12 @@ def _full_outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str], co
     at = dict(zip(keys, rk))
     alone = alone.select(*[F.col(at[c]).alias(c) if c in at else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols],
                          *[F.col(f"`{c}`") for c in rpay])
-    return matched.unionByName(alone)
+    if tasks == 1 or n > 1:
+        return matched.unionByName(alone), None
+    rest = pairs(left_k.where(~no_key(lk)), right_k.where(~no_key(rk)), keyed).unionByName(alone)
+    apart = NullPairs(left_k.where(no_key(lk)).select(*[F.col(f"`{c}`") for c in lcols]),
+                      right_k.where(no_key(rk)).select(*[F.col(f"`{c}`") for c in rpay]), rest, counted)
+    return matched.unionByName(alone), apart
 
 
 def _no_key(keys: Sequence[str]):
@@ -213,16 +263,22 @@ def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True, w
     new sources; the rows joined so far are only counted where the new
     source has some.
     """
+    return sources_and_pairs(frames, null_keys_match, warn)[0]
+
+
+def sources_and_pairs(frames: Sequence[DataFrame], null_keys_match: bool = True, warn=None) -> tuple[DataFrame, NullPairs | None]:
+    """``combine_sources``, and the pairs of its last step's rows without a
+    key where these are many."""
     steps = fold_keys(frames)
     counted = [(df, keys) for df, keys in zip(frames[1:], steps) if keys] if null_keys_match else []
     first = [(frames[0], steps[0])] if counted and steps[0] else []
     found = rows_without_key([*first, *counted]) if counted else []
     start, new = (found[0] if first else 0), iter(found[len(first):])
     df = frames[0]
-    joined = False
+    joined, pairs = False, None
     for no, (nxt, keys) in enumerate(zip(frames[1:], steps)):
         if not keys:
-            df = union_by_name(df, nxt)
+            df, pairs = union_by_name(df, nxt), None
             continue
         if joined:
             df = stage_table(df, "outer-join")
@@ -230,9 +286,12 @@ def combine_sources(frames: Sequence[DataFrame], null_keys_match: bool = True, w
         n = 0 if not m else start if no == 0 else rows_without_key([(df, keys)])[0]
         if n and warn:
             warn(",".join(keys), f"{n} and {m} rows without a key match each other: {n * m} rows")
-        df = full_outer(df, nxt, keys, null_keys_match=null_keys_match, no_key=(n, m))
+        if null_keys_match:
+            df, pairs = _full_outer_null_safe(df, nxt, keys, (n, m))
+        else:
+            df = full_outer(df, nxt, keys, null_keys_match=False)
         joined = True
-    return df
+    return df, pairs
 
 
 def join_key_candidates(catalog: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import stage_path, stage_table
+from .joins import NullPairs
 
 SOURCE_FILE = "_source_file"
 SOURCE_ROW = "_source_row"
@@ -202,17 +203,67 @@ def ranked_positions(df: DataFrame, name: str, start: int = 0) -> DataFrame | No
     return joined.withColumn(name, F.col("_offset") + rank + start).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
+def paired_positions(pairs: NullPairs, order_by: Sequence[str | Column], name: str, start: int = 0) -> DataFrame | None:
+    """``positions`` of a join's rows, of which n * m are pairs of rows without
+    a key, without a sort or a copy of the pairs. A pair's values come from
+    its left row or its right row, so it is enough to sort the n left rows
+    among the join's other rows, each counted m times, and the m right rows by
+    themselves: t left rows that are equal in the order take t * m positions,
+    t for each right row. None where the order has a column of the right rows
+    before one of the left rows, or where such left rows equal one of the
+    other rows, whose place is then among their pairs: sort then."""
+    lcols, rcols, m = pairs.left.columns, pairs.right.columns, pairs.counts[1]
+    if not all(isinstance(c, str) for c in order_by):
+        return None
+    by_left = [c for c in order_by if c in lcols]
+    by_right = [c for c in order_by if c not in lcols]
+    if not by_left or list(order_by) != by_left + by_right:
+        return None
+    cols = [F.col(f"`{c}`") for c in (*lcols, *rcols)]
+    left = pairs.left.select("*", *[F.lit(None).cast(pairs.right.schema[c].dataType).alias(c) for c in rcols], F.lit(1).alias("_pairs"))
+    rows = left.unionByName(pairs.rest.select(*cols, F.lit(0).alias("_pairs")))
+    tagged = sorted_table(rows, [*_cols(by_left), F.col("_pairs"), *_cols(by_right), *_tiebreak(rows, order_by)])
+    ties = [F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(by_left)]
+
+    same = F.lit(True)
+    for i, c in enumerate(by_left):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_t{i}"))
+    paired, alone = tagged.where("_pairs = 1"), tagged.where("_pairs = 0")
+    values = paired.select(*ties).distinct()
+    if alone.join(values, same, "left_semi").limit(1).collect():
+        return None
+    parts, rank, before = [], 0, 0
+    for part, held, with_pairs in sorted(tuple(r) for r in tagged.groupBy("_part").agg(F.count(F.lit(1)), F.sum("_pairs")).collect()):
+        parts.append((part, rank, before))
+        rank, before = rank + held, before + with_pairs
+    offsets = F.broadcast(tagged.sparkSession.createDataFrame(parts, "_pid long, _off long, _paired_off long"))
+    inside = W.partitionBy("_part").orderBy("_local").rowsBetween(W.unboundedPreceding, -1)
+    placed = (tagged.withColumn("_before", F.coalesce(F.sum("_pairs").over(inside), F.lit(0)))
+              .join(offsets, F.col("_part") == F.col("_pid"))
+              .withColumn("_rank", F.col("_off") + F.col("_local"))
+              .withColumn("_at", F.col("_rank") + F.lit(m - 1) * (F.col("_before") + F.col("_paired_off")) + start))
+    rest = placed.where("_pairs = 0").select(F.col("_at").alias(name), *cols)
+    paired = placed.where("_pairs = 1").select(*[F.col(f"`{c}`") for c in lcols], "_rank", "_at")
+    equal = paired.groupBy(*ties).agg(F.min("_at").alias("_first"), F.min("_rank").alias("_first_rank"), F.count(F.lit(1)).alias("_equal"))
+    lefts = stage_table(paired.join(equal, same).select(
+        *[F.col(f"`{c}`") for c in lcols], (F.col("_first") + F.col("_rank") - F.col("_first_rank")).alias("_first"), "_equal"), "paired-rows")
+    rights = positions(pairs.right if rcols else pairs.right.select(F.lit(0).alias("_none")), by_right, name="_no")
+    made = pairs.made(lefts, rights).select((F.col("_first") + F.col("_no") * F.col("_equal")).alias(name), *cols)
+    return made.unionByName(rest)
+
+
 def add_surrogate_key(df: DataFrame, name: str, order_by: Sequence[str | Column] | None = None,
-                      start: int = 1) -> DataFrame:
+                      start: int = 1, pairs: NullPairs | None = None) -> DataFrame:
     """WN-01: ``name`` = 1..n as the first column, in ``order_by`` order
-    (default: the row ordinal, else all columns); skipped if present."""
+    (default: the row ordinal, else all columns); skipped if present.
+    ``pairs``: those of ``df``'s rows that are pairs of rows without a key."""
     if name in df.columns:
         return df
     if not order_by:
         order_by = ordinal_columns(df) or list(df.columns)
     cols = list(df.columns)
-    keyed = None
-    if list(order_by) == ordinal_columns(df):
+    keyed = paired_positions(pairs, order_by, name, start) if pairs else None
+    if keyed is None and list(order_by) == ordinal_columns(df):
         keyed = ranked_positions(df, name, start)
     if keyed is None:
         keyed = positions(df, order_by, name=name, start=start)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import clean
 from ..functions.dates import DATE_FORMATS, parse_generic, parse_text_with
 from ..operators.aggregate import group_aggregate
-from ..operators.joins import combine_sources
+from ..operators.joins import NullPairs, sources_and_pairs
 from ..operators.keys import ORDINAL_COLUMNS, SOURCE_FILE, add_surrogate_key, dedup_keep_first, ordinal_columns
 from ..operators.stats import column_decisions, fill_values
 from ..session import stage_table
@@ -369,17 +369,18 @@ def run_gold(sources: "OrderedDict[str, DataFrame]", rules: Sequence[Rule], matc
 
     for plan in gold_plans(rules, list(sources), cols_of, match):
         frames = [sources[s] for s in plan.sources]
-        df = combine_sources(frames, null_keys_match=null_keys_match,
-                             warn=lambda keys, text, t=plan.target_table: res.warnings.append((t, keys, text)))
-        res.tables[plan.target_table] = _gold_table(df, plan, res, key_order.get(plan.target_table))
+        df, pairs = sources_and_pairs(frames, null_keys_match=null_keys_match,
+                                      warn=lambda keys, text, t=plan.target_table: res.warnings.append((t, keys, text)))
+        res.tables[plan.target_table] = _gold_table(df, plan, res, key_order.get(plan.target_table), pairs)
     return res
 
 
-def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str] | None) -> DataFrame:
+def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str] | None, pairs: NullPairs | None = None) -> DataFrame:
     # PR-02: one bulk rename; grouping keys and aggregates follow the new names
     renames = {s: t for s, t in plan.renames.items() if s in df.columns and t not in df.columns}
     if renames:
         df = df.withColumnsRenamed(renames)
+        pairs = pairs and pairs.changed(lambda side: side.withColumnsRenamed(renames))
     group = [renames.get(c, c) for c in plan.group_by]
     group = [c for c in group if c in df.columns]
     aggs = []
@@ -397,6 +398,7 @@ def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str
         for e in errs:
             res.warnings.append((plan.target_table,) + e)
         grouped = len(errs) < len(aggs)
+        pairs = None
     elif aggs and not group:
         res.warnings.append((plan.target_table, "", "aggregate rules ignored: no grouping column"))
     # PR-05: keep target columns (+ _*, pk_*); if nothing matches keep all
@@ -404,11 +406,12 @@ def _gold_table(df: DataFrame, plan: GoldPlan, res: LayerResult, order: list[str
     keep = [c for c in df.columns if c in targets or c.startswith("_") or c.startswith("pk_")]
     if keep:
         df = df.select(*keep)
+        pairs = pairs and pairs.changed(lambda side: side.select(*[c for c in keep if c in side.columns]))
     if order is None:
         # pandas order: sorted group keys with the null group last; else file order
         order = ([F.asc_nulls_last(f"`{c}`") for c in group] if grouped else
                  (ordinal_columns(df) or [c for c in df.columns if c.startswith("pk_")] or None))
-    return add_surrogate_key(df, "pk_gold_id", order)
+    return add_surrogate_key(df, "pk_gold_id", order, pairs=pairs)
 
 
 def warnings_frame(spark, layer: str, result: LayerResult):

@@ -98,3 +98,67 @@ def test_tasks_of_null_pairs_grow_with_the_pairs():
     assert null_tasks(0, 9, 8) == null_tasks(9, 0, 8) == null_tasks(300, 200, 8) == 1
     for n, m in ((18_000, 12_000), (108_000, 72_000), (1_000_000, 1_000)):
         assert 8 <= null_tasks(n, m, 8) <= n and n * m / null_tasks(n, m, 8) <= MOST_NULL_PAIRS
+
+
+def test_pairs_without_key_are_numbered_without_a_copy(spark, monkeypatch):
+    """The gold key of n * m pairs is that of the sorted rows, also where left
+    rows are equal in the order, yet only the inputs' rows are sorted and
+    written. Orders that mix the pairs with other rows are sorted."""
+    from collections import OrderedDict
+
+    from strata.operators import joins, keys
+    from strata.plans.layers import run_gold
+    from strata.plans.rules import Rule
+    monkeypatch.setattr(joins, "LEAST_NULL_PAIRS", 100)
+    written, write = [], keys.sorted_table
+    monkeypatch.setattr(keys, "sorted_table", lambda df, *a, **k: (written.append(df.count()), write(df, *a, **k))[1])
+    a = spark.range(0, 90, 1, 2).selectExpr("IF(id % 3 = 0, NULL, id % 40) AS k_id", "id AS pk_a", "concat('x', id % 7) AS x", "id % 2 AS z", "IF(id < 15, id, NULL) AS gap")
+    b = spark.range(0, 80, 1, 2).selectExpr("IF(id % 2 = 0, NULL, id % 60) AS k_id", "id % 5 AS y", "double(id) / 4 AS w")
+
+    def rule(source, column, target):
+        return Rule(source_table=source, source_column=column, target_table="t", target_column=target, transformation_type="Direct")
+
+    def made(cols, order=None):
+        rules = [rule("b" if c in ("y", "w") else "a", c, t) for c, t in cols.items()]
+        written.clear()
+        gold = run_gold(OrderedDict(a=a.select("k_id", *[c for c in a.columns if c in cols and c != "k_id"]), b=b), rules, key_order={"t": order} if order else None)
+        assert [text for *_, text in gold.warnings] == ["30 and 40 rows without a key match each other: 1200 rows"]
+        return gold.tables["t"]
+
+    def check(out, order):
+        rows = out.collect()
+        assert sorted(r.pk_gold_id for r in rows) == list(range(1, len(rows) + 1))
+        rows.sort(key=lambda r: r.pk_gold_id)
+        values = [[(r[c] is not None, r[c] if r[c] is not None else 0) for c in order] for r in rows]
+        assert values == sorted(values)
+        return rows
+
+    def plain(cols):
+        both = joins.combine_sources([a, b]).select(*[f"`{c}`" for c in cols]).collect()
+        return sorted((tuple(r) for r in both), key=str)
+    for cols, order, copied in (
+            ({"k_id": "k_id", "x": "name", "y": "y", "w": "w"}, None, False),     # left rows are equal
+            ({"k_id": "k_id", "z": "z", "y": "y"}, None, False),                  # so are right rows
+            ({"k_id": "k_id", "pk_a": "pk_a", "w": "w"}, ["pk_a"], False),        # pairs between other rows
+            ({"k_id": "k_id", "pk_a": "pk_a", "y": "y"}, ["pk_a", "y"], False),
+            ({"k_id": "k_id", "x": "x", "w": "w"}, ["w", "x"], True),             # a right column first
+            ({"x": "x", "y": "y"}, None, True),                                   # other rows equal the left rows
+            ({"k_id": "k_id", "gap": "gap", "y": "y"}, ["gap", "y"], True)):
+        out = made(cols, order)
+        rows = check(out, order or list(cols.values()))
+        assert sorted((tuple(r)[1:] for r in rows), key=str) == plain(cols)
+        assert (max(written) >= 1200) == copied and sorted(map(str, out.collect())) == sorted(map(str, rows))
+    # no column of the right rows
+    df, pairs = joins.sources_and_pairs([a, b])
+    few = lambda side: side.select(*[c for c in ("k_id", "x") if c in side.columns])
+    written.clear()
+    rows = check(keys.add_surrogate_key(few(df), "pk_gold_id", pairs=pairs.changed(few)), ["k_id", "x"])
+    assert sorted((tuple(r)[1:] for r in rows), key=str) == plain(["k_id", "x"]) and max(written) < 1200
+
+
+def test_shares_of_pairs_are_bounded():
+    from strata.operators.joins import MOST_CELL_PAIRS, pair_sides
+    assert pair_sides(1, 1, 8) == pair_sides(300, 200, 8) == (1, 1)
+    for n, m in ((18_000, 12_000), (108_000, 72_000), (1_000_000, 1_000), (10, 20_000_000), (50_000_000, 1)):
+        a, b = pair_sides(n, m, 8)
+        assert a <= n and b <= m and a * b >= 8 and n * m / (a * b) <= MOST_CELL_PAIRS * 1.5
