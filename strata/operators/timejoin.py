@@ -155,6 +155,9 @@ def _range_sides(left: DataFrame, right: DataFrame, value: str, low: str, high:
         cond = cond & (F.col("_ls") == F.col("_rs"))
         here = [*here, "_ls"]
     if tasks > 1:
-        # by number: few bytes may make many pairs, also beside a broadcast side
+        # by number: few bytes may make many pairs; and neither side is broadcast,
+        # for beside broadcast rows the intervals' few tasks would make the pairs.
+        # Written, the intervals' level stays a key where it is the same for all
         rows = rows.repartition(tasks, *[F.col(f"`{a}`") for a in here])
+        spans = stage_table(spans, "range-spans").hint("merge")
     return rows, spans, cond
