@@ -116,3 +116,73 @@ def test_odd_tables(spark, odd, empty, clashing):
     assert sj.similar_documents(empty).count() == 0
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert found(sj.similar_documents(clashing)) == brute(rows)
+
+
+def family(n, edits, words, seed=0):
+    """Copies of one text, each with some words of its own."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for at in rng.sample(range(words), rng.choice(edits)):
+            t[at] = f"x{i}n{at}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_a_large_family_does_not_query_its_scattered_copies(spark):
+    texts = family(600, [0, 1, 2, 3], words=150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = sj.assign_groups(sj.stage_table(sj.group_keys(docs, sj.rarity(sj.stage_table(sj.shingle_sets(docs))))))
+    groups = members.select("group").distinct().count()
+    assert groups > 5
+    others = sj.groups_to_open(members).where("target <> group").count()
+    assert others < len(texts), "the sets of the large group query the small ones"
+    assert found(sj.similar_documents(docs)) == brute(list(enumerate(texts)))
+
+
+def test_sets_not_alike_enough_are_told_apart_in_a_large_group():
+    import time
+    sets = [set(sj.shingle_set(t.encode()).tolist()) for t in family(1500, [9, 12, 15], words=400)]
+    group, began = sj.Group(), time.process_time()
+    assert not any(group.add(i, s) for i, s in enumerate(sets))
+    assert time.process_time() - began < 6
+    assert len(group.leaders) == len(sets)
+    near = set(list(sets[700])[1:])
+    assert group.links(near)[0] == [700]
+
+
+def test_prefixes_of_linked_sets_share_what_is_asked_for(spark):
+    from pyspark.sql import functions as F
+    rng, rows = np.random.default_rng(5), []
+    for percent in (60, 90, 95, 100):
+        for _ in range(250):
+            a = rng.choice(5_000, rng.integers(1, 260), replace=False)
+            b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, 14)], rng.choice(5_000, rng.integers(0, 14))]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                front = [set(np.sort(x)[: len(x) - sj.needed(len(x), percent) + sj.common(len(x), 32)].tolist()) for x in (a, b)]
+                share = len(front[0] & front[1])
+                rows += [(percent, len(a), len(b), share), (percent, len(b), len(a), share)]
+    df = spark.createDataFrame(rows, "percent int, n long, m long, share long")
+    for percent in (60, 90, 95, 100):
+        some = df.where(F.col("percent") == percent)
+        for low, high in ((F.col("m"), F.col("m")), (F.col("m") - 5, F.col("m") + 9), (F.lit(1), F.lit(400))):
+            assert some.where(F.col("share") < sj.least_shared(F.col("n"), low, high, percent)).count() == 0
+    assert len(rows) > 400
+    exact = spark.range(1).select(sj.least_shared(F.lit(400), F.lit(400), F.lit(400)).alias("x")).first().x
+    assert exact > 2 * sj.common(sj.needed(400), 32)
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    import pyarrow as pa
+    texts = [None, "", " \t", "one", "ONE", "one two", "one  two\n", "É é", "é é", "a b", "ab c", "a b c", "ab c d", "\x1c a b", "\x0b\x0c a",
+             "a\0 b c", "a b c\0", "x" * 1000 + " y", "x" * 1001 + " y", "X" * 1000 + " Y", "end", "start a b c d", *near_texts(40)]
+    sets = sj.sets_of(pa.array(texts))
+    assert [s.tobytes() for s in sets] == [sj.shingle_set((t or "").encode()).tobytes() for t in texts]
+    whole = [shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in whole]
+    for s, w in zip(sets, whole):
+        assert [len(np.intersect1d(s, x)) for x in sets] == [len(w & x) for x in whole]
+    assert [s.tobytes() for s in sj.sets_of(pa.array(texts)[5:])] == [s.tobytes() for s in sets[5:]] and sj.sets_of(pa.array([], pa.string())) == []
